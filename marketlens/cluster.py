@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -16,13 +18,14 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_marketlens_shipped", False):
         return
-    with tempfile.TemporaryDirectory() as folder:
-        archive = os.path.join(folder, "marketlens.zip")
-        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
-            for here, _, files in os.walk(_ROOT):
-                for name in sorted(files):
-                    if name.endswith(".py"):
-                        path = os.path.join(here, name)
-                        out.write(path, os.path.relpath(path, os.path.dirname(_ROOT)))
-        context.addPyFile(archive)
+    folder = tempfile.mkdtemp(prefix="marketlens-")  # the driver serves the archive from here while the application lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "marketlens.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for here, _, files in os.walk(_ROOT):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    path = os.path.join(here, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(_ROOT)))
+    context.addPyFile(archive)
     context._marketlens_shipped = True

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, mixing, quality, toxicity
+from . import decontam, html, langid, mixing, quality, toxicity
 from .splits import remainder
 
 
@@ -35,6 +35,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, params).select("doc_id", _held_out(5), "score", "predicted")
 
 
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs)).select("doc_id", _held_out(4, 2), "lang_pred", "score")
@@ -48,7 +52,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
+    "op7_decontam": op7_decontam,
     "op8_langid": op8_langid,
     "op9_html": op9_html,
 }
-ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE_SQL, "op7_decontam": decontam.ORACLE_SQL}

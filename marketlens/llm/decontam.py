@@ -36,8 +36,8 @@ def _marked(gram: Column, place: Column) -> Column:
 
 def _grams(hashes: Column, n: Column, width: int, whole: bool) -> Column:
     """The marked hash of each gram of ``width`` words; grams that stand for whole short items hash apart from all others."""
-    places = F.sequence(F.lit(0).cast("long"), n - width)
-    return F.transform(places, lambda i: _marked(F.xxhash64(F.lit(width if whole else 0), *[F.get(hashes, (i + j).cast("int")) for j in range(width)]), i))
+    places = F.sequence(F.lit(0), n - width)
+    return F.transform(places, lambda i: _marked(F.xxhash64(F.lit(width if whole else 0), *[F.get(hashes, i + j) for j in range(width)]), i))
 
 
 def _none() -> Column:
@@ -54,9 +54,9 @@ def _fingerprints(all_words: Column, short: list[int]) -> Column:
     span = WINDOW - GRAM + 1
 
     def of_hashes(hashes: Column) -> Column:
-        n = F.size(hashes).cast("long")
-        starts = F.sequence(F.lit(1).cast("long"), n - WINDOW + 1)
-        winnowed = _bind(_grams(hashes, n, GRAM, False), lambda grams: F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(grams, i.cast("int"), span)))))
+        n = F.size(hashes)
+        starts = F.sequence(F.lit(0), n - WINDOW)
+        winnowed = _bind(_grams(hashes, n, GRAM, False), lambda grams: F.array_distinct(F.transform(starts, lambda i: F.least(*[F.get(grams, i + j) for j in range(span)]))))
         own = [F.when(n >= w, _grams(hashes, n, w, True)).otherwise(_none()) for w in short]
         return F.concat(F.when(n >= WINDOW, winnowed).otherwise(_none()), *own)
 
@@ -72,9 +72,9 @@ def windows(benchmark: DataFrame) -> DataFrame:
 
     def mark(hashes: Column) -> Column:
         n = F.size(hashes)
-        found = F.when(n == WINDOW, F.array_min(_grams(hashes, F.lit(WINDOW).cast("long"), GRAM, False)))
+        found = F.when(n == WINDOW, F.array_min(_grams(hashes, F.lit(WINDOW), GRAM, False)))
         for w in range(1, WINDOW):
-            found = found.when(n == w, F.element_at(_grams(hashes, F.lit(w).cast("long"), w, True), 1))
+            found = found.when(n == w, F.element_at(_grams(hashes, F.lit(w), w, True), 1))
         return found
 
     each = each.withColumn("mark", _bind(F.transform("words", lambda w: F.xxhash64(w)), mark))

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import broadcast_if_small, materialize
-from .text import WORD_PATTERN
 
+#: What separates words
+WHITE_SPACE = r"[\x20\x09-\x0D]+"
 HASH_BITS = 60
 LEVEL_BITS = 10
 #: Weights are dealt to the sources in code-point order, over and over.
@@ -59,7 +60,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     have size 0 and are taken with 0 words; a null id hashes as the empty text; a null source is a source; an empty table gives an
     empty result. Other columns are ignored.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    parts = F.split(F.coalesce("text", F.lit("")), WHITE_SPACE)
+    size = F.size(F.filter(parts, lambda w: w != "")).cast("long")
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     sized = docs.select("doc_id", _key(F.col("source")).alias("source_key"), size.alias("size"), F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"))
     sized = materialize(sized, "mixing-sizes")

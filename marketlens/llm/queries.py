@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, mixing, quality, toxicity
+from . import decontam, html, langid, mixing, ngram_join, quality, toxicity
 from .splits import remainder
 
 
@@ -48,6 +48,10 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_read(spark, sf_dir, "pages"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op5_mixing": op5_mixing,
@@ -55,5 +59,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontam": op7_decontam,
     "op8_langid": op8_langid,
     "op9_html": op9_html,
+    "op10_ngram_join": op10_ngram_join,
 }
-ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE_SQL, "op7_decontam": decontam.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE_SQL, "op7_decontam": decontam.ORACLE_SQL, "op10_ngram_join": ngram_join.ORACLE_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, mixing, ngram_join, quality, toxicity
+from . import ann, chat, decontam, html, langid, mixing, ngram_join, quality, toxicity
 from .splits import remainder
 
 
@@ -25,6 +25,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, weights).select("doc_id", _held_out(5), "score", "predicted")
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_read(spark, sf_dir, "embeddings"))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(_read(spark, sf_dir, "conversations"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
@@ -54,6 +62,8 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_ann": op3_ann,
+    "op4_chat": op4_chat,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
     "op7_decontam": op7_decontam,
@@ -61,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html": op9_html,
     "op10_ngram_join": op10_ngram_join,
 }
-ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE_SQL, "op7_decontam": decontam.ORACLE_SQL, "op10_ngram_join": ngram_join.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_chat": chat.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op7_decontam": decontam.ORACLE_SQL, "op10_ngram_join": ngram_join.ORACLE_SQL}

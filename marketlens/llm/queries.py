@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, html, langid, mixing, ngram_join, quality, toxicity
+from . import ann, chat, decontam, html, langid, lm, mixing, ngram_join, quality, toxicity
 from .splits import remainder
 
 
@@ -25,6 +25,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, weights).select("doc_id", _held_out(5), "score", "predicted")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(_read(spark, sf_dir, "documents"))
+    return scored.select("doc_id", _held_out(10), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_read(spark, sf_dir, "embeddings"))
 
@@ -62,6 +67,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_ann": op3_ann,
     "op4_chat": op4_chat,
     "op5_mixing": op5_mixing,

@@ -1,7 +1,8 @@
 """From raw documents to a training mix, in stages that each write a table.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet into the shared checkpoint
-folder and gives the table read from there to the next stage. All stages but the last return the columns of ``documents``.
+folder and gives the table read from there to the next stage. All stages but the last return the columns of ``documents``; the last
+adds ``repeats``, how often a document goes into the mix.
 """
 
 from __future__ import annotations
@@ -9,16 +10,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.cluster import ship
+from marketlens.llm import decontam, langid, mixing, ngram_join, quality
 from marketlens.llm.store import materialize
 
-STAGES: list = []
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is told; texts that are null or without letters, or torn between languages, go."""
+    ship(spark)
+    return langid.keep_known(docs, langid.train(docs))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that the quality model, learnt from the labels of these documents, does not reject."""
+    ship(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_good(docs, quality.train(docs, labels))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of exact and near copies."""
+    ship(spark)
+    return ngram_join.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents without a passage of the benchmark."""
+    ship(spark)
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes documents so that the sources come near their target weights."""
+    ship(spark)
+    return mixing.take(docs)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources", source_mix),
+]
+
+#: Two stages learn their decisions, which SQL cannot express; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows."""
-    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")

@@ -14,6 +14,8 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .store import map_texts
+
 # Element names of the HTML standard, by role.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "noframes", "xmp"}
@@ -157,5 +159,4 @@ def extract(pages: DataFrame) -> DataFrame:
             text = [main_text(x) for x in pdf.pop("html")]
             yield pdf.assign(text=text, n_chars=[len(x) for x in text])
 
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
+    return map_texts(pages, run, "url string, text string, n_chars long", "page_id", "url", "html")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .splits import remainder
+from .store import filter_texts, map_texts
 
 #: Runs of letters; combining marks inside a word stay with it.
 WORDS = re.compile(r"[^\W\d_]+(?:[̀-ͯ][^\W\d_]*)*")
@@ -104,30 +105,29 @@ class _Scores(dict):
                 total += self.model["floor"][1] - BACKOFF * LONGEST
         return total / (len(padded) - 1) * 2.0
 
-
-def _scorer(shared):
-    def score(batches):
-        model = shared.value
-        langs, memo = model["langs"], _Scores(model)
-        for pdf in batches:
-            best, sure = [], []
-            for text in pdf.pop("text"):
-                words = WORDS.findall(text.lower()) if text else []
-                if not words or not langs:
-                    best.append("und")
-                    sure.append(0.0)
-                    continue
-                if memo.used > _MEMO:
-                    memo = _Scores(model)
-                ids = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-                mean = memo.rows[ids].mean(axis=0, dtype=np.float64)
-                odds = np.exp((mean - mean.max()) * min(len(words), 25))
-                top = int(mean.argmax())
-                best.append(langs[top])
-                sure.append(float(odds[top] / odds.sum()))
-            yield pdf.assign(lang_pred=best, score=sure)
-
-    return score
+    def forget(self) -> None:
+        self.clear()
+        self.used = 0
+
+
+def classify(model: dict, texts, memo: _Scores) -> tuple[list[str], list[float]]:
+    """The best language and its share of the odds, by text; ``memo`` keeps the scores of words between calls."""
+    langs, best, sure = model["langs"], [], []
+    for text in texts:
+        words = WORDS.findall(text.lower()) if text else []
+        if not words or not langs:
+            best.append("und")
+            sure.append(0.0)
+            continue
+        if memo.used > _MEMO:
+            memo.forget()
+        ids = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+        mean = memo.rows[ids].mean(axis=0, dtype=np.float64)
+        odds = np.exp((mean - mean.max()) * min(len(words), 25))
+        top = int(mean.argmax())
+        best.append(langs[top])
+        sure.append(float(odds[top] / odds.sum()))
+    return best, sure
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
@@ -137,5 +137,22 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     code point. Repeated rows are scored alike; a null id is kept; an empty table gives an empty result. Only doc_id and text are read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_WORDS + MOST_GRAMS entries
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(_scorer(shared), f"doc_id {id_type}, lang_pred string, score double")
+
+    def score(batches):
+        memo = _Scores(shared.value)
+        for pdf in batches:
+            best, sure = classify(shared.value, pdf.pop("text"), memo)
+            yield pdf.assign(lang_pred=best, score=sure)
+
+    return map_texts(docs, score, "lang_pred string, score double", "doc_id", "text")
+
+
+def keep_known(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
+    """The rows, all columns, whose language is told with at least the given score; texts without letters go."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def decide():
+        memo = _Scores(shared.value)
+        return lambda texts: [lang != "und" and sure >= least for lang, sure in zip(*classify(shared.value, texts, memo), strict=True)]
+
+    return filter_texts(docs, decide)

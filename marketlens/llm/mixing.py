@@ -45,27 +45,30 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
     total, weight = F.sum("source_size").over(everything), F.sum("_w").over(everything)
     room = total - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))
     left = weight - F.coalesce(F.sum("_w").over(before), F.lit(0.0))
-    level = weighed.withColumn("_level", room / left).withColumn("_open", most * F.col("source_size") > F.col("_level") * F.col("_w"))
-    final = level.withColumn("_final", F.min(F.when(F.col("_open"), F.col("_level"))).over(everything))
-    target = F.least(F.coalesce(F.col("_final") * F.col("_w"), F.lit(float("inf"))), (most * F.col("source_size")).cast("double"))
+    # the level rises while sources are capped and falls as soon as one that should not be is
+    levels = weighed.withColumn("_level", room / left)
+    final = levels.withColumn("_final", F.max("_level").over(everything))
+    target = F.least(F.col("_final") * F.col("_w"), (most * F.col("source_size")).cast("double"))
     return final.select("source_key", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """Every document with size, source_size, target and taken.
+def _hash(doc_id: Column) -> Column:
+    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
-    A source is taken whole as often as its target allows, and the rest of its budget is met by the documents whose hash lies at or
-    below its threshold; the hash value at which the budget ends is taken if that comes nearer to the target. The hash is that of the
-    id, so reruns agree, smaller budgets are contained in larger ones, and rows with the same id stand or fall together. Null texts
-    have size 0 and are taken with 0 words; a null id hashes as the empty text; a null source is a source; an empty table gives an
-    empty result. Other columns are ignored.
-    """
+
+def _repeats(h: Column) -> Column:
+    """How often a document with this hash is taken, by its source's row of the plan."""
+    at_most = F.coalesce("bar", F.lit((1 << HASH_BITS) - 1))
+    return F.col("whole") + F.when((F.col("budget") > 0) & (h <= at_most), 1).otherwise(0)
+
+
+def _plan(docs: DataFrame, weights: tuple[float, ...], most: int) -> tuple[DataFrame, DataFrame]:
+    """The documents' sizes and hashes, and of each source its size, target, whole repeats, and the threshold for the rest."""
     parts = F.split(F.coalesce("text", F.lit("")), WHITE_SPACE)
     size = F.size(F.filter(parts, lambda w: w != "")).cast("long")
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sized = docs.select("doc_id", _key(F.col("source")).alias("source_key"), size.alias("size"), F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"))
+    sized = docs.select("doc_id", _key(F.col("source")).alias("source_key"), size.alias("size"), _hash(F.col("doc_id")).alias("h"))
     sized = materialize(sized, "mixing-sizes")
-
     sources = targets(sized.groupBy("source_key").agg(F.sum("size").alias("source_size")), weights, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     sources = materialize(sources.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mixing-sources")
@@ -89,9 +92,33 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     nearer = F.col("upto") - F.col("budget") < F.col("budget") - F.col("below")
     bar = ends.select("source_key", F.when(nearer, F.col("least")).otherwise(F.col("least") - 1).alias("bar"))
     plan = sources.join(bar, "source_key", "left")
-    taken = F.col("size") * (F.col("whole") + F.when((F.col("budget") > 0) & (F.col("h") <= F.coalesce("bar", F.lit((1 << HASH_BITS) - 1))), 1).otherwise(0))
-    plan = broadcast_if_small(materialize(plan.select("source_key", "source_size", "target", "whole", "budget", "bar"), "mixing-plan"), BROADCAST_SOURCES)
-    return sized.join(plan, "source_key").select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    plan = materialize(plan.select("source_key", "source_size", "target", "whole", "budget", "bar"), "mixing-plan")
+    return sized, broadcast_if_small(plan, BROADCAST_SOURCES)
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """Every document with size, source_size, target and taken.
+
+    A source is taken whole as often as its target allows, and the rest of its budget is met by the documents whose hash lies at or
+    below its threshold; the hash value at which the budget ends is taken if that comes nearer to the target. The hash is that of the
+    id, so reruns agree, smaller budgets are contained in larger ones, and rows with the same id stand or fall together. Null texts
+    have size 0 and are taken with 0 words; a null id hashes as the empty text; a null source is a source; an empty table gives an
+    empty result. Other columns are ignored.
+    """
+    sized, plan = _plan(docs, weights, most)
+    taken = (F.col("size") * _repeats(F.col("h"))).cast("long")
+    return sized.join(plan, "source_key").select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """The documents that the mix takes, all columns, and ``repeats``: how often each goes in. Nothing else is said of them than by
+    ``mix``; a column of the same name is replaced."""
+    _, plan = _plan(docs, weights, most)
+    plan = plan.select(F.struct("whole", "budget", "bar").alias("_mix_plan"), F.col("source_key").alias("_mix_source"))
+    joined = docs.join(plan, _key(F.col("source")) == F.col("_mix_source"))
+    bar = F.coalesce("_mix_plan.bar", F.lit((1 << HASH_BITS) - 1))
+    repeats = F.col("_mix_plan.whole") + F.when((F.col("_mix_plan.budget") > 0) & (_hash(F.col("doc_id")) <= bar), 1).otherwise(0)
+    return joined.withColumn("repeats", repeats.cast("int")).where(F.col("repeats") > 0).drop("_mix_plan", "_mix_source")
 
 
 ORACLE_SQL = r"""
@@ -108,8 +135,7 @@ levels AS (
             / ((SELECT sum(w) FROM weighed) - coalesce(sum(w) OVER before, 0)) AS level
   FROM weighed WINDOW before AS (ORDER BY source_size / w, source_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
-  SELECT source_key, source_size,
-         least(coalesce((SELECT min(level) FROM levels WHERE 3 * source_size > level * w) * w, 'infinity'::DOUBLE), (3 * source_size)::DOUBLE) AS target
+  SELECT source_key, source_size, least((SELECT max(level) FROM levels) * w, (3 * source_size)::DOUBLE) AS target
   FROM levels),
 plan AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM targets),

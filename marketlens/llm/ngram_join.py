@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import broadcast_if_small, discard, materialize
+from .store import broadcast_if_small, discard, map_texts, materialize
 from .text import shingle_set
 
 SHINGLE, NUM, DEN = 4, 85, 100
@@ -247,11 +247,38 @@ def join(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> D
     shingles and stand alone. Rows with equal sets, repeated rows among them, link with each other; a null doc_id is kept and never is
     the smallest, unless its component has no other. Only doc_id and text are read; an empty table gives an empty result.
     """
+    rows, of_set = _join(docs, k, num, den)
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(of_set, "set_key", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """The rows, all columns, that stay when one document of each component does: that with the smallest id, and of several such texts
+    the one with the smallest hash. Of rows that agree in doc_id and text one stays. Texts without words all stay."""
+    rows, of_set = _join(docs, k, num, den)
+    placed = rows.where(F.col("n") > 0).select("doc_id", "text_key", "set_key").join(of_set.select("set_key", "root"), "set_key")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("text_key").alias("text"))
+    first = placed.groupBy("root").agg(F.min(rank).alias("first"))
+    gone = placed.join(first, "root").where(rank != F.col("first")).select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_text")).distinct()
+    gone = broadcast_if_small(materialize(gone, "copies"), BROADCAST_ROWS)
+    own = F.xxhash64(F.col("_kept.text"))
+    kept = docs.alias("_kept").join(gone, F.col("_kept.doc_id").eqNullSafe(F.col("_gone_id")) & (own == F.col("_gone_text")), "left_anti")
+    again = rows.where(F.col("n") > 0).groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select(F.col("doc_id").alias("_again_id"), F.col("text_key").alias("_again_text"))
+    again = materialize(again, "again")
+    if again.limit(1).count() == 0:
+        return kept
+    again = broadcast_if_small(again, BROADCAST_ROWS)
+    on = F.col("_kept.doc_id").eqNullSafe(F.col("_again_id")) & (F.xxhash64(F.col("_kept.text")) == F.col("_again_text"))
+    once = kept.alias("_kept").join(again, on, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.alias("_kept").join(again, on, "left_anti").union(once)
+
+
+def _join(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their sets' keys, and each set's component: its root and smallest doc_id."""
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(sketch(docs, k))  # 2 ** SKETCH_BITS bytes
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text_key long, n long, set_key long, group long, prefix array<long>"
-    described = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInPandas(_describe(counts, k, num, den), schema)
+    schema = "text_key long, n long, set_key long, group long, prefix array<long>"
+    described = map_texts(docs.withColumn("text_key", F.xxhash64("text")), _describe(counts, k, num, den), schema, "doc_id", "text_key", "text")
     rows = materialize(described, "join-rows")
 
     sets = rows.where(F.col("n") > 0).groupBy("set_key", "group").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"))
@@ -273,9 +300,7 @@ def join(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> D
 
     found = sets.join(linked, sets["set_key"] == linked["node"], "left").select("set_key", "first_id", F.coalesce("root", "set_key").alias("root"))
     smallest = found.groupBy("root").agg(F.min("first_id").alias("component"))
-    of_set = found.join(smallest, "root").select("set_key", "component")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(of_set, "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return rows, found.join(smallest, "root").select("set_key", "root", "component")
 
 
 ORACLE_SQL = r"""

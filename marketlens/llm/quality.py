@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .splits import labelled_sample
-from .store import discard, materialize
+from .store import discard, filter_texts, map_texts, materialize
 from .training import average_rounds, sum_vectors
 
 #: Labelled documents that the classifier is fitted on, at most about.
@@ -169,7 +169,7 @@ def _start(moments: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, held_out: int = 5, limit: int = SAMPLE) -> np.ndarray:
     """Parameters of the model, ``SIZE`` floats. Without labelled rows the start values."""
-    sample = materialize(labelled_sample(docs, labels, "quality", held_out, limit).repartition(PARTITIONS, "text"), "quality-sample")
+    sample = materialize(labelled_sample(docs, labels, "quality", held_out, limit).repartition(PARTITIONS, "spot").select("text", "y"), "quality-sample")
     moments = sum_vectors(sample, _moments, 2 * FEATURES + 3)
     n0, n1 = moments[-2:] + 1
     fixed = 2 * FEATURES
@@ -203,6 +203,16 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 5, limit: int = SA
     return params
 
 
+def score_texts(params: np.ndarray, texts: list) -> np.ndarray:
+    """Scores of texts, some hundred at a time."""
+    scores = np.empty(len(texts))
+    for i in range(0, len(texts), 256):
+        bags = [passages(x or "") for x in texts[i : i + 256]]
+        starts = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]]).astype(np.int64)
+        scores[i : i + 256] = forward(params, np.concatenate(bags), starts)["score"]
+    return scores
+
+
 def score(docs: DataFrame, params: np.ndarray) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 from ``THRESHOLD``) of every document's whole text.
 
@@ -213,12 +223,13 @@ def score(docs: DataFrame, params: np.ndarray) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            scores, texts = np.empty(len(pdf)), pdf.pop("text")
-            for i in range(0, len(texts), 256):
-                bags = [passages(x or "") for x in texts[i : i + 256]]
-                starts = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]]).astype(np.int64)
-                scores[i : i + 256] = forward(shared.value, np.concatenate(bags), starts)["score"]
+            scores = score_texts(shared.value, list(pdf.pop("text")))
             yield pdf.assign(score=scores, predicted=(scores >= THRESHOLD).astype("int32"))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double, predicted int")
+    return map_texts(docs, run, "score double, predicted int", "doc_id", "text")
+
+
+def keep_good(docs: DataFrame, params: np.ndarray) -> DataFrame:
+    """The rows, all columns, that score at least ``THRESHOLD``."""
+    shared = docs.sparkSession.sparkContext.broadcast(params)
+    return filter_texts(docs, lambda: lambda texts: score_texts(shared.value, texts) >= THRESHOLD)

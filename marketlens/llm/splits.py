@@ -12,10 +12,10 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: int, limit: int) -> DataFrame:
-    """(text, y) of at most about ``limit`` labelled documents whose remainder modulo ``held_out`` is not 0.
+    """(text, y, spot) of at most about ``limit`` labelled documents whose remainder modulo ``held_out`` is not 0.
 
     Rows are taken by a hash of the id against a threshold set from the count of the eligible labels, so the sample is even over the
-    corpus, the same in each run, and no larger at any input size. Labels that are null or disagree for an id are averaged and
+    corpus, the same in each run, and no larger at any input size. ``spot`` deals copies of a text apart. Labels that are null or disagree for an id are averaged and
     rounded; a document with a null id is never learnt from.
     """
     key = F.col("doc_id")
@@ -27,4 +27,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: in
     known = known.groupBy(key).agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("y"))
     near = docs.where(F.pmod(F.xxhash64(key.cast("string")), F.lit(1 << 31)) <= bar).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     known = F.broadcast(known)  # at most about `limit` rows
-    return near.join(known, "doc_id").select("text", "y")
+    return near.join(known, "doc_id").select("text", "y", F.xxhash64(F.col("doc_id").cast("string"), F.lit("spot")).alias("spot"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +45,22 @@ def discard(table: DataFrame) -> None:
 def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     """Hint a broadcast only when the table has at most ``limit`` rows; beyond that the join is left to shuffle."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def map_texts(docs: DataFrame, run, schema: str, id_: str = "doc_id", *more: str) -> DataFrame:
+    """``mapInPandas`` over an id, ``more`` and no other columns. The id passes as a string, since pandas has no null integers, and gets
+    its type back afterwards; ``run`` sees and returns it under its own name, and ``schema`` is that of the columns after it."""
+    kind = docs.schema[id_].dataType
+    out = docs.select(F.col(id_).cast("string").alias(id_), *more).mapInPandas(run, f"{id_} string, {schema}")
+    return out.withColumn(id_, F.col(id_).cast(kind))
+
+
+def filter_texts(docs: DataFrame, decide) -> DataFrame:
+    """The rows, all columns, whose text ``decide()`` keeps: it is called once a task and gives a function from texts to booleans."""
+    def run(batches):
+        keep = None
+        for batch in batches:
+            keep = keep or decide()
+            yield batch.filter(pa.array([bool(x) for x in keep(batch.column("text").to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

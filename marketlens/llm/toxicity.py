@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .splits import labelled_sample
-from .store import discard, materialize
+from .store import discard, map_texts, materialize
 from .text import GramHasher
 from .training import average_rounds, sum_vectors
 
@@ -46,7 +46,7 @@ def log_count_ratios(sample: DataFrame) -> tuple[np.ndarray, float]:
 
 def train(docs: DataFrame, labels: DataFrame, held_out: int = 5, limit: int = SAMPLE) -> np.ndarray:
     """One weight per bucket, already scaled by its ratio, and the bias last. Without labelled rows every weight is 0."""
-    sample = materialize(labelled_sample(docs, labels, "toxic", held_out, limit).repartition(PARTITIONS, "text"), "toxicity-sample")
+    sample = materialize(labelled_sample(docs, labels, "toxic", held_out, limit).repartition(PARTITIONS, "spot").select("text", "y"), "toxicity-sample")
     ratio, prior = log_count_ratios(sample)
     shared = sample.sparkSession.sparkContext.broadcast(ratio)
 
@@ -98,5 +98,4 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(raw, -500, 500)))
             yield pdf.assign(score=p, predicted=(p >= 0.5).astype("int32"))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double, predicted int")
+    return map_texts(docs, run, "score double, predicted int", "doc_id", "text")

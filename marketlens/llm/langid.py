@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .splits import remainder
-from .store import filter_texts, map_texts
+from .store import discard, filter_texts, map_texts, materialize, most_frequent
 
 #: Runs of letters; combining marks inside a word stay with it.
 WORDS = re.compile(r"[^\W\d_]+(?:[̀-ͯ][^\W\d_]*)*")
@@ -26,6 +26,7 @@ BACKOFF = 1.2
 SAMPLE_PER_LANG = 4_000
 #: Entries of the model: words and n-grams with the highest counts.
 MOST_WORDS, MOST_GRAMS = 60_000, 120_000
+#: Words whose scores a task keeps
 _MEMO = 400_000
 
 
@@ -46,91 +47,126 @@ def _partial_counts(batches):
             yield pd.DataFrame({"kind": kind, "item": list(found), "lang": lang, "n": list(found.values())})
 
 
-def train(docs: DataFrame, held_out: tuple[int, int] = (4, 2), per_lang: int = SAMPLE_PER_LANG) -> dict:
+def gram_hashes(code: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the ``k`` characters from each place on, up to the last place that has as many."""
+    n = len(code) - k + 1
+    h = np.full(max(n, 0), k, np.uint64)
+    for i in range(k):
+        h = (h + code[i : i + n] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+class Model:
+    """Languages in code-point order; known words, and n-grams by sorted hash, each with log frequencies by language; the logarithm
+    that a single character gets that is in no n-gram."""
+
+    def __init__(self, langs: list[str], words: list[str], word_logs: np.ndarray, grams: list[str], gram_logs: np.ndarray, floor: np.ndarray):
+        self.langs, self.words, self.word_logs, self.floor = langs, words, word_logs, floor
+        keys = np.array([gram_hashes(_codes(g), len(g))[0] for g in grams], np.uint64)
+        order = np.argsort(keys)
+        self.gram_keys, self.gram_logs = keys[order], gram_logs[order]
+
+
+def train(docs: DataFrame, held_out: tuple[int, int] = (4, 2), per_lang: int = SAMPLE_PER_LANG) -> Model:
     """Learn from documents with a language, outside the held-out remainder, at most about ``per_lang`` of each language.
 
-    Returns the languages in code-point order and, for words and n-grams, log frequencies by language. Null texts count as empty.
+    Null texts count as empty.
     """
     modulus, rest = held_out
     known = docs.where(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), modulus) != rest))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes, key=lambda x: x.encode())
+    none = np.zeros((0, len(langs)), np.float32)
     if not langs:
-        return {"langs": [], "w": {}, "g": {}, "floor": np.zeros((2, 0), np.float32)}
+        return Model([], [], none, [], none, np.zeros(0, np.float32))
     spot = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("lang")), F.lit(1 << 31)) / float(1 << 31)
     bar = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_lang / sizes[k]))]), F.col("lang"))
     sample = known.where(spot < bar).select("lang", F.coalesce("text", F.lit("")).alias("text"))
     counts = sample.mapInPandas(_partial_counts, "kind string, item string, lang string, n long").groupBy("kind", "item").agg(
         F.sum("n").alias("total"), *[F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"_{i}") for i, k in enumerate(langs)]
-    ).persist()
+    )
+    counts = materialize(counts, "langid-counts")
     totals = {r["kind"]: np.array(r[1:], float) for r in counts.groupBy("kind").agg(*[F.sum(f"_{i}") for i in range(len(langs))]).collect()}
-    model: dict = {"langs": langs, "floor": np.zeros((2, len(langs)), np.float32), "w": {}, "g": {}}
-    for row, (kind, most) in enumerate((("w", MOST_WORDS), ("g", MOST_GRAMS))):
-        rows = counts.where(F.col("kind") == kind).orderBy(F.desc("total"), "item").limit(most).toPandas()
-        if len(rows):
-            bulk = totals[kind] + 0.5 * len(rows)
-            logs = np.log((rows.iloc[:, 3:].to_numpy(float) + 0.5) / bulk).astype(np.float32)
-            model["floor"][row] = np.log(0.5 / bulk)
-            model[kind] = dict(zip(rows["item"], logs, strict=True))
-    counts.unpersist()
-    return model
-
-
-class _Scores(dict):
-    """word -> row of the matrix of scores by language; an unseen word is scored on first use."""
-
-    def __init__(self, model: dict):
-        self.model, self.rows, self.used = model, np.zeros((1024, len(model["langs"])), np.float32), 0
-
-    def __missing__(self, word: str) -> int:
-        if self.used == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.used] = self.of(word)
-        self[word] = self.used
-        self.used += 1
-        return self.used - 1
-
-    def of(self, word: str) -> np.ndarray:
-        known = self.model["w"].get(word)
-        if known is not None:
-            return known
-        grams, padded = self.model["g"], f"^{word}$"
-        total = np.zeros(len(self.model["langs"]), np.float32)
-        for i in range(len(padded) - 1):
-            for k in range(min(LONGEST, len(padded) - i), 0, -1):
-                if (found := grams.get(padded[i : i + k])) is not None:
-                    total += found - BACKOFF * (LONGEST - k)
-                    break
-            else:
-                total += self.model["floor"][1] - BACKOFF * LONGEST
-        return total / (len(padded) - 1) * 2.0
+    tables, floor = {}, np.zeros(len(langs), np.float32)
+    for kind, most in (("w", MOST_WORDS), ("g", MOST_GRAMS)):
+        rows = most_frequent(counts.where(F.col("kind") == kind), "total", most).toPandas()
+        bulk = totals.get(kind, np.ones(len(langs))) + 0.5 * len(rows)
+        tables[kind] = (list(rows["item"]), np.log((rows.iloc[:, 3:].to_numpy(float) + 0.5) / bulk).astype(np.float32).reshape(len(rows), len(langs)))
+        floor = np.log(0.5 / bulk).astype(np.float32) if len(rows) else floor
+    discard(counts)
+    return Model(langs, *tables["w"], *tables["g"], floor)
 
-    def forget(self) -> None:
-        self.clear()
-        self.used = 0
 
+class Scores:
+    """word -> row of scores by language. Unseen words are scored some thousand at a time, and kept while there is room."""
 
-def classify(model: dict, texts, memo: _Scores) -> tuple[list[str], list[float]]:
+    def __init__(self, model: Model):
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        self.ids = {w: i for i, w in enumerate(self.model.words)}
+        self.rows = self.model.word_logs.copy()
+        self.used = len(self.rows)
+
+    def add(self, words: list[str]) -> None:
+        if self.used + len(words) > len(self.rows):
+            self.rows = np.concatenate([self.rows[: self.used], np.zeros((max(len(words), self.used, 1024), self.rows.shape[1]), np.float32)])
+        self.rows[self.used : self.used + len(words)] = self.unseen(words)
+        self.ids.update(zip(words, range(self.used, self.used + len(words)), strict=True))
+        self.used += len(words)
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Mean over a word's places, its mark of beginning included, of the longest known n-gram from there on; doubled, since n-grams
+        overlap and say less than words do."""
+        code = _codes("".join(f"^{w}$" for w in words))
+        length = np.array([len(w) + 2 for w in words])
+        start = np.concatenate([[0], np.cumsum(length)[:-1]])
+        left = np.repeat(start + length, length) - np.arange(len(code))  # characters from a place to its word's end
+        total = np.tile(self.model.floor - np.float32(BACKOFF * LONGEST), (len(code), 1))
+        total[left == 1] = 0
+        open_ = left > 1
+        keys = self.model.gram_keys
+        for k in range(LONGEST, 0, -1) if len(keys) else ():
+            at = np.flatnonzero(open_ & (left >= k))
+            wanted = gram_hashes(code, k)[at]
+            place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            hit = keys[place] == wanted
+            total[at[hit]] = self.model.gram_logs[place[hit]] - np.float32(BACKOFF * (LONGEST - k))
+            open_[at[hit]] = False
+        return np.add.reduceat(total, start, axis=0) / (length - 1)[:, None] * 2
+
+
+def classify(model: Model, texts, memo: Scores) -> tuple[list[str], list[float]]:
     """The best language and its share of the odds, by text; ``memo`` keeps the scores of words between calls."""
-    langs, best, sure = model["langs"], [], []
-    for text in texts:
-        words = WORDS.findall(text.lower()) if text else []
-        if not words or not langs:
-            best.append("und")
-            sure.append(0.0)
-            continue
+    best, sure = [], []
+    texts = list(texts)
+    for begin in range(0, len(texts), 64):
         if memo.used > _MEMO:
             memo.forget()
-        ids = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-        mean = memo.rows[ids].mean(axis=0, dtype=np.float64)
-        odds = np.exp((mean - mean.max()) * min(len(words), 25))
-        top = int(mean.argmax())
-        best.append(langs[top])
-        sure.append(float(odds[top] / odds.sum()))
+        words = [WORDS.findall(t.lower()) if t else [] for t in texts[begin : begin + 64]]
+        if unseen := list(set().union(*words).difference(memo.ids)) if model.langs else []:
+            memo.add(unseen)
+        for own in words:
+            if not own or not model.langs:
+                best.append("und")
+                sure.append(0.0)
+                continue
+            ids = np.fromiter(map(memo.ids.__getitem__, own), np.int64, len(own))
+            mean = memo.rows[ids].mean(axis=0, dtype=np.float64)
+            odds = np.exp((mean - mean.max()) * min(len(own), 25))
+            top = int(mean.argmax())
+            best.append(model.langs[top])
+            sure.append(float(odds[top] / odds.sum()))
     return best, sure
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
+def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score (0 to 1) of every document's whole text.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learnt. Ties go to the language that comes first by
@@ -139,7 +175,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_WORDS + MOST_GRAMS entries
 
     def score(batches):
-        memo = _Scores(shared.value)
+        memo = Scores(shared.value)
         for pdf in batches:
             best, sure = classify(shared.value, pdf.pop("text"), memo)
             yield pdf.assign(lang_pred=best, score=sure)
@@ -147,12 +183,12 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     return map_texts(docs, score, "lang_pred string, score double", "doc_id", "text")
 
 
-def keep_known(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows, all columns, whose language is told with at least the given score; texts without letters go."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def decide():
-        memo = _Scores(shared.value)
+        memo = Scores(shared.value)
         return lambda texts: [lang != "und" and sure >= least for lang, sure in zip(*classify(shared.value, texts, memo), strict=True)]
 
     return filter_texts(docs, decide)

@@ -99,13 +99,16 @@ def test_passages_cover_the_whole_text():
 
 
 def test_language_words_come_before_grams_and_grams_back_off():
-    model = {"langs": ["a", "b"], "floor": np.array([[-9, -9], [-9, -9]], np.float32), "w": {"known": np.array([-1, -5], np.float32)}, "g": {"^kno": np.array([-8, -1], np.float32), "zz": np.array([-2, -6], np.float32), "z": np.array([-3, -3], np.float32)}}
-    memo = langid._Scores(model)
-    assert list(memo.of("known")) == [-1, -5]  # the word list wins over its own n-grams
-    unseen = memo.of("zzq")  # positions ^ z z q: nothing, then "zz", then "z", then nothing
+    logs = lambda *rows: np.array(rows, np.float32)
+    model = langid.Model(["a", "b"], ["known"], logs([-1, -5]), ["^kno", "zz", "z"], logs([-8, -1], [-2, -6], [-3, -3]), logs(-9, -9))
+    memo = langid.Scores(model)
+    best, _ = langid.classify(model, ["known known"], memo)
+    assert best == ["a"] and memo.used == 1  # the word list wins over the word's own n-grams
+    assert list(memo.unseen(["known"])[0] / 2 * 6) == pytest.approx([-8 - 5 * (9 + langid.BACKOFF * 4), -1 - 5 * (9 + langid.BACKOFF * 4)])
+    # places ^ z z q: nothing, then "zz", then "z", then nothing
     floor = -9 - langid.BACKOFF * 4
     want = [(floor + (x - langid.BACKOFF * 2) + (y - langid.BACKOFF * 3) + floor) / 4 * 2 for x, y in ((-2, -3), (-6, -3))]
-    assert np.allclose(unseen, want)
+    assert np.allclose(memo.unseen(["other", "zzq"])[1], want)
 
 
 def test_nothing_learnt_gives_und(spark):

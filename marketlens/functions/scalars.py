@@ -28,18 +28,20 @@ def div(a: Column, b: Column) -> Column:
     return ((a - a % b).cast(wide) / b.cast(wide)).cast("long")
 
 
-def parse_scaled(text: Column, scale: int, empty_integer_is_zero: bool = True) -> Column:
-    """Decimal text as an integer of 10 ** -scale, further digits cut off; the sign holds for the fraction too. Null for what is no number."""
+def parse_scaled(text: Column, scale: int | Column, empty_integer_is_zero: bool = True) -> Column:
+    """Decimal text as an integer of 10 ** -scale, further digits cut off; the sign holds for the fraction too. Null for what is no
+    number. The scale, 0 to 18, is a number or a column."""
+    places = scale if isinstance(scale, Column) else F.lit(scale)
     trimmed = F.trim(text)
     negative = trimmed.startswith("-")
     body = F.regexp_replace(trimmed, "^[-+]", "")
     point = F.instr(body, ".")
     whole = F.when(point > 0, F.substring_index(body, ".", 1)).otherwise(body)
     fraction = F.when(point > 0, F.substr(body, point + 1)).otherwise("")
-    digits = F.rpad(F.substring(fraction, 1, scale), scale, "0") if scale else F.lit("0")
+    digits = F.concat(F.lit("0"), F.rpad(F.substr(fraction, F.lit(1), places.cast("int")), places.cast("int"), F.lit("0")))
     ok = whole.rlike("^[0-9]*$") & fraction.rlike("^[0-9]*$")
     ok = ok if empty_integer_is_zero else ok & (whole != "")
-    value = F.when(whole == "", _long(0)).otherwise(whole.try_cast("long")) * _long(10**scale) + digits.try_cast("long")
+    value = F.when(whole == "", _long(0)).otherwise(whole.try_cast("long")) * pow10(places) + digits.try_cast("long")
     return F.when(ok, F.when(negative, -value).otherwise(value))
 
 
@@ -179,6 +181,6 @@ def human_ns(ns: Column) -> Column:
     )
 
 
-def levels(pairs: Column, price_scale: int, qty_scale: int) -> Column:
+def levels(pairs: Column, price_scale: int | Column, qty_scale: int | Column) -> Column:
     """[[price, qty], ...] of decimal texts as an array of scaled (price, qty)."""
     return F.transform(pairs, lambda p: F.struct(parse_scaled(F.element_at(p, 1), price_scale).alias("price"), parse_scaled(F.element_at(p, 2), qty_scale).alias("qty")))

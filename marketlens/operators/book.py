@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import folds
 
 
 def latest_levels(updates: DataFrame) -> DataFrame:
@@ -20,18 +21,8 @@ def latest_levels(updates: DataFrame) -> DataFrame:
 
 
 def tops(updates: DataFrame) -> DataFrame:
-    """Best bid and ask after each update, as of the levels standing then.
-
-    Each quantity at a price holds from its update until the next at that price or the next snapshot; the running top is the best
-    level whose time is not over. Levels become intervals by windows, and every update is joined with the intervals that hold at it.
-    """
-    episode = F.count_if(F.col("kind") == "snapshot").over(Window.partitionBy("symbol").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    placed = updates.withColumn("episode", episode)
-    until = F.lead("n").over(Window.partitionBy("symbol", "episode", "side", "price").orderBy("n"))
-    spans = placed.withColumn("until", until).where(F.col("qty") > 0).select("symbol", "episode", "side", "price", F.col("n").alias("since"), "until")
-    held = placed.select("symbol", "episode", "n").join(spans, ["symbol", "episode"]).where((F.col("since") <= F.col("n")) & (F.col("until").isNull() | (F.col("until") > F.col("n"))))
-    best = held.groupBy("symbol", "n").agg(F.max(F.when(F.col("side") == "B", F.col("price"))).alias("best_bid"), F.min(F.when(F.col("side") == "A", F.col("price"))).alias("best_ask"))
-    return placed.select("symbol", "n").join(best, ["symbol", "n"], "left")
+    """Best bid and ask after each update, as of the levels standing then: one pass over each symbol's rows in order."""
+    return folds.run(updates, folds.BOOK_TOP, "symbol", ["n"]).select("symbol", "n", "best_bid", "best_ask")
 
 
 def depths(levels: DataFrame) -> DataFrame:

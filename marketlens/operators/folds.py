@@ -88,6 +88,35 @@ SPOT_SEQUENCE = Fold(("awaiting", 0), _sequence(False), ("kind", "first_id", "fi
 FUTURES_SEQUENCE = Fold(("awaiting", 0), _sequence(True), ("kind", "first_id", "final_id", "prev_id"), _RESULT, "mode string, last long")
 
 
+def _book_top():
+    """Keeps both sides as maps from price to quantity. A side's best price is looked for anew only when it is itself removed."""
+
+    def change(side: dict, best, price, qty, pick):
+        if qty > 0:
+            side[price] = qty
+            return price if best is None else pick(best, price)
+        if side.pop(price, None) is not None and price == best:
+            return pick(side) if side else None
+        return best
+
+    def step(state, kind, side, price, qty):
+        bids, asks, bid, ask = state
+        if kind == "snapshot":
+            bids, asks, bid, ask = {}, {}, None, None
+        bids, asks = (x if isinstance(x, dict) else dict(x) for x in (bids, asks))
+        if side == "B":
+            bid = change(bids, bid, int(price), int(qty), max)
+        else:
+            ask = change(asks, ask, int(price), int(qty), min)
+        return (bids, asks, bid, ask), (bid, ask)
+
+    return step
+
+
+#: Best bid and ask after each update of a book; a snapshot's row begins a new book.
+BOOK_TOP = Fold(((), (), None, None), _book_top(), ("kind", "side", "price", "qty"), "best_bid long, best_ask long", "bids array<struct<price:long,qty:long>>, asks array<struct<price:long,qty:long>>, bid long, ask long")
+
+
 # -- timers and limits ---------------------------------------------------------------------------------------------------------
 
 

@@ -11,10 +11,9 @@ from . import folds
 
 def emit_times(frames: DataFrame, start_ns: int, num: int = 1, den: int = 1) -> DataFrame:
     """Frames with the time at which each is due: the recorded offset from the first, times num / den (larger is slower)."""
-    first = frames.groupBy().agg(F.min("captured_at_ns").alias("_first"))
-    offset = (F.col("captured_at_ns") - F.col("_first")) * num
-    due = F.lit(start_ns).cast("long") + div(offset, F.lit(max(1, den)))
-    return frames.crossJoin(F.broadcast(first)).withColumn("emit_at_ns", due).drop("_first")  # one row
+    first = frames.agg(F.min("captured_at_ns")).first()[0] or 0  # one number
+    offset = (F.col("captured_at_ns") - F.lit(first).cast("long")) * num
+    return frames.withColumn("emit_at_ns", F.lit(start_ns).cast("long") + div(offset, F.lit(max(1, den))))
 
 
 def inject(frames: DataFrame, drop: int, corrupt: int, duplicate: int, seed: int, key: str = "recording") -> DataFrame:
@@ -30,9 +29,6 @@ def inject(frames: DataFrame, drop: int, corrupt: int, duplicate: int, seed: int
 
 def statistics(delivered: DataFrame, recorded: DataFrame) -> DataFrame:
     """One row: delivered, dropped, corrupted and duplicated."""
-    n = recorded.groupBy().agg(F.count(F.lit(1)).alias("_n"))
     first = ~F.col("is_duplicate")
-    sums = delivered.groupBy().agg(
-        F.count_if(first).alias("delivered"), F.count_if(first & F.col("was_corrupted")).alias("corrupted"), F.count_if(F.col("is_duplicate")).alias("duplicated")
-    )
-    return sums.crossJoin(n).select("delivered", (F.col("_n") - F.col("delivered")).alias("dropped"), "corrupted", "duplicated")
+    sums = delivered.agg(F.count_if(first).alias("delivered"), F.count_if(first & F.col("was_corrupted")).alias("corrupted"), F.count_if(F.col("is_duplicate")).alias("duplicated"))
+    return sums.select("delivered", (F.lit(recorded.count()) - F.col("delivered")).alias("dropped"), "corrupted", "duplicated")

@@ -22,6 +22,11 @@ def _plain(value):
     return tuple(_plain(x) for x in value) if isinstance(value, (list, tuple, T.Row)) else value
 
 
+def _stored(value):
+    """A value of the fold's state as the state store takes it: sets and maps become arrays."""
+    return sorted(value) if isinstance(value, frozenset) else list(value.items()) if isinstance(value, dict) else value
+
+
 def run(stream: DataFrame, fold: Fold, key: str, order: list[str]) -> DataFrame:
     """The fold's columns for each row of the stream, in append mode.
 
@@ -41,7 +46,7 @@ def run(stream: DataFrame, fold: Fold, key: str, order: list[str]) -> DataFrame:
         for values in zip(*(rows[c] for c in reads), strict=True):
             now, row = step(now, *values)
             out.append(row)
-        state.update(tuple(sorted(x) if is_set else x for x, is_set in zip(now, sets, strict=True)))
+        state.update(tuple(map(_stored, now)))
         columns = zip(*out, strict=True)
         yield rows.assign(**{n: pd.array(list(c), "Int64") if isinstance(f.dataType, T.LongType) else list(c) for n, c, f in zip(names, columns, added.fields, strict=True)})
 

@@ -41,6 +41,15 @@ def test_timer_fold(spark, sf, tmp_path):
     assert sorted(map(repr, got)) == sorted(map(repr, folds.run(attempts, fold, "symbol", ["ts_ns", "event_id"]).select(*columns).collect()))
 
 
+def test_book_tops_fold(spark, sf, tmp_path):
+    updates = lens.view(spark, sf, "book")
+    split(updates, tmp_path / "in", ["n", "symbol"])
+    stream = spark.readStream.schema(updates.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    columns = ["symbol", "n", "best_bid", "best_ask"]
+    got = drain(stateful.run(stream, folds.BOOK_TOP, "symbol", ["n"]), "tops", tmp_path / "ck").select(*columns).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, folds.run(updates, folds.BOOK_TOP, "symbol", ["n"]).select(*columns).collect()))
+
+
 def test_rates_and_dedup(spark, sf, tmp_path):
     ticks = lens.view(spark, sf, "ticks").withColumn("ts", F.timestamp_micros((F.col("ts_ns") / 1000).cast("long")))
     split(ticks, tmp_path / "in", ["ts_ns"])

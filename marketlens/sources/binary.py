@@ -6,6 +6,7 @@ Numbers are little-endian; texts have a 16-bit length before them; a side of a b
 from __future__ import annotations
 
 import struct
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,47 +48,97 @@ TEMPLATES = {
 _GROUPED = (2, 3)
 
 
-def _put(code: str, value) -> bytes:
-    if code == "s":
-        raw = value.encode()
-        return struct.pack("<H", len(raw)) + raw
-    if code == "l":
-        return struct.pack("<I", len(value)) + b"".join(struct.pack("<qq", x["price"], x["qty"]) for x in value)
-    return struct.pack("<" + code, value if code == "?" else int(value))
-
-
-def _get(code: str, data: bytes, at: int):
-    """A value and the place after it; struct.error where the data end too early."""
-    if code == "s":
-        (n,) = struct.unpack_from("<H", data, at)
-        if at + 2 + n > len(data):
-            raise struct.error("text beyond the end")
-        return data[at + 2 : at + 2 + n].decode(), at + 2 + n
-    if code == "l":
-        (n,) = struct.unpack_from("<I", data, at)
-        levels = [dict(zip(("price", "qty"), struct.unpack_from("<qq", data, at + 4 + 16 * i), strict=True)) for i in range(n)]
-        return levels, at + 4 + 16 * n
-    if code == "?":
-        return data[at] != 0, at + 1
-    return struct.unpack_from("<" + code, data, at)[0], at + struct.calcsize("<" + code)
+def _segments(fields) -> list:
+    """Runs of fixed fields as one struct each; texts and book sides stand alone."""
+    out: list = []
+    for _, code in fields:
+        if code in "sl":
+            out.append(code)
+        elif out and isinstance(out[-1], list):
+            out[-1].append(code)
+        else:
+            out.append([code])
+    return [x if isinstance(x, str) else struct.Struct("<" + "".join(x)) for x in out]
+
+
+def _pack(segments: list, values: tuple) -> bytes:
+    parts, at = [], 0
+    for seg in segments:
+        if seg == "s":
+            raw = values[at].encode()
+            parts += (struct.pack("<H", len(raw)), raw)
+            at += 1
+        elif seg == "l":
+            parts.append(struct.pack("<I", len(values[at])))
+            parts += [struct.pack("<qq", x["price"], x["qty"]) for x in values[at]]
+            at += 1
+        else:
+            n = len(seg.format) - 1
+            parts.append(seg.pack(*values[at : at + n]))
+            at += n
+    return b"".join(parts)
+
+
+def _unpack(segments: list, data: bytes, at: int) -> tuple[list, int]:
+    """Values and the place after them; struct.error where the data end too early."""
+    values: list = []
+    for seg in segments:
+        if seg == "s":
+            (n,) = struct.unpack_from("<H", data, at)
+            if at + 2 + n > len(data):
+                raise struct.error("text beyond the end")
+            values.append(data[at + 2 : at + 2 + n].decode())
+            at += 2 + n
+        elif seg == "l":
+            (n,) = struct.unpack_from("<I", data, at)
+            values.append([dict(zip(("price", "qty"), struct.unpack_from("<qq", data, at + 4 + 16 * i), strict=True)) for i in range(n)])
+            at += 4 + 16 * n
+        else:
+            values += seg.unpack_from(data, at)
+            at += seg.size
+    return values, at
+
+
+_MESSAGES = {t: _segments([*HEADER, *fields]) for t, fields in LAYOUTS.items()}
+_BLOCKS = {t: _segments(fields) for t, fields in TEMPLATES.items()}
+_BROKEN = (struct.error, UnicodeDecodeError)
+_TYPE_AT = 1  # the header's byte that tells the message type
+
+
+def _names(message_type: int) -> list[str]:
+    return [n for n, _ in (*HEADER, *LAYOUTS[message_type])]
 
 
 def encode_message(row: dict) -> bytes:
     """Header and payload of one message."""
-    return _HEADER.pack(*[int(row[n]) for n, _ in HEADER]) + b"".join(_put(c, row[n]) for n, c in LAYOUTS[int(row["message_type"])])
+    kind = int(row["message_type"])
+    return _pack(_MESSAGES[kind], tuple(row[n] for n in _names(kind)))
 
 
-def decode_message(data: bytes, message_type: int) -> dict | None:
-    """The fields of a message of the type; null if it is another or does not hold. Bytes after the last field are let be."""
+def _decoded(data: bytes, message_type: int) -> list | None:
+    if len(data) < HEADER_SIZE or data[_TYPE_AT] != message_type:
+        return None
     try:
-        out = dict(zip((n for n, _ in HEADER), _HEADER.unpack_from(data), strict=True))
-        if out["message_type"] != message_type:
-            return None
-        at = HEADER_SIZE
-        for name, code in LAYOUTS[message_type]:
-            out[name], at = _get(code, data, at)
-    except (struct.error, IndexError, UnicodeDecodeError):
+        return _unpack(_MESSAGES[message_type], data, 0)[0]
+    except _BROKEN:
         return None
+
+
+def decode_message(data: bytes, message_type: int) -> dict | None:
+    """The fields of a message of the type; null if it is another or does not hold. Bytes after the last field are let be."""
+    values = _decoded(data, message_type)
+    return None if values is None else dict(zip(_names(message_type), values, strict=True))
+
+
+def _tuples(pdf: pd.DataFrame):
+    return zip(*(pdf[c].tolist() for c in pdf.columns), strict=True)
+
+
+def _columns(rows: list, fields) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[n for n, _ in fields])
+    for n, _ in fields:
+        if n == "checksum":  # needs all 64 bits
+            out[n] = [Decimal(int(x)) for x in out[n]]
     return out
 
 
@@ -97,13 +148,12 @@ def _schema(fields) -> str:
 
 def encode(messages: DataFrame, message_type: int) -> DataFrame:
     """(payload) of messages that have the header's and the type's columns."""
-    fields = [n for n, _ in (*HEADER, *LAYOUTS[message_type])]
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"payload": [encode_message(r) for r in pdf.to_dict("records")]}, columns=["payload"])
+            yield pd.DataFrame({"payload": [_pack(_MESSAGES[message_type], r) for r in _tuples(pdf)]}, columns=["payload"])
 
-    return messages.select(*fields).mapInPandas(run, "payload binary")
+    return messages.select(*_names(message_type)).mapInPandas(run, "payload binary")
 
 
 def decode(frames: DataFrame, message_type: int) -> DataFrame:
@@ -112,8 +162,8 @@ def decode(frames: DataFrame, message_type: int) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            rows = [r for r in (decode_message(bytes(x), message_type) for x in pdf["payload"] if x is not None) if r]
-            yield pd.DataFrame(rows, columns=[n for n, _ in fields])
+            rows = [r for r in (_decoded(x, message_type) for x in pdf["payload"] if x is not None) if r is not None]
+            yield _columns(rows, fields)
 
     return frames.select("payload").mapInPandas(run, _schema(fields))
 
@@ -134,12 +184,12 @@ def _reversed(payload: str, at: int, n: int):
 
 def encode_feed(row: dict, template: int) -> bytes:
     """One frame of the exchange's binary feed."""
-    block = b"".join(_put(c, row[n]) for n, c in TEMPLATES[template])
+    block = _pack(_BLOCKS[template], tuple(row[n] for n, _ in TEMPLATES[template]))
     groups = b""
     if template in _GROUPED:
         for side in ("bids", "asks"):
             groups += struct.pack("<HB", 16, len(row[side])) + b"".join(struct.pack("<qq", x["price"], x["qty"]) for x in row[side])
-    return struct.pack("<HHHH", len(block), template, SCHEMA_ID, NEWEST_VERSION) + block + groups + _put("s", row["symbol"])
+    return struct.pack("<HHHH", len(block), template, SCHEMA_ID, NEWEST_VERSION) + block + groups + _pack(["s"], (row["symbol"],))
 
 
 def decode_feed_frame(data: bytes, template: int) -> dict | None:
@@ -148,17 +198,16 @@ def decode_feed_frame(data: bytes, template: int) -> dict | None:
         length, found, schema, version = struct.unpack_from("<HHHH", data)
         if found != template or schema != SCHEMA_ID or version > NEWEST_VERSION:
             return None
-        out, at = {}, 8
-        for name, code in TEMPLATES[template]:
-            out[name], at = _get(code, data, at)
+        values, at = _unpack(_BLOCKS[template], data, 8)
+        out = dict(zip((n for n, _ in TEMPLATES[template]), values, strict=True))
         at = max(at, 8 + length)
         if template in _GROUPED:
             for side in ("bids", "asks"):
                 size, n = struct.unpack_from("<HB", data, at)
                 out[side] = [dict(zip(("price", "qty"), struct.unpack_from("<qq", data, at + 3 + size * i), strict=True)) for i in range(n)]
                 at += 3 + size * n
-        out["symbol"], _ = _get("s", data, at)
-    except (struct.error, IndexError, UnicodeDecodeError):
+        (out["symbol"],), _ = _unpack(["s"], data, at)
+    except _BROKEN:
         return None
     return out
 
@@ -168,19 +217,23 @@ def _feed_fields(template: int):
 
 
 def to_feed(rows: DataFrame, template: int) -> DataFrame:
+    """(payload) of frames of a template."""
+    names = [n for n, _ in _feed_fields(template)]
+
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"payload": [encode_feed(r, template) for r in pdf.to_dict("records")]}, columns=["payload"])
+            yield pd.DataFrame({"payload": [encode_feed(dict(zip(names, r, strict=True)), template) for r in _tuples(pdf)]}, columns=["payload"])
 
-    return rows.select(*[n for n, _ in _feed_fields(template)]).mapInPandas(run, "payload binary")
+    return rows.select(*names).mapInPandas(run, "payload binary")
 
 
 def from_feed(frames: DataFrame, template: int) -> DataFrame:
+    """The rows of one template; other frames and broken ones are left out."""
     fields = _feed_fields(template)
 
     def run(batches):
         for pdf in batches:
-            rows = [r for r in (decode_feed_frame(bytes(x), template) for x in pdf["payload"] if x is not None) if r]
+            rows = [r for r in (decode_feed_frame(x, template) for x in pdf["payload"] if x is not None) if r is not None]
             yield pd.DataFrame(rows, columns=[n for n, _ in fields])
 
     return frames.select("payload").mapInPandas(run, _schema(fields))

@@ -115,6 +115,10 @@ def encode_message(row: dict) -> bytes:
     return _pack(_MESSAGES[kind], tuple(row[n] for n in _names(kind)))
 
 
+def _packed(message_type: int, values: tuple) -> bytes:
+    return _pack(_MESSAGES[message_type], values)
+
+
 def _decoded(data: bytes, message_type: int) -> list | None:
     if len(data) < HEADER_SIZE or data[_TYPE_AT] != message_type:
         return None
@@ -151,7 +155,7 @@ def encode(messages: DataFrame, message_type: int) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"payload": [_pack(_MESSAGES[message_type], r) for r in _tuples(pdf)]}, columns=["payload"])
+            yield pd.DataFrame({"payload": [_packed(message_type, r) for r in _tuples(pdf)]}, columns=["payload"])
 
     return messages.select(*_names(message_type)).mapInPandas(run, "payload binary")
 

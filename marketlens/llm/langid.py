@@ -43,7 +43,7 @@ def _partial_counts(batches):
             for k in range(1, LONGEST + 1):
                 for i in range(len(padded) - k + 1):
                     grams[padded[i : i + k]] += n
-        for kind, found in (("w", words), ("g", grams)):
+        for kind, found in (("w", words), ("g", grams)) if words else ():
             yield pd.DataFrame({"kind": kind, "item": list(found), "lang": lang, "n": list(found.values())})
 
 

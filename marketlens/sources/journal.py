@@ -67,7 +67,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
                 rows = pd.DataFrame(decode(bytes(content)), columns=_NAMES)
-                yield rows.assign(path=name, ord=range(len(rows)))
+                if len(rows):
+                    yield rows.assign(path=name, ord=range(len(rows)))
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, f"{COLUMNS}, path string, ord long")

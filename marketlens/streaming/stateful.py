@@ -40,7 +40,8 @@ def run(stream: DataFrame, fold: Fold, key: str, order: list[str]) -> DataFrame:
     sets = tuple(isinstance(x, frozenset) for x in start)
 
     def advance(group_key, batches, state: GroupState):
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
+        rows = rows.astype({c: object for c in rows.columns if isinstance(rows[c].dtype, pd.StringDtype)})  # one chunk a column
         now = tuple(frozenset(x) if is_set else _plain(x) for x, is_set in zip(state.get, sets, strict=True)) if state.exists else start
         out = []
         for values in zip(*(rows[c] for c in reads), strict=True):

@@ -49,6 +49,7 @@ def test_journal(spark, tmp_path):
     data = b"".join(map(journal.encode, rows))
     assert list(journal.decode(data + data[:9])) == rows
     (tmp_path / "j.log").write_bytes(data)
+    (tmp_path / "empty.log").write_bytes(b"")
     got = journal.read(spark, str(tmp_path)).orderBy("ord").collect()
     assert [(r["tag"], r["cloid"], r["qty"], r["reason"]) for r in got] == [(1, rows[0]["cloid"], 9, None), (3, rows[0]["cloid"], 4, None), (5, "x", None, "no")]
 

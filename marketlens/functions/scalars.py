@@ -9,7 +9,7 @@ _MASK = (1 << 32) - 1
 # FNV-1a offset bases and primes, 32 and 64 bits
 FNV32_BASIS, FNV32_PRIME = 2166136261, 16777619
 FNV64_BASIS_HI, FNV64_BASIS_LO, FNV64_PRIME_LOW = 0xCBF29CE4, 0x84222325, 0x1B3
-VENUE_BINANCE, MARKET_SPOT, MARKET_FUTURES = 1, 1, 2
+VENUE_FIRST, MARKET_SPOT, MARKET_FUTURES = 1, 1, 2
 SHADOW_STREAMS = 1000
 
 
@@ -86,7 +86,7 @@ def instrument_id(symbol: Column) -> Column:
     return fnv32(_bytes(symbol))
 
 
-def shard_of(symbol: Column, shards: int, venue: int = VENUE_BINANCE, market: int = MARKET_SPOT) -> Column:
+def shard_of(symbol: Column, shards: int, venue: int = VENUE_FIRST, market: int = MARKET_SPOT) -> Column:
     """Which of ``shards`` a symbol of a venue and market belongs to."""
     return fnv32(F.concat(F.array(_long(venue), _long(market)), _bytes(symbol))) % shards
 

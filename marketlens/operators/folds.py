@@ -231,6 +231,18 @@ def checksum_arbiter(window: int = 64) -> Fold:
     return Fold(((),), step, ("instance_id", "update_id", "checksum"), "verdict string", "kept array<struct<update_id:long,active:string,passive:string>>")
 
 
+def _definition_change(state, body, trading):
+    known, before, traded = state
+    if not known:
+        return (True, body, bool(trading)), ("Added", True)
+    change = "Updated" if body != before else None
+    return (True, body, bool(trading)), (change, bool(trading) != traded)
+
+
+#: Changes of a symbol's definition, ``body`` being its compared fields as one text; for streams, where no window reaches back.
+DEFINITION_CHANGE = Fold((False, "", False), _definition_change, ("body", "is_trading"), "change string, status_event boolean", "known boolean, body string, trading boolean")
+
+
 # -- orders --------------------------------------------------------------------------------------------------------------------
 
 

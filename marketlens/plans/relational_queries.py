@@ -392,3 +392,39 @@ def journal_records(v):
     out = journal.encode_rows(entries)
     n = F.octet_length("record")
     return out.select(F.decode(F.expr("substring(record, 13, octet_length(record) - 20)"), "UTF-8").cast("long").alias("order_id"), n.cast("long").alias("bytes"))
+
+
+@query("e10_shard_semi_join", """SELECT event_id, symbol, price FROM ticks WHERE user_id IN (SELECT DISTINCT user_id FROM ticks WHERE k = 3)""")
+def shard_semi_join(v):
+    owned = v("ticks").where("k = 3").select("symbol").distinct()
+    return v("ticks").join(owned, "symbol", "left_semi").select("event_id", "symbol", "price")
+
+
+@query("a18_sink_readiness", """SELECT 'open_interest' AS name""")
+def sink_readiness(v):
+    there = v("instruments").limit(1).select(F.explode(F.array(*map(F.lit, ("trades", "book_deltas")))).alias("name"))
+    return joins.missing_names(["trades", "book_deltas", "open_interest"], there)
+
+
+@query("h02_ordered_levels", f"""WITH {_FINAL} SELECT symbol, list(price ORDER BY price DESC) FILTER (side = 'B') AS bids, list(price ORDER BY price) FILTER (side = 'A') AS asks FROM levels GROUP BY 1""")
+def ordered_levels(v):
+    levels = book.latest_levels(v("book"))
+    sides = levels.groupBy("symbol").agg(*[F.sort_array(F.collect_list(F.when(F.col("side") == s, F.col("price"))), asc=s == "A").alias(n) for s, n in (("B", "bids"), ("A", "asks"))])
+    return sides.select("symbol", *[F.when(F.size(n) > 0, F.col(n)).alias(n) for n in ("bids", "asks")])
+
+
+@query("h06_symbol_report", """SELECT symbol, count(*) AS n, min(ts_ns) AS first_ts FROM ticks GROUP BY 1 ORDER BY 1""")
+def symbol_report(v):
+    return v("ticks").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("ts_ns").alias("first_ts")).orderBy("symbol")
+
+
+@query("j03_tumbling_windows", """SELECT event_type, ts_ns // 900000000000 * 900 AS start_s, count(*) AS n FROM ticks GROUP BY 1, 2""")
+def tumbling_windows(v):
+    t = v("ticks").withColumn("ts", F.timestamp_micros(S.div(F.col("ts_ns"), F.lit(1_000))))
+    return t.groupBy("event_type", F.window("ts", "15 minutes")).agg(F.count(F.lit(1)).alias("n")).select("event_type", F.unix_seconds("window.start").alias("start_s"), "n")
+
+
+@query("j04_sliding_window", """SELECT symbol, event_id, max(price) OVER w AS highest, min(price) OVER w AS lowest, count(*) OVER w AS n FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts_ns, event_id ROWS BETWEEN 63 PRECEDING AND CURRENT ROW)""")
+def sliding_window(v):
+    w = Window.partitionBy("symbol").orderBy("ts_ns", "event_id").rowsBetween(-63, 0)
+    return v("ticks").select("symbol", "event_id", F.max("price").over(w).alias("highest"), F.min("price").over(w).alias("lowest"), F.count(F.lit(1)).over(w).alias("n"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from marketlens.operators import folds
+from marketlens.operators import folds, refdata
 from marketlens.plans import lens
 from marketlens.streaming import stateful
 
@@ -50,6 +50,15 @@ def test_book_tops_fold(spark, sf, tmp_path):
     assert sorted(map(repr, got)) == sorted(map(repr, folds.run(updates, folds.BOOK_TOP, "symbol", ["n"]).select(*columns).collect()))
 
 
+def test_definition_changes(spark, sf, tmp_path):
+    definitions = lens.view(spark, sf, "definitions").withColumn("body", F.to_json(F.struct(*[c for c in refdata.FIELDS if c not in ("step_size", "min_qty", "contract_size")])))
+    split(definitions, tmp_path / "in", ["version", "symbol"])
+    stream = spark.readStream.schema(definitions.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    columns = ["symbol", "version", "change", "status_event"]
+    got = drain(stateful.run(stream, folds.DEFINITION_CHANGE, "symbol", ["version"]), "changes", tmp_path / "ck").where("change is not null").select(*columns).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, refdata.changes(definitions, "version").select(*columns).collect()))
+
+
 def test_rates_and_dedup(spark, sf, tmp_path):
     ticks = lens.view(spark, sf, "ticks").withColumn("ts", F.timestamp_micros((F.col("ts_ns") / 1000).cast("long")))
     split(ticks, tmp_path / "in", ["ts_ns"])

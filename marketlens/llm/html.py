@@ -23,6 +23,11 @@ _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "da
 _DROP = {"script", "style", "noscript", "template", "iframe", "noframes", "textarea", "title", "head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "input", "dialog", "menu", "svg", "object", "canvas", "audio", "video", "xmp"}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+_LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "pre", "blockquote", "figcaption", "caption", "summary"}
+#: Elements nested deeper count as their parent's text, as in browsers
+DEEPEST = 512
+#: Share of the chosen text that its container must hold
+MOST = 0.6
 #: Words of a class, id or role that mark boilerplate.
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|advertisement|adbox|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|"
@@ -93,6 +98,8 @@ def _blocks(page: str):
         names = " ".join(filter(None, (x for m in _NAMED.findall(found[3]) for x in m)))
         numbers += 1
         label = f"{name}.{names.lower()}" if names else name
+        if len(stack) == DEEPEST:
+            continue
         stack.append((name, label, numbers, name in _DROP or name not in ("html", "body", "main", "article") and bool(_NAMES.search(names)) or bool(_HIDDEN.search(found[3]))))
     flush()
     return blocks
@@ -123,30 +130,20 @@ def main_text(page: str | None, smoothing: int = 1, strictness: float = 0.35) ->
     score = {p: s[0] / s[1] for p, s in by_path.items()}
     bar = strictness * sum(s[0] for s in by_path.values()) / sum(s[1] for s in by_path.values())
     chosen = [b for b in blocks if score[b[1]] >= bar] or blocks
-    # the deepest element that holds most of the chosen text
+    # the deepest element, no mere paragraph, that holds most of the chosen text; an article or main element around it is its whole
     weight: dict[int, int] = {}
-    for numbers, _, text in chosen:
-        for n in numbers:
+    name: dict[int, str] = {}
+    for numbers, path, text in chosen:
+        for n, label in zip(numbers, path.split("/"), strict=False):
             weight[n] = weight.get(n, 0) + len(text)
+            name[n] = label.split(".")[0]
     total = sum(len(text) for _, _, text in chosen)
-    holder = max((n for n, w in weight.items() if w >= 0.6 * total), default=0)
-    article = _article(page, blocks) if holder else 0
-    holder = article or holder
+    holder = max((n for n, w in weight.items() if w >= MOST * total and name[n] not in _LEAVES), default=0)
+    around = next((numbers for numbers, _, _ in chosen if holder in numbers), ())
+    holder = next((n for n in around if n <= holder and name[n] in ("article", "main")), holder)
     return "\n".join(text for numbers, _, text in blocks if not holder or holder in numbers)
 
 
-def _article(page: str, blocks) -> int:
-    """The number of the outermost article or main element, if all of one of them is what the blocks lie in."""
-    weight: dict[int, int] = {}
-    for numbers, path, text in blocks:
-        for n, label in zip(numbers, path.split("/"), strict=False):
-            if label.split(".")[0] in ("article", "main"):
-                weight[n] = weight.get(n, 0) + len(text)
-                break
-    total = sum(len(text) for _, _, text in blocks)
-    return next((n for n, w in weight.items() if w >= 0.5 * total), 0)
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 

@@ -179,6 +179,19 @@ def test_article_without_marks_among_boilerplate():
     assert len(text) == 9 and text[-1] == "Short." and not any("Link" in t or "Imprint" in t for t in text)
 
 
+def test_one_long_paragraph_does_not_hide_the_others():
+    long = "A long sentence, with commas, that goes on. " * 30
+    page = f"<body><div><h1>Title</h1><p>Lead.</p><p>{long}</p><p>End.</p></div><div><a href=x>More</a></div></body>"
+    assert html.main_text(page).split("\n") == ["Title", "Lead.", long.strip(), "End."]
+    nested = f"<main><section><h2>One</h2><p>{long}</p></section><section><h2>Two</h2><p>Short.</p></section></main><p>Imprint</p>"
+    assert html.main_text(nested).split("\n") == ["One", long.strip(), "Two", "Short."]
+
+
+def test_unclosed_elements_pile_up_without_harm():
+    page = "<article>" + "<div><b><span>word, " * 30_000
+    assert html.main_text(page) == "\n".join(["word,"] * 30_000)
+
+
 def test_pages(spark, sf):
     rows = [(1, "u", PAGE, "x"), (1, None, None, "x"), (None, "u", "", "x"), (2, "v", "<p>" + "long, text. " * 100_000, "x")]
     out = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()

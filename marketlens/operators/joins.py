@@ -117,7 +117,7 @@ def missing_names(wanted: list[str], present: DataFrame) -> DataFrame:
 def top_of_book(levels: DataFrame, n: int) -> DataFrame:
     """The best ``n`` levels of each symbol's sides with their rank from 1: bids ('B') from the highest, asks ('A') from the lowest."""
     better = F.when(F.col("side") == "B", -F.col("price")).otherwise(F.col("price"))
-    ranked = levels.withColumn("rank", F.row_number().over(Window.partitionBy("symbol", "side").orderBy(better)))
+    ranked = levels.withColumn("rank", F.row_number().over(Window.partitionBy("symbol", "side").orderBy(better)).cast("long"))
     return ranked.where(F.col("rank") <= n)
 
 

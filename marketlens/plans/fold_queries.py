@@ -160,7 +160,7 @@ def _order_events(v):
          WHEN r.event = 'ack' AND f.status = 'Pending' THEN 'ApplyAck' WHEN r.event = 'cancel' THEN 'ApplyCancel' WHEN r.event = 'reject' THEN 'ApplyReject' WHEN r.event = 'expire' AND f.status <> 'Pending' THEN 'ApplyExpire' ELSE 'Ignored' END""",
     "r.symbol AS order_id, r.rn, r.event, f.status, f.filled AS filled_qty, f.waiting AS lost_or_waiting_qty, f.action"))
 def order_machine(v):
-    e = _order_events(v).withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy("phase", "ord")))
+    e = _order_events(v).withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy("phase", "ord")).cast("long"))
     return folds.run(e, folds.order_machine(), "symbol", ["rn"]).select(F.col("symbol").alias("order_id"), "rn", "event", "status", "filled_qty", "lost_or_waiting_qty", "action")
 
 
@@ -172,7 +172,7 @@ def order_machine(v):
        r.event <> 'submit' AND f.status IN ('Filled', 'Cancelled', 'Rejected', 'Expired', 'None') AND NOT (r.event = 'cancel' AND f.status = 'Cancelled')""",
     "r.symbol AS order_id, r.rn, f.status, f.filled AS filled_qty, f.invalid"))
 def gateway(v):
-    e = _order_events(v).withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy("phase", "ord")))
+    e = _order_events(v).withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy("phase", "ord")).cast("long"))
     return folds.run(e, folds.gateway(), "symbol", ["rn"]).select(F.col("symbol").alias("order_id"), "rn", "status", "filled_qty", "invalid")
 
 

@@ -30,7 +30,7 @@ VIEWS = {
     "liquidations": """
         SELECT symbol, ts_ns, event_id, CASE WHEN k % 2 = 0 THEN 'BUY' WHEN k % 7 = 1 THEN 'NONE' ELSE 'SELL' END AS side_text, price, k + 1 AS qty FROM ticks WHERE event_type = 'error'""",
     "numbered": """
-        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_ns, event_id) AS n FROM ticks""",
+        SELECT *, cast(row_number() OVER (PARTITION BY user_id ORDER BY ts_ns, event_id) as bigint) AS n FROM ticks""",
     "deltas": """
         SELECT symbol, event_id, ts_ns, n, k, CASE WHEN n = 1 OR k % 25 = 3 THEN 'snapshot' ELSE 'delta' END AS kind,
                10 * (n - 1) + 1 - CASE WHEN k = 11 THEN 5 ELSE 0 END AS first_id, 10 * n AS final_id, 10 * (n - 1) - CASE WHEN k = 11 THEN 5 ELSE 0 END AS prev_id,
@@ -43,7 +43,7 @@ VIEWS = {
         SELECT o_orderkey AS order_id, o_custkey % 16 AS instance, o_orderkey AS counter, o_orderstatus AS status, cast(round(o_totalprice * 100) as bigint) AS value, US(o_orderdate) * 1000 AS ts_ns FROM orders""",
     "fills": """
         SELECT l_orderkey AS order_id, l_orderkey * 8 + l_linenumber AS trade_id, cast(round(l_extendedprice * 100) as bigint) AS price, cast(round(l_quantity * 100) as bigint) AS qty,
-               US(l_shipdate) * 1000 AS ts_ns, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS ord
+               US(l_shipdate) * 1000 AS ts_ns, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) as bigint) AS ord
         FROM lineitem""",
     "definitions": """
         SELECT symbol, v AS version, base_asset, quote_asset, price_scale, qty_scale, tick_size + CASE WHEN v = 1 AND p_partkey % 5 = 0 THEN 1 WHEN v = 2 AND p_partkey % 5 = 0 THEN 1 ELSE 0 END AS tick_size, min_notional,

@@ -23,7 +23,7 @@ def decimal_rescale(v):
     return v("ticks").select("event_id", S.div(F.col("price"), S.pow10(F.lit(8) - scale)).alias("scaled"))
 
 
-@query("c17_order_codes", """SELECT order_id, CASE WHEN order_id % 3 = 0 THEN 0 WHEN order_id % 3 = 1 THEN 1 END AS side, CASE WHEN order_id % 2 = 0 THEN 0 ELSE 1 END AS order_type, order_id % 3 AS time_in_force FROM requests""")
+@query("c17_order_codes", """SELECT order_id, CASE WHEN order_id % 3 = 0 THEN 0 WHEN order_id % 3 = 1 THEN 1 END AS side, CASE WHEN order_id % 2 = 0 THEN 0 ELSE 1 END AS order_type, (order_id % 3)::INTEGER AS time_in_force FROM requests""")
 def order_codes(v):
     side = F.when(F.col("order_id") % 3 == 0, "BUY").when(F.col("order_id") % 3 == 1, "SELL").otherwise("HOLD")
     kind = F.when(F.col("order_id") % 2 == 0, "LIMIT").otherwise("MARKET")
@@ -81,7 +81,7 @@ def open_interest(v):
 
 
 @query("c36_order_updates", """
-    SELECT order_id, CASE WHEN order_id % 4 <> 0 THEN format('cc-{:04x}-{:016x}', instance, counter) END AS own_cloid, order_id % 2 AS side, value AS last_fill_price, 3::BIGINT AS cum_fill_qty, 'TRADE' AS execution_type,
+    SELECT order_id, CASE WHEN order_id % 4 <> 0 THEN format('cc-{:04x}-{:016x}', instance, counter) END AS own_cloid, (order_id % 2)::INTEGER AS side, value AS last_fill_price, 3::BIGINT AS cum_fill_qty, 'TRADE' AS execution_type,
            CASE WHEN order_id % 3 = 0 THEN 'LOW' END AS reject_reason FROM requests""")
 def order_updates(v):
     cloid = F.when(F.col("order_id") % 4 == 0, F.concat(F.lit("web_"), F.col("order_id").cast("string"))).otherwise(S.order_id(F.col("instance"), F.col("counter")))
@@ -202,7 +202,7 @@ def replay_statistics(v):
 @query("h04_table_order", """SELECT symbol, exchange_event_ts, trade_id, row_number() OVER (PARTITION BY symbol ORDER BY exchange_event_ts, trade_id, price, qty, trade_ts) AS place FROM trades""")
 def table_order(v):
     by = Window.partitionBy("symbol").orderBy("exchange_event_ts", "trade_id", "price", "qty", "trade_ts")
-    return v("trades").withColumn("place", F.row_number().over(by)).select("symbol", "exchange_event_ts", "trade_id", "place")
+    return v("trades").withColumn("place", F.row_number().over(by).cast("long")).select("symbol", "exchange_event_ts", "trade_id", "place")
 
 
 @query("h07_first_samples", """SELECT symbol, event_id FROM ticks ORDER BY ts_ns, event_id LIMIT 5""")

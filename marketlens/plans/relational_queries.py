@@ -370,7 +370,7 @@ def generated_levels(v):
     return rows.select("symbol_no", F.when(bid, "B").otherwise("A").alias("side"), price.alias("price"), (F.lit(1) + (F.col("symbol_no") * 7919 + l * 104729) % 1000).alias("qty"))
 
 
-@query("b09_bus_round_trip", """SELECT symbol, trade_id, price, qty, trade_ts, is_buyer_maker, CASE WHEN is_buyer_maker THEN 2 ELSE 1 END AS aggressor_side, exchange_event_ts FROM trades""")
+@query("b09_bus_round_trip", """SELECT symbol, trade_id, price, qty, trade_ts, is_buyer_maker, (CASE WHEN is_buyer_maker THEN 2 ELSE 1 END)::BIGINT AS aggressor_side, exchange_event_ts FROM trades""")
 def bus_round_trip(v):
     frames = binary.encode(with_header(v("trades"), 6), 6)
     return binary.decode(frames, 6).select("symbol", "trade_id", "price", "qty", "trade_ts", "is_buyer_maker", "aggressor_side", "exchange_event_ts")

@@ -80,7 +80,7 @@ def shards(v):
 
 
 @query("c13_header_scan", """
-    SELECT trade_id, 1 AS schema_version, 6 AS message_type, trade_id % 4294967296 AS instrument_id, trade_id AS sequence_number, exchange_event_ts FROM trades""")
+    SELECT trade_id, 1::BIGINT AS schema_version, 6::BIGINT AS message_type, trade_id % 4294967296 AS instrument_id, trade_id AS sequence_number, exchange_event_ts FROM trades""")
 def header_scan(v):
     from ..sources import binary
 
@@ -308,7 +308,7 @@ def undecodable_frames(v):
 
 
 @query("b12_exchange_info", """
-    SELECT symbol, 'USDT' AS quote_asset, 2 AS price_scale, 5 AS qty_scale, 1000000 AS tick_size, 1000 AS step_size, CASE WHEN p_partkey % 2 = 0 THEN min_notional * 1000000 ELSE 0 END AS min_notional, is_trading FROM instruments""")
+    SELECT symbol, 'USDT' AS quote_asset, 2 AS price_scale, 5 AS qty_scale, 1000000::BIGINT AS tick_size, 1000::BIGINT AS step_size, CASE WHEN p_partkey % 2 = 0 THEN min_notional * 1000000 ELSE 0 END AS min_notional, is_trading FROM instruments""")
 def exchange_info(v):
     rows = v("instruments")
     filters = F.array(

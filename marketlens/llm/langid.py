@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .splits import remainder
-from .store import discard, filter_texts, map_texts, materialize, most_frequent
+from .store import discard, filter_texts, map_texts, materialize, most_frequent, short_batches
 
 #: Runs of letters; combining marks inside a word stay with it.
 WORDS = re.compile(r"[^\W\d_]+(?:[̀-ͯ][^\W\d_]*)*")
@@ -27,7 +27,7 @@ SAMPLE_PER_LANG = 4_000
 #: Entries of the model: words and n-grams with the highest counts.
 MOST_WORDS, MOST_GRAMS = 60_000, 120_000
 #: Words whose scores a task keeps
-_MEMO = 400_000
+_MEMO = 150_000
 
 
 def _partial_counts(batches):
@@ -87,6 +87,7 @@ def train(docs: DataFrame, held_out: tuple[int, int] = (4, 2), per_lang: int = S
     spot = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("lang")), F.lit(1 << 31)) / float(1 << 31)
     bar = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_lang / sizes[k]))]), F.col("lang"))
     sample = known.where(spot < bar).select("lang", F.coalesce("text", F.lit("")).alias("text"))
+    short_batches(docs.sparkSession)
     counts = sample.mapInPandas(_partial_counts, "kind string, item string, lang string, n long").groupBy("kind", "item").agg(
         F.sum("n").alias("total"), *[F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"_{i}") for i, k in enumerate(langs)]
     )

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import broadcast_if_small, discard, map_texts, materialize
+from .store import broadcast_if_small, discard, map_texts, materialize, short_batches
 from .text import shingle_set
 
 SHINGLE, NUM, DEN = 4, 85, 100
@@ -276,6 +276,7 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN)
 def _join(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """The rows with their sets' keys, and each set's component: its root and smallest doc_id."""
     spark = docs.sparkSession
+    short_batches(spark)
     counts = spark.sparkContext.broadcast(sketch(docs, k))  # 2 ** SKETCH_BITS bytes
     schema = "text_key long, n long, set_key long, group long, prefix array<long>"
     described = map_texts(docs.withColumn("text_key", F.xxhash64("text")), _describe(counts, k, num, den), schema, "doc_id", "text_key", "text")

@@ -47,9 +47,21 @@ def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+#: Rows of an Arrow batch, where the session has Spark's default of 10,000: texts are long rows, and a batch is held by the JVM and Python
+BATCH_ROWS = 1_000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Set smaller Arrow batches for the session, unless its owner has set their size."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def map_texts(docs: DataFrame, run, schema: str, id_: str = "doc_id", *more: str) -> DataFrame:
     """``mapInPandas`` over an id, ``more`` and no other columns. The id passes as a string, since pandas has no null integers, and gets
     its type back afterwards; ``run`` sees and returns it under its own name, and ``schema`` is that of the columns after it."""
+    short_batches(docs.sparkSession)
     kind = docs.schema[id_].dataType
     out = docs.select(F.col(id_).cast("string").alias(id_), *more).mapInPandas(run, f"{id_} string, {schema}")
     return out.withColumn(id_, F.col(id_).cast(kind))
@@ -63,6 +75,7 @@ def filter_texts(docs: DataFrame, decide) -> DataFrame:
             keep = keep or decide()
             yield batch.filter(pa.array([bool(x) for x in keep(batch.column("text").to_pylist())], pa.bool_()))
 
+    short_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

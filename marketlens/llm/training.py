@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .store import short_batches
+
 _BLOCKS = 64
 
 
@@ -31,6 +33,7 @@ def sum_vectors(data: DataFrame, partial: Callable[[Iterable[pd.DataFrame]], np.
             total += np.frombuffer(part, np.float32)
         return pd.DataFrame({"block": [key[0]], "part": [total.astype(np.float32).tobytes()]})
 
+    short_batches(data.sparkSession)
     parts = data.mapInPandas(cut, "block int, part binary").groupBy("block").applyInPandas(add, "block int, part binary")
     out = np.zeros(size, np.float32)
     for block, part in parts.collect():

@@ -62,6 +62,15 @@ def test_training_learns_what_follows(spark):
     assert (out["score"] > out["base_score"])[out["doc_id"] < 1000].all()
 
 
+def test_every_training_text_gives_gradients(spark):
+    # copies of one text each time, in one partition of three: whatever the text's hash, its contexts get weights
+    for n in range(3):
+        text = " ".join([f"red{n} green{n} blue{n}"] * 40)
+        docs = spark.createDataFrame([(i, text) for i in range(60)], "doc_id long, text string").repartition(3)
+        out = lm.score(docs).toPandas()
+        assert (out["score"] > out["base_score"] + 1).all()
+
+
 def test_history_stops_at_texts():
     ids, first = np.array([7, 8, 9, 4, 5, 6]), np.array([0, 3, 5])
     one, two = lm._history(ids, first)

@@ -28,9 +28,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of exact and near copies."""
+    """Keeps one document of each group of exact and near copies: five-word shingles, Jaccard similarity 0.8 or more."""
     ship(spark)
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, k=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

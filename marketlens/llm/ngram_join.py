@@ -114,7 +114,7 @@ def _describe(shared, k: int, num: int, den: int):
     return run
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
+def _candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): edges over groups such that groups with members that may link are in one component."""
     groups = rows.where(F.col("group").isNotNull()).select("group", "n").distinct()
     postings = rows.where(F.col("prefix").isNotNull()).select("group", F.explode("prefix").alias("shingle"))
@@ -127,7 +127,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
     # few groups have the shingle: all pairs of them, at most HOT * (HOT - 1) / 2 a shingle
     few = shared.where(F.col("c") <= HOT)
     x, y = (few.select("shingle", F.col("group").alias(g), F.col("n").alias(m)) for g, m in (("a", "na"), ("b", "nb")))
-    pairs = x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM))
+    pairs = x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
     pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.least(F.first("na"), F.first("nb")).alias("n"))
     # whatever the rest shares, it cannot share more hot shingles than either has
     ha, hb = (hot_of.select(F.col("group").alias(g), F.col("hot").alias(f"hot_{g}")) for g in ("a", "b"))
@@ -136,7 +136,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
     pairs = pairs.where(F.col("common") >= least).select("a", "b")
 
     # many groups have the shingle: those with enough such shingles to link by them alone hang on the smallest
-    smallest_partner = F.ceil(F.col("n") * NUM / DEN)
+    smallest_partner = F.ceil(F.col("n") * num / den)
     able = hot.join(hot_of, "group").where(F.col("hot") >= 1 + F.floor(smallest_partner * EXTRA / 100))
     able = able.groupBy("shingle", "group").agg(F.first("n").alias("n"))
     centre = able.groupBy("shingle").agg(F.min("group").alias("b"))
@@ -284,7 +284,7 @@ def _join(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
 
     sets = rows.where(F.col("n") > 0).groupBy("set_key", "group").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"))
     sets = materialize(sets, "join-sets")
-    clusters = components(_candidates(rows))
+    clusters = components(_candidates(rows, num, den))
     placed = sets.join(clusters, sets["group"] == clusters["node"], "left").select(F.coalesce("root", "group").alias("cluster"), "set_key", "text_key")
     several = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     wanted = materialize(placed.join(several, "cluster").select("cluster", "set_key", "text_key"), "join-wanted")

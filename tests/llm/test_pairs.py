@@ -184,3 +184,28 @@ def test_pipeline_is_its_stages_decisions(spark, sf):
     final = corpus_pipeline.run(spark, sf)
     assert sorted(r["doc_id"] for r in final.collect()) == sorted(ids) and final.where("repeats < 1 or repeats > 3").count() == 0
     assert final.agg(F.count("text")).first()[0] == len(ids)
+
+
+def test_pipeline_drops_copies_from_five_words_and_four_fifths_on(spark, sf):
+    # pairs of 200 words with scattered edits, or one inserted block, whose similarity runs from 0.70 to 0.95
+    rng = random.Random(11)
+    rows, between = [], 0
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(200)]
+        if g % 2:
+            text = list(base)
+            for at in range(g % 3, 200, 200 // (2 + g // 10)):
+                text[at] = "edited"
+        else:
+            text = base[:100] + [f"g{g}new{i}" for i in range(10 + g)] + base[100:]
+        x, y = (shingles(" ".join(t), 5) for t in (base, text))
+        a, b = (shingles(" ".join(t), 4) for t in (base, text))
+        near = 100 * len(x & y) >= 80 * len(x | y)
+        between += near != (100 * len(a & b) >= 85 * len(a | b))
+        pair = [(2 * g, " ".join(base), near), (2 * g + 1, " ".join(text), near)]
+        rng.shuffle(pair)
+        rows += pair
+    assert between >= 5  # pairs that four words and 0.85 tell otherwise
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _, near in rows if not (near and i % 2))

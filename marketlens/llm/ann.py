@@ -133,6 +133,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_: str = "vec_id",
                 for start in range(0, len(pdf), _CHUNK):
                     part = pdf.iloc[start : start + _CHUNK]
                     own = part["id"].to_numpy()
+                    names, of_id = np.unique(own, return_inverse=True)
                     v = np.array(part["v"].tolist(), float)
                     size = np.sqrt((v * v).sum(1))
                     found = index.candidates(index.buckets(_unit(v)), visits)
@@ -142,8 +143,13 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_: str = "vec_id",
                         if not len(at):
                             continue
                         near = v[at] @ q / (size[at] * norms[i])
-                        if len(at) > k:
-                            keep = near >= np.partition(near, len(at) - k)[len(at) - k] - 1e-9
+                        most = near  # the best score of each id
+                        if len(names) < len(own):
+                            most = np.full(len(names), -2.0)
+                            np.maximum.at(most, of_id[at], near)
+                            most = most[most > -2.0]
+                        if len(most) > k:
+                            keep = near >= np.partition(most, len(most) - k)[len(most) - k] - 1e-9
                             at = at[keep]
                         # sums in one order for every row, so that equal vectors have equal scores
                         exact = (v[at] * q).sum(axis=1) / (size[at] * norms[i])

@@ -130,6 +130,15 @@ def test_neighbours_bear_odd_rows(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in two] == [(0, 1, 1)]
 
 
+def test_neighbours_with_every_row_repeated(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=8)
+    rows = [(i, (centre + 0.01 * rng.normal(size=8)).tolist()) for i in range(120)]
+    out = ann.search(vectors(spark, rows * 6).coalesce(1)).collect()
+    for q in (0, 50, 100):
+        assert [r["vec_id"] for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])] == [i for i, _ in exact(rows, q)]
+
+
 def test_probes_come_in_the_order_of_their_success():
     index = ann.Index(6, 1.0, 81)
     x = ann._unit(np.random.default_rng(0).normal(size=(1, 6)))

@@ -6,7 +6,7 @@ from the query to the slot boundaries crossed (Q. Lv et al.: Multi-Probe LSH, 20
 exact cosine.
 
 Every vector is hashed where its partition lies and never shuffled; queries come in blocks of bounded size, each broadcast, and every
-partition returns the best few of each query.
+partition returns the best few of each query. Queries whose buckets hold too few vectors are asked again against all of them.
 """
 
 from __future__ import annotations
@@ -123,7 +123,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_: str = "vec_id",
     sample = [r["v"] for r in valid.where(F.pmod(F.xxhash64("id"), F.lit(1 << 31)) <= bar).select("v").toLocalIterator()]
     index = fit(np.array(sample or [valid.first()["v"]], float), k)
 
-    def best(shared):
+    def best(shared, whole):
         def run(batches):
             index, ids, queries = shared.value
             norms = np.sqrt((queries * queries).sum(1))
@@ -136,7 +136,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_: str = "vec_id",
                     names, of_id = np.unique(own, return_inverse=True)
                     v = np.array(part["v"].tolist(), float)
                     size = np.sqrt((v * v).sum(1))
-                    found = index.candidates(index.buckets(_unit(v)), visits)
+                    found = np.ones((len(ids), len(v)), bool) if whole else index.candidates(index.buckets(_unit(v)), visits)
                     for i, q in enumerate(queries):
                         at = np.flatnonzero(found[i])
                         at = at[own[at] != ids[i]]
@@ -163,18 +163,25 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_: str = "vec_id",
 
         return run
 
-    def found(block: dict[int, list]) -> DataFrame:
+    def found(block: dict[int, list], whole: bool = False) -> DataFrame:
         shared = spark.sparkContext.broadcast((index, np.array(list(block)), np.array(list(block.values()), float)))  # BLOCK vectors at most
-        return valid.mapInPandas(best(shared), schema)
+        return materialize(valid.mapInPandas(best(shared, whole), schema), "neighbours")
+
+    def answers(block: dict[int, list]) -> list[DataFrame]:
+        """The block's rows, and those of queries that found fewer than ``k`` ids once more, with all vectors as candidates."""
+        rows = found(block)
+        enough = {r["query_id"] for r in rows.groupBy("query_id").agg(F.countDistinct("vec_id").alias("ids")).where(F.col("ids") >= k).collect()}
+        few = {q: v for q, v in block.items() if q not in enough}
+        return [rows, found(few, whole=True)] if few else [rows]
 
     parts, block = [], {}
     for row in valid.where(F.col("id") % every == 0).toLocalIterator(prefetchPartitions=True):
         block[row["id"]] = min(block.get(row["id"], row["v"]), row["v"])
         if len(block) == BLOCK:
-            parts.append(materialize(found(block), "neighbours"))
+            parts += answers(block)
             block = {}
     if block or not parts:
-        parts.append(found(block) if block else spark.createDataFrame([], schema))
+        parts += answers(block) if block else [spark.createDataFrame([], schema)]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.union(part)

@@ -139,6 +139,17 @@ def test_neighbours_with_every_row_repeated(spark):
         assert [r["vec_id"] for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])] == [i for i, _ in exact(rows, q)]
 
 
+def test_outliers_beside_a_tight_cluster_find_their_neighbours(spark):
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=16)
+    outliers = {0: -centre, 50: rng.normal(size=16) - centre, 100: 0.5 * rng.normal(size=16) - centre}
+    rows = [(i, (outliers[i] if i in outliers else centre + 0.001 * rng.normal(size=16)).tolist()) for i in range(2000)]
+    out = ann.search(vectors(spark, rows)).collect()
+    assert Counter(r["query_id"] for r in out) == {q: 5 for q in range(0, 2000, 50)}
+    for q in outliers:
+        assert [r["vec_id"] for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])] == [i for i, _ in exact(rows, q)]
+
+
 def test_probes_come_in_the_order_of_their_success():
     index = ann.Index(6, 1.0, 81)
     x = ann._unit(np.random.default_rng(0).normal(size=(1, 6)))

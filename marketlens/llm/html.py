@@ -2,14 +2,16 @@
 
 Every text node belongs to a root-to-leaf tag path. Text length and punctuation are summed by path and divided by the path's nodes;
 both series are smoothed over the page's nodes in order, fused by their product, and paths at or above the threshold are content. The
-content's container, the deepest element that holds most of the chosen text, then gives all its blocks, so that short paragraphs
-and headings among them are not lost. Elements that are boilerplate by name never take part.
+content's container then gives all its blocks, so that short paragraphs and headings among them are not lost: an article or main
+element around most of the chosen text, or else the deepest element that holds nearly all of it.
+Elements that are boilerplate by name take no part, unless one's class names it so and it holds most of the page's text.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,8 +28,8 @@ _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"optio
 _LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "pre", "blockquote", "figcaption", "caption", "summary"}
 #: Elements nested deeper count as their parent's text, as in browsers
 DEEPEST = 512
-#: Share of the chosen text that its container must hold
-MOST = 0.6
+#: Share of the chosen text that its container must hold: an article or main element, and any other
+MOST, NEARLY_ALL = 0.6, 0.95
 #: Words of a class, id or role that mark boilerplate.
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|advertisement|adbox|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|"
@@ -44,15 +46,25 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、¿¡]")
 
 def _blocks(page: str):
     """(path of element numbers, path of names, text) of each block of text, in page order, without boilerplate elements."""
-    stack: list[tuple[str, str, int, bool]] = []  # name, label, number, dropped
-    blocks, run, numbers = [], [], 0
+    stack: list[tuple[str, str, int, bool, bool]] = []  # name, label, number, dropped by element, by name
+    deep: list[tuple[str, bool]] = []  # elements open below DEEPEST: name, dropped
+    deep_open: Counter = Counter()
+    blocks, run, numbers, deep_dropped = [], [], 0, 0
 
     def flush():
         text = _WHITE.sub(" ", "".join(run)).strip()
         run.clear()
-        if text and not any(x[3] for x in stack):
+        if text and not deep_dropped and not any(x[3] for x in stack):
             held = [x for x in stack if x[0] not in _INLINE]
-            blocks.append((tuple(x[2] for x in held), "/".join(x[1] for x in held), text))
+            named = [x[2] for x in stack if x[4]]
+            blocks.append((tuple(x[2] for x in held), "/".join(x[1] for x in held), text, named, any(x[0] in ("article", "main") for x in stack)))
+
+    def pop_deep():
+        nonlocal deep_dropped
+        name, dropped = deep.pop()
+        deep_open[name] -= 1
+        deep_dropped -= dropped
+        return name
 
     at = 0
     while at < len(page):
@@ -69,9 +81,16 @@ def _blocks(page: str):
                 run.append(found[0][9:].removesuffix("]]>"))
             continue
         if closing:
-            if any(x[0] == name for x in stack):
+            if deep_open[name]:
+                if name not in _INLINE:
+                    flush()
+                while pop_deep() != name:
+                    pass
+            elif any(x[0] == name for x in stack):
                 if name not in _INLINE:
                     flush()
+                while deep:
+                    pop_deep()
                 while stack.pop()[0] != name:
                     pass
             continue
@@ -83,14 +102,18 @@ def _blocks(page: str):
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if name in _CLOSES_P:
+        if name in _CLOSES_P and deep and deep[-1][0] == "p":
+            pop_deep()
+        while deep and deep[-1][0] in _SAME.get(name, ()):
+            pop_deep()
+        if name in _CLOSES_P and not deep:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
                     del stack[i:]
                     break
                 if stack[i][0] not in _INLINE:
                     break
-        for i in range(len(stack) - 1, -1, -1):
+        for i in range(len(stack) - 1 if not deep else -1, -1, -1):
             if stack[i][0] in _SAME.get(name, ()):
                 del stack[i:]
             elif stack[i][0] not in _INLINE:
@@ -98,11 +121,22 @@ def _blocks(page: str):
         names = " ".join(filter(None, (x for m in _NAMED.findall(found[3]) for x in m)))
         numbers += 1
         label = f"{name}.{names.lower()}" if names else name
-        if len(stack) == DEEPEST:
+        dropped = name in _DROP or bool(_HIDDEN.search(found[3]))
+        by_name = name not in ("html", "body", "main", "article") and bool(_NAMES.search(names))
+        if deep or len(stack) == DEEPEST:
+            deep.append((name, dropped or by_name))
+            deep_open[name] += 1
+            deep_dropped += dropped or by_name
             continue
-        stack.append((name, label, numbers, name in _DROP or name not in ("html", "body", "main", "article") and bool(_NAMES.search(names)) or bool(_HIDDEN.search(found[3]))))
+        stack.append((name, label, numbers, dropped, by_name))
     flush()
-    return blocks
+    # a class names no boilerplate that holds most of the text, unless an article or main element stands beside it
+    weight: Counter = Counter()
+    for _, _, text, named, _ in blocks:
+        weight.update(dict.fromkeys(named, len(text)))
+    total = sum(len(b[2]) for b in blocks)
+    wraps = {n for n, w in weight.items() if 2 * w > total and all(n in b[3] or not b[4] for b in blocks)}
+    return [b[:3] for b in blocks if wraps.issuperset(b[3])]
 
 
 def main_text(page: str | None, smoothing: int = 1, strictness: float = 0.35) -> str:
@@ -130,7 +164,7 @@ def main_text(page: str | None, smoothing: int = 1, strictness: float = 0.35) ->
     score = {p: s[0] / s[1] for p, s in by_path.items()}
     bar = strictness * sum(s[0] for s in by_path.values()) / sum(s[1] for s in by_path.values())
     chosen = [b for b in blocks if score[b[1]] >= bar] or blocks
-    # the deepest element, no mere paragraph, that holds most of the chosen text; an article or main element around it is its whole
+    # the deepest element, no mere paragraph, that holds most of the chosen text, if an article or main element is around it
     weight: dict[int, int] = {}
     name: dict[int, str] = {}
     for numbers, path, text in chosen:
@@ -140,7 +174,10 @@ def main_text(page: str | None, smoothing: int = 1, strictness: float = 0.35) ->
     total = sum(len(text) for _, _, text in chosen)
     holder = max((n for n, w in weight.items() if w >= MOST * total and name[n] not in _LEAVES), default=0)
     around = next((numbers for numbers, _, _ in chosen if holder in numbers), ())
-    holder = next((n for n in around if n <= holder and name[n] in ("article", "main")), holder)
+    whole = next((n for n in around if n <= holder and name[n] in ("article", "main")), 0)
+    if whole:
+        return "\n".join(text for numbers, _, text in blocks if whole in numbers)
+    holder = max((n for n, w in weight.items() if w >= NEARLY_ALL * total and name[n] not in _LEAVES), default=0)
     return "\n".join(text for numbers, _, text in blocks if not holder or holder in numbers)
 
 

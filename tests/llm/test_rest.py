@@ -236,3 +236,23 @@ def test_hashes_follow_the_word_rule():
     assert len(shingle_set("a b c d a b c d a b c d", 4)) == 4 and len(shingle_set("a b", 4)) == 1
     long = "x" * 200_000
     assert word_hashes(long)[0] != word_hashes(long[:-1] + "y")[0] and len(set(word_hashes("ab ba aab baa").tolist())) == 4
+
+
+def test_no_chosen_part_of_a_page_is_dropped():
+    def para(i):
+        return f"Part {i} says, at some length, what a reader of the page came for; it goes on, and ends here."
+
+    def ps(*numbers):
+        return "".join(f"<p>{para(i)}</p>" for i in numbers)
+
+    split = f"<body><div id=content><div>{ps(*range(13))}</div><section>{ps(*range(13, 20))}</section></div></body>"
+    assert html.main_text(split).split("\n") == [para(i) for i in range(20)]
+    listed = f"<body><div id=content>{ps(0, 1)}<ul>{''.join(f'<li>{para(i)}</li>' for i in range(2, 6))}</ul>{ps(6)}</div></body>"
+    assert html.main_text(listed).split("\n") == [para(i) for i in range(7)]
+    inner = f"<nav>Home</nav><div>{ps(*range(5))}</div><div class=sidebar><p>Other, short.</p></div>"
+    assert html.main_text(f"<body><div class=has-sidebar>{inner}</div></body>").split("\n") == [para(i) for i in range(5)]
+
+
+def test_elements_below_the_deepest_close_themselves():
+    deep = "<div>" * html.DEEPEST
+    assert html.main_text(f"<article>{deep}<p>One, two.</p><nav>Menu, links.</nav><div>Three, four.</div>{'</div>' * html.DEEPEST}<p>Five, six.</p></article>").split("\n") == ["One, two.", "Three, four.", "Five, six."]

@@ -1,190 +1,335 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Unit vectors are projected on random directions and cut into slots of one width; a table's bucket is the slots of several directions.
-A query visits, in each table, its own bucket and perturbed ones in the order of their estimated success, the sum of squared distances
-from the query to the slot boundaries crossed (Q. Lv et al.: Multi-Probe LSH, 2007). Candidates of all tables are merged and ranked by
-exact cosine.
+Unit vectors are projected on random Gaussian directions and cut into slots of one width, the outermost open to infinity; a table's
+bucket is the slots of several directions. A query visits, in each table, its own bucket and perturbed ones in the order of their
+estimated success (after Q. Lv et al.: Multi-Probe LSH, 2007): a neighbour at the typical cosine lies in a slot with a Gaussian
+probability given the query's own projection, which is set against the share of all vectors that the slot holds.
 
-Every vector is hashed where its partition lies and never shuffled; queries come in blocks of bounded size, each broadcast, and every
-partition returns the best few of each query. Queries whose buckets hold too few vectors are asked again against all of them.
+Vectors become rows by (table, bucket), queries rows by the buckets that they visit, and both meet in a shuffle by cells, which are
+bounded numbers of buckets. A cell with too many vectors or queries is split on both sides. Candidates are ranked there by exact cosine,
+each cell returns the best few of each query, and the tables' results are merged. Equal vectors are one candidate with their few
+smallest ids and one query, so a group of copies costs what one vector does.
 """
 
 from __future__ import annotations
 
-import itertools
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from .store import materialize
+from .store import broadcast_if_small, discard, materialize, short_batches
 
-TABLES, DIRECTIONS = 4, 4
-#: Slots of the first width that is tried; wider ones follow until the sample is found well enough.
-WIDTH = 1.0
-#: The number of probes and the width are fitted on at most about so many vectors.
-SAMPLE = 4_000
-TARGET_RECALL = 0.96
-BLOCK = 4_096
-_CHUNK = 4_096
-#: All perturbations that move each slot by at most one.
-_MOVES = np.array(list(itertools.product((-1, 0, 1), repeat=DIRECTIONS)))
+TABLES, SLOTS, WIDTH = 5, 3, 1.1
+#: Directions and probes are fitted on at most about so many vectors, with the true neighbours of so many of them.
+SAMPLE, SAMPLE_QUERIES = 2_000, 200
+TARGET_RECALL = 0.94
+MOST_DIRECTIONS = 12
+PROBES = (4, 8, 16, 32, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
+#: How much of the share of all vectors counts against a slot's success.
+CROWDING = 0.8
+#: Vectors of a cell, about; queries of a cell at most, before either is split; queries of a block that is compared with all vectors.
+CELL, CELL_QUERIES, BLOCK = 4_096, 4_096, 4_096
+BROADCAST_CELLS = 100_000
+
+
+def _gauss(x: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.vectorize(math.erf, otypes=[float])(x / math.sqrt(2)))
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows in double precision, divided by a power of two so that their largest component is near 1: no square over- or underflows."""
+    v = np.asarray(vectors, np.float64)
+    _, exponent = np.frexp(np.abs(v).max(1))
+    return np.ldexp(v, -exponent[:, None])
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    v = scaled(vectors)
+    return v / np.sqrt((v * v).sum(1))[:, None]
 
 
 class Index:
-    """Random directions of all tables; the same for one dimension and width in every task."""
+    """Random directions of all tables; the same for one dimension and number of directions in every task."""
 
-    def __init__(self, dim: int, width: float, probes: int):
+    def __init__(self, dim: int, directions: int, probes: int, cosine: float):
         rng = np.random.default_rng(20_070_923)
-        self.width, self.probes = width, probes
-        self.directions = rng.normal(size=(TABLES, dim, DIRECTIONS))
-        self.offsets = rng.uniform(0, 1, (TABLES, 1, DIRECTIONS))
-
-    @staticmethod
-    def _code(slots: np.ndarray) -> np.ndarray:
-        return ((slots + (1 << 11)) * (1 << (12 * np.arange(DIRECTIONS, dtype=np.int64)))).sum(-1)
+        self.probes, self.cosine = probes, min(max(cosine, 0.0), 0.999)
+        #: share of all vectors that a query meets, as measured on the sample that the index was fitted on
+        self.share = 1.0
+        self.directions = rng.normal(size=(TABLES, dim, directions))
+        shift = rng.uniform(-0.5, 0.5, (TABLES, 1, directions))
+        #: inner edges of the slots: tables by edges by directions
+        self.edges = (np.arange(1, SLOTS)[None, :, None] - SLOTS / 2 + shift) * WIDTH
+        self.place = SLOTS ** np.arange(directions, dtype=np.int64)
 
     def buckets(self, unit: np.ndarray) -> np.ndarray:
-        """Bucket of each vector by table."""
-        return self._code(np.floor(unit @ self.directions / self.width + self.offsets).astype(np.int64))
+        """Bucket of each vector: tables by vectors."""
+        x = unit @ self.directions
+        return sum((x >= self.edges[:, e : e + 1]).astype(np.int64) for e in range(SLOTS - 1)) @ self.place
 
-    def visits(self, unit: np.ndarray) -> np.ndarray:
-        """Buckets to visit by table and query, most promising first."""
-        place = unit @ self.directions / self.width + self.offsets
-        slot = np.floor(place)
-        down = place - slot
-        crossed = np.where(_MOVES == 0, 0.0, np.where(_MOVES == 1, 1 - down[:, :, None, :], down[:, :, None, :]) ** 2).sum(-1)
-        order = np.argsort(crossed, axis=-1, kind="stable")[:, :, : self.probes]
-        return self._code(slot[:, :, None, :].astype(np.int64) + _MOVES[order])
-
-    def candidates(self, buckets: np.ndarray, visits: np.ndarray) -> np.ndarray:
-        """Which vectors lie in a bucket that a query visits, in any table: queries by vectors."""
-        found = np.zeros((visits.shape[1], buckets.shape[1]), bool)
-        for bucket, visit in zip(buckets, visits, strict=True):
-            present, which = np.unique(bucket, return_inverse=True)
-            at = np.minimum(np.searchsorted(present, visit), len(present) - 1)
-            open_ = np.zeros((len(visit), len(present)), bool)
-            query, probe = np.nonzero(present[at] == visit)
-            open_[query, at[query, probe]] = True
-            found |= open_[:, which]
-        return found
+    def success(self, unit: np.ndarray) -> np.ndarray:
+        """Estimated success of each slot, as a logarithm: tables by queries by slots by directions."""
+        mean = self.cosine * (unit @ self.directions)[:, :, None, :]
+        spread = math.sqrt(1 - self.cosine**2)
+        open_ = np.full((TABLES, 1, self.edges.shape[2]), np.inf)
+        low, high = np.concatenate([-open_, self.edges], 1)[:, None], np.concatenate([self.edges, open_], 1)[:, None]
+        near = np.maximum(_gauss((high - mean) / spread) - _gauss((low - mean) / spread), 1e-12)
+        return np.log(near) - CROWDING * np.log(_gauss(high) - _gauss(low))
 
-
-def _unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
+    def visits(self, unit: np.ndarray) -> np.ndarray:
+        """Buckets to visit, most promising first: tables by queries by probes. The best of all directions are made of the best of the
+        first few, so no more than ``probes`` partial buckets are kept."""
+        slots = self.success(unit)
+        best, code = np.zeros((*slots.shape[:2], 1)), np.zeros((*slots.shape[:2], 1), np.int64)
+        for j, place in enumerate(self.place):
+            best = (best[..., None] + slots[:, :, None, :, j]).reshape(*best.shape[:2], -1)
+            code = (code[..., None] + np.arange(SLOTS) * place).reshape(*code.shape[:2], -1)
+            if best.shape[2] > self.probes:
+                at = np.argpartition(-best, self.probes - 1, axis=2)[..., : self.probes]
+                best, code = np.take_along_axis(best, at, 2), np.take_along_axis(code, at, 2)
+        return np.take_along_axis(code, np.argsort(-best, axis=2, kind="stable"), 2)
 
 
-def fit(sample: np.ndarray, k: int) -> Index:
-    """Fewest probes, over widths from ``WIDTH`` up, that find TARGET_RECALL of the sample's own neighbours.
+def fit(sample: np.ndarray, queries: np.ndarray, near: list[np.ndarray], total: int) -> Index:
+    """The number of directions and probes that find TARGET_RECALL of the queries' true neighbours ``near`` with the fewest candidates.
 
-    Neighbours in a sample lie further away than in the whole, so they are the harder ones to find.
+    Candidates are counted on the sample, whose share of a bucket is that of the whole. Where no choice reaches the target, the one of
+    the highest recall is taken.
     """
-    unit = _unit(sample)
-    queries = unit[:: max(1, len(unit) // 200)]
-    score = queries @ unit.T
-    score[np.arange(len(queries)), np.arange(0, len(unit), max(1, len(unit) // 200))] = -2
-    true = np.argsort(-score, axis=1)[:, :k]
-    width = WIDTH
-    while True:
-        for probes in (5, 10, 15, 20, 30, 40, 50, 65, 81):
-            index = Index(sample.shape[1], width, probes)
-            found = index.candidates(index.buckets(unit), index.visits(queries))
-            if np.take_along_axis(found, true, 1).mean() >= TARGET_RECALL:
-                return index
-        width *= 1.5
+    q, unit = _unit(queries), _unit(sample)
+    owner = np.repeat(np.arange(len(near)), [len(x) for x in near])
+    true = _unit(np.concatenate(near))
+    cosine = float(np.median((q[owner] * true).sum(1)))
+    best = None
+    for directions in range(1, max(1, min(MOST_DIRECTIONS, round(math.log(max(total, 2), SLOTS)) + 1)) + 1):
+        index = Index(sample.shape[1], directions, min(PROBES[-1], SLOTS**directions), cosine)
+        visits, at, all_ = index.visits(q), index.buckets(true), index.buckets(unit)
+        rank_true = np.full((TABLES, len(true)), 1 << 30)
+        rank_all = np.full((TABLES, len(q), len(unit)), 1 << 30, np.int32)
+        table = np.empty(SLOTS**directions, np.int32)
+        for t in range(TABLES):
+            for i in range(len(q)):
+                table[:] = 1 << 30
+                table[visits[t, i]] = np.arange(visits.shape[2])
+                rank_true[t, owner == i] = table[at[t, owner == i]]
+                rank_all[t, i] = table[all_[t]]
+        rank_true, rank_all = rank_true.min(0), rank_all.min(0)
+        for probes in sorted({min(p, index.probes) for p in PROBES}):
+            recall, share = float((rank_true < probes).mean()), float((rank_all < probes).mean())
+            key = (recall < TARGET_RECALL, share if recall >= TARGET_RECALL else -recall, probes)
+            if best is None or key < best[0]:
+                best = (key, directions, probes, share)
+    index = Index(sample.shape[1], best[1], best[2], cosine)
+    index.share = best[3]
+    return index
 
 
 def _valid(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
-    """(id, v): rows that take part, as doubles."""
-    v = F.col(vector).cast("array<double>")
+    """(id, v): rows that take part, in the vectors' own precision if that is single, else as doubles."""
+    kind = vectors.schema[vector].dataType
+    single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+    v = F.col(vector).cast("array<float>" if single else "array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists(v, lambda x: x != 0)
     return vectors.select(F.col(id_).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad & some)
 
 
+def _norms(v: np.ndarray) -> np.ndarray:
+    return np.sqrt((v * v).sum(1))
+
+
+def _best(ids: np.ndarray, v: np.ndarray, norms: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, float]]:
+    """The ``k`` ids of the largest cosine, each once, ties to the smaller id; rows of ``v`` and ``q`` are scaled."""
+    size = math.sqrt((q * q).sum())
+    near = v @ q / (norms * size)
+    out: dict[int, float] = {}
+    at = np.arange(len(near))
+    while len(out) < k and len(at):
+        some, at = at, at[:0]
+        if len(some) > 8 * k:  # the best few by the quick product and what may equal them
+            keep = near[some] >= np.partition(near[some], len(some) - 4 * k)[len(some) - 4 * k] - 1e-9
+            some, at = some[keep], some[~keep]
+        # sums in one order for every row, so that equal vectors have equal scores
+        score = (v[some] * q).sum(1) / (norms[some] * size)
+        for i in np.lexsort((ids[some], -score)):
+            out.setdefault(int(ids[some[i]]), float(score[i]))
+            if len(out) == k:
+                break
+    return list(out.items())
+
+
+def _scan(valid: DataFrame, block: dict, k: int, keep: bool = False) -> DataFrame:
+    """(q, id, score[, v]) of the best ``k`` ids of each partition for each query of the block, which is broadcast: BLOCK vectors at most."""
+    shared = valid.sparkSession.sparkContext.broadcast((list(block), scaled(np.array(list(block.values())))))
+    kind = valid.schema["v"].dataType.simpleString()
+
+    def run(batches):
+        names, queries = shared.value
+        top: list[dict[int, tuple]] = [{} for _ in names]
+        for pdf in batches:
+            raw, ids = pdf["v"], pdf["id"].to_numpy()
+            v = scaled(np.array(raw.tolist()))
+            norms = _norms(v)
+            where = dict(zip(ids.tolist(), range(len(ids)), strict=True))
+            for own, q in zip(top, queries, strict=True):
+                for i, s in _best(ids, v, norms, q, k):
+                    if i not in own or s > own[i][0]:
+                        own[i] = (s, raw.iloc[where[i]] if keep else None)
+                if len(own) > k:
+                    for i in sorted(own, key=lambda i: (-own[i][0], i))[k:]:
+                        del own[i]
+        rows = [(name, i, s, v) for name, own in zip(names, top, strict=True) for i, (s, v) in own.items()]
+        yield pd.DataFrame(rows, columns=["q", "id", "score", "v"]) if keep else pd.DataFrame([r[:3] for r in rows], columns=["q", "id", "score"])
+
+    return valid.mapInPandas(run, "q long, id long, score double" + (f", v {kind}" if keep else ""))
+
+
+def _fitted(distinct: DataFrame, total: int, k: int) -> Index:
+    spot = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 31))
+    sample = [(r["id"], r["v"]) for r in distinct.where(spot <= int(min(1.0, SAMPLE / total) * (1 << 31))).limit(2 * SAMPLE).collect()] or [tuple(distinct.first())]
+    queries = dict(sample[:: max(1, len(sample) // SAMPLE_QUERIES)])
+    near: dict[int, list] = {q: [] for q in queries}
+    rows = _scan(distinct, queries, k + 1, keep=True).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id")))
+    for r in rows.where(F.col("rank") <= k + 1).collect():  # SAMPLE_QUERIES * (k + 1) vectors at most
+        if r["id"] != r["q"]:
+            near[r["q"]].append(r["v"])
+    some = [q for q in queries if near[q]]
+    if not some:
+        return Index(len(sample[0][1]), 1, SLOTS, 0.5)
+    return fit(np.array([v for _, v in sample]), np.array([queries[q] for q in some]), [np.array(near[q]) for q in some], total)
+
+
+def _cells(n: int):
+    def cell(table: int, codes: np.ndarray) -> np.ndarray:
+        x = (codes.astype(np.uint64) * np.uint64(64) + np.uint64(table + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        return ((x ^ (x >> np.uint64(29))) % np.uint64(n)).astype(np.int64)
+
+    return cell
+
+
+def _probe(distinct: DataFrame, asked: DataFrame, index: Index, k: int, total: int) -> DataFrame:
+    """(q, id, score): of each asked query the best ``k`` ids of every cell that it visits."""
+    cell = _cells(max(1, -(-total * TABLES // CELL)))
+    kind = np.float32 if isinstance(distinct.schema["v"].dataType.elementType, FloatType) else np.float64
+
+    def place(batches):
+        for pdf in batches:
+            v = np.array(pdf["v"].tolist(), kind)
+            data = [x.tobytes() for x in v]
+            for t, codes in enumerate(index.buckets(_unit(v))):
+                yield pd.DataFrame({"cell": cell(t, codes), "id": pdf["id"], "codes": [(c,) for c in (codes * TABLES + t).tolist()], "v": data})
+
+    def visit(batches):
+        for pdf in batches:
+            for start in range(0, len(pdf), 64):
+                part = pdf.iloc[start : start + 64]
+                v = np.array(part["v"].tolist(), kind)
+                visits = index.visits(_unit(v))
+                for i, (q, row) in enumerate(zip(part["id"], v, strict=True)):
+                    codes = np.concatenate([visits[t, i] * TABLES + t for t in range(TABLES)])
+                    cells = np.concatenate([cell(t, visits[t, i]) for t in range(TABLES)])
+                    order = np.argsort(cells, kind="stable")
+                    names, first = np.unique(cells[order], return_index=True)
+                    yield pd.DataFrame({"cell": names, "id": q, "codes": np.split(codes[order], first[1:]), "v": [row.tobytes()] * len(names)})
+
+    schema = "cell long, id long, codes array<long>, v binary"
+    placed = materialize(distinct.select("id", "v").mapInPandas(place, schema), "ann-vectors")
+    visiting = materialize(asked.select("id", "v").mapInPandas(visit, schema), "ann-queries")
+
+    def counted(rows, name):
+        return rows.groupBy("cell").agg(F.count(F.lit(1)).alias(name))
+
+    grid = counted(placed, "vectors").join(counted(visiting, "queries"), "cell")
+    grid = grid.select("cell", F.ceil(F.col("vectors") / (2 * CELL)).cast("int").alias("vs"), F.ceil(F.col("queries") / CELL_QUERIES).cast("int").alias("qs"))
+    hot = broadcast_if_small(materialize(grid.where((F.col("vs") > 1) | (F.col("qs") > 1)), "ann-hot"), BROADCAST_CELLS)
+
+    def dealt(rows, own, other, query):
+        one = F.lit(1)
+        rows = rows.join(hot, "cell", "left")
+        mine = F.pmod(F.xxhash64("id", F.lit("split")), F.coalesce(own, one)).cast("int")
+        rows = rows.select("cell", mine.alias(own), F.explode(F.sequence(F.lit(0), F.coalesce(other, one) - 1)).alias(other), "id", "codes", "v", F.lit(query).alias("query"))
+        return rows.select("cell", "vs", "qs", "id", "codes", "v", "query")
+
+    def rank(key, pdf):
+        asked, held = pdf[pdf["query"]], pdf[~pdf["query"]]
+        rows = []
+        if len(asked) and len(held):
+            code = np.array([c[0] for c in held["codes"]], np.int64)
+            order = np.argsort(code, kind="stable")
+            code, ids = code[order], held["id"].to_numpy()[order]
+            v = scaled(np.stack([np.frombuffer(x, kind) for x in held["v"]])[order])
+            queries = scaled(np.stack([np.frombuffer(x, kind) for x in asked["v"]]))
+            norms = _norms(v)
+            for name, codes, q in zip(asked["id"], asked["codes"], queries, strict=True):
+                lo, hi = np.searchsorted(code, codes, "left"), np.searchsorted(code, codes, "right")
+                found = [np.arange(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True) if a < b]
+                if found:
+                    at = np.concatenate(found)
+                    rows += [(name, i, s) for i, s in _best(ids[at], v[at], norms[at], q, k)]
+        return pd.DataFrame(rows, columns=["q", "id", "score"])
+
+    both = dealt(placed, "vs", "qs", False).union(dealt(visiting, "qs", "vs", True))
+    found = materialize(both.groupBy("cell", "vs", "qs").applyInPandas(rank, "q long, id long, score double"), "ann-found")
+    discard(placed)
+    discard(visiting)
+    return found
+
+
+def _merged(rows: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` ids of each query over all cells and tables."""
+    rows = rows.groupBy("q", "id").agg(F.max("score").alias("score"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+
+
 def search(vectors: DataFrame, every: int = 50, k: int = 5, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the ``k`` nearest found of each row whose id is divisible by ``every``.
 
     Score is the cosine in double precision on the original vectors; ties go to the smaller id. Rows whose id or vector is null, or
     whose vector is zero or has a null or non-finite component, take no part, nor do vectors of another length than most. Rows with
-    the query's own id are no candidates, and an id that is repeated is found once, at its best score, and asked once, with one of
-    its vectors. An empty table gives an empty result.
+    the query's own id are no candidates, and an id that is repeated is found once, at its best score, and asked once, with the least of
+    its vectors. Queries that find fewer than ``k`` others in their buckets are compared with every vector. An empty table gives an
+    empty result.
     """
     spark = vectors.sparkSession
+    short_batches(spark)
     valid = _valid(vectors, id_, vector)
     dims = valid.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    schema = "query_id long, vec_id long, score double"
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, total = dims[0]["d"], dims[0]["count"]
-    valid = valid.where(F.size("v") == dim)
-    bar = int(min(1.0, SAMPLE / total) * (1 << 31))
-    sample = [r["v"] for r in valid.where(F.pmod(F.xxhash64("id"), F.lit(1 << 31)) <= bar).select("v").toLocalIterator()]
-    index = fit(np.array(sample or [valid.first()["v"]], float), k)
-
-    def best(shared, whole):
-        def run(batches):
-            index, ids, queries = shared.value
-            norms = np.sqrt((queries * queries).sum(1))
-            visits = index.visits(_unit(queries))
-            top: list[dict[int, float]] = [{} for _ in ids]
-            for pdf in batches:
-                for start in range(0, len(pdf), _CHUNK):
-                    part = pdf.iloc[start : start + _CHUNK]
-                    own = part["id"].to_numpy()
-                    names, of_id = np.unique(own, return_inverse=True)
-                    v = np.array(part["v"].tolist(), float)
-                    size = np.sqrt((v * v).sum(1))
-                    found = np.ones((len(ids), len(v)), bool) if whole else index.candidates(index.buckets(_unit(v)), visits)
-                    for i, q in enumerate(queries):
-                        at = np.flatnonzero(found[i])
-                        at = at[own[at] != ids[i]]
-                        if not len(at):
-                            continue
-                        near = v[at] @ q / (size[at] * norms[i])
-                        most = near  # the best score of each id
-                        if len(names) < len(own):
-                            most = np.full(len(names), -2.0)
-                            np.maximum.at(most, of_id[at], near)
-                            most = most[most > -2.0]
-                        if len(most) > k:
-                            keep = near >= np.partition(most, len(most) - k)[len(most) - k] - 1e-9
-                            at = at[keep]
-                        # sums in one order for every row, so that equal vectors have equal scores
-                        exact = (v[at] * q).sum(axis=1) / (size[at] * norms[i])
-                        for x, s in zip(own[at].tolist(), exact.tolist(), strict=True):
-                            if s > top[i].get(x, -2.0):
-                                top[i][x] = s
-                        if len(top[i]) > k:
-                            top[i] = dict(sorted(top[i].items(), key=lambda e: (-e[1], e[0]))[:k])
-            rows = [(int(ids[i]), x, s) for i, t in enumerate(top) for x, s in t.items()]
-            yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
-
-        return run
-
-    def found(block: dict[int, list], whole: bool = False) -> DataFrame:
-        shared = spark.sparkContext.broadcast((index, np.array(list(block)), np.array(list(block.values()), float)))  # BLOCK vectors at most
-        return materialize(valid.mapInPandas(best(shared, whole), schema), "neighbours")
-
-    def answers(block: dict[int, list]) -> list[DataFrame]:
-        """The block's rows, and those of queries that found fewer than ``k`` ids once more, with all vectors as candidates."""
-        rows = found(block)
-        enough = {r["query_id"] for r in rows.groupBy("query_id").agg(F.countDistinct("vec_id").alias("ids")).where(F.col("ids") >= k).collect()}
-        few = {q: v for q, v in block.items() if q not in enough}
-        return [rows, found(few, whole=True)] if few else [rows]
-
-    parts, block = [], {}
-    for row in valid.where(F.col("id") % every == 0).toLocalIterator(prefetchPartitions=True):
-        block[row["id"]] = min(block.get(row["id"], row["v"]), row["v"])
+    valid = valid.where(F.size("v") == dims[0]["d"])
+
+    # of equal vectors the k + 1 smallest ids can be among a query's nearest k others
+    same = [F.xxhash64("v"), F.xxhash64(F.lit(1), "v")]
+    keyed = valid.select("id", "v", same[0].alias("h1"), same[1].alias("h2"))
+    once = keyed.groupBy("h1", "h2", "id").agg(F.first("v").alias("v"))
+    smallest = Window.partitionBy("h1", "h2").orderBy("id")
+    distinct = materialize(once.withColumn("_n", F.row_number().over(smallest)).where(F.col("_n") <= k + 1).drop("_n"), "ann-distinct")
+    total = distinct.count()
+    index = _fitted(distinct.select("id", "v"), total, k)
+
+    members = keyed.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    members = materialize(members.select("id", "v", same[0].alias("h1"), same[1].alias("h2")), "ann-members")
+    asked = members.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("v").alias("v"))
+    asked = materialize(asked, "ann-asked")
+    found = materialize(_merged(_probe(distinct, asked, index, k + 1, total), k + 1), "ann-best")
+
+    enough = found.groupBy("q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k)
+    few = materialize(asked.join(enough.select(F.col("q").alias("id")), "id", "left_anti").select("id", "v"), "ann-few")
+    block: dict[int, list] = {}
+    for row in few.toLocalIterator():
+        block[row["id"]] = row["v"]
         if len(block) == BLOCK:
-            parts += answers(block)
+            found = found.unionByName(materialize(_merged(_scan(distinct, block, k + 1), k + 1), "ann-scanned"))
             block = {}
-    if block or not parts:
-        parts += answers(block) if block else [spark.createDataFrame([], schema)]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.union(part)
-    rows = rows.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    if block:
+        found = found.unionByName(materialize(_merged(_scan(distinct, block, k + 1), k + 1), "ann-scanned"))
+    found = _merged(found.drop("rank"), k + 1).select("q", F.col("id").alias("vec_id"), "score")
+
+    names = members.select(F.col("id").alias("query_id"), "h1", "h2").join(asked.select("h1", "h2", F.col("id").alias("q")), ["h1", "h2"])
+    others = names.join(found, "q").where(F.col("vec_id") != F.col("query_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return others.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

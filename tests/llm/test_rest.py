@@ -1,5 +1,6 @@
 """Language-model scoring, nearest neighbours, chat and HTML against plain versions."""
 
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -151,15 +152,68 @@ def test_outliers_beside_a_tight_cluster_find_their_neighbours(spark):
 
 
 def test_probes_come_in_the_order_of_their_success():
-    index = ann.Index(6, 1.0, 81)
-    x = ann._unit(np.random.default_rng(0).normal(size=(1, 6)))
-    place = x @ index.directions[0] / index.width + index.offsets[0]
-    slot = np.floor(place)[0]
-    visits = index.visits(x)[0, 0]
-    assert visits[0] == index.buckets(x)[0, 0]
-    cost = {int(index._code((slot + m).astype(np.int64))): sum((1 - f if d == 1 else f) ** 2 for d, f in zip(m, place[0] - slot) if d) for m in ann._MOVES}
-    costs = [cost[int(v)] for v in visits]
-    assert costs == sorted(costs) and len(set(visits.tolist())) == 81
+    d, c = 4, 0.4
+    index = ann.Index(6, d, ann.SLOTS**d, c)
+    x = ann._unit(np.random.default_rng(0).normal(size=(3, 6)))
+    gauss = lambda z: 0.5 * (1 + math.erf(z / math.sqrt(2)))
+    for q in range(3):
+        for t in range(ann.TABLES):
+            place = x[q] @ index.directions[t]
+            value = {}
+            for slots in itertools.product(range(ann.SLOTS), repeat=d):
+                total = 0.0
+                for j, slot in enumerate(slots):
+                    edges = [-math.inf, *index.edges[t, :, j], math.inf]
+                    lo, hi = edges[slot], edges[slot + 1]
+                    near = gauss((hi - c * place[j]) / math.sqrt(1 - c * c)) - gauss((lo - c * place[j]) / math.sqrt(1 - c * c))
+                    total += math.log(near) - ann.CROWDING * math.log(gauss(hi) - gauss(lo))
+                value[sum(s * ann.SLOTS**j for j, s in enumerate(slots))] = total
+            visits = index.visits(x)[t, q].tolist()
+            got = [value[v] for v in visits]
+            assert got == pytest.approx(sorted(value.values(), reverse=True)) and len(set(visits)) == len(value)
+            few = ann.Index(6, d, 10, c).visits(x)[t, q].tolist()
+            assert [value[v] for v in few] == pytest.approx(got[:10])
+            slot = [int(sum(place[j] >= e for e in index.edges[t, :, j])) for j in range(d)]
+            assert index.buckets(x)[t, q] == sum(s * ann.SLOTS**j for j, s in enumerate(slot))
+
+
+def test_neighbours_of_huge_and_tiny_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=6) * 10.0 ** rng.choice([-200, 0, 200])).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    units = {i: np.array(v) / np.max(np.abs(v)) for i, v in rows}
+    out = ann.search(df).collect()
+    for q in (0, 50):
+        score = {i: float(units[i] @ units[q] / np.sqrt((units[i] @ units[i]) * (units[q] @ units[q]))) for i in units if i != q}
+        want = sorted(score, key=lambda i: (-score[i], i))[:5]
+        got = {r["rank"]: (r["vec_id"], r["score"]) for r in out if r["query_id"] == q}
+        assert len({i for i, _ in got.values()} & set(want)) >= 4 and all(s == pytest.approx(score[i]) for i, s in got.values())
+
+
+def test_an_id_with_several_vectors_is_asked_once(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i % 40, rng.normal(size=8).round(3).tolist()) for i in range(160)]
+    monkeypatch.setattr(ann, "BLOCK", 1)
+    out = ann.search(vectors(spark, rows).repartition(5)).collect()
+    assert [(r["query_id"], r["rank"]) for r in out] == [(0, r) for r in range(1, 6)]
+    single = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    q = np.array(min(v for i, v in single if i == 0))
+    score = {}
+    for i, v in single:
+        if i:
+            score[i] = max(score.get(i, -2), float(np.array(v) @ q / np.sqrt((np.array(v) ** 2).sum() * (q**2).sum())))
+    assert [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"])] == sorted(score, key=lambda i: (-score[i], i))[:5]
+
+
+def test_hot_cells_are_split_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL", 32)
+    monkeypatch.setattr(ann, "CELL_QUERIES", 2)
+    rng = np.random.default_rng(10)
+    centre = rng.normal(size=8)
+    rows = [(i, (centre + 0.05 * rng.normal(size=8)).tolist()) for i in range(600)]
+    out = ann.search(vectors(spark, rows)).collect()
+    found = sum(len({r["vec_id"] for r in out if r["query_id"] == q} & {i for i, _ in exact(rows, q)}) for q in range(0, 600, 50))
+    assert found >= 0.9 * 5 * 12 and len(out) == 60
 
 
 def test_query_blocks_give_the_same(spark, sf, monkeypatch):

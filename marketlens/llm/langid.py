@@ -2,30 +2,32 @@
 
 A word that the model knows scores its log frequency in each language. An unseen word is read position by position: the longest known
 n-gram that starts there, of at most four characters, gives its log frequency, less a fixed penalty for each character that it is
-short of four.
+short of four. Frequencies are kept sparse, one entry per item and language that has it, so a column of very many languages costs no
+more than its entries; penalties are the same for all languages and so drop out of every comparison.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .splits import remainder
-from .store import discard, filter_texts, map_texts, materialize, most_frequent, short_batches
+from .store import broadcast_if_small, discard, filter_texts, map_texts, materialize, short_batches
 
-#: Runs of letters; combining marks inside a word stay with it.
-WORDS = re.compile(r"[^\W\d_]+(?:[̀-ͯ][^\W\d_]*)*")
+#: Runs of letters (general categories L); marks inside a word stay with it. Digits, fractions and letter-like numerals are no letters.
+WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 LONGEST = 4
 BACKOFF = 1.2
-#: Documents of each language that the word list is learnt from, at most about. The classifier is fitted on this bounded sample.
-SAMPLE_PER_LANG = 4_000
-#: Entries of the model: words and n-grams with the highest counts.
-MOST_WORDS, MOST_GRAMS = 60_000, 120_000
+#: The classifier is fitted on a bounded sample: about so many documents of each language at most, and about so many in all.
+SAMPLE_PER_LANG, SAMPLE = 4_000, 64_000
+SMOOTH = 0.5
+#: Tables of one row per language are broadcast up to this many.
+BROADCAST_LANGS = 100_000
 #: Words whose scores a task keeps
 _MEMO = 150_000
 
@@ -61,86 +63,124 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
+def _spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All positions of spans, one span after the other."""
+    end = np.cumsum(length)
+    return np.repeat(start - end + length, length) + np.arange(end[-1] if len(end) else 0)
+
+
+class Table:
+    """Items of one kind, each with the languages that have it and what its log frequency there exceeds that of an unseen item by."""
+
+    def __init__(self, n_langs: int, items: list[str], langs: list[np.ndarray], counts: list[np.ndarray]):
+        self.items = items
+        self.length = np.array([len(x) for x in langs], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.lang = np.concatenate(langs).astype(np.int32) if langs else np.empty(0, np.int32)
+        n = np.concatenate(counts).astype(np.float64) if counts else np.empty(0)
+        #: log frequency of an unseen item by language
+        self.floor = np.log(SMOOTH / (np.bincount(self.lang, n, n_langs) + SMOOTH * len(items) + SMOOTH))
+        self.gain = np.log((n + SMOOTH) / SMOOTH).astype(np.float32)
+
+
 class Model:
-    """Languages in code-point order; known words, and n-grams by sorted hash, each with log frequencies by language; the logarithm
-    that a single character gets that is in no n-gram."""
+    """Languages in code-point order, known words, and n-grams by sorted hash."""
+
+    def __init__(self, langs: list[str], words: Table, grams: Table):
+        self.langs, self.words, self.grams = langs, words, grams
+        keys = np.array([gram_hashes(_codes(g), len(g))[0] for g in grams.items], np.uint64)
+        self.gram_order = np.argsort(keys)
+        self.gram_keys = keys[self.gram_order]
 
-    def __init__(self, langs: list[str], words: list[str], word_logs: np.ndarray, grams: list[str], gram_logs: np.ndarray, floor: np.ndarray):
-        self.langs, self.words, self.word_logs, self.floor = langs, words, word_logs, floor
-        keys = np.array([gram_hashes(_codes(g), len(g))[0] for g in grams], np.uint64)
-        order = np.argsort(keys)
-        self.gram_keys, self.gram_logs = keys[order], gram_logs[order]
 
+def _sampled(known: DataFrame, per_lang: int, most: int) -> DataFrame:
+    """(lang, text) of a bounded sample, by a hash of id and text; a row that is repeated counts once."""
+    sizes = materialize(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langid-sizes")
+    wanted = sizes.agg(F.sum(F.least("n", F.lit(per_lang)))).first()[0] or 1
+    share = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("n")) * min(1.0, most / wanted)
+    bars = broadcast_if_small(sizes.select("lang", share.alias("bar")), BROADCAST_LANGS)
+    spot = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("lang")), F.lit(1 << 31)) / float(1 << 31)
+    some = known.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).join(bars, "lang").where(spot < F.col("bar"))
+    return some.select("doc_id", "lang", "text").dropDuplicates().select("lang", "text")
 
-def train(docs: DataFrame, held_out: tuple[int, int] = (4, 2), per_lang: int = SAMPLE_PER_LANG) -> Model:
-    """Learn from documents with a language, outside the held-out remainder, at most about ``per_lang`` of each language.
 
-    Null texts count as empty.
+def train(docs: DataFrame, held_out: tuple[int, int] = (4, 2), per_lang: int = SAMPLE_PER_LANG, most: int = SAMPLE) -> Model:
+    """Learn from documents with a language, outside the held-out remainder, at most about ``per_lang`` of each language and ``most`` in
+    all. Every word and n-gram of that sample is kept. Null texts count as empty; a document with a null id is not learnt from.
     """
     modulus, rest = held_out
     known = docs.where(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), modulus) != rest))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    langs = sorted(sizes, key=lambda x: x.encode())
-    none = np.zeros((0, len(langs)), np.float32)
-    if not langs:
-        return Model([], [], none, [], none, np.zeros(0, np.float32))
-    spot = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("lang")), F.lit(1 << 31)) / float(1 << 31)
-    bar = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_lang / sizes[k]))]), F.col("lang"))
-    sample = known.where(spot < bar).select("lang", F.coalesce("text", F.lit("")).alias("text"))
     short_batches(docs.sparkSession)
-    counts = sample.mapInPandas(_partial_counts, "kind string, item string, lang string, n long").groupBy("kind", "item").agg(
-        F.sum("n").alias("total"), *[F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"_{i}") for i, k in enumerate(langs)]
-    )
-    counts = materialize(counts, "langid-counts")
-    totals = {r["kind"]: np.array(r[1:], float) for r in counts.groupBy("kind").agg(*[F.sum(f"_{i}") for i in range(len(langs))]).collect()}
-    tables, floor = {}, np.zeros(len(langs), np.float32)
-    for kind, most in (("w", MOST_WORDS), ("g", MOST_GRAMS)):
-        rows = most_frequent(counts.where(F.col("kind") == kind), "total", most).toPandas()
-        bulk = totals.get(kind, np.ones(len(langs))) + 0.5 * len(rows)
-        tables[kind] = (list(rows["item"]), np.log((rows.iloc[:, 3:].to_numpy(float) + 0.5) / bulk).astype(np.float32).reshape(len(rows), len(langs)))
-        floor = np.log(0.5 / bulk).astype(np.float32) if len(rows) else floor
-    discard(counts)
-    return Model(langs, *tables["w"], *tables["g"], floor)
+    sample = materialize(_sampled(known, per_lang, most), "langid-sample")
+    counts = sample.mapInPandas(_partial_counts, "kind string, item string, lang string, n long").groupBy("kind", "item", "lang").agg(F.sum("n").alias("n"))
+    by_item = counts.groupBy("kind", "item").agg(F.collect_list("lang").alias("langs"), F.collect_list("n").alias("n"))
+    by_item = materialize(by_item, "langid-counts")  # what the sample holds, at most
+    langs = sorted((r["lang"] for r in sample.select("lang").distinct().collect()), key=lambda x: x.encode("utf-8", "surrogatepass"))
+    at = {k: i for i, k in enumerate(langs)}
+    tables = []
+    for kind in "wg":
+        rows = by_item.where(F.col("kind") == kind).select("item", "langs", "n").toPandas()
+        tables.append(Table(len(langs), list(rows["item"]), [np.array([at[k] for k in own]) for own in rows["langs"]], list(rows["n"])))
+    discard(sample)
+    discard(by_item)
+    return Model(langs, *tables)
 
 
 class Scores:
-    """word -> row of scores by language. Unseen words are scored some thousand at a time, and kept while there is room."""
+    """word -> its languages and gains. Unseen words are scored some thousand at a time, and kept while there is room."""
 
     def __init__(self, model: Model):
         self.model = model
+        self.n = max(1, len(model.langs))
         self.forget()
 
     def forget(self) -> None:
-        self.ids = {w: i for i, w in enumerate(self.model.words)}
-        self.rows = self.model.word_logs.copy()
-        self.used = len(self.rows)
+        words = self.model.words
+        self.ids = {w: i for i, w in enumerate(words.items)}
+        self.known = len(self.ids)
+        self.start, self.length, self.lang, self.gain = words.start, words.length, words.lang, words.gain
 
     def add(self, words: list[str]) -> None:
-        if self.used + len(words) > len(self.rows):
-            self.rows = np.concatenate([self.rows[: self.used], np.zeros((max(len(words), self.used, 1024), self.rows.shape[1]), np.float32)])
-        self.rows[self.used : self.used + len(words)] = self.unseen(words)
-        self.ids.update(zip(words, range(self.used, self.used + len(words)), strict=True))
-        self.used += len(words)
-
-    def unseen(self, words: list[str]) -> np.ndarray:
-        """Mean over a word's places, its mark of beginning included, of the longest known n-gram from there on; doubled, since n-grams
-        overlap and say less than words do."""
+        length, lang, gain = self.unseen(words)
+        self.ids.update(zip(words, range(len(self.ids), len(self.ids) + len(words)), strict=True))
+        self.start = np.append(self.start, len(self.lang) + np.cumsum(length) - length)
+        self.length = np.append(self.length, length)
+        self.lang, self.gain = np.append(self.lang, lang), np.append(self.gain, gain)
+
+    def unseen(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entries of each word, their languages and gains: the mean over a word's places, its mark of beginning included, of the longest
+        known n-gram from there on; doubled, since n-grams overlap and say less than words do."""
+        grams, keys = self.model.grams, self.model.gram_keys
         code = _codes("".join(f"^{w}$" for w in words))
         length = np.array([len(w) + 2 for w in words])
-        start = np.concatenate([[0], np.cumsum(length)[:-1]])
-        left = np.repeat(start + length, length) - np.arange(len(code))  # characters from a place to its word's end
-        total = np.tile(self.model.floor - np.float32(BACKOFF * LONGEST), (len(code), 1))
-        total[left == 1] = 0
+        owner = np.repeat(np.arange(len(words)), length)
+        left = np.repeat(np.cumsum(length), length) - np.arange(len(code))  # characters from a place to its word's end
         open_ = left > 1
-        keys = self.model.gram_keys
+        places, items = [], []
         for k in range(LONGEST, 0, -1) if len(keys) else ():
             at = np.flatnonzero(open_ & (left >= k))
             wanted = gram_hashes(code, k)[at]
             place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
             hit = keys[place] == wanted
-            total[at[hit]] = self.model.gram_logs[place[hit]] - np.float32(BACKOFF * (LONGEST - k))
+            places.append(at[hit])
+            items.append(self.model.gram_order[place[hit]])
             open_[at[hit]] = False
-        return np.add.reduceat(total, start, axis=0) / (length - 1)[:, None] * 2
+        item = np.concatenate(items) if items else np.empty(0, np.int64)
+        word = owner[np.concatenate(places)] if places else np.empty(0, np.int64)
+        entry = _spans(grams.start[item], grams.length[item])
+        key = np.repeat(word, grams.length[item]) * self.n + grams.lang[entry]
+        key, group = np.unique(key, return_inverse=True)
+        word, lang = key // self.n, (key % self.n).astype(np.int32)
+        gain = np.bincount(group, grams.gain[entry], len(key)) * 2 / (length[word] - 1)
+        return np.bincount(word, minlength=len(words)), lang, gain.astype(np.float32)
+
+    def mean(self, words: list[str]) -> np.ndarray:
+        """Mean score of the words by language, short of what all languages lose alike."""
+        ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        entry = _spans(self.start[ids], self.length[ids])
+        total = np.bincount(self.lang[entry], self.gain[entry], self.n)
+        unseen = int((ids >= self.known).sum())
+        return (total + (len(ids) - unseen) * self.model.words.floor + 2 * unseen * self.model.grams.floor) / len(ids)
 
 
 def classify(model: Model, texts, memo: Scores) -> tuple[list[str], list[float]]:
@@ -148,7 +188,7 @@ def classify(model: Model, texts, memo: Scores) -> tuple[list[str], list[float]]
     best, sure = [], []
     texts = list(texts)
     for begin in range(0, len(texts), 64):
-        if memo.used > _MEMO:
+        if len(memo.ids) > memo.known + _MEMO:
             memo.forget()
         words = [WORDS.findall(t.lower()) if t else [] for t in texts[begin : begin + 64]]
         if unseen := list(set().union(*words).difference(memo.ids)) if model.langs else []:
@@ -158,8 +198,7 @@ def classify(model: Model, texts, memo: Scores) -> tuple[list[str], list[float]]
                 best.append("und")
                 sure.append(0.0)
                 continue
-            ids = np.fromiter(map(memo.ids.__getitem__, own), np.int64, len(own))
-            mean = memo.rows[ids].mean(axis=0, dtype=np.float64)
+            mean = memo.mean(own)
             odds = np.exp((mean - mean.max()) * min(len(own), 25))
             top = int(mean.argmax())
             best.append(model.langs[top])
@@ -171,9 +210,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score (0 to 1) of every document's whole text.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learnt. Ties go to the language that comes first by
-    code point. Repeated rows are scored alike; a null id is kept; an empty table gives an empty result. Only doc_id and text are read.
+    code point. A text is read in lower case. Repeated rows are scored alike; a null id is kept; an empty table gives an empty result. Only doc_id and text are read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_WORDS + MOST_GRAMS entries
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the entries of a bounded sample
 
     def score(batches):
         memo = Scores(shared.value)

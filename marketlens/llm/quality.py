@@ -68,16 +68,17 @@ def passages(text: str) -> np.ndarray:
     def mean(x):
         return np.bincount(of_word, x, n) / size
 
-    pair = np.sort((words & np.uint64(0xFFFFFFFFFFFF)) | (of_word.astype(np.uint64) << np.uint64(48)))
-    distinct = np.ones(n_words, bool)
-    distinct[1:] = pair[1:] != pair[:-1]
+    order = np.lexsort((words, of_word))
+    by_word = words[order]
+    distinct = np.ones(n_words, bool)  # the first of each word in its passage; passages keep their order
+    distinct[1:] = (by_word[1:] != by_word[:-1]) | (of_word[1:] != of_word[:-1])
     same = np.zeros(n_words)
     same[1:] = words[1:] == words[:-1]
     mean_length = mean(length)
     f = _PAIRS
     out[:, f] = mean_length / 10
     out[:, f + 1] = np.sqrt(np.maximum(mean(length * length) - mean_length**2, 0)) / 10
-    out[:, f + 2] = np.bincount((pair[distinct] >> np.uint64(48)).astype(np.int64) % max(n, 1), minlength=n)[:n] / size if n <= 65536 else mean(distinct)
+    out[:, f + 2] = mean(distinct)
     out[:, f + 3] = mean(same)
     out[:, f + 4] = mean(length == 1)
     out[:, f + 5] = mean(length > 20)

@@ -1,6 +1,8 @@
 """Toxicity, quality and language: held-out accuracy, the rules of their methods, odd rows."""
 
 import math
+import unicodedata
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -98,17 +100,97 @@ def test_passages_cover_the_whole_text():
     assert not np.allclose(quality.passages(text)[-1], quality.passages(changed)[-1])
 
 
-def test_language_words_come_before_grams_and_grams_back_off():
-    logs = lambda *rows: np.array(rows, np.float32)
-    model = langid.Model(["a", "b"], ["known"], logs([-1, -5]), ["^kno", "zz", "z"], logs([-8, -1], [-2, -6], [-3, -3]), logs(-9, -9))
+def test_repetition_is_counted_alike_at_every_length():
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in rng.integers(0, 90, quality.PASSAGE * 5)]
+    x = quality.passages(" ".join(words))
+    share = [len(set(words[i : i + quality.PASSAGE])) / quality.PASSAGE for i in range(0, len(words), quality.PASSAGE)]
+    assert x[:, quality._PAIRS + 2].tolist() == pytest.approx(share)
+    many = 66_000  # more passages than 16 bits count
+    x = quality.passages(" ".join((["a b"] * (quality.PASSAGE // 2) + ["c"] * quality.PASSAGE) * (many // 2)))
+    assert len(x) == many and np.allclose(x[::2, quality._PAIRS + 2], 2 / quality.PASSAGE) and np.allclose(x[1::2, quality._PAIRS + 2], 1 / quality.PASSAGE)
+
+
+def table(n_langs, counts):
+    return langid.Table(n_langs, list(counts), [np.array(sorted(c)) for c in counts.values()], [np.array([c[k] for k in sorted(c)]) for c in counts.values()])
+
+
+def plain_language(langs, words, grams, text):
+    """The rule, word by word and place by place, over plain dictionaries {item: {language: count}}."""
+
+    def log(counts, item, lang):
+        bulk = sum(c.get(lang, 0) for c in counts.values()) + 0.5 * len(counts) + 0.5
+        return math.log((counts.get(item, {}).get(lang, 0) + 0.5) / bulk)
+
+    found, word = [], ""
+    for c in text.lower() + " ":
+        category = unicodedata.category(c)
+        if category[0] == "L" or (word and category[0] == "M"):
+            word += c
+        elif word:
+            found.append(word)
+            word = ""
+    if not found:
+        return "und", 0.0
+    mean = []
+    for lang in range(len(langs)):
+        total = 0.0
+        for w in found:
+            if w in words:
+                total += log(words, w, lang)
+                continue
+            marked, places = f"^{w}$", []
+            for i in range(len(marked) - 1):
+                hit = next((marked[i : i + k] for k in range(4, 0, -1) if len(marked) - i >= k and marked[i : i + k] in grams), None)
+                places.append(log(grams, hit, lang) - langid.BACKOFF * (4 - len(hit or "")))
+            total += 2 * sum(places) / len(places)
+        mean.append(total / len(found))
+    odds = [math.exp((m - max(mean)) * min(len(found), 25)) for m in mean]
+    return langs[mean.index(max(mean))], max(odds) / sum(odds)
+
+
+def test_languages_are_those_of_the_plain_rule():
+    langs = ["a", "b", "c"]
+    words = {"known": {0: 9, 1: 1}, "word": {1: 4}, "\u00e9t\u00e9": {2: 7}, "e\u0301te": {2: 1}}
+    grams = {"^kno": {0: 3}, "zz": {1: 5, 2: 1}, "z": {1: 2}, "q$": {2: 4}, "a": {0: 8, 1: 8, 2: 8}}
+    model = langid.Model(langs, table(3, words), table(3, grams))
+    texts = ["known", "known word", "knows zzq", "zzz zqz known", "\u00e9t\u00e9 e\u0301te", "unrelated things entirely", "a A a", "q " * 40, "known, known; " * 30 + "zzq", "\u00b2\u00b3 \u00bd \u2167 12", ""]
     memo = langid.Scores(model)
-    best, _ = langid.classify(model, ["known known"], memo)
-    assert best == ["a"] and memo.used == 1  # the word list wins over the word's own n-grams
-    assert list(memo.unseen(["known"])[0] / 2 * 6) == pytest.approx([-8 - 5 * (9 + langid.BACKOFF * 4), -1 - 5 * (9 + langid.BACKOFF * 4)])
-    # places ^ z z q: nothing, then "zz", then "z", then nothing
-    floor = -9 - langid.BACKOFF * 4
-    want = [(floor + (x - langid.BACKOFF * 2) + (y - langid.BACKOFF * 3) + floor) / 4 * 2 for x, y in ((-2, -3), (-6, -3))]
-    assert np.allclose(memo.unseen(["other", "zzq"])[1], want)
+    for _ in range(2):
+        best, sure = langid.classify(model, texts, memo)
+        for t, lang, s in zip(texts, best, sure, strict=True):
+            want, odds = plain_language(langs, words, grams, t)
+            assert (lang, s) == (want, pytest.approx(odds, rel=1e-4))
+
+
+def test_learnt_counts_are_those_of_the_sample(spark):
+    rows = [(i, "ab ab c", "x") for i in range(40)] + [(i, "ab dd", "y") for i in range(40, 60)] + [(3, "ab ab c", "x")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    ids = {i for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    nx, ny = len([i for i in ids if i < 40]), len([i for i in ids if i >= 40])
+    counts = {w: {k: round(math.exp(float(g)) * 0.5 - 0.5, 3) for k, g in zip(model.words.lang[s : s + n].tolist(), model.words.gain[s : s + n], strict=True)} for w, s, n in zip(model.words.items, model.words.start, model.words.length, strict=True)}
+    assert counts == {"ab": {0: pytest.approx(2 * nx, rel=1e-3), 1: pytest.approx(ny, rel=1e-3)}, "c": {0: pytest.approx(nx, rel=1e-3)}, "dd": {1: pytest.approx(ny, rel=1e-3)}}
+
+
+def test_equal_languages_go_to_the_first_and_digits_are_no_letters(spark):
+    docs = spark.createDataFrame([(i, "same words", lang) for i, lang in enumerate(["zz", "aa"] * 30)], "doc_id long, text string, lang string")
+    model = langid.Model(["aa", "zz"], table(2, {"same": {0: 3, 1: 3}}), table(2, {"s": {0: 1, 1: 1}}))
+    out = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs.limit(1).union(spark.createDataFrame([(-1, "\u00b2\u00b3 \u00bd \u2167 42", "x")], docs.schema)), model).collect()}
+    assert out[-1] == ("und", 0.0) and [v for k, v in out.items() if k >= 0] == [("aa", pytest.approx(0.5))]
+
+
+def test_very_many_languages(spark):
+    docs = spark.createDataFrame([(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} x", f"l{i}") for i in range(3000)], "doc_id long, text string, lang string")
+    model = langid.train(docs, most=500)
+    assert 300 < len(model.langs) < 800 and len(model.words.lang) <= 2 * len(model.langs)
+    assert langid.predict(docs.limit(3), model).where("score between 0 and 1").count() == 3
+
+
+def test_an_id_with_very_many_texts_keeps_the_sample_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(3000)] + [(1, "again")] * 500 + [(i, "t") for i in range(2, 200)], "doc_id long, text string")
+    labels = labels_of(spark, [(i, 1, 0, "x") for i in range(200)])
+    assert labelled_sample(docs, labels, "toxic", 5, 200).count() <= 2 * 200
 
 
 def test_nothing_learnt_gives_und(spark):

@@ -1,19 +1,20 @@
 """Main text of web pages by tag-path ratios.
 
 Every text node belongs to a root-to-leaf tag path. Text length and punctuation are summed by path and divided by the path's nodes;
-both series are smoothed over the page's nodes in order, fused by their product, and paths at or above the threshold are content. The
-content's container then gives all its blocks, so that short paragraphs and headings among them are not lost: an article or main
-element around most of the chosen text, or else the deepest element that holds nearly all of it.
-Elements that are boilerplate by name take no part, unless one's class names it so and it holds most of the page's text.
+both series are smoothed over the page's nodes in order and fused by their product with a third series, the role of a path: elements
+and words of class, id and role that speak for boilerplate weigh little. Paths above a threshold choose the content's container, an
+article or main element around most of their text, or else the deepest element that holds nearly all of it. A second smoothing mixes
+each path's ratio with that of its side of the container, so that headings and short paragraphs stand by the text around them, and
+the nodes of all paths at or above the threshold are the result.
+
+Pages are read once from left to right: the time is linear in their length, however their elements nest or stay open.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
-from collections import Counter
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from .store import map_texts
@@ -22,121 +23,234 @@ from .store import map_texts
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "noframes", "xmp"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
-_DROP = {"script", "style", "noscript", "template", "iframe", "noframes", "textarea", "title", "head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "input", "dialog", "menu", "svg", "object", "canvas", "audio", "video", "xmp"}
+_HIDES = {"head", "button", "select", "option", "svg", "object", "canvas", "audio", "video"}
+_BOILERPLATE = {"nav", "footer", "aside", "form", "dialog", "menu"}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "pre", "blockquote", "figcaption", "caption", "summary"}
-#: Elements nested deeper count as their parent's text, as in browsers
-DEEPEST = 512
+_WHOLE = {"article", "main"}
 #: Share of the chosen text that its container must hold: an article or main element, and any other
 MOST, NEARLY_ALL = 0.6, 0.95
-#: Words of a class, id or role that mark boilerplate.
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|advertisement|adbox|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|"
-    r"nav|navbar|navigation|menu|breadcrumb\w*|header|masthead|footer|sidebar|side|aside|widget|related|recommend\w*|share|sharing|social|toolbar|pagination|pager|"
-    r"comment|comments|comment-\w+|disqus\w*|replies|respond|login|signup|search|contentinfo|complementary)(?:$|[\s_-])",
-    re.I,
-)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
-_NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s/=]|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
+#: Weights of roles: boilerplate; names that speak for it in part ("article-header"); text outside the container, if that is an article
+#: or main element, and if it is not
+PLAIN, DOUBTFUL, OUTSIDE_ARTICLE, OUTSIDE = 0.1, 0.75, 0.3, 0.5
+# Words of a class, id or role. Those of _OTHERS speak for boilerplate in any compound, those of _PAGE not beside one of _CONTENT.
+_OTHERS = re.compile(r"ads?|advert\w*|adbox|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|breadcrumbs?|share|sharing|social|pagination|pager|comments?|disqus\w*|replies|respond|login|signup")
+_PAGE = re.compile(r"banner|notice|alert|overlay|nav|navbar|navigation|menu|header|masthead|footer|sidebar|side|aside|widget|related|recommend\w*|toolbar|search|contentinfo|complementary")
+_CONTENT = {"article", "entry", "post", "story", "content", "body", "main", "text", "title", "work", "works", "with", "has", "no"}
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_REST = re.compile(r"[^>\"']*+")
+_NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
+_HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s/=]|$)|aria-hidden\s*+=\s*+[\"']?true)|display\s*+:\s*+none", re.I)
 _WHITE = re.compile(r"\s+")
-_PUNCTUATION = re.compile(r"[.,;:!?…。，、¿¡]")
-
-
-def _blocks(page: str):
-    """(path of element numbers, path of names, text) of each block of text, in page order, without boilerplate elements."""
-    stack: list[tuple[str, str, int, bool, bool]] = []  # name, label, number, dropped by element, by name
-    deep: list[tuple[str, bool]] = []  # elements open below DEEPEST: name, dropped
-    deep_open: Counter = Counter()
-    blocks, run, numbers, deep_dropped = [], [], 0, 0
-
-    def flush():
-        text = _WHITE.sub(" ", "".join(run)).strip()
-        run.clear()
-        if text and not deep_dropped and not any(x[3] for x in stack):
-            held = [x for x in stack if x[0] not in _INLINE]
-            named = [x[2] for x in stack if x[4]]
-            blocks.append((tuple(x[2] for x in held), "/".join(x[1] for x in held), text, named, any(x[0] in ("article", "main") for x in stack)))
-
-    def pop_deep():
-        nonlocal deep_dropped
-        name, dropped = deep.pop()
-        deep_open[name] -= 1
-        deep_dropped -= dropped
-        return name
-
-    at = 0
-    while at < len(page):
-        found = _TOKEN.search(page, at)
-        until = found.start() if found else len(page)
-        if until > at:
-            run.append(_html.unescape(page[at:until]))
-        if not found:
-            break
-        at = found.end()
-        closing, name = found[1], (found[2] or "").lower()
-        if not name:
-            if found[0].startswith("<![CDATA["):
-                run.append(found[0][9:].removesuffix("]]>"))
-            continue
-        if closing:
-            if deep_open[name]:
-                if name not in _INLINE:
-                    flush()
-                while pop_deep() != name:
-                    pass
-            elif any(x[0] == name for x in stack):
-                if name not in _INLINE:
-                    flush()
-                while deep:
-                    pop_deep()
-                while stack.pop()[0] != name:
-                    pass
-            continue
+_PUNCTUATION = re.compile(r"[.,;:!?\u2026\u3002\uff0c\u3001\u00bf\u00a1]")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I) for name in _RAW}
+
+
+def _pieces(page: str):
+    """(text, closing, name, attributes) of the page from left to right; of text only the first, of a tag only the others.
+
+    A quote in a tag runs to its end and may hold ``>``; where that leaves a tag open to the end of the page, quotes mean nothing from
+    there on. A ``<`` that no ``>`` follows, or that begins no tag, is text. Comments, declarations and the content of scripts and the like
+    give nothing; one that is not closed runs to the end of the page.
+    """
+    at, length, quotes, missing = 0, len(page), True, set()
+
+    def find(what: str, start: int) -> int:
+        """Where ``what`` is found, or the end; what was missing once is not looked for again."""
+        if what in missing:
+            return length
+        found = page.find(what, start)
+        if found < 0:
+            missing.add(what)
+            return length
+        return found
+
+    def end_of_tag(start: int) -> int:
+        nonlocal quotes
+        here = start
+        while quotes:
+            here = _REST.match(page, here).end()
+            if here == length:
+                quotes = False
+            elif page[here] == ">":
+                return here
+            else:
+                closed = find(page[here], here + 1)
+                here = here + 1 if closed == length else closed + 1
+        return find(">", start)  # there is one after every tag's name
+
+    while at < length:
+        open_ = find("<", at)
+        if open_ > at:
+            yield page[at:open_], False, "", ""
+        at = open_
+        if at == length:
+            return
+        if page.startswith("<!--", at):
+            at = min(length, find("-->", at + 4) + 3)
+        elif page.startswith("<![CDATA[", at):
+            end = find("]]>", at)
+            yield page[at + 9 : end].replace("&", "&amp;"), False, "", ""
+            at = min(length, end + 3)
+        elif page.startswith(("<!", "<?"), at):
+            at = min(length, find(">", at) + 1)
+        else:
+            tag = _TAG.match(page, at) if find(">", at) < length else None
+            if not tag:
+                end = at + 1 if find(">", at) < length else find("<!", at + 1)
+                yield page[at:end], False, "", ""
+                at = end
+                continue
+            end = end_of_tag(tag.end())
+            name = tag[2].lower()
+            yield "", bool(tag[1]), name, page[tag.end() : end]
+            at = end + 1
+            if name in _RAW and not tag[1]:
+                close = _RAW_END[name].search(page, at) if f"</{name}" not in missing else None
+                if close is None:
+                    missing.add(f"</{name}")
+                at = close.end() if close else length
+
+
+def _role(name: str, names: str, inside: bool) -> tuple[float, bool]:
+    """Weight of an element's own role, and whether a name and not the element gives it."""
+    if name in _BOILERPLATE or (name == "header" and not inside):
+        return PLAIN, False
+    weight = 1.0
+    if names and name not in ("html", "body", "main", "article"):
+        for word in names.split():
+            parts = [x for x in re.split(r"[-_]+", word) if x]
+            if any(_OTHERS.fullmatch(x) for x in parts):
+                return PLAIN, True
+            if any(_PAGE.fullmatch(x) for x in parts):
+                weight = min(weight, DOUBTFUL if any(x in _CONTENT for x in parts) else PLAIN)
+    return weight, weight < 1
+
+
+class _Page:
+    """Elements in the order of their start tags, 0 being the page, and blocks of text with the innermost element that is not inline."""
+
+    def __init__(self, page: str):
+        self.parent, self.name, self.path, self.role, self.by_name = [0], [""], [0], [1.0], [False]
+        self.inside = [False]  # an article or main element
+        self.blocks: list[tuple[int, str]] = []
+        self._paths: dict[tuple[int, str], int] = {}
+        # open elements: name, number of the innermost element that is not inline, its place in the stack, whether text is hidden
+        self._stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
+        self._places: dict[str, list[int]] = {}
+        self._run: list[str] = []
+        for text, closing, name, attributes in _pieces(page):
+            if not name:
+                if not self._stack[-1][3]:
+                    self._run.append(_html.unescape(text))
+            elif closing:
+                self._close(name)
+            else:
+                self._open(name, attributes)
+        self._flush()
+
+    def _flush(self) -> None:
+        text = _WHITE.sub(" ", "".join(self._run)).strip()
+        self._run.clear()
+        if text:
+            self.blocks.append((self._stack[-1][1], text))
+
+    def _cut(self, place: int) -> None:
+        while len(self._stack) > place:
+            self._places[self._stack.pop()[0]].pop()
+
+    def _close(self, name: str) -> None:
+        if name not in _INLINE:
+            self._flush()
+        places = self._places.get(name)
+        # an inline element is closed only inside its block
+        if places and (name not in _INLINE or places[-1] > self._stack[-1][2]):
+            self._cut(places[-1])
+
+    def _open(self, name: str, attributes: str) -> None:
+        if name not in _INLINE:
+            self._flush()
+        if name in _VOID or name in _RAW:
+            return
+        block = self._stack[-1][2]
+        if name in _CLOSES_P and self._stack[block][0] == "p":
+            self._cut(block)
+        while self._stack[self._stack[-1][2]][0] in _SAME.get(name, ()):
+            self._cut(self._stack[-1][2])
+        _, number, place, hidden = self._stack[-1]
+        hidden = hidden or name in _HIDES or bool(_HIDDEN.search(attributes))
         if name not in _INLINE:
-            flush()
-        if name in _VOID:
-            continue
-        if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if name in _CLOSES_P and deep and deep[-1][0] == "p":
-            pop_deep()
-        while deep and deep[-1][0] in _SAME.get(name, ()):
-            pop_deep()
-        if name in _CLOSES_P and not deep:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] not in _INLINE:
-                    break
-        for i in range(len(stack) - 1 if not deep else -1, -1, -1):
-            if stack[i][0] in _SAME.get(name, ()):
-                del stack[i:]
-            elif stack[i][0] not in _INLINE:
-                break
-        names = " ".join(filter(None, (x for m in _NAMED.findall(found[3]) for x in m)))
-        numbers += 1
-        label = f"{name}.{names.lower()}" if names else name
-        dropped = name in _DROP or bool(_HIDDEN.search(found[3]))
-        by_name = name not in ("html", "body", "main", "article") and bool(_NAMES.search(names))
-        if deep or len(stack) == DEEPEST:
-            deep.append((name, dropped or by_name))
-            deep_open[name] += 1
-            deep_dropped += dropped or by_name
-            continue
-        stack.append((name, label, numbers, dropped, by_name))
-    flush()
-    # a class names no boilerplate that holds most of the text, unless an article or main element stands beside it
-    weight: Counter = Counter()
-    for _, _, text, named, _ in blocks:
-        weight.update(dict.fromkeys(named, len(text)))
-    total = sum(len(b[2]) for b in blocks)
-    wraps = {n for n, w in weight.items() if 2 * w > total and all(n in b[3] or not b[4] for b in blocks)}
-    return [b[:3] for b in blocks if wraps.issuperset(b[3])]
+            names = " ".join(filter(None, (x for m in _NAMED.findall(attributes) for x in m))).lower()
+            inside = self.inside[number] or name in _WHOLE
+            role, by_name = _role(name, names, inside)
+            path = self._paths.setdefault((self.path[number], f"{name}.{names}" if names else name), len(self._paths) + 1)
+            for own, x in zip((self.parent, self.name, self.path, self.role, self.by_name, self.inside), (number, name, path, role, by_name, inside), strict=True):
+                own.append(x)
+            number, place = len(self.parent) - 1, len(self._stack)
+        self._places.setdefault(name, []).append(len(self._stack))
+        self._stack.append((name, number, place, hidden))
+
+    def held(self, blocks) -> list[int]:
+        """Characters of the blocks below each element."""
+        out = [0] * len(self.parent)
+        for element, text in blocks:
+            out[element] += len(text)
+        for i in range(len(out) - 1, 0, -1):
+            out[self.parent[i]] += out[i]
+        return out
+
+    def roles(self) -> list[float]:
+        """Weight of each element's role, its ancestors' included. A name says nothing of an element that holds most of the page's text,
+        unless text of an article or main element stands beside it."""
+        held, whole = self.held(self.blocks), self.held([b for b in self.blocks if self.inside[b[0]]])
+        out = [1.0]
+        for i in range(1, len(self.parent)):
+            wraps = self.by_name[i] and 2 * held[i] > held[0] and whole[i] == whole[0]
+            out.append(max(out[self.parent[i]] * (1.0 if wraps else self.role[i]), 1e-6))
+        return out
+
+    def container(self, chosen) -> tuple[int, bool]:
+        """The element that holds the chosen blocks, and whether it is an article or main element."""
+        held = self.held(chosen)
+        at = max(i for i, n in enumerate(held) if n >= MOST * held[0] and self.name[i] not in _LEAVES)
+        whole = 0
+        while at:
+            whole = at if self.name[at] in _WHOLE else whole
+            at = self.parent[at]
+        if whole:
+            return whole, True
+        return max(i for i, n in enumerate(held) if n >= NEARLY_ALL * held[0] and self.name[i] not in _LEAVES), False
+
+    def below(self, element: int) -> list[bool]:
+        out = [element == 0]
+        for i in range(1, len(self.parent)):
+            out.append(i == element or out[self.parent[i]])
+        return out
+
+
+def _ratios(blocks: list[tuple[int, str]], path: list[int], smoothing: int) -> list[float]:
+    """Each block's fused ratio: text length and punctuation by node of its path, smoothed over the blocks before and after."""
+    sums: dict[int, list[float]] = {}
+    for p, (_, text) in zip(path, blocks, strict=True):
+        own = sums.setdefault(p, [0, 0, 0])
+        own[0] += len(text)
+        own[1] += len(_PUNCTUATION.findall(text))
+        own[2] += 1
+    ratio = [(sums[p][0] / sums[p][2], (sums[p][1] + 0.1) / sums[p][2]) for p in path]
+    near = [ratio[max(0, i - smoothing) : i + smoothing + 1] for i in range(len(ratio))]
+    return [sum(x for x, _ in r) / len(r) * (sum(y for _, y in r) / len(r)) ** 0.5 for r in near]
+
+
+def _means(keys: list, values: list[float], weights: list[int]) -> dict:
+    """Weighted mean of the values by key."""
+    sums: dict = {}
+    for key, value, weight in zip(keys, values, weights, strict=True):
+        own = sums.setdefault(key, [0.0, 0])
+        own[0] += value * weight
+        own[1] += weight
+    return {key: total / weight for key, (total, weight) in sums.items()}
 
 
 def main_text(page: str | None, smoothing: int = 1, strictness: float = 0.35) -> str:
@@ -144,41 +258,26 @@ def main_text(page: str | None, smoothing: int = 1, strictness: float = 0.35) ->
 
     ``strictness`` is the share of the mean fused ratio, weighted by text, that a path must reach.
     """
-    blocks = _blocks(page) if page else []
-    if not blocks:
+    tree = _Page(page) if page else None
+    if not tree or not tree.blocks:
         return ""
-    length: dict[str, list[float]] = {}
-    for _, path, text in blocks:
-        sums = length.setdefault(path, [0, 0, 0])
-        sums[0] += len(text)
-        sums[1] += len(_PUNCTUATION.findall(text))
-        sums[2] += 1
-    ratio = [(length[p][0] / length[p][2], (length[p][1] + 0.1) / length[p][2]) for _, p, _ in blocks]
-    near = [ratio[max(0, i - smoothing) : i + smoothing + 1] for i in range(len(ratio))]
-    fused = [sum(x for x, _ in r) / len(r) * (sum(y for _, y in r) / len(r)) ** 0.5 for r in near]
-    by_path: dict[str, list[float]] = {}
-    for (_, path, text), f in zip(blocks, fused, strict=True):
-        s = by_path.setdefault(path, [0.0, 0.0])
-        s[0] += f * len(text)
-        s[1] += len(text)
-    score = {p: s[0] / s[1] for p, s in by_path.items()}
-    bar = strictness * sum(s[0] for s in by_path.values()) / sum(s[1] for s in by_path.values())
-    chosen = [b for b in blocks if score[b[1]] >= bar] or blocks
-    # the deepest element, no mere paragraph, that holds most of the chosen text, if an article or main element is around it
-    weight: dict[int, int] = {}
-    name: dict[int, str] = {}
-    for numbers, path, text in chosen:
-        for n, label in zip(numbers, path.split("/"), strict=False):
-            weight[n] = weight.get(n, 0) + len(text)
-            name[n] = label.split(".")[0]
-    total = sum(len(text) for _, _, text in chosen)
-    holder = max((n for n, w in weight.items() if w >= MOST * total and name[n] not in _LEAVES), default=0)
-    around = next((numbers for numbers, _, _ in chosen if holder in numbers), ())
-    whole = next((n for n in around if n <= holder and name[n] in ("article", "main")), 0)
-    if whole:
-        return "\n".join(text for numbers, _, text in blocks if whole in numbers)
-    holder = max((n for n, w in weight.items() if w >= NEARLY_ALL * total and name[n] not in _LEAVES), default=0)
-    return "\n".join(text for numbers, _, text in blocks if not holder or holder in numbers)
+    blocks, role = tree.blocks, tree.roles()
+    path, weights = [tree.path[e] for e, _ in blocks], [len(text) for _, text in blocks]
+    ratio = _ratios(blocks, path, smoothing)
+    fused = [r * role[e] for r, (e, _) in zip(ratio, blocks, strict=True)]
+    score = _means(path, fused, weights)
+    bar = strictness * _means([0] * len(blocks), fused, weights)[0]
+    holder, whole = tree.container([b for b, p in zip(blocks, path, strict=True) if score[p] >= bar])
+
+    below = tree.below(holder)
+    sides = [below[e] for e, _ in blocks]
+    by_side = _means(sides, ratio, weights)
+    by_path = _means(list(zip(path, sides, strict=True)), ratio, weights)
+    best = by_side[True]
+    place = {True: 1.0, False: OUTSIDE_ARTICLE if whole else OUTSIDE}
+    # the ratio of a path and of its side, each as a share of the container's
+    final = {(p, s): place[s] * (min(1.0, r / best) + min(1.0, by_side[s] / best)) / 2 for (p, s), r in by_path.items()}
+    return "\n".join(text for (e, text), p, s in zip(blocks, path, sides, strict=True) if role[e] * final[p, s] >= strictness)
 
 
 def extract(pages: DataFrame) -> DataFrame:

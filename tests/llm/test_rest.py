@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -307,6 +308,85 @@ def test_no_chosen_part_of_a_page_is_dropped():
     assert html.main_text(f"<body><div class=has-sidebar>{inner}</div></body>").split("\n") == [para(i) for i in range(5)]
 
 
-def test_elements_below_the_deepest_close_themselves():
-    deep = "<div>" * html.DEEPEST
-    assert html.main_text(f"<article>{deep}<p>One, two.</p><nav>Menu, links.</nav><div>Three, four.</div>{'</div>' * html.DEEPEST}<p>Five, six.</p></article>").split("\n") == ["One, two.", "Three, four.", "Five, six."]
+def test_deep_elements_close_themselves():
+    deep = "<div>" * 600
+    assert html.main_text(f"<article>{deep}<p>One, two.</p><nav>Menu, links.</nav><div>Three, four.</div>{'</div>' * 600}<p>Five, six.</p></article>").split("\n") == ["One, two.", "Three, four.", "Five, six."]
+
+
+def test_names_do_not_drop_parts_of_the_article():
+    long = "A long sentence, with commas, that goes on. " * 10
+    page = f'<nav>Home</nav><article><div class="article-header"><h1>Title</h1></div><header><p>Lead.</p></header><p>{long}</p><section id="related-work"><h2>Work</h2><p>Others, too.</p></section><div class="share">Share this, now.</div><div class="article-comments"><p>First, of course.</p></div></article><header>Site, name.</header>'
+    assert html.main_text(page).split("\n") == ["Title", "Lead.", long.strip(), "Work", "Others, too."]
+
+
+def test_broken_pages_take_linear_time():
+    units = ["<a", '<a "', "<a '\">", "<div>", "<b>", "</b>", "<b><p>x", "<!--", "<!", "<![CDATA[", "<script>", "<p class='", "&#", "<div class=x>w, ", "<div>x</span>", "< ", "<title>", "<b>" * 200 + "<p>x</p>", "<i></b>", "<p a=\"'>"]
+    for unit in units:
+        times = []
+        for n in (40_000, 320_000):
+            page = unit * (n // len(unit))
+            began = time.perf_counter()
+            html.main_text(page)
+            times.append(time.perf_counter() - began)
+        assert times[1] < 24 * times[0] + 0.3, unit
+    began = time.perf_counter()
+    html.main_text("<a" * 1_000_000)
+    assert time.perf_counter() - began < 1
+
+
+def test_tokens_of_a_page():
+    def pieces(page):
+        return [x[0] or (x[2] and ("/" if x[1] else "") + x[2] + x[3]) for x in html._pieces(page)]
+
+    assert pieces('a<b title="x > y">c</b >d') == ["a", 'b title="x > y"', "c", "/b ", "d"]
+    assert pieces("1 < 2 <b>x") == ["1 ", "<", " 2 ", "b", "x"] and pieces("x <y") == ["x ", "<y"]
+    assert pieces("<!-- <p> -->a<!x>b<![CDATA[c & d]]>e<?php ?>f") == ["a", "b", "c &amp; d", "e", "f"]
+    assert pieces("<script>if (a<b) '</p>'</script>x<style>y") == ["script", "x", "style"]
+    assert pieces('<p title="open>text</p>') == ['p title="open', "text", "/p"]
+
+
+def test_path_scores_are_those_of_plain_loops(sf):
+    import pyarrow.parquet as pq
+
+    texts = [PAGE, *pq.read_table(f"{sf}/pages.parquet").column("html").to_pylist()[:40]]
+    long = "A sentence, with commas. " * 20
+    texts += [f"<div id=c><h1>T</h1><p>{long}</p><div class=note-box>Small, print.</div></div><div><p>{long[:60]}</p><ul><li>x</li><li>y</li></ul></div><p>{long[:90]}</p>"]
+    for page in texts:
+        tree = html._Page(page)
+        chains = []
+        for e, text in tree.blocks:
+            chain = [e]
+            while chain[-1]:
+                chain.append(tree.parent[chain[-1]])
+            chains.append((chain[::-1], text))
+        label = {i: (tree.name[i], tree.path[i]) for i in range(len(tree.parent))}
+        path = [tuple(label[i] for i in chain) for chain, _ in chains]
+
+        def own(p, path=path, chains=chains):
+            texts = [t for q, (_, t) in zip(path, chains, strict=True) if q == p]
+            return sum(map(len, texts)) / len(texts), (sum(c in ".,;:!?\u2026" for t in texts for c in t) + 0.1) / len(texts)
+
+        ratio = []
+        for i in range(len(path)):
+            near = [own(p) for p in path[max(0, i - 1) : i + 2]]
+            ratio.append(sum(x for x, _ in near) / len(near) * (sum(y for _, y in near) / len(near)) ** 0.5)
+        roles = tree.roles()
+        size = [len(t) for _, t in chains]
+
+        def mean(values, which, size=size):
+            return sum(v * s for v, s, w in zip(values, size, which, strict=True) if w) / sum(s for s, w in zip(size, which, strict=True) if w)
+
+        fused = [r * roles[e] for r, (e, _) in zip(ratio, tree.blocks, strict=True)]
+        all_ = [True] * len(path)
+        chosen = [b for b, p in zip(tree.blocks, path, strict=True) if mean(fused, [q == p for q in path]) >= 0.35 * mean(fused, all_)]
+        holder, whole = tree.container(chosen)
+        inside = [holder in chain for chain, _ in chains]
+        want = []
+        for i, (_, text) in enumerate(chains):
+            side = [x == inside[i] for x in inside]
+            r = mean(ratio, [p == path[i] and s for p, s in zip(path, side, strict=True)])
+            best = mean(ratio, inside)
+            score = (min(1, r / best) + min(1, mean(ratio, side) / best)) / 2 * (1 if inside[i] else 0.3 if whole else 0.5) * roles[tree.blocks[i][0]]
+            if score >= 0.35:
+                want.append(text)
+        assert html.main_text(page) == "\n".join(want)

@@ -72,12 +72,12 @@ def _spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 class Table:
     """Items of one kind, each with the languages that have it and what its log frequency there exceeds that of an unseen item by."""
 
-    def __init__(self, n_langs: int, items: list[str], langs: list[np.ndarray], counts: list[np.ndarray]):
-        self.items = items
-        self.length = np.array([len(x) for x in langs], np.int64)
+    def __init__(self, n_langs: int, items: list[str], item: np.ndarray, lang: np.ndarray, n: np.ndarray):
+        """``item``, ``lang`` and ``n`` are the numbers of items and languages, and the counts, of all entries in any order."""
+        order = np.lexsort((lang, item))
+        self.items, self.lang, n = items, np.asarray(lang, np.int32)[order], np.asarray(n, np.float64)[order]
+        self.length = np.bincount(item, minlength=len(items))
         self.start = np.cumsum(self.length) - self.length
-        self.lang = np.concatenate(langs).astype(np.int32) if langs else np.empty(0, np.int32)
-        n = np.concatenate(counts).astype(np.float64) if counts else np.empty(0)
         #: log frequency of an unseen item by language
         self.floor = np.log(SMOOTH / (np.bincount(self.lang, n, n_langs) + SMOOTH * len(items) + SMOOTH))
         self.gain = np.log((n + SMOOTH) / SMOOTH).astype(np.float32)
@@ -113,16 +113,17 @@ def train(docs: DataFrame, held_out: tuple[int, int] = (4, 2), per_lang: int = S
     short_batches(docs.sparkSession)
     sample = materialize(_sampled(known, per_lang, most), "langid-sample")
     counts = sample.mapInPandas(_partial_counts, "kind string, item string, lang string, n long").groupBy("kind", "item", "lang").agg(F.sum("n").alias("n"))
-    by_item = counts.groupBy("kind", "item").agg(F.collect_list("lang").alias("langs"), F.collect_list("n").alias("n"))
-    by_item = materialize(by_item, "langid-counts")  # what the sample holds, at most
+    counts = materialize(counts, "langid-counts")  # what the sample holds, at most
     langs = sorted((r["lang"] for r in sample.select("lang").distinct().collect()), key=lambda x: x.encode("utf-8", "surrogatepass"))
-    at = {k: i for i, k in enumerate(langs)}
     tables = []
     for kind in "wg":
-        rows = by_item.where(F.col("kind") == kind).select("item", "langs", "n").toPandas()
-        tables.append(Table(len(langs), list(rows["item"]), [np.array([at[k] for k in own]) for own in rows["langs"]], list(rows["n"])))
+        rows = counts.where(F.col("kind") == kind).select("item", "lang", "n").toArrow()
+        item, lang = (rows.column(c).combine_chunks().dictionary_encode() for c in ("item", "lang"))
+        at = {k: i for i, k in enumerate(langs)}
+        number = np.array([at[k] for k in lang.dictionary.to_pylist()], np.int64)
+        tables.append(Table(len(langs), item.dictionary.to_pylist(), item.indices.to_numpy(), number[lang.indices.to_numpy()], rows.column("n").to_numpy()))
     discard(sample)
-    discard(by_item)
+    discard(counts)
     return Model(langs, *tables)
 
 

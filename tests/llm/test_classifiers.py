@@ -112,7 +112,8 @@ def test_repetition_is_counted_alike_at_every_length():
 
 
 def table(n_langs, counts):
-    return langid.Table(n_langs, list(counts), [np.array(sorted(c)) for c in counts.values()], [np.array([c[k] for k in sorted(c)]) for c in counts.values()])
+    entries = np.array([(i, lang, n) for i, c in enumerate(counts.values()) for lang, n in c.items()])
+    return langid.Table(n_langs, list(counts), *entries.T)
 
 
 def plain_language(langs, words, grams, text):

@@ -1,11 +1,13 @@
 """Distributed sums of dense vectors, and training by averaged local gradient steps.
 
-A model is one flat float32 vector of documented size. Each task returns its vector cut into blocks, Spark adds the blocks up by
-block number, and only the one summed vector reaches the driver, whatever the number of tasks.
+A model is one flat float32 vector of documented size. Each task returns its vector cut into small blocks, which are added up as a
+stream wherever their numbers send them, so no task holds more than its blocks' sums and one batch; only the one summed vector reaches
+the driver, whatever the number of tasks.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -14,30 +16,33 @@ from pyspark.sql import DataFrame
 
 from .store import short_batches
 
-_BLOCKS = 64
+_BLOCK = 32_768
 
 
 def sum_vectors(data: DataFrame, partial: Callable[[Iterable[pd.DataFrame]], np.ndarray], size: int) -> np.ndarray:
     """Add up the float32 vectors of length ``size`` that ``partial`` makes of each partition's pandas batches."""
-    step = -(-size // _BLOCKS)
 
     def cut(batches):
         vector = np.asarray(partial(batches), np.float32)
         assert len(vector) == size
-        blocks = [(b, vector[b * step : (b + 1) * step]) for b in range(_BLOCKS)]
-        yield pd.DataFrame([(b, part.tobytes()) for b, part in blocks if part.any()], columns=["block", "part"])
-
-    def add(key, pdf):
-        total = np.zeros_like(np.frombuffer(pdf["part"].iloc[0], np.float32), np.float64)
-        for part in pdf["part"]:
-            total += np.frombuffer(part, np.float32)
-        return pd.DataFrame({"block": [key[0]], "part": [total.astype(np.float32).tobytes()]})
+        for start in range(0, size, 32 * _BLOCK):
+            blocks = [(at // _BLOCK, vector[at : at + _BLOCK]) for at in range(start, min(size, start + 32 * _BLOCK), _BLOCK)]
+            yield pd.DataFrame([(b, zlib.compress(part.tobytes(), 1)) for b, part in blocks if part.any()], columns=["block", "part"])
+
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for block, part in zip(pdf["block"], pdf["part"], strict=True):
+                values = np.frombuffer(zlib.decompress(part), np.float32)
+                totals[block] = totals[block] + values if block in totals else values.astype(np.float64)
+        for block, total in totals.items():
+            yield pd.DataFrame({"block": [block], "part": [total.astype(np.float32).tobytes()]})
 
     short_batches(data.sparkSession)
-    parts = data.mapInPandas(cut, "block int, part binary").groupBy("block").applyInPandas(add, "block int, part binary")
+    parts = data.mapInPandas(cut, "block int, part binary").repartition("block").mapInPandas(add, "block int, part binary")
     out = np.zeros(size, np.float32)
-    for block, part in parts.collect():
-        out[block * step : (block + 1) * step] = np.frombuffer(part, np.float32)
+    for block, part in parts.toLocalIterator():
+        out[block * _BLOCK : (block + 1) * _BLOCK] = np.frombuffer(part, np.float32)
     return out
 
 

@@ -43,20 +43,122 @@ def test_base_scores(spark, sf, monkeypatch, head):
         assert r["base_score"] == pytest.approx(base(t), rel=1e-9) and r["score"] < 0
 
 
-def test_model_is_a_distribution_and_beats_the_base():
+def test_model_is_a_distribution():
     head = [b"", *[f"w{i}".encode() for i in range(40)]]
-    model = lm.Model(list(head), np.array([50, *range(400, 0, -10)]), 10_000, 500)
+    classes = np.random.default_rng(1).integers(-1, 3, 41)
+    model = lm.Model(list(head), np.array([50, *range(400, 0, -10)]), 10_000, 500, classes)
     rng = np.random.default_rng(0)
-    model.params = rng.normal(0, 0.3, lm.SIZE).astype(np.float32)
-    # over all next words after one history, those outside the vocabulary together, probabilities sum to 1
-    total = 0.0
-    for w in [*range(41), 41]:
-        ids = np.array([3, 5, w])
-        p = 10 ** lm.log10_model(model, np.where(ids == 41, lm.VOCABULARY, ids), np.array([0]))[2]
-        total += p
+    model.tables = [rng.normal(0, 0.5, t.shape).astype(np.float32) for t in model.tables]
+    # over all next words after one history, those outside the head together, probabilities sum to 1
+    total = sum(10 ** lm.log10_model(model, np.array([3, 5, w]), np.array([0]))[2] for w in range(42))
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_every_word_has_its_own_digits(monkeypatch):
+    monkeypatch.setattr(lm, "WIDTH", 3)
+    n = 200
+    classes = np.where(np.arange(n) < 100, 0, np.arange(n) % 4 - 1)  # one class of over 27 words, and words of none
+    model = lm.Model([b"%d" % i for i in range(n)], np.arange(n, 0, -1), 50_000, 900, classes)
+    assert len({tuple(model.digit[:, i]) for i in range(n + 1)}) == n + 1 and model.digit[1:].max() < 3
+    assert all(0 <= model.digit[level].min() and model.digit[level].max() < outs for level, outs in enumerate(model.outs))
+
+
+def plain_scores(rows):
+    """The whole model by loops over tokens: classes' neighbours, biases, two rounds of sums, probabilities."""
+    train = [(t, half) for i, t, half in rows if i is not None and zlib.crc32(str(i).encode()) % 10]
+    counts = Counter(w for t, _ in train for w in tokens(t))
+    head = sorted(counts, key=lambda w: (-counts[w], w))
+    number = {w: i for i, w in enumerate(head)}
+    near = np.zeros((len(head), 2 * lm.MARKS))
+    for t, _ in train:
+        ids = [number[w] for w in tokens(t)]
+        for i in range(len(ids)):
+            for d in (1, 2):
+                if i + d < len(ids) and ids[i] < lm.MARKS:
+                    near[ids[i + d], ids[i]] += 1
+                if i + d < len(ids) and ids[i + d] < lm.MARKS:
+                    near[ids[i], lm.MARKS + ids[i + d]] += 1
+    classes = lm.word_classes(near.astype(np.float32), np.array([counts[w] for w in head]))
+    total, mass = sum(counts.values()), {}
+    kinds = sorted(set(classes[classes >= 0].tolist()))
+    assert len(head) < lm.WIDTH**lm.DIGITS
+    of = [kinds.index(c) if c >= 0 else len(kinds) for c in classes]
+    others = len(kinds) + (-1 in classes)
+    place, path = Counter(), {}
+    for w, c in zip(head, of, strict=True):
+        r = place[c]
+        place[c] += 1
+        path[w] = (c, r // lm.WIDTH**2, r // lm.WIDTH % lm.WIDTH, r % lm.WIDTH)
+    path[None] = (others,)
+    for w, p in path.items():
+        n = counts[w] if w is not None else lm.SMOOTH
+        for level in range(len(p)):
+            key = p[:level], p[level]
+            mass[key] = mass.get(key, 0) + n
+            mass[p[:level]] = mass.get(p[:level], 0) + n
+    model = lm.Model(head, np.array([counts[w] for w in head]), total, len(head), classes)
+    nodes = {p[:level]: int(model.node[level][number[w]]) for w, p in path.items() if w is not None for level in range(len(p))}
+    nodes[()] = 0
+    outs = {}
+    for p in path.values():
+        for level in range(len(p)):
+            outs.setdefault(p[:level], set()).add(p[level])
+    weight, seen = {}, Counter()
+
+    def features(one, two, prefix):
+        level, node = len(prefix), nodes[prefix]
+        return [(level, int(r[0])) for r in lm._features(np.array([one]), np.array([two]), np.array([node]), level, model.bits)]
+
+    def softmax(prefix, rows):
+        z = {o: math.log(mass[prefix, o] / mass[prefix]) + sum(s * weight.get((r, o), 0.0) for s, r in zip(lm.SHARES, rows, strict=False)) for o in outs[prefix]}
+        top = sum(math.exp(x) for x in z.values())
+        return {o: math.exp(x) / top for o, x in z.items()}
+
+    def events(text):
+        one, two = 0, 0
+        for w in tokens(text):
+            known = w if w in number else None
+            for level in range(len(path[known])):
+                yield w, path[known][:level], path[known][level], features(one, two, path[known][:level])
+            one, two = number.get(w, len(head)) + 2, one if one > 1 else (1 if one == 0 else one)
+
+    for half in range(2):
+        observed, expected, n = Counter(), Counter(), Counter()
+        for t, of_half in train:
+            for _, prefix, out, features_ in events(t) if of_half == half else ():
+                p = softmax(prefix, features_)
+                for r in features_:
+                    n[r] += 1
+                    observed[r, out] += 1
+                    for o, x in p.items():
+                        expected[r, o] += x
+        for r, o in expected:
+            had = lm.DAMP + seen[r]
+            weight[r, o] = weight.get((r, o), 0.0) + math.log((observed[r, o] * n[r] / max(expected[r, o], 1e-6) + had) / (n[r] + had))
+        seen.update(n)
+    for _, text, _ in rows:
+        score = sum(math.log10(softmax(prefix, found)[out]) for _, prefix, out, found in events(text))
+        yield score + sum(math.log10(lm.SMOOTH / lm.SMOOTH) for w in tokens(text) if w not in number)
+
+
+def test_scores_are_those_of_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(lm, "MOST_BITS", 20)
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(words[:15] if i % 2 else words[12:], rng.integers(1, 25))) for i in range(60)] + ["w1 new word w2", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [(r["doc_id"], r["text"], r["half"]) for r in docs.withColumn("half", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2))).collect()]
+    want = dict(zip([r[0] for r in rows], plain_scores(rows), strict=True))
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs.repartition(3)).collect()}
+    assert got == {i: pytest.approx(x, abs=2e-3) for i, x in want.items()}
+
+
+def test_scores_do_not_hang_on_partitions(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(80)
+    one, many = ({r["doc_id"]: r["score"] for r in lm.score(docs.repartition(n)).collect()} for n in (1, 16))
+    assert one == {i: pytest.approx(x, rel=1e-4) for i, x in many.items()}
+
+
 def test_training_learns_what_follows(spark):
     text = " ".join(["red green blue"] * 40)
     docs = spark.createDataFrame([(i, text) for i in range(200)] + [(1000 + i, " ".join(np.random.default_rng(i).permutation(["red", "green", "blue"] * 40))) for i in range(50)], "doc_id long, text string")

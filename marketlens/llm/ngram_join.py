@@ -6,7 +6,8 @@ are joined by the shingles of their prefixes, group pairs are filtered by size a
 is expanded to the members, whose whole sets are compared exactly.
 
 The order needs only to be the same for all documents, so frequencies come from a count sketch of fixed size, built from all
-documents. Shingles in many prefixes are not expanded into pairs: their groups become one cluster, and clusters are verified in
+documents. Shingles in many prefixes are not expanded into pairs: groups that could link by them, given how many rarer shingles stand
+before them and the sizes of both, hang on one of them (see ``_stars``). What hangs together is a cluster, and clusters are verified in
 bounded cells (see ``_verify``), so no group of copies is multiplied out or meets in one task.
 """
 
@@ -17,18 +18,20 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import broadcast_if_small, discard, map_texts, materialize, short_batches
+from .store import broadcast_if_small, discard, join_by_count, map_texts, materialize, short_batches
 from .text import shingle_set
 
 SHINGLE, NUM, DEN = 4, 85, 100
 #: Shared shingles asked for beyond the first, in hundredths of a set's size. Longer prefixes, but far fewer chance pairs.
 EXTRA = 5
-#: The sketch: cells of one byte, for the shingles whose hash lies in the first ``_DOMAIN`` of all hashes.
-SKETCH_BITS, _DOMAIN = 24, 0.4
+#: The sketch: cells of one byte, a logarithm in sixths.
+SKETCH_BITS = 24
+#: Sizes of sets that are told apart when hot shingles are met grow by this factor.
+BAND = 1.05
 _BLOCKS = 64
 #: Prefix shingles of more groups than this are clustered, not paired.
 HOT = 12
@@ -47,38 +50,37 @@ def share(n, extra: int = EXTRA):
     return 1 + n * extra // 100
 
 
-def _domain(s: np.ndarray) -> int:
-    return int(np.searchsorted(s, np.uint64(int(_DOMAIN * 2**64))))
-
-
 def _cell(s: np.ndarray) -> np.ndarray:
     return ((s * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """Saturating counts of all documents' shingles by cell: 2 ** SKETCH_BITS bytes, whatever the input."""
+    """Logarithms of the counts of all documents' shingles by cell: 2 ** SKETCH_BITS bytes, whatever the input."""
     step = (1 << SKETCH_BITS) // _BLOCKS
 
     def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.uint8)
+        total = np.zeros(1 << SKETCH_BITS, np.uint16)
         for pdf in batches:
             for text in pdf["text"]:
                 if text:
-                    s = shingle_set(text, k)
-                    at = _cell(s[: _domain(s)])
-                    total[at] = np.minimum(total[at], 254) + 1
+                    at = _cell(shingle_set(text, k))
+                    total[at] = np.minimum(total[at], 65_534) + 1
         for b in range(_BLOCKS):
             part = total[b * step : (b + 1) * step]
             if part.any():
                 yield pd.DataFrame({"block": [b], "part": [zlib.compress(part.tobytes(), 1)]})
 
-    def add(key, pdf):
-        total = np.zeros(step, np.int64)
-        for part in pdf["part"]:
-            total += np.frombuffer(zlib.decompress(part), np.uint8)
-        return pd.DataFrame({"block": [key[0]], "part": [zlib.compress(np.minimum(total, 255).astype(np.uint8).tobytes(), 1)]})
-
-    parts = docs.select("text").mapInPandas(count, "block int, part binary").groupBy("block").applyInPandas(add, "block int, part binary")
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for block, part in zip(pdf["block"], pdf["part"], strict=True):
+                values = np.frombuffer(zlib.decompress(part), np.uint16)
+                totals[block] = totals[block] + values if block in totals else values.astype(np.int64)
+        for block, total in totals.items():
+            code = np.minimum(np.round(6 * np.log2(1 + total)), 255).astype(np.uint8)
+            yield pd.DataFrame({"block": [block], "part": [zlib.compress(code.tobytes(), 1)]})
+
+    parts = docs.select("text").mapInPandas(count, "block int, part binary").repartition("block").mapInPandas(add, "block int, part binary")
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
     for block, part in parts.collect():
         out[block * step : (block + 1) * step] = np.frombuffer(zlib.decompress(part), np.uint8)
@@ -99,9 +101,10 @@ def _describe(shared, k: int, num: int, den: int):
                     rows.append((0, None, None, None, False))
                     continue
                 length = min(n, n - int(needed(n, num, den)) + int(share(n)))
-                inside = _domain(s)
-                order = np.argsort(counts[_cell(s[:inside])], kind="stable")  # s is sorted, so ties keep the order of hashes
-                prefix = np.concatenate([s[:inside][order], s[inside:]])[:length].view(np.int64)
+                # the first ones in the order of counts; s is sorted, so ties keep the order of hashes
+                count = counts[_cell(s)]
+                first = np.flatnonzero(count <= np.partition(count, length - 1)[length - 1]) if length < n else np.arange(n)
+                prefix = s[first[np.argsort(count[first], kind="stable")]][:length].view(np.int64)
                 key = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
                 group = int.from_bytes(hashlib.blake2b(n.to_bytes(8, "little") + prefix.tobytes(), digest_size=8).digest(), "little", signed=True)
                 new = group not in seen
@@ -117,9 +120,9 @@ def _describe(shared, k: int, num: int, den: int):
 def _candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): edges over groups such that groups with members that may link are in one component."""
     groups = rows.where(F.col("group").isNotNull()).select("group", "n").distinct()
-    postings = rows.where(F.col("prefix").isNotNull()).select("group", F.explode("prefix").alias("shingle"))
+    postings = rows.where(F.col("prefix").isNotNull()).select("group", F.posexplode("prefix").alias("pos", "shingle"))
     met = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("group").alias("lo"), F.max("group").alias("hi")).where(F.col("lo") < F.col("hi"))
-    shared = postings.join(met.select("shingle", "c"), "shingle").distinct().join(groups, "group")
+    shared = postings.join(met.select("shingle", "c"), "shingle").distinct().join(groups, "group")  # a group's prefix is one
     shared = materialize(shared, "prefix-shared")
     hot = shared.where(F.col("c") > HOT)
     hot_of = materialize(hot.groupBy("group").agg(F.count(F.lit(1)).alias("hot")), "prefix-hot")
@@ -135,13 +138,38 @@ def _candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
     least = F.lit(1) + F.floor(F.col("n") * EXTRA / 100) - F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
     pairs = pairs.where(F.col("common") >= least).select("a", "b")
 
-    # many groups have the shingle: those with enough such shingles to link by them alone hang on the smallest
-    smallest_partner = F.ceil(F.col("n") * num / den)
-    able = hot.join(hot_of, "group").where(F.col("hot") >= 1 + F.floor(smallest_partner * EXTRA / 100))
-    able = able.groupBy("shingle", "group").agg(F.first("n").alias("n"))
-    centre = able.groupBy("shingle").agg(F.min("group").alias("b"))
-    stars = able.join(centre, "shingle").select(F.col("group").alias("a"), "b").where(F.col("a") != F.col("b")).distinct()
-    return pairs.union(stars)
+    return pairs.union(_stars(hot, num, den))
+
+
+def _band(n: Column) -> Column:
+    return F.floor(F.log(n) / float(np.log(BAND))).cast("int")
+
+
+def _stars(hot: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): edges that tie together the groups that may link by hot shingles alone, from (group, n, shingle, pos) of those.
+
+    Sets of sizes n and m that link share at least o = ceil(num * (n + m) / (num + den)) shingles, so their first n - o + c and m - o + c
+    share at least c, for any c. With c as in ``share``, a set in whose first n - o + c fewer than c are hot cannot link by them alone
+    with any set of size m, and of the h that are, the first h - c + 1 hold one that both have. Sizes m are taken in bands, by their least.
+    """
+    of = hot.groupBy("group").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "shingle"))).alias("hots")).withColumn("own", _band(F.col("n")))
+    n, band = F.col("n"), F.col("band")
+    bands = F.sequence(_band(F.greatest(F.floor(n * num / den), F.lit(1))), _band(F.ceil(n * den / num)))
+    low = F.greatest(F.floor(F.pow(F.lit(BAND), band)), F.ceil(n * num / den), F.lit(1))
+    met = of.select("group", "n", "hots", "own", F.explode(bands).alias("band")).withColumn("low", low.cast("long"))
+    met = met.withColumn("c", (1 + F.floor(F.least("n", "low") * EXTRA / 100)).cast("int"))
+    met = met.withColumn("upto", n - F.ceil((n + F.col("low")) * num / (num + den)) + F.col("c"))
+    met = met.withColumn("h", F.size(F.filter("hots", lambda x: x["pos"] < F.col("upto")))).where(F.col("h") >= F.col("c"))
+    first = F.slice("hots", F.lit(1), F.col("h") - F.col("c") + 1)
+    met = met.select("group", "own", "band", F.explode(F.transform(first, lambda x: x["shingle"])).alias("shingle"))
+    met = met.select("group", "shingle", F.least("own", "band").alias("lo"), F.greatest("own", "band").alias("hi"), (F.col("own") <= F.col("band")).alias("low"), (F.col("own") >= F.col("band")).alias("high"))
+    met = materialize(met, "prefix-met")
+    key = ["shingle", "lo", "hi"]
+    least = met.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.min(F.when(F.col("low"), F.col("group"))).alias("low_group"), F.min(F.when(F.col("high"), F.col("group"))).alias("high_group"))
+    least = materialize(least.where(F.col("low_group").isNotNull() & F.col("high_group").isNotNull() & (F.col("rows") > 1)), "prefix-least")
+    other = F.when(F.col("low"), F.col("high_group")).otherwise(F.col("low_group"))
+    stars = join_by_count(met, least, key, "rows", BROADCAST_ROWS).select(F.col("group").alias("a"), other.alias("b"))
+    return stars.where(F.col("a") != F.col("b")).distinct()
 
 
 def _links(sets: list[np.ndarray], num: int, den: int, rows: slice, cols: slice) -> np.ndarray:
@@ -192,10 +220,11 @@ def _verify(members: DataFrame, num: int, den: int) -> DataFrame:
     each with the same few pivots, which tie the cells' components together. Sets that then are not in the cluster's largest component
     are compared with the sets of every cell, in chunks, so that no link between components is missed.
     """
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    large_ones = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CELL)
+    large_ones = broadcast_if_small(materialize(large_ones, "join-large"), BROADCAST_ROWS)  # at most one in CELL of all sets
     spot = F.pmod(F.xxhash64("key"), F.lit(1 << 31))
-    sized = members.join(sizes, "cluster").withColumn("cells", F.when(F.col("size") <= CELL, 1).otherwise(F.ceil(F.col("size") * 2 / CELL)).cast("int"))
-    sized = materialize(sized.withColumn("cell", (F.xxhash64("key", F.lit("cell")) % F.col("cells")).cast("int")).withColumn("cell", F.pmod("cell", "cells")), "join-members")
+    sized = members.join(large_ones, "cluster", "left").withColumn("cells", F.when(F.col("size").isNull(), 1).otherwise(F.ceil(F.col("size") * 2 / CELL)).cast("int"))
+    sized = materialize(sized.withColumn("cell", F.pmod(F.xxhash64("key", F.lit("cell")), F.col("cells")).cast("int")), "join-members")
     pivot = sized.where((F.col("cells") > 1) & (spot * F.col("size") < PIVOTS * float(1 << 31)))
     dealt = sized.select("cluster", "cell", "key", "data").union(
         pivot.select("cluster", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("at"), "key", "data", "cell").where(F.col("at") != F.col("cell")).select("cluster", "at", "key", "data")
@@ -258,8 +287,11 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN)
     rows, of_set = _join(docs, k, num, den)
     placed = rows.where(F.col("n") > 0).select("doc_id", "text_key", "set_key").join(of_set.select("set_key", "root"), "set_key")
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("text_key").alias("text"))
-    first = placed.groupBy("root").agg(F.min(rank).alias("first"))
-    gone = placed.join(first, "root").where(rank != F.col("first")).select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_text")).distinct()
+    placed = materialize(placed, "join-roots")
+    first = placed.groupBy("root").agg(F.min(rank).alias("first")).select(F.col("first.id").alias("_id"), F.col("first.text").alias("_text"))
+    # a text is in one component, so a row is its component's first just where id and text are those of a first
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text"))
+    gone = placed.join(first, same, "left_anti").select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_text")).distinct()
     gone = broadcast_if_small(materialize(gone, "copies"), BROADCAST_ROWS)
     own = F.xxhash64(F.col("_kept.text"))
     kept = docs.alias("_kept").join(gone, F.col("_kept.doc_id").eqNullSafe(F.col("_gone_id")) & (own == F.col("_gone_text")), "left_anti")
@@ -286,22 +318,28 @@ def _join(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
     sets = materialize(sets, "join-sets")
     clusters = components(_candidates(rows, num, den))
     placed = sets.join(clusters, sets["group"] == clusters["node"], "left").select(F.coalesce("root", "group").alias("cluster"), "set_key", "text_key")
-    several = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    wanted = materialize(placed.join(several, "cluster").select("cluster", "set_key", "text_key"), "join-wanted")
+    placed = materialize(placed, "join-clusters")
+    several = materialize(placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "join-several")
+    wanted = materialize(join_by_count(placed, several, "cluster", "size", BROADCAST_ROWS).select("cluster", "set_key", "text_key"), "join-wanted")
 
     texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(broadcast_if_small(wanted, BROADCAST_ROWS), "text_key")
 
     def data(batches):
+        seen: set[int] = set()
         for pdf in batches:
-            pdf["data"] = [shingle_set(x, k).tobytes() for x in pdf.pop("text")]
-            yield pdf.drop_duplicates("key")
+            pdf = pdf.drop_duplicates("key")
+            pdf = pdf[~pdf["key"].isin(seen)]
+            if len(seen) < 1_000_000:  # copies that slip through are dropped behind
+                seen.update(pdf["key"].tolist())
+            yield pdf.assign(data=[shingle_set(x, k).tobytes() for x in pdf["text"]])[["cluster", "key", "data"]]
 
     members = texts.select("cluster", F.col("set_key").alias("key"), "text").mapInPandas(data, "cluster long, key long, data binary").dropDuplicates(["key"])
     linked = components(_verify(members, num, den))
 
     found = sets.join(linked, sets["set_key"] == linked["node"], "left").select("set_key", "first_id", F.coalesce("root", "set_key").alias("root"))
-    smallest = found.groupBy("root").agg(F.min("first_id").alias("component"))
-    return rows, found.join(smallest, "root").select("set_key", "root", "component")
+    found = materialize(found, "join-found")
+    smallest = materialize(found.groupBy("root").agg(F.min("first_id").alias("component"), F.count(F.lit(1)).alias("sets")), "join-smallest")
+    return rows, join_by_count(found, smallest, "root", "sets", BROADCAST_ROWS).select("set_key", "root", "component")
 
 
 ORACLE_SQL = r"""

@@ -47,6 +47,25 @@ def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+#: A key of more rows than this is joined apart from the others
+HOT_KEY = 1_000
+
+
+def join_by_count(rows: DataFrame, table: DataFrame, on: str | list[str], n: str, limit: int) -> DataFrame:
+    """``rows`` joined with the unique keys of ``table``, whose column ``n`` says how many rows have each key; the column goes.
+
+    Keys of many rows are few, at most one in HOT_KEY of all rows; they are broadcast where their count allows, so their rows stay where
+    they are and only the others are shuffled. Both tables are read twice and should be written ones.
+    """
+    hot = materialize(table.where(F.col(n) > HOT_KEY).drop(n), "hot-keys")
+    found = hot.limit(limit + 1).count()
+    if not 0 < found <= limit:
+        discard(hot)
+        return rows.join(table.drop(n), on)
+    hot = F.broadcast(hot)
+    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(table.where(F.col(n) <= HOT_KEY).drop(n), on))
+
+
 #: Rows of an Arrow batch, where the session has Spark's default of 10,000: texts are long rows, and a batch is held by the JVM and Python
 BATCH_ROWS = 1_000
 

@@ -70,6 +70,33 @@ def test_join_finds_the_components_of_all_links(spark, monkeypatch, seed, cell,
     assert sorted(map(tuple, out), key=repr) == sorted(plain_components(rows), key=repr)
 
 
+@pytest.mark.parametrize("hot", [1, 12])
+def test_templates_that_link_or_not(spark, monkeypatch, hot):
+    # one text with own words at random places in each copy, from far below the threshold to above it, and of several lengths
+    for name, value in (("HOT", hot), ("CELL", 8), ("PIVOTS", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(4)
+    rows = []
+    for g in range(3):
+        template = [f"t{g}w{i}" for i in range(150 + 40 * g)]
+        for i in range(40):
+            text = template[: len(template) - rng.choice([0, 0, 5, 15])]
+            at = rng.randrange(len(text))
+            rows.append((len(rows), " ".join(text[:at] + [f"own{g}x{i}x{j}" for j in range(rng.choice([0, 2, 6, 10, 14, 18, 25]))] + text[at:])))
+    out = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, out)) == sorted(plain_components(rows))
+
+
+def test_texts_that_share_a_template_but_do_not_link_are_no_cluster(spark):
+    template = [f"t{i}" for i in range(180)]
+    rows = [(i, " ".join(template + [f"own{i}x{j}" for j in range(26)])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = spark.sparkContext.broadcast(ngram_join.sketch(docs, 4))
+    described = ngram_join.map_texts(docs.withColumn("text_key", F.xxhash64("text")), ngram_join._describe(counts, 4, 85, 100), "text_key long, n long, set_key long, group long, prefix array<long>", "doc_id", "text_key", "text")
+    edges = ngram_join._candidates(ngram_join.materialize(described, "rows"), 85, 100)
+    assert edges.count() < 60
+
+
 def test_join_bears_odd_rows(spark):
     docs = documents(spark)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]

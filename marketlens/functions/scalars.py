@@ -45,6 +45,13 @@ def parse_scaled(text: Column, scale: int | Column, empty_integer_is_zero: bool
     return F.when(ok, F.when(negative, -value).otherwise(value))
 
 
+def parse_scaled_by(text: Column, factor: Column) -> Column:
+    """Decimal text times a power of ten, further digits cut off, with white space around it ignored. Null for what is no number, empty
+    text among it."""
+    scale = F.round(F.log10(factor)).cast("int")
+    return F.when(F.trim(text) != "", parse_scaled(text, scale))
+
+
 def derive_scale(text: Column) -> Column:
     """Number of characters after the point, trailing zeros too; 0 without a point."""
     return F.when(F.instr(text, ".") > 0, F.length(text) - F.instr(text, ".")).otherwise(0)

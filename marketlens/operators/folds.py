@@ -29,27 +29,32 @@ class Fold:
     state: str
 
 
-def run(df: DataFrame, fold: Fold, key: str | list[str], order: list) -> DataFrame:
-    """The rows with the fold's columns. ``order`` must be total within a key; keys may be null, and are one key then."""
+def run(df: DataFrame, fold: Fold, key: str | list[str], order: list, keep: list[str] | None = None) -> DataFrame:
+    """The rows with the fold's columns. ``order`` must be total within a key; keys may be null, and are one key then. Only keys, order,
+    what the fold reads and the columns ``keep`` go through Python; None keeps all."""
     keys = [key] if isinstance(key, str) else key
+    if keep is not None:
+        df = df.select(*dict.fromkeys([*keys, *order, *fold.reads, *keep]))
     added = T.StructType.fromDDL(fold.adds)
-    names = [f.name for f in added.fields]
     schema = T.StructType([*df.schema.fields, *added.fields])
     start, step, reads = fold.start, fold.step, fold.reads
 
     def carry(batches):
-        now, state = object(), start
+        last, state = None, start
         for pdf in batches:
+            if not len(pdf):
+                continue
+            own = pdf[keys].reset_index(drop=True)
+            before = own.shift()
+            new = ~((own == before) | (own.isna() & before.isna())).all(axis=1)
+            first = tuple(None if pd.isna(x) else x for x in own.iloc[0])
+            new[0], last = first != last, tuple(None if pd.isna(x) else x for x in own.iloc[-1])
             out = []
-            here = list(zip(*(pdf[k] for k in keys), strict=True))
-            for at, values in zip(here, zip(*(pdf[c] for c in reads), strict=True), strict=True):
-                at = tuple(None if pd.isna(x) else x for x in at)
-                if at != now:
-                    now, state = at, start
-                state, row = step(state, *values)
+            for changed, values in zip(new.tolist(), zip(*(pdf[c] for c in reads), strict=True), strict=True):
+                state, row = step(start if changed else state, *values)
                 out.append(row)
-            columns = dict(zip(names, zip(*out, strict=True), strict=True)) if out else {n: [] for n in names}
-            yield pdf.assign(**{n: pd.array(list(v), "Int64") if isinstance(f.dataType, T.LongType) else list(v) for (n, v), f in zip(columns.items(), added.fields, strict=True)})
+            columns = zip(added.fields, zip(*out, strict=True), strict=True)
+            yield pdf.assign(**{f.name: pd.array(list(v), "Int64") if isinstance(f.dataType, T.LongType) else list(v) for f, v in columns})
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(carry, schema)
 
@@ -314,6 +319,24 @@ def gateway() -> Fold:
     return Fold(("None", 0), step, ("event", "qty", "total_qty"), "status string, filled_qty long, invalid boolean", "status string, filled long")
 
 
+#: Orders as a journal's records leave them; a request starts anew, nothing changes an order in a terminal status or without a request.
+def _journal_order(state, now, event, exchange_id, qty, is_final):
+    status, filled, exchange, updated = state
+    if event == "submit":
+        return ("Pending", 0, -1, int(now)), ("Pending", 0, None, int(now))
+    if status not in ("None", "Filled", "Cancelled", "Rejected", "Expired"):
+        if event == "fill":
+            filled += int(qty)
+        if event == "ack":
+            exchange = int(exchange_id)
+        status = {"ack": "New", "fill": "Filled" if is_final else "PartiallyFilled", "cancel": "Cancelled", "reject": "Rejected", "expire": "Expired"}[event]
+        updated = int(now)
+    return (status, filled, exchange, updated), (status, filled, exchange if exchange >= 0 else None, updated)
+
+
+JOURNAL_ORDER = Fold(("None", 0, -1, 0), _journal_order, ("ts_ns", "event", "exchange_id", "qty", "is_final"), "status string, filled_qty long, exchange_order long, updated_ns long", "status string, filled long, exchange long, updated long")
+
+
 def faults(drop: int, corrupt: int, duplicate: int, seed: int) -> Fold:
     """Fault injection of a replay by one seeded xorshift generator: each frame may be dropped, else one byte inverted, then sent twice."""
     mask = (1 << 64) - 1

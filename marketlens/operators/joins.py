@@ -109,9 +109,10 @@ def untracked_fills(fills: DataFrame, orders: DataFrame) -> DataFrame:
     return fills.join(orders.select("order_id"), "order_id", "left_anti")
 
 
-def missing_names(wanted: list[str], present: DataFrame) -> DataFrame:
-    """Those of the wanted names that ``present`` (column name) lacks."""
-    return present.sparkSession.createDataFrame([(x,) for x in wanted], "name string").join(present, "name", "left_anti")
+def missing_names(places: DataFrame, present: DataFrame, place: str, wanted: tuple[str, ...]) -> DataFrame:
+    """(place, name): those of the wanted names that each place lacks in ``present``, which has both columns."""
+    needed = places.select(place, F.explode(F.array(*map(F.lit, wanted))).alias("name"))
+    return needed.join(present, [place, "name"], "left_anti")
 
 
 def top_of_book(levels: DataFrame, n: int) -> DataFrame:

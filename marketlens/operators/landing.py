@@ -13,6 +13,15 @@ TABLES = {6: "trades", 5: "best_bid_offers", 7: "mark_prices", 8: "funding_rates
 SORT = ("symbol", "exchange_event_ts")
 
 
+def route(messages: DataFrame, shard: str, shards: int, shadow: bool = False) -> DataFrame:
+    """Messages with ``stream_id``, the stream of their shard, and ``error``: shards outside 0 to ``shards`` - 1 and null ones have no
+    stream and are an error each, so a sink can set them aside."""
+    known = F.col(shard).between(0, shards - 1)
+    stream = F.col(shard).cast("long") + 1 + (S.SHADOW_STREAMS if shadow else 0)
+    named = F.concat(F.lit("unknown shard "), F.coalesce(F.col(shard).cast("string"), F.lit("null")))
+    return messages.withColumns({"stream_id": F.when(known, stream), "error": F.when(F.coalesce(known, F.lit(False)), None).otherwise(named)})
+
+
 def _decimals(df: DataFrame, prices: tuple[str, ...], scale: str, to: int = 8) -> dict:
     return {c: S.as_decimal(F.col(c), F.col(scale), to) for c in prices}
 

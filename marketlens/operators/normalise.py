@@ -10,20 +10,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, scalars as S
-from . import folds
+from . import folds, numbering
 
 
 def _scaled(*fields: str, scale: str) -> dict[str, Column]:
     return {f: S.parse_scaled(F.col(f), F.col(scale)) for f in fields}
 
 
-def with_header(rows: DataFrame, message_type: int, connection: str, order: list[str], venue: int = 1, market: int = 1, instance: int = 0) -> DataFrame:
-    """Rows with the message header: numbers run from 0 within a connection in the given order, one for each message."""
+def with_header(rows: DataFrame, message_type: int, connection: str, order: list[str], venue: int = 1, market: int = 1, instance: int = 0, range_: Column | None = None) -> DataFrame:
+    """Rows with the message header: numbers run from 0 within a connection in the given order, one for each message.
+
+    Where ``range_`` is given, a column that rises with the order such as the day, a connection is numbered range by range and never
+    is one task's work.
+    """
     number = (F.row_number().over(Window.partitionBy(connection).orderBy(*order)) - 1).cast("long")
+    if range_ is not None:
+        rows, number = numbering.numbered(rows, [connection], order, range_), F.col("number")
     return rows.withColumns({
         "schema_version": F.lit(1), "message_type": F.lit(message_type), "venue_id": F.lit(venue), "market_type": F.lit(market), "instrument_id": S.instrument_id(F.col("symbol")),
         "connection_id": F.col(connection), "instance_id": F.lit(instance), "sequence_number": number, "exchange_tx_ts": F.lit(0).cast("long"),
-    })
+    }).drop("number")
 
 
 def quotes(rows: DataFrame) -> DataFrame:

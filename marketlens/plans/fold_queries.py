@@ -9,11 +9,13 @@ from ..operators import folds, replay
 from .catalog import query
 
 
-def _walk(rows: str, start: str, step: str, show: str, body: str = "") -> str:
-    """A fold in SQL: ``rows`` has symbol and rn from 1; ``start`` and ``step`` list the state's columns, the latter over f and r."""
+def _walk(rows: str, start: str, step: str, show: str, last: bool = False) -> str:
+    """A fold in SQL: ``rows`` has symbol and rn from 1; ``start`` and ``step`` list the state's columns, the latter over f and r.
+    ``last`` shows only the last row of each symbol."""
+    only = " QUALIFY f.rn = max(f.rn) OVER (PARTITION BY f.symbol)" if last else ""
     return f"""WITH RECURSIVE r AS MATERIALIZED ({rows}),
-      f AS (SELECT DISTINCT symbol, 0::BIGINT AS rn, {start} FROM r UNION ALL SELECT r.symbol, r.rn, {step} FROM f JOIN r ON r.symbol = f.symbol AND r.rn = f.rn + 1){body}
-      SELECT {show} FROM f JOIN r ON r.symbol = f.symbol AND r.rn = f.rn WHERE f.rn > 0"""
+      f AS (SELECT DISTINCT symbol, 0::BIGINT AS rn, {start} FROM r UNION ALL SELECT r.symbol, r.rn, {step} FROM f JOIN r ON r.symbol = f.symbol AND r.rn = f.rn + 1)
+      SELECT {show} FROM f JOIN r ON r.symbol = f.symbol AND r.rn = f.rn WHERE f.rn > 0{only}"""
 
 
 def _sequence_sql(found: str, wanted_last: str, gap_bridge: tuple[str, str]) -> str:
@@ -32,12 +34,12 @@ def _sequence_sql(found: str, wanted_last: str, gap_bridge: tuple[str, str]) ->
 
 @query("g01_spot_sequence", _sequence_sql("r.first_id", "1", ("f.last + 1", "r.first_id")))
 def spot_sequence(v):
-    return folds.run(v("deltas"), folds.SPOT_SEQUENCE, "symbol", ["n"]).select("symbol", "n", "first_id", "final_id", "result", "expected", "actual")
+    return folds.run(v("deltas"), folds.SPOT_SEQUENCE, "symbol", ["n"], []).select("symbol", "n", "first_id", "final_id", "result", "expected", "actual")
 
 
 @query("g02_futures_sequence", _sequence_sql("r.prev_id", "0", ("f.last", "r.prev_id")))
 def futures_sequence(v):
-    return folds.run(v("deltas"), folds.FUTURES_SEQUENCE, "symbol", ["n"]).select("symbol", "n", "first_id", "final_id", "result", "expected", "actual")
+    return folds.run(v("deltas"), folds.FUTURES_SEQUENCE, "symbol", ["n"], []).select("symbol", "n", "first_id", "final_id", "result", "expected", "actual")
 
 
 _TIMED = "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns, event_id) AS rn FROM"
@@ -54,7 +56,7 @@ def bbo_timer(v):
     bid = F.when(F.col("k") < 30, F.col("price")).otherwise(F.col("price") + 1)
     rows = v("ticks").select("symbol", "event_id", "ts_ns", F.when(F.col("k") >= 5, F.col("price")).alias("book_bid"), F.col("price").alias("book_ask"), bid.alias("bid_price"), F.col("price").alias("ask_price"))
     hour = 3600 * folds.SECOND
-    return folds.run(rows, folds.bbo_timer(hour, 4 * hour), "symbol", ["ts_ns", "event_id"]).select("symbol", "event_id", "action", "mismatch_ns")
+    return folds.run(rows, folds.bbo_timer(hour, 4 * hour), "symbol", ["ts_ns", "event_id"], []).select("symbol", "event_id", "action", "mismatch_ns")
 
 
 _COOL = "21600000000000"
@@ -68,7 +70,7 @@ _COOL = "21600000000000"
        NOT r.ok AND NOT (f.until >= 0 AND r.ts_ns < f.until) AND CASE WHEN f.until >= 0 THEN 0 ELSE f.failures END + 1 >= 5""",
     "r.symbol, r.event_id, f.state_before, f.opened, f.failures"))
 def circuit_breaker(v):
-    return folds.run(v("attempts"), folds.circuit_breaker(5, int(_COOL)), "symbol", ["ts_ns", "event_id"]).select("symbol", "event_id", "state_before", "opened", "failures")
+    return folds.run(v("attempts"), folds.circuit_breaker(5, int(_COOL)), "symbol", ["ts_ns", "event_id"], []).select("symbol", "event_id", "state_before", "opened", "failures")
 
 
 @query("g06_recovery_buffer", _walk(
@@ -80,7 +82,7 @@ def circuit_breaker(v):
     "r.symbol, r.event_id, f.outcome, f.events AS buffered"))
 def recovery_buffer(v):
     rows = v("ticks").withColumn("drain", F.col("k") == 0).withColumn("size", F.col("price"))
-    return folds.run(rows, folds.recovery_buffer(360_000 * folds.SECOND, 12, 300_000), "symbol", ["ts_ns", "event_id"]).select("symbol", "event_id", "outcome", "buffered")
+    return folds.run(rows, folds.recovery_buffer(360_000 * folds.SECOND, 12, 300_000), "symbol", ["ts_ns", "event_id"], []).select("symbol", "event_id", "outcome", "buffered")
 
 
 @query("g22_backpressure", _walk(
@@ -90,7 +92,7 @@ def recovery_buffer(v):
        CASE WHEN r.offer IN ('Ok', 'Closed') OR f.since < 0 THEN 0 ELSE r.ts_ns - f.since END""",
     "r.symbol, r.event_id, f.outcome, f.elapsed AS elapsed_ns"))
 def backpressure(v):
-    return folds.run(v("offers"), folds.backpressure(10_000_000, 30_000_000, 100_000_000), "symbol", ["ts_ns", "event_id"]).select("symbol", "event_id", "outcome", "elapsed_ns")
+    return folds.run(v("offers"), folds.backpressure(10_000_000, 30_000_000, 100_000_000), "symbol", ["ts_ns", "event_id"], []).select("symbol", "event_id", "outcome", "elapsed_ns")
 
 
 @query("g15_checksum_arbiter", """
@@ -102,7 +104,7 @@ def backpressure(v):
           WINDOW w AS (PARTITION BY symbol, update_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
     SELECT r.symbol, r.n, r.update_id, CASE WHEN s.n IS NULL THEN 'Stale' WHEN s.a IS NULL OR s.p IS NULL THEN 'Pending' WHEN s.a = s.p THEN 'Matched' ELSE 'Diverged' END AS verdict FROM r LEFT JOIN s ON r.symbol = s.symbol AND r.n = s.n""")
 def checksum_arbiter(v):
-    return folds.run(v("checksums"), folds.checksum_arbiter(), "symbol", ["n"]).select("symbol", "n", "update_id", "verdict")
+    return folds.run(v("checksums"), folds.checksum_arbiter(), "symbol", ["n"], []).select("symbol", "n", "update_id", "verdict")
 
 
 _SCHEDULE = "CASE WHEN k < 5 THEN 'startup' WHEN k < 10 THEN 'reconnect' WHEN k < 20 THEN 'startup_done' WHEN k < 30 THEN 'reconnect_done' WHEN k < 60 THEN 'periodic_done' ELSE 'tick' END"
@@ -116,7 +118,7 @@ _SCHEDULE = "CASE WHEN k < 5 THEN 'startup' WHEN k < 10 THEN 'reconnect' WHEN k
     "r.symbol, r.event_id, concat_ws(',', CASE WHEN f.startup THEN 'Startup' END, CASE WHEN f.reconnect THEN 'Reconnect' END, CASE WHEN f.next_due >= 0 AND f.next_due <= r.ts_ns THEN 'Periodic' END) AS due"))
 def reconcile_schedule(v):
     rows = v("ticks").withColumn("event", F.expr(_SCHEDULE))
-    return folds.run(rows, folds.reconcile_schedule(21_600 * folds.SECOND), "symbol", ["ts_ns", "event_id"]).select("symbol", "event_id", "due")
+    return folds.run(rows, folds.reconcile_schedule(21_600 * folds.SECOND), "symbol", ["ts_ns", "event_id"], []).select("symbol", "event_id", "due")
 
 
 _EVENTS = """
@@ -161,7 +163,7 @@ def _order_events(v):
     "r.symbol AS order_id, r.rn, r.event, f.status, f.filled AS filled_qty, f.waiting AS lost_or_waiting_qty, f.action"))
 def order_machine(v):
     e = _order_events(v).withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy("phase", "ord")).cast("long"))
-    return folds.run(e, folds.order_machine(), "symbol", ["rn"]).select(F.col("symbol").alias("order_id"), "rn", "event", "status", "filled_qty", "lost_or_waiting_qty", "action")
+    return folds.run(e, folds.order_machine(), "symbol", ["rn"], []).select(F.col("symbol").alias("order_id"), "rn", "event", "status", "filled_qty", "lost_or_waiting_qty", "action")
 
 
 @query("g19_gateway", _walk(
@@ -173,14 +175,67 @@ def order_machine(v):
     "r.symbol AS order_id, r.rn, f.status, f.filled AS filled_qty, f.invalid"))
 def gateway(v):
     e = _order_events(v).withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy("phase", "ord")).cast("long"))
-    return folds.run(e, folds.gateway(), "symbol", ["rn"]).select(F.col("symbol").alias("order_id"), "rn", "status", "filled_qty", "invalid")
+    return folds.run(e, folds.gateway(), "symbol", ["rn"], []).select(F.col("symbol").alias("order_id"), "rn", "status", "filled_qty", "invalid")
 
 
-@query("g18_unknown_status", """
-    SELECT r.order_id, f.first_ns - r.ts_ns > 5000000000 AS timed_out FROM requests r JOIN (SELECT order_id, min(ts_ns) AS first_ns FROM fills GROUP BY 1) f ON r.order_id = f.order_id""")
+_UNKNOWN = """
+    SELECT order_id AS symbol, 0 AS moment, 0 AS ord, 'submit' AS event, 0 AS trade_id, 0 AS qty FROM requests
+    UNION ALL SELECT order_id, 1, 0, 'ack', 0, 0 FROM requests WHERE order_id % 3 = 0
+    UNION ALL SELECT order_id, 4, 0, 'tick', 0, 0 FROM requests
+    UNION ALL SELECT order_id, 6, 0, 'tick', 0, 0 FROM requests
+    UNION ALL SELECT order_id, 7, ord, 'fill', trade_id, qty FROM fills
+    UNION ALL SELECT order_id, 8, 0, 'ack', 0, 0 FROM requests WHERE order_id % 3 = 1
+    UNION ALL SELECT order_id, 9, 0, CASE order_id % 4 WHEN 0 THEN 'check_live' WHEN 1 THEN 'check_filled' WHEN 2 THEN 'check_cancelled' ELSE 'check_missing' END, 0, 0 FROM requests WHERE order_id % 3 = 2"""
+
+
+@query("g18_unknown_status", _walk(
+    f"""SELECT s.*, s.event = 'fill' AND s.rn > min(s.rn) OVER (PARTITION BY s.symbol, s.event, s.trade_id) AS again
+        FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY moment, ord) AS rn FROM ({_UNKNOWN}) AS e) AS s""",
+    "'None' AS status, 0::BIGINT AS filled, 0::BIGINT AS waiting, '' AS action",
+    """CASE WHEN r.event = 'submit' THEN 'Pending' WHEN f.status IN ('Filled', 'Cancelled', 'None') THEN f.status
+         WHEN r.event = 'tick' THEN CASE WHEN f.status = 'Pending' AND r.moment > 5 THEN 'UnknownStatus' ELSE f.status END
+         WHEN r.event = 'fill' THEN CASE WHEN r.again OR f.status IN ('Pending', 'UnknownStatus') THEN f.status WHEN f.filled + r.qty >= 10000 THEN 'Filled' ELSE 'PartiallyFilled' END
+         WHEN f.status IN ('Pending', 'UnknownStatus') AND r.event = 'ack' OR f.status = 'UnknownStatus' AND r.event = 'check_live'
+           THEN CASE WHEN f.filled + f.waiting >= 10000 THEN 'Filled' WHEN f.filled + f.waiting > 0 THEN 'PartiallyFilled' ELSE 'New' END
+         WHEN f.status = 'UnknownStatus' AND r.event = 'check_filled' THEN 'Filled' WHEN f.status = 'UnknownStatus' AND r.event IN ('check_cancelled', 'check_missing') THEN 'Cancelled' ELSE f.status END,
+       CASE WHEN f.status IN ('New', 'PartiallyFilled') AND r.event = 'fill' AND NOT r.again THEN f.filled + r.qty WHEN f.status = 'UnknownStatus' AND r.event = 'check_filled' THEN 10000
+         WHEN f.status IN ('Pending', 'UnknownStatus') AND r.event = 'ack' OR f.status = 'UnknownStatus' AND r.event = 'check_live' THEN f.filled + f.waiting ELSE f.filled END,
+       CASE WHEN f.status IN ('Pending', 'UnknownStatus') AND r.event = 'fill' AND NOT r.again THEN f.waiting + r.qty
+         WHEN f.status IN ('Pending', 'UnknownStatus') AND r.event = 'ack' OR f.status = 'UnknownStatus' AND r.event IN ('check_live', 'check_filled') THEN 0 ELSE f.waiting END,
+       CASE WHEN r.event = 'submit' THEN 'Submitted' WHEN f.status IN ('Filled', 'Cancelled', 'None') THEN 'Ignored' WHEN r.event = 'tick' THEN CASE WHEN f.status = 'Pending' AND r.moment > 5 THEN 'ScheduleCheck' ELSE 'Ignored' END
+         WHEN r.event = 'fill' THEN CASE WHEN r.again THEN 'Ignored' WHEN f.status IN ('Pending', 'UnknownStatus') THEN 'Buffered' ELSE 'ApplyFill' END
+         WHEN f.status IN ('Pending', 'UnknownStatus') AND r.event = 'ack' OR f.status = 'UnknownStatus' AND r.event = 'check_live' THEN 'ApplyAck'
+         WHEN f.status = 'UnknownStatus' AND r.event = 'check_filled' THEN 'ApplyFill' WHEN f.status = 'UnknownStatus' AND r.event IN ('check_cancelled', 'check_missing') THEN 'ApplyCancel' ELSE 'Ignored' END""",
+    "r.symbol AS order_id, r.rn, r.event, f.status, f.filled AS filled_qty, f.waiting AS lost_or_waiting_qty, f.action"))
 def unknown_status(v):
-    first = v("fills").groupBy("order_id").agg(F.min("ts_ns").alias("first_ns"))
-    return v("requests").join(first, "order_id").select("order_id", ((F.col("first_ns") - F.col("ts_ns")) > 5 * folds.SECOND).alias("timed_out"))
+    r, f = v("requests"), v("fills")
+    check = F.element_at(F.array(*map(F.lit, ("check_live", "check_filled", "check_cancelled", "check_missing"))), (F.col("order_id") % 4 + 1).cast("int"))
+    zero = F.lit(0).cast("long")
+
+    def rows(df, at, event, ord_=zero, trade=zero, qty=zero):
+        return df.select(F.col("order_id").alias("symbol"), F.lit(at).cast("long").alias("moment"), ord_.cast("long").alias("ord"), event.alias("event"), trade.alias("trade_id"), qty.alias("qty"))
+
+    acked, late, checked = (r.where(F.col("order_id") % 3 == i) for i in range(3))
+    e = rows(r, 0, F.lit("submit")).unionByName(rows(acked, 1, F.lit("ack"))).unionByName(rows(r, 4, F.lit("tick"))).unionByName(rows(r, 6, F.lit("tick")))
+    e = e.unionByName(rows(f, 7, F.lit("fill"), F.col("ord"), F.col("trade_id"), F.col("qty"))).unionByName(rows(late, 8, F.lit("ack"))).unionByName(rows(checked, 9, check))
+    e = e.withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy("moment", "ord")).cast("long")).withColumn("ts_ns", F.col("moment") * folds.SECOND).withColumn("total_qty", F.lit(10_000).cast("long"))
+    out = folds.run(e, folds.order_machine(), "symbol", ["rn"], ["event"])
+    return out.select(F.col("symbol").alias("order_id"), "rn", "event", "status", "filled_qty", "lost_or_waiting_qty", "action")
+
+
+@query("f13_current_orders", _walk(
+    _NUMBERED, "'None' AS status, 0::BIGINT AS filled, NULL::BIGINT AS exchange, 0::BIGINT AS updated",
+    """CASE WHEN r.event = 'submit' THEN 'Pending' WHEN f.status IN ('Filled', 'Cancelled', 'Rejected', 'Expired', 'None') THEN f.status
+         ELSE CASE r.event WHEN 'ack' THEN 'New' WHEN 'fill' THEN CASE WHEN r.trade_id % 5 = 0 THEN 'Filled' ELSE 'PartiallyFilled' END WHEN 'cancel' THEN 'Cancelled' WHEN 'reject' THEN 'Rejected' ELSE 'Expired' END END,
+       CASE WHEN r.event = 'submit' THEN 0 WHEN r.event = 'fill' AND f.status NOT IN ('Filled', 'Cancelled', 'Rejected', 'Expired', 'None') THEN f.filled + r.qty ELSE f.filled END,
+       CASE WHEN r.event = 'submit' THEN NULL WHEN r.event = 'ack' AND f.status NOT IN ('Filled', 'Cancelled', 'Rejected', 'Expired', 'None') THEN r.symbol * 10 ELSE f.exchange END,
+       CASE WHEN r.event = 'submit' OR f.status NOT IN ('Filled', 'Cancelled', 'Rejected', 'Expired', 'None') THEN r.phase * 1000000000::BIGINT ELSE f.updated END""",
+    "r.symbol AS order_id, f.status, f.filled AS filled_qty, f.exchange AS exchange_order, f.updated AS updated_ns", last=True))
+def current_orders(v):
+    e = _order_events(v).withColumn("exchange_id", F.col("symbol") * 10).withColumn("is_final", F.col("trade_id") % 5 == 0)
+    done = folds.run(e, folds.JOURNAL_ORDER, "symbol", ["phase", "ord"], [])
+    columns = ("status", "filled_qty", "exchange_order", "updated_ns")
+    return done.groupBy(F.col("symbol").alias("order_id")).agg(F.max_by(F.struct(*columns), F.struct("phase", "ord")).alias("o")).select("order_id", *[F.col(f"o.{c}").alias(c) for c in columns])
 
 
 @query("j08_fault_injection")

@@ -6,12 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, scalars as S
-from ..operators import book, folds, generate, joins, normalise, replay
+from ..operators import book, folds, generate, joins, landing, normalise, replay
 from ..sources import binary, json_frames as J
 from .catalog import query
 from .fold_queries import _sequence_sql
 from .scalar_queries import _frames, _text, with_header
 
+_DAY = 86_400_000_000_000
+
 
 def _scaled(rows, price: int = 2, qty: int = 0):
     return rows.withColumns({"price_scale": F.lit(price), "qty_scale": F.lit(qty)})
@@ -45,7 +47,7 @@ def spot_trades(v):
     ticks = v("ticks")
     frames = _frames(ticks, "trade", data, "purchase").join(ticks.select("event_id", "ts_ns", (F.col("user_id") % 4).alias("connection_id")), "event_id")
     t = normalise.trades(_scaled(J.parse(frames, "trade"), 4, 0))
-    return normalise.with_header(t, 6, "connection_id", ["ts_ns", "event_id"]).select("symbol", "event_id", "trade_id", "price", "qty", "trade_ts", "aggressor_side", "sequence_number")
+    return normalise.with_header(t, 6, "connection_id", ["ts_ns", "event_id"], range_=S.div(F.col("ts_ns"), F.lit(_DAY))).select("symbol", "event_id", "trade_id", "price", "qty", "trade_ts", "aggressor_side", "sequence_number")
 
 
 @query("c32_futures_depth", """
@@ -145,11 +147,29 @@ def dead_sessions(v):
     return normalise.dead_sessions(v("ticks").withColumn("kind", kind)).select("symbol", "event_id")
 
 
-@query("a14_shard_routing", """SELECT CASE WHEN k < 90 THEN k % 8 END AS shard_id, count(*) AS n FROM ticks GROUP BY 1""")
+@query("a14_shard_routing", """
+    SELECT event_id, CASE WHEN k < 90 THEN k % 8 + 1 END AS stream_id, CASE WHEN k >= 90 THEN 'unknown shard 99' END AS error FROM ticks""")
 def shard_routing(v):
-    shard = F.when(F.col("k") < 90, F.col("k") % 8).otherwise(F.lit(99))
-    known = (shard >= 0) & (shard < 8)
-    return v("ticks").groupBy(F.when(known, shard).alias("shard_id")).agg(F.count(F.lit(1)).alias("n"))
+    messages = v("ticks").select("event_id", F.when(F.col("k") < 90, F.col("k") % 8).otherwise(F.lit(99)).alias("shard_id"))
+    return landing.route(messages, "shard_id", 8).select("event_id", "stream_id", "error")
+
+
+@query("c03_parse_scaled_power", """
+    SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE trunc(cast(balance as decimal(15, 2)) * (CASE c_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 10 ELSE 100000000 END))::BIGINT END AS scaled FROM accounts""")
+def parse_scaled_power(v):
+    text = F.when(F.col("c_custkey") % 5 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), "balance"))
+    factor = F.element_at(F.array(*[F.lit(10**i).cast("long") for i in (0, 1, 8)]), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return v("accounts").select("c_custkey", S.parse_scaled_by(text, factor).alias("scaled"))
+
+
+@query("d03_numbered_known_events", """
+    SELECT event_id, cast(row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts_ns, event_id) - 1 as bigint) AS sequence_number FROM ticks WHERE event_type IN ('purchase', 'view')""")
+def numbered_known_events(v):
+    ticks = v("ticks").withColumn("connection", F.col("user_id") % 4)
+    kind = F.when(F.col("event_type") == "purchase", "trade").when(F.col("event_type") == "view", "bookTicker").otherwise("kline_1m")
+    frames = ticks.withColumn("payload", F.to_json(F.struct(F.concat("symbol", F.lit("@"), kind).alias("stream"), F.struct(F.col("symbol").alias("s")).alias("data"))))
+    known = frames.where(J.stream_kind(F.col("payload")).isin(list(J.SPOT)))
+    return normalise.with_header(known, 6, "connection", ["ts_ns", "event_id"], range_=S.div(F.col("ts_ns"), F.lit(_DAY))).select("event_id", "sequence_number")
 
 
 @query("b07_decode_with_fallback", """SELECT event_id, CASE WHEN k % 4 < 2 THEN 'binary' WHEN k % 4 = 2 THEN 'json' ELSE 'error' END AS decoded_as, CASE WHEN k % 4 < 3 THEN symbol END AS symbol FROM ticks""")

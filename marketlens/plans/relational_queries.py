@@ -17,8 +17,9 @@ from .scalar_queries import with_header
     SELECT base_asset, is_trading, count(*) AS trades, sum(qty)::BIGINT AS volume, sum(price * qty)::BIGINT AS turnover, sum(price * qty)::DOUBLE / sum(qty)::DOUBLE AS vwap FROM t GROUP BY 1, 2""")
 def flagship(v):
     t = joins.with_instruments(v("trades").select("symbol", "price", "qty"), v("instruments").select("symbol", "is_trading", "base_asset"))
-    turnover = F.sum(F.col("price") * F.col("qty"))
-    return t.groupBy("base_asset", "is_trading").agg(F.count(F.lit(1)).alias("trades"), F.sum("qty").alias("volume"), turnover.alias("turnover"), (turnover / F.sum("qty")).alias("vwap"))
+    # exact in 38 digits, whatever the number of rows; the products fit into a long
+    turnover = F.sum((F.col("price") * F.col("qty")).cast("decimal(19,0)"))
+    return t.groupBy("base_asset", "is_trading").agg(F.count(F.lit(1)).alias("trades"), F.sum("qty").alias("volume"), turnover.cast("long").alias("turnover"), (turnover.cast("double") / F.sum("qty")).alias("vwap"))
 
 
 @query("e01_instrument_join", """SELECT t.trade_id, t.price, t.trade_ts, t.qty, i.symbol, i.is_trading FROM trades t JOIN instruments i ON t.symbol = i.symbol WHERE i.is_trading""")
@@ -176,10 +177,21 @@ def untracked_fills(v):
     return joins.untracked_fills(v("fills"), v("requests").where("order_id % 4 <> 0")).select("trade_id", "order_id", "qty", "price")
 
 
-@query("e12_missing_tables", """SELECT 'open_interest' AS name UNION ALL SELECT 'instruments'""")
+_TABLES_OF = "CASE event_type WHEN 'purchase' THEN 'trades' WHEN 'view' THEN 'best_bid_offers' WHEN 'signup' THEN 'mark_prices' WHEN 'error' THEN 'liquidations' ELSE 'book_deltas' END"
+_REQUIRED = ("trades", "book_deltas", "best_bid_offers", "mark_prices", "liquidations")
+_MISSING = f"""SELECT d.symbol, n.name FROM (SELECT DISTINCT symbol FROM ticks) AS d CROSS JOIN (SELECT unnest({list(_REQUIRED)}) AS name) AS n
+    WHERE NOT EXISTS (SELECT 1 FROM ticks AS t WHERE t.k < 3 AND t.symbol = d.symbol AND {_TABLES_OF} = n.name)"""
+
+
+def _tables(v):
+    """The destinations, and the tables that rows of low k have made in them."""
+    ticks = v("ticks").select("symbol", "k", F.expr(_TABLES_OF).alias("name"))
+    return ticks.select("symbol").distinct(), ticks.where("k < 3").select("symbol", "name").distinct()
+
+
+@query("e12_missing_tables", _MISSING)
 def missing_tables(v):
-    there = v("instruments").limit(1).select(F.explode(F.array(*map(F.lit, ("trades", "book_deltas", "best_bid_offers", "mark_prices", "funding_rates", "liquidations")))).alias("name"))
-    return joins.missing_names(["trades", "book_deltas", "best_bid_offers", "mark_prices", "funding_rates", "liquidations", "open_interest", "instruments"], there)
+    return joins.missing_names(*_tables(v), "symbol", _REQUIRED)
 
 
 @query("e13_orders_with_fills", """
@@ -329,12 +341,10 @@ def conflation(v):
 
 @query("i01_union_streams", """SELECT event_type, count(*) AS n, sum(price)::BIGINT AS total FROM ticks GROUP BY 1""")
 def union_streams(v):
-    t = v("ticks")
-    shards_ = [t.where(F.col("user_id") % 4 == i) for i in range(4)]
-    out = shards_[0]
-    for s in shards_[1:]:
-        out = out.unionByName(s)
-    return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("total"))
+    # the streams of all shards are one table: each aggregates its own rows, and their results are united in one shuffle
+    t = v("ticks").withColumn("shard", F.col("user_id") % 4)
+    by_shard = t.groupBy("shard", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("total"))
+    return by_shard.groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 @query("i02_distinct_trades", """SELECT order_id, count(DISTINCT trade_id) AS trades FROM fills GROUP BY 1""")
@@ -400,10 +410,12 @@ def shard_semi_join(v):
     return v("ticks").join(owned, "symbol", "left_semi").select("event_id", "symbol", "price")
 
 
-@query("a18_sink_readiness", """SELECT 'open_interest' AS name""")
+@query("a18_sink_readiness", f"SELECT d.symbol, count(m.name) AS missing, count(m.name) = 0 AS ready FROM (SELECT DISTINCT symbol FROM ticks) AS d LEFT JOIN ({_MISSING}) AS m ON d.symbol = m.symbol GROUP BY 1")
 def sink_readiness(v):
-    there = v("instruments").limit(1).select(F.explode(F.array(*map(F.lit, ("trades", "book_deltas")))).alias("name"))
-    return joins.missing_names(["trades", "book_deltas", "open_interest"], there)
+    sinks, present = _tables(v)
+    missing = joins.missing_names(sinks, present, "symbol", _REQUIRED).groupBy("symbol").agg(F.count(F.lit(1)).alias("missing"))
+    n = F.coalesce("missing", F.lit(0))
+    return sinks.join(missing, "symbol", "left").select("symbol", n.alias("missing"), (n == 0).alias("ready"))
 
 
 @query("h02_ordered_levels", f"""WITH {_FINAL} SELECT symbol, list(price ORDER BY price DESC) FILTER (side = 'B') AS bids, list(price ORDER BY price) FILTER (side = 'A') AS asks FROM levels GROUP BY 1""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import codes, scalars as S
-from ..operators import landing
+from ..operators import landing, numbering
 from ..sources import json_frames as J
 from .catalog import query
 
@@ -25,13 +25,12 @@ def futures_stream_names(v):
 
 
 @query("a05_subscription_chunks", """
-    WITH c AS (SELECT symbol, p_partkey // 200 AS connection FROM instruments)
+    WITH c AS (SELECT symbol, (row_number() OVER (ORDER BY symbol) - 1) // 200 AS connection FROM instruments)
     SELECT connection, count(*) AS streams, string_agg(lower(symbol) || '@trade', '/' ORDER BY symbol) AS path FROM c GROUP BY 1""")
 def subscription_chunks(v):
-    # chunks of 200 by the instrument's own number: no global order is needed
-    chunk = F.floor(F.col("p_partkey") / 200).alias("connection")
+    numbered = numbering.numbered(v("instruments").select("symbol"), [], ["symbol"], F.substring("symbol", 1, 3))
     names = F.sort_array(F.collect_list(F.struct("symbol", S.stream_name(F.col("symbol"), "trade").alias("name"))))
-    return v("instruments").groupBy(chunk).agg(F.count(F.lit(1)).alias("streams"), F.array_join(F.transform(names, lambda x: x["name"]), "/").alias("path"))
+    return numbered.groupBy(S.div(F.col("number"), F.lit(200)).alias("connection")).agg(F.count(F.lit(1)).alias("streams"), F.array_join(F.transform(names, lambda x: x["name"]), "/").alias("path"))
 
 
 @query("c01_parse_scaled", """
@@ -317,7 +316,7 @@ def exchange_info(v):
         F.create_map(F.lit("filterType"), F.when(F.col("p_partkey") % 2 == 0, "MIN_NOTIONAL").otherwise("OTHER"), F.lit("minNotional"), _text(F.col("min_notional"))),
     )
     one = F.struct("symbol", F.when(F.col("is_trading"), "TRADING").otherwise("BREAK").alias("status"), F.lit("X").alias("baseAsset"), F.lit("USDT").alias("quoteAsset"), filters.alias("filters"))
-    docs = rows.groupBy((F.col("p_partkey") % 64).alias("g")).agg(F.collect_list(one).alias("symbols")).select(F.to_json(F.struct("symbols")).alias("payload"))
+    docs = rows.groupBy(F.floor(F.col("p_partkey") / 200).alias("g")).agg(F.collect_list(one).alias("symbols")).select(F.to_json(F.struct("symbols")).alias("payload"))
     return J.exchange_info(docs).select("symbol", "quote_asset", "price_scale", "qty_scale", "tick_size", "step_size", "min_notional", "is_trading")
 
 

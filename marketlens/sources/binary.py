@@ -1,6 +1,7 @@
 """Fixed-layout binary messages: one table of layouts, and an encoder and a decoder that follow it, run over Arrow batches.
 
-Numbers are little-endian; texts have a 16-bit length before them; a side of a book is a 32-bit count and (price, qty) pairs.
+Messages of numbers and texts are packed and read a batch at a time, as arrays over the batch's bytes; those with sides of books or
+unsigned checksums, and batches with broken texts, one by one. Numbers are little-endian; texts have a 16-bit length before them; a side of a book is a 32-bit count and (price, qty) pairs.
 """
 
 from __future__ import annotations
@@ -8,7 +9,9 @@ from __future__ import annotations
 import struct
 from decimal import Decimal
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,26 +153,139 @@ def _schema(fields) -> str:
     return ", ".join(f"{n} {_TYPES.get(c, 'decimal(20,0)' if n == 'checksum' else 'long')}" for n, c in fields)
 
 
+_NUMPY = {"B": "u1", "I": "<u4", "Q": "<i8", "q": "<i8", "?": "u1"}  # ids stay below 2 ** 63, as Spark's longs do
+_ARROW = {"s": pa.string(), "?": pa.bool_()}
+
+
+def _layout(message_type: int) -> list | None:
+    """Texts, and runs of numbers as record types, in order; None for messages that have no such form."""
+    fields = [*HEADER, *LAYOUTS[message_type]]
+    if any(c == "l" or n == "checksum" for n, c in fields):
+        return None
+    out: list = []
+    for name, code in fields:
+        if code == "s":
+            out.append(name)
+        elif out and isinstance(out[-1], list):
+            out[-1].append((name, _NUMPY[code]))
+        else:
+            out.append([(name, _NUMPY[code])])
+    return [x if isinstance(x, str) else np.dtype(x) for x in out]
+
+
+def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All places of spans, one span after the other."""
+    end = np.cumsum(length)
+    return np.repeat(start - end + length, length) + np.arange(end[-1] if len(end) else 0)
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The offsets of a binary or text column without nulls, and its bytes."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    return offsets.astype(np.int64), np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+
+
+def _encode_batch(batch: pa.RecordBatch, layout: list) -> pa.Array:
+    n, parts, sizes = batch.num_rows, [], np.zeros(batch.num_rows, np.int64)
+    for part in layout:
+        if isinstance(part, str):
+            offsets, data = _bytes_of(batch.column(part))
+            length = np.diff(offsets)
+            parts.append((length, data[offsets[0] : offsets[-1]]))
+            sizes += length + 2
+        else:
+            records = np.zeros(n, part)
+            for name in part.names:
+                records[name] = batch.column(name).to_numpy(zero_copy_only=False)
+            parts.append((None, records.view(np.uint8).reshape(n, part.itemsize)))
+            sizes += part.itemsize
+    ends = np.cumsum(sizes)
+    out, at = np.zeros(int(ends[-1]) if n else 0, np.uint8), ends - sizes
+    for length, values in parts:
+        if length is None:
+            out[at[:, None] + np.arange(values.shape[1])] = values
+            at = at + values.shape[1]
+        else:
+            out[at], out[at + 1] = length & 255, length >> 8
+            out[_spread(at + 2, length)] = values
+            at = at + 2 + length
+    offsets = np.append(0, ends).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def _decode_batch(column: pa.Array, message_type: int, layout: list) -> dict | None:
+    """Columns of the batch's messages of the type that hold; None where a text is no UTF-8."""
+    offsets, data = _bytes_of(column)
+    at, end = offsets[:-1], offsets[1:]
+    alive = end - at >= HEADER_SIZE
+    at, end = at[alive], end[alive]
+    alive = data[at + _TYPE_AT] == message_type
+    at, end = at[alive], end[alive]
+    found: list = []
+    for part in layout:
+        size = 2 if isinstance(part, str) else part.itemsize
+        length = np.full(len(at), size, np.int64)
+        alive = at + size <= end
+        if isinstance(part, str):
+            first = np.minimum(at, len(data) - 2)
+            length += np.where(alive, data[first].astype(np.int64) | data[first + 1].astype(np.int64) << 8, 0)
+            alive &= at + length <= end
+        found = [(p, s[alive], n[alive]) for p, s, n in found] + [(part, at[alive], length[alive])]
+        at, end = (at + length)[alive], end[alive]
+    out: dict = {}
+    for part, start, length in found:
+        if isinstance(part, str):
+            text = data[_spread(start + 2, length - 2)]
+            ends = np.append(0, np.cumsum(length - 2)).astype(np.int32)
+            out[part] = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(text))])
+            try:
+                out[part].validate(full=True)
+            except pa.ArrowInvalid:
+                return None
+        else:
+            records = np.ascontiguousarray(data[start[:, None] + np.arange(part.itemsize)]).view(part).reshape(-1)
+            out |= {name: records[name] for name in part.names}
+    return out
+
+
 def encode(messages: DataFrame, message_type: int) -> DataFrame:
-    """(payload) of messages that have the header's and the type's columns."""
+    """(payload) of messages that have the header's and the type's columns, none of them null."""
+    layout = _layout(message_type)
 
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"payload": [_packed(message_type, r) for r in _tuples(pdf)]}, columns=["payload"])
+        for batch in batches:
+            if layout is None:
+                payload = pa.array([_packed(message_type, r) for r in _tuples(batch.to_pandas())], pa.binary())
+            else:
+                payload = _encode_batch(batch, layout)
+            yield pa.RecordBatch.from_arrays([payload], ["payload"])
 
-    return messages.select(*_names(message_type)).mapInPandas(run, "payload binary")
+    return messages.select(*_names(message_type)).mapInArrow(run, "payload binary")
 
 
 def decode(frames: DataFrame, message_type: int) -> DataFrame:
     """The rows of one message type; frames of other types and broken ones are left out."""
-    fields = [*HEADER, *LAYOUTS[message_type]]
+    fields, layout = [*HEADER, *LAYOUTS[message_type]], _layout(message_type)
+    types = {n: _ARROW.get(c, pa.int64()) for n, c in fields}
 
-    def run(batches):
+    def one_by_one(batches):
         for pdf in batches:
             rows = [r for r in (_decoded(x, message_type) for x in pdf["payload"] if x is not None) if r is not None]
             yield _columns(rows, fields)
 
-    return frames.select("payload").mapInPandas(run, _schema(fields))
+    def run(batches):
+        for batch in batches:
+            column = batch.column(0).drop_null()
+            columns = _decode_batch(column, message_type, layout)
+            if columns is None:
+                rows = [r for r in (_decoded(x, message_type) for x in column.to_pylist()) if r is not None]
+                columns = {n: [r[i] for r in rows] for i, n in enumerate(types)}
+            arrays = [columns[n] if isinstance(columns[n], pa.Array) else pa.array(np.asarray(columns[n]).astype(bool) if t == pa.bool_() else columns[n]).cast(t) for n, t in types.items()]
+            yield pa.RecordBatch.from_arrays(arrays, list(types))
+
+    some = frames.select("payload")
+    return some.mapInPandas(one_by_one, _schema(fields)) if layout is None else some.mapInArrow(run, _schema(fields))
 
 
 def headers(frames: DataFrame) -> DataFrame:

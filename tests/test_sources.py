@@ -1,6 +1,7 @@
 """Binary layouts, journal, configuration, recorded frames."""
 
 import json
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -73,3 +74,25 @@ def test_recorded_frames(spark, tmp_path):
         assert spark.table("frames").count() == 6
     finally:
         q.stop()
+
+
+def test_batches_are_read_as_single_messages_are(spark):
+    rng = random.Random(2)
+    for kind in (1, 5, 6, 13, 14):
+        fields = binary.LAYOUTS[kind]
+        value = {"s": lambda: rng.choice(["", "BTCUSDT", "\u00fc\u00f1\u00ef \U0001f600"]), "?": lambda: rng.random() < 0.5, "B": lambda: rng.randrange(256), "I": lambda: rng.randrange(2**32), "Q": lambda: rng.randrange(2**63), "q": lambda: rng.randrange(-(2**63), 2**63)}
+        rows = [HEADER | {"message_type": kind} | {n: value[c]() for n, c in fields} for _ in range(40)]
+        schema = ", ".join(f"{n} {binary._TYPES.get(c, 'long')}" for n, c in (*binary.HEADER, *fields))
+        names = [n for n, _ in (*binary.HEADER, *fields)]
+        df = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
+        payloads = [bytes(r["payload"]) for r in binary.encode(df, kind).collect()]
+        assert sorted(payloads) == sorted(map(binary.encode_message, rows))
+        broken = [None, b"", b"x", payloads[0][:30], payloads[1][:-1], payloads[2] + b"later", payloads[3][:57], bytes([1, kind + 1]) + payloads[4][2:]]
+        want = [binary.decode_message(x, kind) for x in payloads + broken if x is not None]
+        frames = spark.createDataFrame([(x,) for x in payloads + broken], "payload binary")
+        got = [r.asDict() for r in binary.decode(frames, kind).collect()]
+        assert sorted(map(repr, got)) == sorted(repr(x) for x in want if x is not None)
+    bad = binary.encode_message(HEADER | {"message_type": 17, "symbol": "ab", "snapshot_update_id": 4})
+    at = bad.index(b"ab")
+    frames = spark.createDataFrame([(bad,), (bad[:at] + b"\xff\xfe" + bad[at + 2 :],)], "payload binary")
+    assert [r["symbol"] for r in binary.decode(frames, 17).collect()] == ["ab"]

@@ -83,7 +83,7 @@ def windows(benchmark: DataFrame) -> DataFrame:
 
 def _hits(docs: DataFrame, benchmark: DataFrame, limit: int) -> DataFrame:
     """(doc_id, digest, n, start, stop, items) of each occurrence of a window, and a row without start for each document."""
-    wins = windows(benchmark).persist()
+    wins = materialize(windows(benchmark), "windows")
     short = [r["w"] for r in wins.select(F.size("window").alias("w")).distinct().where(F.col("w") < WINDOW).orderBy("w").collect()]  # 9 at most
     table = docs.select("doc_id", F.xxhash64("text").alias("digest"), words(F.col("text")).alias("words"))
     table = table.select("*", F.size("words").cast("long").alias("n"), _fingerprints(F.col("words"), short).alias("prints"))
@@ -99,7 +99,11 @@ def _hits(docs: DataFrame, benchmark: DataFrame, limit: int) -> DataFrame:
     else:
         marks = table.select("doc_id", "digest", F.explode("prints").alias("print")).withColumn("fp", F.shiftright("print", _PLACE_BITS))
         found = marks.join(wins, "fp").withColumn("start", start).select("doc_id", "digest", "start", "window", "items")
-        texts = table.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "words", "n").dropDuplicates(["_id", "_digest"])
+        found = materialize(found.where(F.col("start") >= 0), "window-marks")
+        # the words of documents with a mark only, each once
+        met = broadcast_if_small(materialize(found.select(F.col("doc_id").alias("_met"), F.col("digest").alias("_met_digest")).distinct(), "window-documents"), limit)
+        texts = table.join(met, F.col("doc_id").eqNullSafe(F.col("_met")) & (F.col("digest") == F.col("_met_digest")), "left_semi")
+        texts = texts.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "words", "n").dropDuplicates(["_id", "_digest"])
         found = found.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).where(same)
         own = table.select("doc_id", "digest", "n", none.alias("start"), F.lit(None).cast("array<string>").alias("window"), F.lit(None).cast("array<string>").alias("items"))
         rows = found.select("doc_id", "digest", "n", "start", "window", "items").unionByName(own)

@@ -52,8 +52,9 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
     return final.select("source_key", "source_size", target.alias("target"))
 
 
-def _hash(doc_id: Column) -> Column:
-    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+def _hash(doc_id: Column, text: Column) -> Column:
+    """A number of HASH_BITS bits of id and text, so texts under one id or under none are chosen each for itself."""
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("\x1f"), F.coalesce(text, F.lit(""))).cast("binary"))
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
@@ -67,7 +68,7 @@ def _plan(docs: DataFrame, weights: tuple[float, ...], most: int) -> tuple[DataF
     """The documents' sizes and hashes, and of each source its size, target, whole repeats, and the threshold for the rest."""
     parts = F.split(F.coalesce("text", F.lit("")), WHITE_SPACE)
     size = F.size(F.filter(parts, lambda w: w != "")).cast("long")
-    sized = docs.select("doc_id", _key(F.col("source")).alias("source_key"), size.alias("size"), _hash(F.col("doc_id")).alias("h"))
+    sized = docs.select("doc_id", _key(F.col("source")).alias("source_key"), size.alias("size"), _hash(F.col("doc_id"), F.col("text")).alias("h"))
     sized = materialize(sized, "mixing-sizes")
     sources = targets(sized.groupBy("source_key").agg(F.sum("size").alias("source_size")), weights, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -100,9 +101,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     """Every document with size, source_size, target and taken.
 
     A source is taken whole as often as its target allows, and the rest of its budget is met by the documents whose hash lies at or
-    below its threshold; the hash value at which the budget ends is taken if that comes nearer to the target. The hash is that of the
-    id, so reruns agree, smaller budgets are contained in larger ones, and rows with the same id stand or fall together. Null texts
-    have size 0 and are taken with 0 words; a null id hashes as the empty text; a null source is a source; an empty table gives an
+    below its threshold; the hash value at which the budget ends is taken if that comes nearer to the target. The hash is that of id and
+    text, so reruns agree, smaller budgets are contained in larger ones, and only rows that agree in both stand or fall together. Null
+    texts have size 0 and are taken with 0 words; a null id hashes as the empty text; a null source is a source; an empty table gives an
     empty result. Other columns are ignored.
     """
     sized, plan = _plan(docs, weights, most)
@@ -117,7 +118,7 @@ def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST
     plan = plan.select(F.struct("whole", "budget", "bar").alias("_mix_plan"), F.col("source_key").alias("_mix_source"))
     joined = docs.join(plan, _key(F.col("source")) == F.col("_mix_source"))
     bar = F.coalesce("_mix_plan.bar", F.lit((1 << HASH_BITS) - 1))
-    repeats = F.col("_mix_plan.whole") + F.when((F.col("_mix_plan.budget") > 0) & (_hash(F.col("doc_id")) <= bar), 1).otherwise(0)
+    repeats = F.col("_mix_plan.whole") + F.when((F.col("_mix_plan.budget") > 0) & (_hash(F.col("doc_id"), F.col("text")) <= bar), 1).otherwise(0)
     return joined.withColumn("repeats", repeats.cast("int")).where(F.col("repeats") > 0).drop("_mix_plan", "_mix_source")
 
 
@@ -125,7 +126,7 @@ ORACLE_SQL = r"""
 WITH sized AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN chr(1114111) ELSE '=' || source END AS source_key,
          CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-         substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15) AS h
+         substr(md5(coalesce(doc_id::VARCHAR, '') || chr(31) || coalesce(text, '')), 1, 15) AS h
   FROM documents),
 sources AS (SELECT source_key, sum(size)::BIGINT AS source_size FROM sized GROUP BY 1),
 weighed AS (

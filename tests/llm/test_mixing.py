@@ -64,3 +64,12 @@ def test_odd_rows(spark):
     assert len(out) == 6 and sum(r["size"] for r in out) == 8
     assert mixing.take(docs).columns == ["doc_id", "text", "source", "bar", "repeats"]
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.take(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", [None, 7])
+def test_texts_under_one_id_are_taken_each_for_itself(spark, name):
+    rows = [(name, " ".join([f"t{i}"] * 5), "a") for i in range(400)] + [(1000 + i, "x y z", "b") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a = [r for r in mixing.mix(docs, weights=(1.0, 2.0)).collect() if r["doc_id"] == name]
+    assert len(a) == 400
+    assert abs(sum(r["taken"] for r in a) - a[0]["target"]) <= 5 and a[0]["target"] < a[0]["source_size"]

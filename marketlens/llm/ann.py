@@ -33,6 +33,7 @@ PROBES = (4, 8, 16, 32, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
 CROWDING = 0.8
 #: Vectors of a cell, about; queries of a cell at most, before either is split; queries of a block that is compared with all vectors.
 CELL, CELL_QUERIES, BLOCK = 4_096, 4_096, 4_096
+TASK_QUERIES = 256
 BROADCAST_CELLS = 100_000
 
 
@@ -238,7 +239,8 @@ def _probe(distinct: DataFrame, asked: DataFrame, index: Index, k: int, total: i
 
     schema = "cell long, id long, codes array<long>, v binary"
     placed = materialize(distinct.select("id", "v").mapInPandas(place, schema), "ann-vectors")
-    visiting = materialize(asked.select("id", "v").mapInPandas(visit, schema), "ann-queries")
+    tasks = max(1, -(-asked.count() // TASK_QUERIES))  # a query's visits cost far more than its bytes say
+    visiting = materialize(asked.select("id", "v").repartition(tasks, "id").mapInPandas(visit, schema), "ann-queries")
 
     def counted(rows, name):
         return rows.groupBy("cell").agg(F.count(F.lit(1)).alias(name))

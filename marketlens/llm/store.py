@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,15 +32,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of the tables written so far
+_written: list[str] = []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table of ``materialize`` that nothing reads any more."""
-    spark = table.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        _delete(table.sparkSession, folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Within it, tables of ``materialize`` are deleted at the end, but for the ones put into the list that it gives."""
+    start, kept = len(_written), []
+    yield kept
+    keep = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for table in kept for f in table.inputFiles()}
+    for folder in _written[start:]:
+        if folder.rsplit("/", 1)[-1] not in keep:
+            _delete(spark, folder)
+    _written[start:] = [f for f in _written[start:] if f.rsplit("/", 1)[-1] in keep]
 
 
 def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:

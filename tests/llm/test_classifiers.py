@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens.llm import langid, quality, toxicity
+from marketlens.llm import langid, quality, toxicity, training
 from marketlens.llm.queries import QUERIES
 from marketlens.llm.splits import labelled_sample, remainder
 from marketlens.llm.text import GramHasher
@@ -66,6 +66,74 @@ def test_log_count_ratios_are_those_of_plain_counts(spark):
     assert prior == pytest.approx(math.log(4 / 5))
 
 
+def plain_buckets(text):
+    """Buckets of the character n-grams of a text, one by one in whole numbers."""
+    found, mask = set(), (1 << 64) - 1
+    padded = f" {text.lower()} "
+    for n in toxicity.ORDERS:
+        for i in range(len(padded) - n + 1):
+            h = 0
+            for c in padded[i : i + n]:
+                h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) & mask
+            found.add((((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & mask) >> (64 - toxicity.BITS))
+    return found
+
+
+def test_toxicity_scores_are_those_of_plain_loops(spark):
+    weights = np.random.default_rng(6).normal(0, 0.2, (1 << toxicity.BITS) + 1).astype(np.float32)
+    texts = ["a rotten thing, a ROTTEN thing", "x", "", None, "\u00fcn\u00efc\u00f6d\u00e9 \U0001f600 text", "word " * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score(docs, weights).collect():
+        text = texts[r["doc_id"]]
+        raw = sum(float(weights[b]) for b in plain_buckets(text)) if text else 0.0
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-(raw + float(weights[-1])))), abs=1e-5) and r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_quality_scores_are_those_of_plain_loops(spark):
+    rng = np.random.default_rng(8)
+    params = quality._start(np.ones(2 * quality.FEATURES + 3)) + rng.normal(0, 0.05, quality.SIZE).astype(np.float32)
+    p = {k: v.astype(float) for k, v in quality._views(params).items()}
+    texts = ["one passage, short", " ".join(f"w{i}" for i in range(300)), "", None]
+    for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), params).collect():
+        gates, encodings = [], []
+        for x in quality.passages(texts[r["doc_id"]] or "").astype(float):
+            x = [(a - m) * s for a, m, s in zip(x, *p["scale"], strict=True)]
+            h = [math.tanh(sum(a * w for a, w in zip(x, column, strict=True))) for column in p["enc"].T]
+            v = [math.tanh(sum(a * w for a, w in zip(h, column, strict=True))) for column in p["v"].T]
+            u = [1 / (1 + math.exp(-sum(a * w for a, w in zip(h, column, strict=True)))) for column in p["u"].T]
+            gates.append(math.exp(sum(a * b * w for a, b, w in zip(v, u, p["w"], strict=True))))
+            encodings.append(h)
+        z = [sum(g * h[j] for g, h in zip(gates, encodings, strict=True)) / sum(gates) for j in range(quality.HIDDEN)]
+        want = 1 / (1 + math.exp(-sum(a * w for a, w in zip(z, p["out"], strict=True)) - float(p["bias"][0])))
+        assert r["score"] == pytest.approx(want, abs=1e-3) and r["predicted"] == int(r["score"] >= quality.THRESHOLD)
+
+
+def test_averaged_rounds_are_those_of_plain_loops(spark):
+    rows = [(i, float(i % 7)) for i in range(40)]
+    data = spark.createDataFrame(rows, "k long, x double").repartition(4, "k")
+    parts = [[r["x"] for r in part] for part in data.rdd.glom().collect()]
+
+    def local(params, batches, r):
+        n = 0
+        for pdf in batches:
+            for x in pdf["x"]:
+                params = params + np.float32(0.1 / (1 + r)) * (np.float32(x) - params)
+                n += 1
+        return params, n
+
+    want = np.zeros(3, np.float64)
+    for r in range(3):
+        change, n = np.zeros(3), 0
+        for part in parts:
+            own = want.copy()
+            for x in part:
+                own += 0.1 / (1 + r) * (x - own)
+            change += (own - want) * len(part)
+            n += len(part)
+        want += change / n
+    assert training.average_rounds(data, np.zeros(3, np.float32), local, 3) == pytest.approx(want, abs=1e-4)
+
+
 def test_quality_gradient_is_that_of_the_loss():
     rng = np.random.default_rng(1)
     params = quality._start(np.ones(2 * quality.FEATURES + 3)).astype(np.float64)

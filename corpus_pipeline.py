@@ -11,36 +11,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.cluster import ship
 from marketlens.llm import decontam, langid, mixing, ngram_join, quality
-from marketlens.llm.store import materialize
+from marketlens.llm.store import discard, materialize, scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is told; texts that are null or without letters, or torn between languages, go."""
+    """Keeps documents whose language is told; texts that are null or without letters, or torn between languages, go. Rows are judged by
+    their text alone, so repeated rows and null ids stay or go like others; nothing is left of an empty table."""
     ship(spark)
     return langid.keep_known(docs, langid.train(docs))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the quality model, learnt from the labels of these documents, does not reject."""
+    """Keeps documents that the quality model, learnt from the labels of these documents, does not reject. Rows are judged by their text
+    alone; a null text counts as empty; without labels the model is its start values."""
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, quality.train(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of exact and near copies: five-word shingles, Jaccard similarity 0.8 or more."""
+    """Keeps one document of each group of exact and near copies: five-word shingles, Jaccard similarity 0.8 or more. The smallest id
+    stays, a null id only where the group has no other; of rows that agree in id and text one stays; texts without words all stay."""
     ship(spark)
     return ngram_join.keep_one(docs, k=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents without a passage of the benchmark."""
+    """Keeps documents without a passage of the benchmark; null and empty texts have none, and an empty benchmark leaves all."""
     ship(spark)
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes documents so that the sources come near their target weights."""
+    """Takes documents so that the sources come near their target weights, and adds ``repeats``. Null sources are one source; null and
+    empty texts go in where their source's share admits them."""
     ship(spark)
     return mixing.take(docs)
 
@@ -58,8 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. What a stage wrote for itself, and its input, are deleted once its result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        with scratch(spark) as kept:
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+            kept.append(docs)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs

@@ -276,7 +276,8 @@ def order_machine(timeout_ns: int = 5 * SECOND) -> Fold:
         if event == "fill":
             if trade in seen:
                 return out(status, filled, waiting, seen, since, "Ignored")
-            seen = seen | {trade}
+            seen = seen if isinstance(seen, set) else set(seen)
+            seen.add(trade)  # the state before is not looked at again
             if early:
                 return out(status, filled, waiting + int(qty), seen, since, "Buffered")
             filled += int(qty)
@@ -341,6 +342,7 @@ def faults(drop: int, corrupt: int, duplicate: int, seed: int) -> Fold:
     """Fault injection of a replay by one seeded xorshift generator: each frame may be dropped, else one byte inverted, then sent twice."""
     mask = (1 << 64) - 1
 
+    # fixed values: the generator's shifts, and its start where the seed is 0 (below)
     def draw(x):
         x ^= (x << 13) & mask
         x ^= x >> 7

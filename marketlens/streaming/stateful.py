@@ -24,7 +24,7 @@ def _plain(value):
 
 def _stored(value):
     """A value of the fold's state as the state store takes it: sets and maps become arrays."""
-    return sorted(value) if isinstance(value, frozenset) else list(value.items()) if isinstance(value, dict) else value
+    return sorted(value) if isinstance(value, (set, frozenset)) else list(value.items()) if isinstance(value, dict) else value
 
 
 def run(stream: DataFrame, fold: Fold, key: str, order: list[str]) -> DataFrame:

@@ -64,7 +64,7 @@ def test_every_word_has_its_own_digits(monkeypatch):
 
 
 def plain_scores(rows):
-    """The whole model by loops over tokens: classes' neighbours, biases, two rounds of sums, probabilities."""
+    """The whole model by loops over tokens: classes' neighbours, biases, the update's sums, probabilities."""
     train = [(t, half) for i, t, half in rows if i is not None and zlib.crc32(str(i).encode()) % 10]
     counts = Counter(w for t, _ in train for w in tokens(t))
     head = sorted(counts, key=lambda w: (-counts[w], w))
@@ -103,14 +103,17 @@ def plain_scores(rows):
     for p in path.values():
         for level in range(len(p)):
             outs.setdefault(p[:level], set()).add(p[level])
-    weight, seen = {}, Counter()
+    weight = {}
 
     def features(one, two, prefix):
         level, node = len(prefix), nodes[prefix]
-        return [(level, int(r[0])) for r in lm._features(np.array([one]), np.array([two]), np.array([node]), level, model.bits)]
+        return [(level, int(r[0])) for r in lm._features(model, np.array([one]), np.array([two]), np.array([node]), level)]
 
-    def softmax(prefix, rows):
-        z = {o: math.log(mass[prefix, o] / mass[prefix]) + sum(s * weight.get((r, o), 0.0) for s, r in zip(lm.SHARES, rows, strict=False)) for o in outs[prefix]}
+    def expected(prefix):
+        return {o: mass[prefix, o] / mass[prefix] for o in outs[prefix]}
+
+    def softmax(prefix, found):
+        z = {o: math.log(p) + sum(s * weight.get((r, o), 0.0) for s, r in zip(lm.SHARES, found, strict=False)) for o, p in expected(prefix).items()}
         top = sum(math.exp(x) for x in z.values())
         return {o: math.exp(x) / top for o, x in z.items()}
 
@@ -120,36 +123,31 @@ def plain_scores(rows):
             known = w if w in number else None
             for level in range(len(path[known])):
                 yield w, path[known][:level], path[known][level], features(one, two, path[known][:level])
-            one, two = number.get(w, len(head)) + 2, one if one > 1 else (1 if one == 0 else one)
-
-    for half in range(2):
-        observed, expected, n = Counter(), Counter(), Counter()
-        for t, of_half in train:
-            for _, prefix, out, features_ in events(t) if of_half == half else ():
-                p = softmax(prefix, features_)
-                for r in features_:
-                    n[r] += 1
-                    observed[r, out] += 1
-                    for o, x in p.items():
-                        expected[r, o] += x
-        for r, o in expected:
-            had = lm.DAMP + seen[r]
-            weight[r, o] = weight.get((r, o), 0.0) + math.log((observed[r, o] * n[r] / max(expected[r, o], 1e-6) + had) / (n[r] + had))
-        seen.update(n)
+            one, two = number.get(w, len(head)) + 2, one if one > 1 else 1
+
+    observed, n, of_row = Counter(), Counter(), {}
+    for t, _ in train:
+        for _, prefix, out, found in events(t):
+            for r in found:
+                n[r] += 1
+                observed[r, out] += 1
+                assert of_row.setdefault(r, prefix) == prefix
+    for r, prefix in of_row.items():
+        for o, p in expected(prefix).items():
+            gradient = observed[r, o] - n[r] * p
+            weight[r, o] = math.log(1 + gradient / ((n[r] + lm.DAMP) * p))
     for _, text, _ in rows:
         score = sum(math.log10(softmax(prefix, found)[out]) for _, prefix, out, found in events(text))
         yield score + sum(math.log10(lm.SMOOTH / lm.SMOOTH) for w in tokens(text) if w not in number)
 
 
-def test_scores_are_those_of_plain_loops(spark, monkeypatch):
-    monkeypatch.setattr(lm, "MOST_BITS", 20)
+def test_scores_are_those_of_plain_loops(spark):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(30)]
     texts = [" ".join(rng.choice(words[:15] if i % 2 else words[12:], rng.integers(1, 25))) for i in range(60)] + ["w1 new word w2", ""]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = [(r["doc_id"], r["text"], r["half"]) for r in docs.withColumn("half", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2))).collect()]
-    want = dict(zip([r[0] for r in rows], plain_scores(rows), strict=True))
-    got = {r["doc_id"]: r["score"] for r in lm.score(docs.repartition(3)).collect()}
+    rows = [(i, t, 0) for i, t in enumerate(texts)]
+    want = dict(zip(range(len(rows)), plain_scores(rows), strict=True))
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)).collect()}
     assert got == {i: pytest.approx(x, abs=2e-3) for i, x in want.items()}
 
 

@@ -107,7 +107,7 @@ def plain_scores(rows):
 
     def features(one, two, prefix):
         level, node = len(prefix), nodes[prefix]
-        return [(level, int(r[0])) for r in lm._features(model, np.array([one]), np.array([two]), np.array([node]), level)]
+        return [(level, int(r[0])) for r in lm._features(model, lm._hashes(np.array([one]), np.array([two])), np.array([node]), level)]
 
     def expected(prefix):
         return {o: mass[prefix, o] / mass[prefix] for o in outs[prefix]}

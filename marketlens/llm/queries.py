@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, html, langid, lm, mixing, ngram_join, quality, toxicity
+from . import alignment, ann, chat, decontam, fim, html, langid, licenses, lm, mixing, ngram_join, quality, toxicity
 from .splits import remainder
 
 
@@ -65,6 +65,21 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_read(spark, sf_dir, "documents"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents")).drop("spans")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_read(spark, sf_dir, "documents")).drop("a", "b")
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.fill_in_middle(_read(spark, sf_dir, "documents"))
+    restored = fim.restore(F.col("output"), F.col("form"))
+    digests = [F.sha2(F.col("output"), 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256")]
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_lm_scoring": op2_lm_scoring,
@@ -76,5 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_html": op9_html,
     "op10_ngram_join": op10_ngram_join,
+    "op11_licenses": op11_licenses,
+    "op12_alignment": op12_alignment,
+    "op13_fim": op13_fim,
 }
-ORACLE_SQL: dict[str, str] = {"op4_chat": chat.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op7_decontam": decontam.ORACLE_SQL, "op10_ngram_join": ngram_join.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_chat": chat.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op7_decontam": decontam.ORACLE_SQL, "op10_ngram_join": ngram_join.ORACLE_SQL, "op13_fim": fim.ORACLE_SQL}

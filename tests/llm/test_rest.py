@@ -252,30 +252,67 @@ def test_outliers_beside_a_tight_cluster_find_their_neighbours(spark):
         assert [r["vec_id"] for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])] == [i for i, _ in exact(rows, q)]
 
 
-def test_probes_come_in_the_order_of_their_success():
+def test_probes_come_in_the_order_of_their_success(monkeypatch):
     d, c = 4, 0.4
-    index = ann.Index(6, d, ann.SLOTS**d, c)
+    index = ann.Index(6, d, 1.0, c)
     x = ann._unit(np.random.default_rng(0).normal(size=(3, 6)))
     gauss = lambda z: 0.5 * (1 + math.erf(z / math.sqrt(2)))
     for q in range(3):
+        missed = np.empty((ann.TABLES, ann.SLOTS**d))
         for t in range(ann.TABLES):
             place = x[q] @ index.directions[t]
-            value = {}
+            value, hit = {}, {}
             for slots in itertools.product(range(ann.SLOTS), repeat=d):
-                total = 0.0
+                total, held, number = 0.0, 1.0, sum(s * ann.SLOTS**j for j, s in enumerate(slots))
                 for j, slot in enumerate(slots):
                     edges = [-math.inf, *index.edges[t, :, j], math.inf]
                     lo, hi = edges[slot], edges[slot + 1]
                     near = gauss((hi - c * place[j]) / math.sqrt(1 - c * c)) - gauss((lo - c * place[j]) / math.sqrt(1 - c * c))
+                    held *= near
                     total += math.log(near) - ann.CROWDING * math.log(gauss(hi) - gauss(lo))
-                value[sum(s * ann.SLOTS**j for j, s in enumerate(slots))] = total
-            visits = index.visits(x)[t, q].tolist()
+                value[number], hit[number] = total, held
+            all_, reached = index.visits(x)
+            visits = all_[t, q].tolist()
+            missed[t] = 1 - np.cumsum([hit[v] for v in visits])
             got = [value[v] for v in visits]
             assert got == pytest.approx(sorted(value.values(), reverse=True)) and len(set(visits)) == len(value)
-            few = ann.Index(6, d, 10, c).visits(x)[t, q].tolist()
+            with monkeypatch.context() as patch:
+                patch.setattr(ann, "PROBES", 10)
+                few = ann.Index(6, d, 1.0, c).visits(x)[0][t, q].tolist()
             assert [value[v] for v in few] == pytest.approx(got[:10])
             slot = [int(sum(place[j] >= e for e in index.edges[t, :, j])) for j in range(d)]
             assert index.buckets(x)[t, q] == sum(s * ann.SLOTS**j for j, s in enumerate(slot))
+        assert reached[q].tolist() == pytest.approx((1 - missed.prod(0)).tolist(), abs=1e-9)
+        for bar in (0.3, 0.9, 1.0):
+            n = int(index.enough(reached, bar)[q])
+            assert reached[q, n - 1] >= bar - 1e-9 and (n == 1 or reached[q, n - 2] < bar)
+
+
+def test_harder_queries_visit_more_buckets(sf):
+    """On the given vectors: recall against brute force, the mean and that of the worst tenth, and how much the buckets visited differ."""
+    import duckdb
+
+    v = ann._unit(np.array([r[0] for r in duckdb.sql(f"SELECT embedding FROM '{sf}/embeddings.parquet' ORDER BY vec_id").fetchall()]))
+    near = []
+    for i in range(len(v)):
+        score = v @ v[i]
+        score[i] = -2
+        near.append(np.argsort(-score)[:5])
+    asked = range(0, len(v), 3)
+    index = ann.fit(v, v[list(asked)], [v[near[i]] for i in asked], len(v))
+    visits, reached = index.visits(v)
+    n, buckets = index.enough(reached, index.bar), index.buckets(v)
+    recall = np.sort([np.mean([any(buckets[t, j] in visits[t, i, : n[i]] for t in range(ann.TABLES)) for j in near[i]]) for i in range(len(v))])
+    assert recall.mean() >= 0.94 and recall[: len(v) // 10].mean() >= 0.75 and n.max() > n.min()
+
+
+def test_magnitudes_change_nothing(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(300)]
+    scaled = [(i, (np.array(v) * 2.0 ** rng.choice([-900, -3, 0, 900])).tolist()) for i, v in rows]
+    schema = "vec_id long, embedding array<double>"
+    plain, other = (sorted(map(tuple, ann.search(spark.createDataFrame(x, schema)).collect())) for x in (rows, scaled))
+    assert [r[:3] for r in plain] == [r[:3] for r in other] and [r[3] for r in plain] == pytest.approx([r[3] for r in other], abs=1e-15)
 
 
 def test_neighbours_of_huge_and_tiny_vectors(spark):

@@ -8,8 +8,7 @@ shards of sorted keys. Scoring maps the shards into memory and looks pairs up by
 from __future__ import annotations
 
 import hashlib
-import os
-import re
+import json
 import uuid
 from array import array
 from pathlib import Path
@@ -28,11 +27,6 @@ BYTE_BPE, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_b
 BLOCK = 1 << 20
 #: Pairs that a task gathers before it counts them, and distinct pairs that it holds before it passes them on
 GATHER, HOLD = 1 << 21, 1 << 21
-#: Stretches of text whose tokens a task remembers, and characters of the longest one
-REMEMBER, LONGEST = 300_000, 64
-
-# A stretch begins at a space that follows a character that is no white space, where no token of either tokenizer goes on
-_STRETCH = re.compile(r" *[^ ]+(?:(?<=\s) +[^ ]+)*(?: +\Z)?| +")
 
 
 def _byte_level() -> dict[str, int]:
@@ -42,58 +36,40 @@ def _byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+#: How the byte-level tokenizer cuts a text before its merges; a fixed value of that kind of tokenizer
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Tokenizers:
-    """Both tokenizers; ids come as packed integers of 32 bits."""
+    """Both tokenizers. A's file is run by ranks, which gives the same ids as its own library in a third of the time: that is checked to
+    be so, as every merge must make the next id and nothing else may change the text."""
 
     def __init__(self, byte_bpe: str, pieces: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # of this worker: Spark runs a task for each core
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        a, b = Tokenizer.from_str(byte_bpe), sentencepiece.SentencePieceProcessor(model_proto=pieces)
-        a.encode_special_tokens = True
-        level = _byte_level()
-        vocabulary = a.get_vocab(with_added_tokens=False)
+        file, level = json.loads(byte_bpe), _byte_level()
+        vocabulary, merges, cut = file["model"]["vocab"], file["model"]["merges"], file["pre_tokenizer"]
+        pairs = [x.split(" ") if isinstance(x, str) else x for x in merges]
+        if file["normalizer"] or cut["type"] != "ByteLevel" or cut["add_prefix_space"] or not cut.get("use_regex", True) or any(vocabulary[x + y] != 256 + i for i, (x, y) in enumerate(pairs)):
+            raise ValueError("the byte-level file is not one of plain byte-level merges in the order of their ids")
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.a_bytes[i] = bytes(level[c] for c in token)
-        names = [b.id_to_piece(i) for i in range(b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
-        if any(re.search("[^▁]▁", p) for p in names):
-            raise ValueError("pieces go on over spaces, so texts cannot be encoded by stretches")
+        b = self._b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(b.id_to_piece(list(range(b.get_piece_size()))))]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-
-        self._encoders, self._memo = (a, b), {}
-
-    def _found(self, stretches: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
-        """Both encodings of each stretch, None if either's bytes are not those of the stretch."""
-        a, b = self._encoders
-        both = zip((x.ids for x in a.encode_batch_fast(stretches, add_special_tokens=False)), b.encode([s[1:] for s in stretches], num_threads=1), strict=True)  # B puts the space there itself
-        found = {}
-        for s, (x, y) in zip(stretches, both, strict=True):
-            data = s.encode()
-            right = b"".join([self.a_bytes[i] for i in x]) == data == b"".join([self.b_bytes[i] for i in y])
-            found[s] = (array("i", x).tobytes(), array("i", y).tobytes()) if right else None
-        return found
+        self._a = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks={x: i for i, x in enumerate(self.a_bytes) if x}, special_tokens={})
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """Both encodings of a space and each text; empty for an empty text and where either's bytes are not those of the text."""
-        cut = [_STRETCH.findall(" " + t) if t else [] for t in texts]
-        if len(self._memo) > REMEMBER:
-            self._memo = {}
-        memo = self._memo
-        new = list({s for stretches in cut for s in stretches if s not in memo})
-        long = [s for s in new if len(s) > LONGEST]
-        memo |= self._found(new)
-        out_a, out_b = [], []
-        for stretches in cut:
-            pairs = [memo[s] for s in stretches]
-            if None in pairs:
-                pairs = []
-            out_a.append(b"".join([x for x, _ in pairs]))
-            out_b.append(b"".join([y for _, y in pairs]))
-        for s in long:
-            del memo[s]
+        """Both encodings of a space and each text, as packed integers of 32 bits; empty for an empty text and where B's bytes are not
+        those of the text. A's always are."""
+        out_a, out_b, names = [], [], self.b_bytes
+        for text, y in zip(texts, self._b.encode(texts, num_threads=1), strict=True):  # B puts the space there itself
+            data = f" {text}".encode()
+            right = bool(text) and b"".join([names[i] for i in y]) == data
+            out_a.append(array("i", self._a.encode_ordinary(f" {text}")).tobytes() if right else b"")
+            out_b.append(array("i", y).tobytes() if right else b"")
         return out_a, out_b
 
 
@@ -175,7 +151,7 @@ def encode(docs: DataFrame, id_: str = "doc_id", text: str = "text", byte_bpe: s
         signed = signed_ids(max(len(both.a_size), len(both.b_size)))
         for batch in batches:
             for part in _blocks(batch, [len(t or "") for t in batch.column("text").to_pylist()]):
-                a, b = both.encode(part.column("text").to_pylist())
+                a, b = both.encode([t or "" for t in part.column("text").to_pylist()])
                 found = Linked(a, b, both.a_size, both.b_size)
                 groups, written = found.groups(signed)
                 digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in written]

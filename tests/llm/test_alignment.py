@@ -70,7 +70,7 @@ def plain(rows, whole):
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
-def test_stretches_encode_as_whole_texts(both, whole, sf):
+def test_encodings_are_those_of_both_libraries(both, whole, sf):
     import duckdb
 
     texts = ODD + [t for (t,) in duckdb.sql(f"SELECT text FROM '{sf}/documents.parquet' WHERE length(text) < 20000").fetchall()]
@@ -78,13 +78,35 @@ def test_stretches_encode_as_whole_texts(both, whole, sf):
         assert [np.frombuffer(x, np.int32).tolist() for x in (a, b)] == [[t[0] for t in x] for x in whole(text)], text[:60]
 
 
-def test_forgetting_stretches(both, monkeypatch):
-    monkeypatch.setattr(al, "REMEMBER", 3)
-    fresh = al.Tokenizers(Path(al.BYTE_BPE).read_text(), Path(al.PIECES).read_bytes())
-    texts = ["one two three four five six"] * 2 + ["seven " + "x" * 200, ""]
-    for t in texts:
-        assert fresh.encode([t]) == both.encode([t])
-    assert all(len(s) <= al.LONGEST for s in fresh._memo)
+def test_random_texts_have_the_ids_of_the_library(both):
+    import random
+
+    from tokenizers import Tokenizer
+
+    a, rng = Tokenizer.from_file(al.BYTE_BPE), random.Random(2)
+    a.encode_special_tokens = True
+    alphabets = ["etaoinshrdlu", "abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(1, 0x250))), "0123456789.,'s t\n", "日本語한국어العربيةкири"]
+    texts = ["".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randint(1, 12))) for _ in range(5000)]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(2, 14))) for letters in alphabets for _ in range(3000)]
+    own = a.encode_batch([" " + t for t in texts], add_special_tokens=False)
+    got = [np.frombuffer(x, np.int32).tolist() for x in both.encode(texts)[0]]
+    assert sum(bool(g) for g in got) > len(texts) // 2 and all(g in ([], e.ids) for g, e in zip(got, own, strict=True))
+
+
+@pytest.mark.parametrize("text", ["a" * 300_000, " " * 300_000, "\n \n" * 100_000, "ab " * 200_000, "é" * 200_000])
+def test_long_runs(both, text):
+    a, b = both.encode([text])
+    for packed, table in ((a[0], both.a_bytes), (b[0], both.b_bytes)):
+        assert b"".join(table[i] for i in np.frombuffer(packed, np.int32)) == (" " + text).encode()
+
+
+def test_files_of_another_kind_are_refused():
+    import json
+
+    file = json.loads(Path(al.BYTE_BPE).read_text())
+    file["model"]["merges"] = file["model"]["merges"][::-1]
+    with pytest.raises(ValueError):
+        al.Tokenizers(json.dumps(file), Path(al.PIECES).read_bytes())
 
 
 @pytest.mark.parametrize("small", [False, True])

@@ -2,8 +2,8 @@
 
 Cuts are drawn in code points, texts are stored in UTF-8. An index of the distinct texts answers "at which byte does code point k begin?":
 texts are grouped by a digest, the members of a group are compared byte by byte, and each distinct text gets one Elias-Fano list of the
-bytes at which its code points begin. Documents are joined back by their digest alone, so a text is shuffled once however many documents
-have it, and each document selects its two cuts from the list.
+bytes at which its code points begin, from which each document selects its two cuts. A text is shuffled once, with the ids of its
+documents; only those of very many documents are joined with them by their digest.
 """
 
 from __future__ import annotations
@@ -81,24 +81,23 @@ def with_lists(docs: DataFrame, digest: Callable[[Column], Column] = F.xxhash64)
     hot = materialize(counts.where(F.col("n") > bar).select("key", F.ceil(F.col("n") / bar).cast("int").alias("pieces")), "fim-hot")
     hot = F.broadcast(hot)  # at most MOST_HOT keys
 
-    def grouped(rows):
-        """One row per digest with its distinct texts: collect_set compares whole texts, in map tasks first."""
-        return rows.groupBy("key").agg(F.collect_set("text").alias("texts"))
+    # collect_set compares whole texts, in map tasks first
+    texts = F.collect_set("text").alias("texts")
+    rare = keyed.join(hot, "key", "left_anti").groupBy("key").agg(texts, F.collect_list(F.struct("id")).alias("members"))
+    frequent = keyed.join(hot, "key", "left_semi").groupBy("key").agg(texts)
 
     def alone(groups):
         return groups.where(F.size("texts") == 1).withColumn("text", F.col("texts")[0]).drop("texts")
 
-    rare, frequent = grouped(keyed.join(hot, "key", "left_anti")), grouped(keyed.join(hot, "key", "left_semi"))
-    narrow = keyed.select("id", "key")
-    # the index stays where its texts were grouped; only ids and digests move to it
-    parts = [narrow.join(hot, "key", "left_anti").hint("shuffle_hash").join(_indexed(alone(rare)), "key")]
+    parts = [_indexed(alone(rare)).withColumn("member", F.explode("members")).withColumn("id", F.col("member.id"))]
     # lists of frequent texts are copied to each piece of their documents
-    dealt = narrow.join(hot, "key").select("id", "key", F.pmod(F.monotonically_increasing_id(), F.col("pieces")).cast("int").alias("piece"))
+    dealt = keyed.select("id", "key").join(hot, "key").select("id", "key", F.pmod(F.monotonically_increasing_id(), F.col("pieces")).cast("int").alias("piece"))
     copies = _indexed(alone(frequent)).join(hot, "key").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
     parts.append(dealt.hint("shuffle_hash").join(copies, ["key", "piece"]))
-    # different texts of one digest are joined by the texts themselves; there is about one such pair in 6e9 documents
-    for groups in (rare, frequent):
-        clashing = groups.where(F.size("texts") > 1).select("key", F.explode("texts").alias("text"))
+    # different texts of one digest are joined by the texts themselves; there is about one such pair in 6e9 documents. Members are read
+    # so that both uses of the groups are of one shuffle, not of two that differ in their columns.
+    for groups, used in ((rare, F.size("members") > 0), (frequent, F.lit(True))):
+        clashing = groups.where((F.size("texts") > 1) & used).select("key", F.explode("texts").alias("text"))
         parts.append(keyed.join(F.broadcast(_indexed(clashing)), ["key", "text"]))
     first, *rest = (p.select("id", "text", "list") for p in parts)
     for part in rest:

@@ -90,23 +90,23 @@ class Index:
         near = np.log(np.maximum(_gauss((high - mean) / spread) - _gauss((low - mean) / spread), 1e-12))
         return near, near - CROWDING * np.log(_gauss(high) - _gauss(low))
 
-    def visits(self, unit: np.ndarray, cosine: float | np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def visits(self, unit: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """Buckets to visit, most promising first at the typical cosine: tables by queries by probes; and the estimated probability that
-        the buckets up to each, of all tables, hold a neighbour of ``cosine`` (the typical one): queries by probes. The best of all
-        directions are made of the best of the first few, so no more than ``probes`` partial buckets are kept."""
+        the buckets up to each, of all tables, hold a neighbour at that cosine: queries by probes; with each query's ``own`` cosine also
+        that for a neighbour there. The best of all directions are made of the best of the first few, so no more than ``probes`` partial
+        buckets are kept."""
         near, worth = self.success(unit, self.cosine)
-        if cosine is not None:
-            near, _ = self.success(unit, cosine)
-        best, hit, code = (np.zeros((*near.shape[:2], 1), kind) for kind in (float, float, np.int64))
+        nears = [near] if own is None else [near, self.success(unit, own)[0]]
+        best, code, *hits = (np.zeros((*near.shape[:2], 1), kind) for kind in (float, np.int64, *[float] * len(nears)))
         for j, place in enumerate(self.place):
-            best, hit = ((x[..., None] + y[:, :, None, :, j]).reshape(*x.shape[:2], -1) for x, y in ((best, worth), (hit, near)))
+            best, *hits = ((x[..., None] + y[:, :, None, :, j]).reshape(*x.shape[:2], -1) for x, y in zip((best, *hits), (worth, *nears), strict=True))
             code = (code[..., None] + np.arange(SLOTS) * place).reshape(*code.shape[:2], -1)
             if best.shape[2] > self.probes:
                 at = np.argpartition(-best, self.probes - 1, axis=2)[..., : self.probes]
-                best, hit, code = (np.take_along_axis(x, at, 2) for x in (best, hit, code))
+                best, code, *hits = (np.take_along_axis(x, at, 2) for x in (best, code, *hits))
         order = np.argsort(-best, axis=2, kind="stable")
-        reached = np.minimum(np.cumsum(np.exp(np.take_along_axis(hit, order, 2)), axis=2), 1.0)
-        return np.take_along_axis(code, order, 2), 1 - np.prod(1 - reached, axis=0)
+        reached = (np.minimum(np.cumsum(np.exp(np.take_along_axis(hit, order, 2)), axis=2), 1.0) for hit in hits)
+        return np.take_along_axis(code, order, 2), *(1 - np.prod(1 - x, axis=0) for x in reached)
 
     def enough(self, reached: np.ndarray, bar: float) -> np.ndarray:
         """How many buckets of each table each query visits: to the first at which it has reached the bar; one more than there are to
@@ -134,8 +134,7 @@ def fit(sample: np.ndarray, queries: np.ndarray, near: list[np.ndarray], total:
     best = None
     for directions in range(1, max(1, min(MOST_DIRECTIONS, round(math.log(max(total, 2), SLOTS)) + 1)) + 1):
         index = Index(sample.shape[1], directions, 1.0, cosine)
-        (visits, reached), at, all_ = index.visits(q), index.buckets(true), index.buckets(unit)
-        _, own = index.visits(q, np.minimum(farthest, index.cosine))
+        (visits, reached, own), at, all_ = index.visits(q, np.minimum(farthest, index.cosine)), index.buckets(true), index.buckets(unit)
         rank_true = np.full((TABLES, len(true)), 1 << 30)
         rank_all = np.full((TABLES, len(q), len(unit)), 1 << 30, np.int32)
         table = np.empty(SLOTS**directions, np.int32)
@@ -256,7 +255,7 @@ def _judged(asked: DataFrame, found: DataFrame, index: Index, k: int) -> DataFra
             for start in range(0, len(pdf), 64):
                 part = pdf.iloc[start : start + 64].copy()
                 unit, few = _unit(np.array(part["v"].tolist(), np.float64)), part["few"].to_numpy(bool)
-                first, then = (index.enough(index.visits(unit, c)[1], index.bar) for c in (None, np.where(few, index.cosine, part["own"].to_numpy(float))))
+                first, then = (index.enough(x, index.bar) for x in index.visits(unit, np.where(few, index.cosine, part["own"].to_numpy(float)))[1:])
                 part["all"] = few | index.all_(then)
                 part["more"] = (then > first) & ~part["all"]
                 yield part[["id", "v", "own", "more", "all"]]
@@ -283,10 +282,8 @@ def _probe(distinct: DataFrame, asked: DataFrame, index: Index, k: int, total: i
             for start in range(0, len(pdf), 64):
                 part = pdf.iloc[start : start + 64]
                 v = np.array(part["v"].tolist(), kind)
-                visits, reached = index.visits(_unit(v))
-                start_, end = np.zeros(len(v), np.int64), index.enough(reached, index.bar)
-                if "own" in part:
-                    start_, end = end, index.enough(index.visits(_unit(v), part["own"].to_numpy())[1], index.bar)
+                visits, *reached = index.visits(_unit(v), part["own"].to_numpy() if "own" in part else None)
+                start_, end = [np.zeros(len(v), np.int64), *(index.enough(x, index.bar) for x in reached)][-2:]
                 for i, (q, row, lo, hi) in enumerate(zip(part["id"], v, start_, end, strict=True)):
                     codes = np.concatenate([visits[t, i, lo:hi] * TABLES + t for t in range(TABLES)])
                     cells = np.concatenate([cell(t, visits[t, i, lo:hi]) for t in range(TABLES)])

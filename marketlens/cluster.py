@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -13,6 +15,18 @@ from pyspark.sql import SparkSession
 _ROOT = os.path.dirname(os.path.abspath(__file__))
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the session's checkpoint folder, which driver and executors share; only a session that has none and runs in one
+    process gets one of its own."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        configured = context.getConf().get("spark.checkpoint.dir")
+        if configured is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's source to the executors once per application, as ``--py-files`` would."""
     context = spark.sparkContext

@@ -31,3 +31,21 @@ def to_shards(definitions: DataFrame, shards: int) -> DataFrame:
     kinds = F.array(F.struct(F.lit(0).alias("ord"), F.lit("InstrumentDefinition").alias("message")), F.struct(F.lit(1).alias("ord"), F.lit("TradingStatus").alias("message")))
     spread = definitions.withColumn("shard_id", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("_kind", F.explode(kinds))
     return spread.withColumn("ord", F.col("_kind.ord")).withColumn("message", F.col("_kind.message")).drop("_kind")
+
+
+def valid_at(events: DataFrame, versions: DataFrame, time: str, since: str, values: list[str], width: int) -> DataFrame:
+    """Events with the ``values`` of their symbol's version that is valid at their time; null before the first one.
+
+    A version is valid from its ``since`` until the next one's; of several with one ``since`` the one with the largest values is. It is
+    cut into slices of ``width`` as far as the events' times reach, and an event meets the slice of its own time only, so a symbol with
+    very many events is spread over its times. A version that is the same as the one before should not be given (see ``changes``).
+    """
+    ends = events.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).first()
+    once = versions.groupBy("symbol", F.col(since).alias("_from")).agg(F.max(F.struct(*values)).alias("_v"))
+    until = F.lead("_from").over(Window.partitionBy("symbol").orderBy("_from"))
+    lo, hi = F.greatest("_from", F.lit(ends["lo"])), F.least(F.coalesce("_to", F.lit(ends["hi"]) + 1) - 1, F.lit(ends["hi"]))
+    spans = once.withColumn("_to", until).withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <= _hi")
+    sliced = spans.select(F.col("symbol").alias("_symbol"), "_from", "_to", "_v", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))).alias("_slice"))
+    t = F.col(time)
+    on = (F.col("symbol") == F.col("_symbol")) & (F.floor(t / width) == F.col("_slice")) & (t >= F.col("_from")) & (F.col("_to").isNull() | (t < F.col("_to")))
+    return events.join(sliced, on, "left").select(*events.columns, *[F.col(f"_v.{c}").alias(c) for c in values])

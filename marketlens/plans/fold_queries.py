@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import folds, replay
+from ..operators import folds
 from .catalog import query
 
 
@@ -95,16 +95,26 @@ def backpressure(v):
     return folds.run(v("offers"), folds.backpressure(10_000_000, 30_000_000, 100_000_000), "symbol", ["ts_ns", "event_id"], []).select("symbol", "event_id", "outcome", "elapsed_ns")
 
 
-@query("g15_checksum_arbiter", """
-    WITH r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY n) AS rn FROM checksums),
-    -- no window of 64 ids fills up here, so only the id at the front can be too new for a message
-    f AS (SELECT symbol, update_id AS front FROM r WHERE rn = 1),
-    live AS (SELECT r.* FROM r JOIN f ON r.symbol = f.symbol WHERE r.update_id >= f.front),
-    s AS (SELECT symbol, n, update_id, last_value(CASE WHEN instance_id = 0 THEN checksum END IGNORE NULLS) OVER w AS a, last_value(CASE WHEN instance_id <> 0 THEN checksum END IGNORE NULLS) OVER w AS p FROM live
-          WINDOW w AS (PARTITION BY symbol, update_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-    SELECT r.symbol, r.n, r.update_id, CASE WHEN s.n IS NULL THEN 'Stale' WHEN s.a IS NULL OR s.p IS NULL THEN 'Pending' WHEN s.a = s.p THEN 'Matched' ELSE 'Diverged' END AS verdict FROM r LEFT JOIN s ON r.symbol = s.symbol AND r.n = s.n""")
+_HELD = "len(f.ids) > 0 AND r.update_id < f.ids[1]"
+_PLACE = "coalesce(list_position(f.ids, r.update_id), 0)"
+
+
+def _side(name: str, own: str) -> str:
+    """The checksums of one side after a row: put at its version's place, or behind, the oldest of more than 64 out first."""
+    value = f"CASE WHEN {own} THEN r.checksum END"
+    put = f"list_concat(f.{name}[:{_PLACE} - 1], [r.checksum], f.{name}[{_PLACE} + 1:])"
+    behind = f"list_append(f.{name}, {value})"
+    return f"CASE WHEN {_HELD} THEN f.{name} WHEN {_PLACE} > 0 THEN CASE WHEN {own} THEN {put} ELSE f.{name} END WHEN len(f.ids) >= 64 THEN ({behind})[2:] ELSE {behind} END"
+
+
+@query("g15_checksum_arbiter", f"""
+    WITH states AS ({_walk(
+        "SELECT *, ord AS rn FROM feed_checksums", "[]::BIGINT[] AS ids, []::VARCHAR[] AS actives, []::VARCHAR[] AS passives, false AS stale",
+        f"CASE WHEN {_HELD} OR {_PLACE} > 0 THEN f.ids WHEN len(f.ids) >= 64 THEN list_append(f.ids, r.update_id)[2:] ELSE list_append(f.ids, r.update_id) END, {_side('actives', 'r.instance_id = 0')}, {_side('passives', 'r.instance_id <> 0')}, {_HELD}",
+        "r.symbol, r.ord, r.update_id, f.stale, f.actives[list_position(f.ids, r.update_id)] AS a, f.passives[list_position(f.ids, r.update_id)] AS p")})
+    SELECT symbol, ord, update_id, CASE WHEN stale THEN 'Stale' WHEN a IS NULL OR p IS NULL THEN 'Pending' WHEN a = p THEN 'Matched' ELSE 'Diverged' END AS verdict FROM states""")
 def checksum_arbiter(v):
-    return folds.run(v("checksums"), folds.checksum_arbiter(), "symbol", ["n"], []).select("symbol", "n", "update_id", "verdict")
+    return folds.run(v("feed_checksums"), folds.checksum_arbiter(), "symbol", ["ord"], []).select("symbol", "ord", "update_id", "verdict")
 
 
 _SCHEDULE = "CASE WHEN k < 5 THEN 'startup' WHEN k < 10 THEN 'reconnect' WHEN k < 20 THEN 'startup_done' WHEN k < 30 THEN 'reconnect_done' WHEN k < 60 THEN 'periodic_done' ELSE 'tick' END"
@@ -236,9 +246,3 @@ def current_orders(v):
     done = folds.run(e, folds.JOURNAL_ORDER, "symbol", ["phase", "ord"], [])
     columns = ("status", "filled_qty", "exchange_order", "updated_ns")
     return done.groupBy(F.col("symbol").alias("order_id")).agg(F.max_by(F.struct(*columns), F.struct("phase", "ord")).alias("o")).select("order_id", *[F.col(f"o.{c}").alias(c) for c in columns])
-
-
-@query("j08_fault_injection")
-def fault_injection(v):
-    frames = v("ticks").select(F.col("symbol").alias("recording"), F.col("event_id").alias("frame_id"), F.col("ts_ns").alias("captured_at_ns"), F.encode(F.concat(F.col("price").cast("string"), F.lit("|"), "symbol"), "UTF-8").alias("payload"))
-    return replay.inject(frames, 20, 10, 5, 42).select("recording", "frame_id", "payload", "was_corrupted", "is_duplicate")

@@ -56,6 +56,20 @@ VIEWS = {
     "checksums": """
         SELECT symbol, event_id, n, n AS ord, CASE WHEN k % 2 = 0 THEN 0 ELSE 1 END AS instance_id, (n + 1) // 2 - CASE WHEN k % 31 = 5 THEN 8 ELSE 0 END AS update_id,
                CASE WHEN k % 13 = 0 THEN 'x' ELSE 'y' END AS checksum FROM numbered""",
+    "arrivals": """
+        SELECT event_id, symbol, event_type, ts_ns, ts_ns + (event_id * 7919 % 97) * (event_id * 104729 % 89) * 4000000000 AS arrived_ns FROM ticks""",
+    "refreshes": """
+        SELECT symbol, version, US(started) * 1000 + (version * 500 + length(symbol) * 40 + CASE WHEN version = 1 THEN tick_size ELSE 0 END) * 86400000000000 AS refreshed_ns, tick_size, is_trading, base_asset
+        FROM definitions CROSS JOIN (SELECT cast('1993-01-01' as timestamp) AS started) AS epoch""",
+    "lifecycles": """
+        SELECT order_id, ts_ns, 'submit' AS event FROM requests
+        UNION ALL SELECT order_id, ts_ns + order_id % 10 * 86400000000000, 'ack' FROM requests WHERE order_id % 11 <> 0
+        UNION ALL SELECT order_id, ts_ns + 3 * 86400000000000, 'reject' FROM requests WHERE order_id % 13 = 0
+        UNION ALL SELECT order_id, ts_ns + 9 * 86400000000000, 'cancel' FROM requests WHERE order_id % 4 = 0""",
+    "feed_checksums": """
+        SELECT concat('G', user_id % 5) AS symbol, n AS ord, event_id, CASE WHEN k % 2 = 0 THEN 0 ELSE 1 END AS instance_id,
+               (n + 1) // 2 - CASE WHEN k % 31 = 5 THEN 70 WHEN k % 17 = 3 THEN 20 ELSE 0 END AS update_id, CASE WHEN k % 13 = 0 THEN 'x' ELSE 'y' END AS checksum
+        FROM (SELECT user_id, event_id, k, cast(row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts_ns, event_id) as bigint) AS n FROM ticks) AS grouped""",
     "accounts": """
         SELECT c_custkey, c_name, concat(cast(c_acctbal as decimal(15, 2)), '') AS balance FROM customer""",
 }

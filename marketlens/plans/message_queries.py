@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, scalars as S
-from ..operators import book, folds, generate, joins, landing, normalise, replay
+from ..operators import book, folds, joins, landing, normalise, replay
 from ..sources import binary, json_frames as J
 from .catalog import query
 from .fold_queries import _sequence_sql
@@ -228,24 +228,3 @@ def table_order(v):
 @query("h07_first_samples", """SELECT symbol, event_id FROM ticks ORDER BY ts_ns, event_id LIMIT 5""")
 def first_samples(v):
     return v("ticks").orderBy("ts_ns", "event_id").limit(5).select("symbol", "event_id")
-
-
-@query("k01_generated_books", """SELECT 100::BIGINT AS symbols, 2000::BIGINT AS levels, 99900::BIGINT AS best_bid, 100100::BIGINT AS best_ask, true AS sound""")
-def generated_books(v):
-    levels = generate.snapshots(v("instruments").sparkSession, 100)
-    return levels.agg(F.countDistinct("symbol").alias("symbols"), F.count(F.lit(1)).alias("levels"), F.max(F.when(F.col("side") == "B", F.col("price"))).alias("best_bid"), F.min(F.when(F.col("side") == "A", F.col("price"))).alias("best_ask"), F.bool_and(F.col("qty").between(1, 1000)).alias("sound"))
-
-
-@query("k02_generated_deltas", """SELECT 0::BIGINT AS violations, 50::BIGINT AS symbols""")
-def generated_deltas(v):
-    d = generate.deltas(v("instruments").sparkSession, 50, 200)
-    bad = book.violations(book.latest_levels(d)).agg(F.count(F.lit(1)).alias("violations"))
-    return bad.select("violations", F.lit(d.select("symbol").distinct().count()).cast("long").alias("symbols"))
-
-
-@query("k03_edge_books", """SELECT 'empty ask' AS name, true AS one_sided UNION ALL SELECT 'wide', false""")
-def edge_books(v):
-    spark = v("instruments").sparkSession
-    cases = {"empty ask": generate.snapshots(spark, 1, sides="B"), "wide": generate.snapshots(spark, 1, spread=500)}
-    parts = [book.depths(rows).select(F.lit(name).alias("name"), "one_sided") for name, rows in cases.items()]
-    return parts[0].unionByName(parts[1])

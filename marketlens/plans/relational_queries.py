@@ -139,14 +139,17 @@ def book_violations(v):
 _BYTES = "list_transform(generate_series(0, 7), lambda i: ({x} >> (8 * i)::INT) & 255)"
 
 
-@query("g16_book_checksums", f"""
+_CHECKSUMS = f"""
     WITH {_FINAL}, v AS (SELECT symbol, max(final_id) AS update_id FROM deltas GROUP BY 1),
     s AS (SELECT symbol, list(price ORDER BY price DESC) FILTER (side = 'B') AS bp, list(qty ORDER BY price DESC) FILTER (side = 'B') AS bq, list(price ORDER BY price) FILTER (side = 'A') AS ap, list(qty ORDER BY price) FILTER (side = 'A') AS aq FROM levels GROUP BY 1),
     d AS (SELECT v.symbol, update_id, coalesce(len(bp), 0) AS bid_depth, coalesce(len(ap), 0) AS ask_depth,
           list_concat({_BYTES.format(x='update_id')}, flatten(list_transform(generate_series(1, coalesce(len(bp), 0)), lambda j: list_concat({_BYTES.format(x='bp[j]')}, {_BYTES.format(x='bq[j]')}))),
                       flatten(list_transform(generate_series(1, coalesce(len(ap), 0)), lambda j: list_concat({_BYTES.format(x='ap[j]')}, {_BYTES.format(x='aq[j]')})))) AS data FROM v JOIN s ON v.symbol = s.symbol)
     SELECT symbol, update_id, bid_depth::BIGINT AS bid_depth, ask_depth::BIGINT AS ask_depth,
-           format('{{:016x}}', list_reduce(list_transform(data, lambda x: x::HUGEINT), lambda h, b: ((h - h % 256 + xor((h % 256)::BIGINT, b::BIGINT)::HUGEINT) * 1099511628211) % 18446744073709551616::HUGEINT, 14695981039346656037::HUGEINT)::UBIGINT) AS checksum FROM d""")
+           format('{{:016x}}', list_reduce(list_transform(data, lambda x: x::HUGEINT), lambda h, b: ((h - h % 256 + xor((h % 256)::BIGINT, b::BIGINT)::HUGEINT) * 1099511628211) % 18446744073709551616::HUGEINT, 14695981039346656037::HUGEINT)::UBIGINT) AS checksum FROM d"""
+
+
+@query("g16_book_checksums", _CHECKSUMS)
 def book_checksums(v):
     versions = v("deltas").groupBy("symbol").agg(F.max("final_id").alias("update_id"))
     return book.checksums(book.latest_levels(v("book")), versions)
@@ -369,17 +372,6 @@ def distinct_prices(v):
     return v("book").select("symbol", "price").distinct().groupBy("symbol").agg(F.count(F.lit(1)).alias("prices"))
 
 
-@query("k04_generated_levels", """
-    SELECT s AS symbol_no, CASE WHEN l < 10 THEN 'B' ELSE 'A' END AS side, CASE WHEN l < 10 THEN 100000 - 100 * (l + 1) ELSE 100000 + 100 * (l - 9) END AS price, 1 + (s * 7919 + l * 104729) % 1000 AS qty
-    FROM (SELECT unnest(generate_series(1, 100)) AS s), (SELECT unnest(generate_series(0, 19)) AS l)""")
-def generated_levels(v):
-    spark = v("instruments").sparkSession
-    rows = spark.range(1, 101).select(F.col("id").alias("symbol_no"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("l"))
-    bid, l = F.col("l") < 10, F.col("l").cast("long")
-    price = F.when(bid, F.lit(100_000) - (l + 1) * 100).otherwise(F.lit(100_000) + (l - 9) * 100)
-    return rows.select("symbol_no", F.when(bid, "B").otherwise("A").alias("side"), price.alias("price"), (F.lit(1) + (F.col("symbol_no") * 7919 + l * 104729) % 1000).alias("qty"))
-
-
 @query("b09_bus_round_trip", """SELECT symbol, trade_id, price, qty, trade_ts, is_buyer_maker, (CASE WHEN is_buyer_maker THEN 2 ELSE 1 END)::BIGINT AS aggressor_side, exchange_event_ts FROM trades""")
 def bus_round_trip(v):
     frames = binary.encode(with_header(v("trades"), 6), 6)

@@ -1,62 +1,123 @@
 """Recorded frames as a Spark data source, for batch and streams: what an exchange's sockets and endpoints would deliver.
 
-``spark.read.format("recorded_frames").option("path", folder)`` reads files of JSON lines {captured_at_ns, source_kind, payload}; as a
-stream, files are taken in the order of their names, ``framesPerBatch`` files at a time. A live socket reader would implement the same
-class; this environment has no network.
+``spark.read.format("recorded_frames").option("path", folder)`` reads files (``suffix``, .jsonl) of JSON lines {captured_at_ns, source_kind, payload}, one file
+a shard. Files are cut into ranges of ``splitBytes``; a line belongs to the range that it begins in. As a stream, the offset is a position
+in each shard: a trigger takes whole lines of up to ``bytesPerBatch`` of every shard, and shards may grow and new ones appear while it runs. A
+live socket reader would implement the same class; this environment has no network.
 """
 
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-SCHEMA = "captured_at_ns long, source_kind string, payload string"
+from . import files
+
+SCHEMA = "shard string, position long, captured_at_ns long, source_kind string, payload string"
 KINDS = ("raw_ws", "normalized", "archive")
+#: Bytes of a file that are read at a time
+BLOCK = 1 << 20
+
+
+def _lines(folder: str, shard: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+    """(position, line) of the lines that begin at ``start`` or later and before ``end``; a last line without its end is complete only
+    where the file is read to its end."""
+    system, at = files.opened(f"{folder}/{shard}")
+    with system.open_input_file(at) as source:
+        source.seek(max(0, start - 1))
+        at, held = max(0, start - 1), b""
+        skip = start > 0  # up to the end of the line before
+        while at < end or held:
+            block = source.read(BLOCK)
+            held += block
+            while (cut := held.find(b"\n")) >= 0 or (not block and held):
+                line, held = (held[:cut], held[cut + 1 :]) if cut >= 0 else (held, b"")
+                size = len(line) + (cut >= 0)
+                if skip:
+                    skip = False
+                elif at >= end:
+                    return
+                else:
+                    yield at, line
+                at += size
+            if not block:
+                return
+
+
+def _rows(partition: _Range) -> Iterator[tuple]:
+    for at, line in _lines(partition.folder, partition.shard, partition.start, partition.end):
+        if line.strip():
+            row = json.loads(line)
+            yield partition.shard, at, int(row["captured_at_ns"]), str(row["source_kind"]), str(row["payload"])
 
 
-def _rows(path: str) -> Iterator[tuple]:
-    with open(path, encoding="utf-8") as lines:
-        for line in lines:
-            row = json.loads(line)
-            yield int(row["captured_at_ns"]), str(row["source_kind"]), str(row["payload"])
+class _Range(InputPartition):
+    def __init__(self, folder: str, shard: str, start: int, end: int):
+        self.folder, self.shard, self.start, self.end = folder, shard, start, end
 
 
-def _files(folder: str) -> list[str]:
-    return sorted(os.path.join(folder, f) for f in os.listdir(folder) if f.endswith(".jsonl"))
+def _ranges(folder: str, start: dict[str, int], end: dict[str, int], split: int) -> list[_Range]:
+    return [_Range(folder, shard, at, min(at + split, stop)) for shard, stop in end.items() for at in range(start.get(shard, 0), stop, split)]
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, folder: str, suffix: str, split: int):
+        self.folder, self.suffix, self.split = folder, suffix, split
 
     def partitions(self):
-        return [InputPartition(f) for f in _files(self.folder)]
+        return _ranges(self.folder, {}, files.sizes(self.folder, self.suffix), self.split)
 
     def read(self, partition):
-        yield from _rows(partition.value)
+        yield from _rows(partition)
 
 
 class _StreamReader(DataSourceStreamReader):
-    def __init__(self, folder: str, step: int):
-        self.folder, self.step, self.upto = folder, step, 0
+    """``upto`` is how far triggers have been planned. Spark asks for the initial offset of a new query only, and does not tell a restarted
+    one its last offset before it asks for the next; then the first trigger takes all there is, which is never less than what was read."""
+
+    def __init__(self, folder: str, suffix: str, step: int, split: int):
+        self.folder, self.suffix, self.step, self.split = folder, suffix, step, split
+        self.upto: dict[str, int] | None = None
 
     def initialOffset(self):
-        return {"files": 0}
+        self.upto = {}
+        return {}
+
+    def _newline(self, shard: str, at: int, size: int, last: bool) -> int:
+        """The position after the last line end between ``at`` and ``size``, or after the first one; ``at`` if there is none."""
+        system, path = files.opened(f"{self.folder}/{shard}")
+        with system.open_input_file(path) as source:
+            places = range(at, size, BLOCK)
+            for place in reversed(places) if last else places:
+                source.seek(place)
+                block = source.read(min(BLOCK, size - place))
+                found = block.rfind(b"\n") if last else block.find(b"\n")
+                if found >= 0:
+                    return place + found + 1
+        return at
 
     def latestOffset(self):
-        self.upto = min(len(_files(self.folder)), self.upto + self.step)
-        return {"files": self.upto}
+        ends = {}
+        for shard, size in files.sizes(self.folder, self.suffix).items():
+            at = (self.upto or {}).get(shard, 0)
+            stop = size if self.upto is None else min(size, at + self.step)
+            end = self._newline(shard, at, stop, last=True)
+            ends[shard] = end if end > at else self._newline(shard, stop, size, last=False) if stop < size else at
+            if ends[shard] == stop < size and end == at:
+                ends[shard] = at  # a line that is longer than a step and not whole yet
+        self.upto = ends
+        return ends
 
     def partitions(self, start, end):
-        self.upto = max(self.upto, end["files"])
-        return [InputPartition(f) for f in _files(self.folder)[start["files"] : end["files"]]]
+        before = self.upto or {}
+        self.upto = {shard: max(before.get(shard, 0), end.get(shard, 0)) for shard in {**before, **end}}
+        return _ranges(self.folder, start, end, self.split)
 
     def read(self, partition):
-        yield from _rows(partition.value)
+        yield from _rows(partition)
 
     def commit(self, end):
         pass
@@ -70,11 +131,17 @@ class RecordedFrames(DataSource):
     def schema(self):
         return SCHEMA
 
+    def _where(self) -> tuple[str, str]:
+        return self.options["path"], self.options.get("suffix", ".jsonl")
+
+    def _split(self) -> int:
+        return int(self.options.get("splitBytes", str(64 << 20)))
+
     def reader(self, schema):
-        return _Reader(self.options["path"])
+        return _Reader(*self._where(), self._split())
 
     def streamReader(self, schema):
-        return _StreamReader(self.options["path"], int(self.options.get("framesPerBatch", "1")))
+        return _StreamReader(*self._where(), int(self.options.get("bytesPerBatch", str(16 << 20))), self._split())
 
 
 def register(spark: SparkSession) -> None:

@@ -7,7 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from marketlens.operators import book, folds, generate, joins, normalise
+import generate
+from marketlens.operators import book, folds, joins, normalise
 
 
 def plain(rows):

@@ -17,8 +17,9 @@ def _scaled(*fields: str, scale: str) -> dict[str, Column]:
     return {f: S.parse_scaled(F.col(f), F.col(scale)) for f in fields}
 
 
-def with_header(rows: DataFrame, message_type: int, connection: str, order: list[str], venue: int = 1, market: int = 1, instance: int = 0, range_: Column | None = None) -> DataFrame:
-    """Rows with the message header: numbers run from 0 within a connection in the given order, one for each message.
+def with_header(rows: DataFrame, message_type: int | None, connection: str, order: list[str], venue: int = 1, market: int = 1, instance: int = 0, range_: Column | None = None) -> DataFrame:
+    """Rows with the message header: numbers run from 0 within a connection in the given order, one for each message. Without a
+    message type the rows have their own.
 
     Where ``range_`` is given, a column that rises with the order such as the day, a connection is numbered range by range and never
     is one task's work.
@@ -27,7 +28,7 @@ def with_header(rows: DataFrame, message_type: int, connection: str, order: list
     if range_ is not None:
         rows, number = numbering.numbered(rows, [connection], order, range_), F.col("number")
     return rows.withColumns({
-        "schema_version": F.lit(1), "message_type": F.lit(message_type), "venue_id": F.lit(venue), "market_type": F.lit(market), "instrument_id": S.instrument_id(F.col("symbol")),
+        "schema_version": F.lit(1), "message_type": F.col("message_type") if message_type is None else F.lit(message_type), "venue_id": F.lit(venue), "market_type": F.lit(market), "instrument_id": S.instrument_id(F.col("symbol")),
         "connection_id": F.col(connection), "instance_id": F.lit(instance), "sequence_number": number, "exchange_tx_ts": F.lit(0).cast("long"),
     }).drop("number")
 
@@ -50,6 +51,18 @@ def trades(rows: DataFrame) -> DataFrame:
     return rows.withColumns(_scaled("price", scale="price_scale") | _scaled("qty", scale="qty_scale") | times | {"aggressor_side": S.aggressor_side(F.col("is_buyer_maker"))})
 
 
+def mark_prices(rows: DataFrame) -> DataFrame:
+    """markPrice rows as a MarkPrice each, and a FundingRate (of nine decimals) after it where the event has a rate; delivery contracts have
+    an empty one. An empty index price is 0."""
+    mark = F.struct(F.lit(7).alias("message_type"), S.parse_scaled(F.col("mark_price"), F.col("price_scale")).alias("mark_price"),
+                    F.when(F.coalesce("index_price", F.lit("")) == "", F.lit(0)).otherwise(S.parse_scaled(F.col("index_price"), F.col("price_scale"))).cast("long").alias("index_price"),
+                    F.lit(None).cast("long").alias("funding_rate"), F.lit(None).cast("long").alias("next_funding_time"))
+    rate = F.struct(F.lit(8).alias("message_type"), F.lit(None).cast("long").alias("mark_price"), F.lit(None).cast("long").alias("index_price"), S.parse_scaled(F.col("funding_rate"), 9).alias("funding_rate"), S.ms_to_ns(F.col("next_funding_ms")).alias("next_funding_time"))
+    sent = F.when(F.coalesce("funding_rate", F.lit("")) == "", F.array(mark)).otherwise(F.array(mark, rate))
+    rest = [c for c in rows.columns if c not in ("mark_price", "index_price", "funding_rate", "next_funding_ms")]
+    return rows.select(*rest, S.ms_to_ns(F.col("event_ms")).alias("exchange_event_ts"), F.explode(sent).alias("_m")).select(*rest, "exchange_event_ts", "_m.*")
+
+
 def liquidations(rows: DataFrame) -> DataFrame:
     """forceOrder rows as Liquidation; a side that is neither BUY nor SELL leaves the row out."""
     out = rows.withColumns(_scaled("price", "avg_price", scale="price_scale") | _scaled("qty", "last_filled_qty", scale="qty_scale") | {"side": codes.code_of(F.col("side"), codes.ORDER_SIDES)})

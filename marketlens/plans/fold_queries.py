@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import folds
+from ..operators import folds, islands
 from .catalog import query
 
 
@@ -56,7 +56,7 @@ def bbo_timer(v):
     bid = F.when(F.col("k") < 30, F.col("price")).otherwise(F.col("price") + 1)
     rows = v("ticks").select("symbol", "event_id", "ts_ns", F.when(F.col("k") >= 5, F.col("price")).alias("book_bid"), F.col("price").alias("book_ask"), bid.alias("bid_price"), F.col("price").alias("ask_price"))
     hour = 3600 * folds.SECOND
-    return folds.run(rows, folds.bbo_timer(hour, 4 * hour), "symbol", ["ts_ns", "event_id"], []).select("symbol", "event_id", "action", "mismatch_ns")
+    return islands.bbo_timer(rows, hour, 4 * hour).select("symbol", "event_id", "action", "mismatch_ns")
 
 
 _COOL = "21600000000000"
@@ -92,7 +92,7 @@ def recovery_buffer(v):
        CASE WHEN r.offer IN ('Ok', 'Closed') OR f.since < 0 THEN 0 ELSE r.ts_ns - f.since END""",
     "r.symbol, r.event_id, f.outcome, f.elapsed AS elapsed_ns"))
 def backpressure(v):
-    return folds.run(v("offers"), folds.backpressure(10_000_000, 30_000_000, 100_000_000), "symbol", ["ts_ns", "event_id"], []).select("symbol", "event_id", "outcome", "elapsed_ns")
+    return islands.backpressure(v("offers"), 10_000_000, 30_000_000, 100_000_000).select("symbol", "event_id", "outcome", "elapsed_ns")
 
 
 _HELD = "len(f.ids) > 0 AND r.update_id < f.ids[1]"

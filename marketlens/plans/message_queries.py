@@ -1,4 +1,4 @@
-"""Queries of normalisers, recovery, routing, decoders and generators."""
+"""Queries of normalisers, recovery, routing and decoders."""
 
 from __future__ import annotations
 
@@ -59,6 +59,40 @@ def futures_depth(v):
     return d.select("symbol", "event_id", "first_id", "final_id", "prev_id", F.transform("bids", lambda x: x["price"]).alias("bid_prices"), F.transform("bids", lambda x: x["qty"]).alias("bid_qtys"), "exchange_event_ts")
 
 
+@query("c31_spot_quotes", """
+    SELECT symbol, event_id, k AS update_id, price AS bid_price, k AS bid_qty, price + 1 AS ask_price, k + 2 AS ask_qty, 0 AS exchange_event_ts,
+           row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts_ns, event_id) - 1 AS sequence_number FROM ticks WHERE event_type = 'view'""")
+def spot_quotes(v):
+    data = F.struct(F.col("k").alias("u"), F.col("symbol").alias("s"), _text(F.col("price")).alias("b"), F.col("k").cast("string").alias("B"), _text(F.col("price") + 1).alias("a"), (F.col("k") + 2).cast("string").alias("A"))
+    ticks = v("ticks")
+    frames = _frames(ticks, "bookTicker", data, "view").join(ticks.select("event_id", "ts_ns", (F.col("user_id") % 4).alias("connection_id")), "event_id")
+    q = normalise.with_header(normalise.quotes(_scaled(J.parse(frames, "bookTicker"))), 5, "connection_id", ["ts_ns", "event_id"], range_=S.div(F.col("ts_ns"), F.lit(_DAY)))
+    return q.select("symbol", "event_id", "update_id", "bid_price", "bid_qty", "ask_price", "ask_qty", "exchange_event_ts", "sequence_number")
+
+
+@query("c32_futures_agg_trades", """
+    SELECT symbol, event_id, event_id * 3 AS trade_id, price AS price, k AS qty, ts_ns // 1000000 * 1000000 AS exchange_event_ts, (ts_ns // 1000000 - 5) * 1000000 AS trade_ts, k % 3 = 0 AS is_buyer_maker,
+           CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END AS aggressor_side FROM ticks WHERE event_type = 'purchase'""")
+def futures_agg_trades(v):
+    ms = S.div(F.col("ts_ns"), F.lit(1_000_000))
+    data = F.struct(ms.alias("E"), F.col("symbol").alias("s"), (F.col("event_id") * 3).alias("a"), _text(F.col("price")).alias("p"), F.col("k").cast("string").alias("q"), (ms - 5).alias("T"), (F.col("k") % 3 == 0).alias("m"))
+    t = normalise.trades(_scaled(J.parse(_frames(v("ticks"), "aggTrade", data, "purchase"), "aggTrade", J.FUTURES)))
+    return t.select("symbol", "event_id", "trade_id", "price", "qty", "exchange_event_ts", "trade_ts", "is_buyer_maker", "aggressor_side")
+
+
+@query("c32_futures_mark_prices", """
+    WITH m AS (SELECT symbol, event_id, ts_ns // 1000000 * 1000000 AS exchange_event_ts, 7 AS message_type, price AS mark_price, CASE WHEN k % 4 = 0 THEN 0 ELSE price + 5 END AS index_price, NULL::BIGINT AS funding_rate, NULL::BIGINT AS next_funding_time FROM ticks WHERE event_type = 'signup'
+      UNION ALL SELECT symbol, event_id, ts_ns // 1000000 * 1000000, 8, NULL, NULL, k * 10000000, (ts_ns // 1000000 + 28800000) * 1000000 FROM ticks WHERE event_type = 'signup' AND price % 10 <> 0)
+    SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY event_id, message_type) - 1 AS sequence_number FROM m""")
+def futures_mark_prices(v):
+    ms = S.div(F.col("ts_ns"), F.lit(1_000_000))
+    rate = F.when(F.col("price") % 10 == 0, "").otherwise(_text(F.col("k")))
+    data = F.struct(ms.alias("E"), F.col("symbol").alias("s"), _text(F.col("price")).alias("p"), F.when(F.col("k") % 4 == 0, "").otherwise(_text(F.col("price") + 5)).alias("i"), rate.alias("r"), (ms + 28_800_000).alias("T"))
+    m = normalise.mark_prices(_scaled(J.parse(_frames(v("ticks"), "markPrice", data, "signup"), "markPrice", J.FUTURES)))
+    m = normalise.with_header(m, None, "symbol", ["event_id", "message_type"], market=2, range_=S.div(F.col("event_id"), F.lit(10_000)))
+    return m.select("symbol", "event_id", "exchange_event_ts", "message_type", "mark_price", "index_price", "funding_rate", "next_funding_time", "sequence_number")
+
+
 @query("c32_futures_liquidations", """SELECT symbol, event_id, CASE side_text WHEN 'BUY' THEN 0 ELSE 1 END AS side, price, price - 1 AS avg_price, qty, qty AS last_filled_qty FROM liquidations WHERE side_text <> 'NONE' AND price > 0""")
 def futures_liquidations(v):
     order = F.struct(F.col("symbol").alias("s"), F.col("side_text").alias("S"), F.col("qty").cast("string").alias("q"), _text(F.col("price")).alias("p"), _text(F.col("price") - 1).alias("ap"), F.col("qty").cast("string").alias("l"))
@@ -178,8 +212,10 @@ def decode_with_fallback(v):
     two = binary.to_feed(t.where("k % 4 < 2"), 1)
     text = F.when(F.col("k") % 4 == 2, F.concat(F.lit('{"stream":"x@bookTicker","data":{"u":'), F.col("event_id").cast("string"), F.lit(',"s":"'), "symbol", F.lit('"}}'))).otherwise(F.concat(F.lit("broken "), F.col("event_id").cast("string")))
     frames = two.unionByName(t.where("k % 4 >= 2").select(F.encode(text, "UTF-8").alias("payload")))
-    first = binary.from_feed(frames, 1).select(F.col("event_us").alias("event_id"), "symbol")
-    texts = frames.select(F.expr("try_validate_utf8(cast(payload as string))").alias("payload"))
+    # frames that are no binary ones are tried as texts, each frame once
+    read = binary.decode_feed(frames, 1)
+    texts = read.where("feed is null").select(F.expr("try_validate_utf8(cast(payload as string))").alias("payload"))
+    first = read.where("feed is not null").select(F.col("feed.event_us").alias("event_id"), F.col("feed.symbol").alias("symbol"))
     second = J.parse(texts.where("payload is not null"), "bookTicker").select(F.col("update_id").alias("event_id"), "symbol")
     found = first.withColumn("decoded_as", F.lit("binary")).unionByName(second.withColumn("decoded_as", F.lit("json")))
     return t.select("event_id").join(found, "event_id", "left").select("event_id", F.coalesce("decoded_as", F.lit("error")).alias("decoded_as"), "symbol")

@@ -1,7 +1,8 @@
 """Fixed-layout binary messages: one table of layouts, and an encoder and a decoder that follow it, run over Arrow batches.
 
-Messages of numbers and texts are packed and read a batch at a time, as arrays over the batch's bytes; those with sides of books or
-unsigned checksums, and batches with broken texts, one by one. Numbers are little-endian; texts have a 16-bit length before them; a side of a book is a 32-bit count and (price, qty) pairs.
+Messages and frames are packed and read a batch at a time, as arrays over the batch's bytes (``packed``); only a batch with a text that is
+no UTF-8 is read one by one. Numbers are little-endian; texts have a 16-bit length before them; a side of a book is a 32-bit count, in the
+feed a 16-bit size of an entry and an 8-bit count, and (price, qty) pairs.
 """
 
 from __future__ import annotations
@@ -10,10 +11,12 @@ import struct
 from decimal import Decimal
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import packed
 
 # The header's fields and their struct codes, and every message's own fields
 HEADER = [("schema_version", "B"), ("message_type", "B"), ("venue_id", "B"), ("market_type", "B"), ("instrument_id", "I"), ("connection_id", "I"), ("instance_id", "I"), ("sequence_number", "Q"), ("exchange_event_ts", "q"), ("exchange_tx_ts", "q"), ("local_recv_ts", "q"), ("local_publish_ts", "q")]
@@ -118,10 +121,6 @@ def encode_message(row: dict) -> bytes:
     return _pack(_MESSAGES[kind], tuple(row[n] for n in _names(kind)))
 
 
-def _packed(message_type: int, values: tuple) -> bytes:
-    return _pack(_MESSAGES[message_type], values)
-
-
 def _decoded(data: bytes, message_type: int) -> list | None:
     if len(data) < HEADER_SIZE or data[_TYPE_AT] != message_type:
         return None
@@ -137,155 +136,90 @@ def decode_message(data: bytes, message_type: int) -> dict | None:
     return None if values is None else dict(zip(_names(message_type), values, strict=True))
 
 
-def _tuples(pdf: pd.DataFrame):
-    return zip(*(pdf[c].tolist() for c in pdf.columns), strict=True)
-
-
-def _columns(rows: list, fields) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[n for n, _ in fields])
-    for n, _ in fields:
-        if n == "checksum":  # needs all 64 bits
-            out[n] = [Decimal(int(x)) for x in out[n]]
-    return out
-
-
 def _schema(fields) -> str:
     return ", ".join(f"{n} {_TYPES.get(c, 'decimal(20,0)' if n == 'checksum' else 'long')}" for n, c in fields)
 
 
 _NUMPY = {"B": "u1", "I": "<u4", "Q": "<i8", "q": "<i8", "?": "u1"}  # ids stay below 2 ** 63, as Spark's longs do
-_ARROW = {"s": pa.string(), "?": pa.bool_()}
+_ARROW = {"s": pa.string(), "?": pa.bool_(), "l": pa.list_(pa.struct([("price", pa.int64()), ("qty", pa.int64())]))}
+#: What stands before a side of a book: kinds of numbers, with the value of constant ones
+_SIDE, _GROUP = [("<u4", None)], [("<u2", 16), ("u1", None)]
 
 
-def _layout(message_type: int) -> list | None:
-    """Texts, and runs of numbers as record types, in order; None for messages that have no such form."""
-    fields = [*HEADER, *LAYOUTS[message_type]]
-    if any(c == "l" or n == "checksum" for n, c in fields):
-        return None
+def _layout(fields) -> list:
+    """Texts and sides of books by name, and runs of numbers as record types, in order."""
     out: list = []
     for name, code in fields:
-        if code == "s":
-            out.append(name)
+        kind = "<u8" if name == "checksum" else _NUMPY.get(code)
+        if kind is None:
+            out.append((name, code))
         elif out and isinstance(out[-1], list):
-            out[-1].append((name, _NUMPY[code]))
+            out[-1].append((name, kind))
         else:
-            out.append([(name, _NUMPY[code])])
-    return [x if isinstance(x, str) else np.dtype(x) for x in out]
+            out.append([(name, kind)])
+    return [np.dtype(x) if isinstance(x, list) else x for x in out]
 
 
-def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """All places of spans, one span after the other."""
-    end = np.cumsum(length)
-    return np.repeat(start - end + length, length) + np.arange(end[-1] if len(end) else 0)
+def _arrow(n: str, code: str) -> pa.DataType:
+    return pa.decimal128(20, 0) if n == "checksum" else _ARROW.get(code, pa.int64())
 
 
-def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The offsets of a binary or text column without nulls, and its bytes."""
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
-    return offsets.astype(np.int64), np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+def _packed(batch: pa.RecordBatch, layout: list, head: list) -> list[tuple]:
+    """A batch's parts; ``head`` is what stands before a side of a book."""
+    columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+    return [packed.numbers(columns, x) if isinstance(x, np.dtype) else packed.texts(columns[x[0]], "<u2") if x[1] == "s" else packed.levels(columns[x[0]], head) for x in layout]
 
 
-def _encode_batch(batch: pa.RecordBatch, layout: list) -> pa.Array:
-    n, parts, sizes = batch.num_rows, [], np.zeros(batch.num_rows, np.int64)
-    for part in layout:
-        if isinstance(part, str):
-            offsets, data = _bytes_of(batch.column(part))
-            length = np.diff(offsets)
-            parts.append((length, data[offsets[0] : offsets[-1]]))
-            sizes += length + 2
-        else:
-            records = np.zeros(n, part)
-            for name in part.names:
-                records[name] = batch.column(name).to_numpy(zero_copy_only=False)
-            parts.append((None, records.view(np.uint8).reshape(n, part.itemsize)))
-            sizes += part.itemsize
-    ends = np.cumsum(sizes)
-    out, at = np.zeros(int(ends[-1]) if n else 0, np.uint8), ends - sizes
-    for length, values in parts:
-        if length is None:
-            out[at[:, None] + np.arange(values.shape[1])] = values
-            at = at + values.shape[1]
-        else:
-            out[at], out[at + 1] = length & 255, length >> 8
-            out[_spread(at + 2, length)] = values
-            at = at + 2 + length
-    offsets = np.append(0, ends).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
-
-
-def _decode_batch(column: pa.Array, message_type: int, layout: list) -> dict | None:
-    """Columns of the batch's messages of the type that hold; None where a text is no UTF-8."""
-    offsets, data = _bytes_of(column)
-    at, end = offsets[:-1], offsets[1:]
-    alive = end - at >= HEADER_SIZE
-    at, end = at[alive], end[alive]
-    alive = data[at + _TYPE_AT] == message_type
-    at, end = at[alive], end[alive]
-    found: list = []
+def _read(cursor: packed.Cursor, layout: list, head: list) -> None:
     for part in layout:
-        size = 2 if isinstance(part, str) else part.itemsize
-        length = np.full(len(at), size, np.int64)
-        alive = at + size <= end
-        if isinstance(part, str):
-            first = np.minimum(at, len(data) - 2)
-            length += np.where(alive, data[first].astype(np.int64) | data[first + 1].astype(np.int64) << 8, 0)
-            alive &= at + length <= end
-        found = [(p, s[alive], n[alive]) for p, s, n in found] + [(part, at[alive], length[alive])]
-        at, end = (at + length)[alive], end[alive]
-    out: dict = {}
-    for part, start, length in found:
-        if isinstance(part, str):
-            text = data[_spread(start + 2, length - 2)]
-            ends = np.append(0, np.cumsum(length - 2)).astype(np.int32)
-            out[part] = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(text))])
-            try:
-                out[part].validate(full=True)
-            except pa.ArrowInvalid:
-                return None
+        if isinstance(part, np.dtype):
+            cursor.numbers(part)
+        elif part[1] == "s":
+            cursor.text(part[0], "<u2")
         else:
-            records = np.ascontiguousarray(data[start[:, None] + np.arange(part.itemsize)]).view(part).reshape(-1)
-            out |= {name: records[name] for name in part.names}
-    return out
+            cursor.levels(part[0], [kind for kind, _ in head])
+
+
+def _batch(columns: dict, fields) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([x if (x := columns[n]).type == (t := _arrow(n, c)) else x.cast(t) for n, c in fields], [n for n, _ in fields])
+
+
+def _singly(rows: list, fields) -> pa.RecordBatch:
+    """The rows, lists of values, of a batch that was read one by one."""
+    return pa.RecordBatch.from_arrays([pa.array([Decimal(r[i]) if n == "checksum" else r[i] for r in rows], _arrow(n, c)) for i, (n, c) in enumerate(fields)], [n for n, _ in fields])
 
 
 def encode(messages: DataFrame, message_type: int) -> DataFrame:
     """(payload) of messages that have the header's and the type's columns, none of them null."""
-    layout = _layout(message_type)
+    layout = _layout([*HEADER, *LAYOUTS[message_type]])
 
     def run(batches):
         for batch in batches:
-            if layout is None:
-                payload = pa.array([_packed(message_type, r) for r in _tuples(batch.to_pandas())], pa.binary())
-            else:
-                payload = _encode_batch(batch, layout)
-            yield pa.RecordBatch.from_arrays([payload], ["payload"])
+            yield pa.RecordBatch.from_arrays([packed.pack(_packed(batch, layout, _SIDE))], ["payload"])
 
     return messages.select(*_names(message_type)).mapInArrow(run, "payload binary")
 
 
 def decode(frames: DataFrame, message_type: int) -> DataFrame:
     """The rows of one message type; frames of other types and broken ones are left out."""
-    fields, layout = [*HEADER, *LAYOUTS[message_type]], _layout(message_type)
-    types = {n: _ARROW.get(c, pa.int64()) for n, c in fields}
-
-    def one_by_one(batches):
-        for pdf in batches:
-            rows = [r for r in (_decoded(x, message_type) for x in pdf["payload"] if x is not None) if r is not None]
-            yield _columns(rows, fields)
+    fields = [*HEADER, *LAYOUTS[message_type]]
+    layout = _layout(fields)
 
     def run(batches):
         for batch in batches:
             column = batch.column(0).drop_null()
-            columns = _decode_batch(column, message_type, layout)
+            offsets, data = packed.bytes_of(column)
+            cursor = packed.Cursor(data, offsets[:-1], offsets[1:])
+            cursor.keep(cursor.end - cursor.at >= HEADER_SIZE)
+            cursor.keep(data[cursor.at + _TYPE_AT] == message_type)
+            _read(cursor, layout, _SIDE)
+            columns = cursor.columns()
             if columns is None:
-                rows = [r for r in (_decoded(x, message_type) for x in column.to_pylist()) if r is not None]
-                columns = {n: [r[i] for r in rows] for i, n in enumerate(types)}
-            arrays = [columns[n] if isinstance(columns[n], pa.Array) else pa.array(np.asarray(columns[n]).astype(bool) if t == pa.bool_() else columns[n]).cast(t) for n, t in types.items()]
-            yield pa.RecordBatch.from_arrays(arrays, list(types))
+                yield _singly([r for r in (_decoded(x, message_type) for x in column.to_pylist()) if r is not None], fields)
+            else:
+                yield _batch(columns, fields)
 
-    some = frames.select("payload")
-    return some.mapInPandas(one_by_one, _schema(fields)) if layout is None else some.mapInArrow(run, _schema(fields))
+    return frames.select("payload").mapInArrow(run, _schema(fields))
 
 
 def headers(frames: DataFrame) -> DataFrame:
@@ -336,24 +270,84 @@ def _feed_fields(template: int):
     return [*TEMPLATES[template], *([("bids", "l"), ("asks", "l")] if template in _GROUPED else []), _SYMBOL]
 
 
+_FEED_HEAD = np.dtype([("length", "<u2"), ("template", "<u2"), ("schema", "<u2"), ("version", "<u2")])
+
+
 def to_feed(rows: DataFrame, template: int) -> DataFrame:
     """(payload) of frames of a template."""
-    names = [n for n, _ in _feed_fields(template)]
+    fields = _feed_fields(template)
+    layout = _layout(fields)
+    length = sum(x.itemsize for x in layout if isinstance(x, np.dtype))
 
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"payload": [encode_feed(dict(zip(names, r, strict=True)), template) for r in _tuples(pdf)]}, columns=["payload"])
+        for batch in batches:
+            head = np.zeros(batch.num_rows, _FEED_HEAD)
+            head[:] = (length, template, SCHEMA_ID, NEWEST_VERSION)
+            parts = [(head.view(np.uint8).reshape(len(head), _FEED_HEAD.itemsize), None, None), *_packed(batch, layout, _GROUP)]
+            yield pa.RecordBatch.from_arrays([packed.pack(parts)], ["payload"])
+
+    return rows.select(*[n for n, _ in fields]).mapInArrow(run, "payload binary")
+
+
+def _read_feed(column: pa.Array, template: int) -> packed.Cursor:
+    """A cursor behind the frames of the template, schema and a version that is known; what a block has beyond its known fields is
+    skipped."""
+    offsets, data = packed.bytes_of(column)
+    cursor = packed.Cursor(data, offsets[:-1], offsets[1:])
+    cursor.keep(cursor.end - cursor.at >= _FEED_HEAD.itemsize)
+    head = np.ascontiguousarray(data[cursor.at[:, None] + np.arange(_FEED_HEAD.itemsize)]).view(_FEED_HEAD).reshape(-1)
+    known = (head["template"] == template) & (head["schema"] == SCHEMA_ID) & (head["version"] <= NEWEST_VERSION)
+    start, length = (cursor.at + _FEED_HEAD.itemsize)[known], head["length"][known].astype(np.int64)
+    cursor.keep(known)
+    cursor.at = start
+    block, *rest = _layout(_feed_fields(template))
+    fits = start + block.itemsize <= cursor.end
+    cursor.numbers(block)
+    cursor.at = np.maximum(cursor.at, (start + length)[fits])
+    _read(cursor, rest, _GROUP)
+    return cursor
+
+
+def from_feed(frames: DataFrame, template: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of one template, with the columns ``keep`` of their frames; other frames and broken ones are left out."""
+    fields, kept = _feed_fields(template), [frames.schema[c] for c in keep]
 
-    return rows.select(*names).mapInPandas(run, "payload binary")
+    def run(batches):
+        for batch in batches:
+            there = batch.filter(batch.column("payload").is_valid())
+            cursor = _read_feed(there.column("payload"), template)
+            columns, rows = cursor.columns(), cursor.rows
+            if columns is None:
+                found = [(i, r) for i, x in enumerate(there.column("payload").to_pylist()) if (r := decode_feed_frame(x, template)) is not None]
+                rows, out = np.array([i for i, _ in found], np.int64), _singly([[r[n] for n, _ in fields] for _, r in found], fields)
+            else:
+                out = _batch(columns, fields)
+            own = [there.column(c).take(pa.array(rows)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*out.columns, *own], [*out.schema.names, *keep])
 
+    schema = ", ".join([_schema(fields), *(f"{f.name} {f.dataType.simpleString()}" for f in kept)])
+    return frames.select("payload", *keep).mapInArrow(run, schema)
 
-def from_feed(frames: DataFrame, template: int) -> DataFrame:
-    """The rows of one template; other frames and broken ones are left out."""
+
+def decode_feed(frames: DataFrame, template: int) -> DataFrame:
+    """Every frame with all its columns and ``feed``: a struct of the template's fields, null for other frames and broken ones. Nothing is
+    dropped, so a frame can be read in another way where it is null, without reading it a second time."""
     fields = _feed_fields(template)
+    kinds = pa.struct([(n, _arrow(n, c)) for n, c in fields])
 
     def run(batches):
-        for pdf in batches:
-            rows = [r for r in (decode_feed_frame(x, template) for x in pdf["payload"] if x is not None) if r is not None]
-            yield pd.DataFrame(rows, columns=[n for n, _ in fields])
+        for batch in batches:
+            valid = np.flatnonzero(batch.column("payload").is_valid().to_numpy(zero_copy_only=False))
+            column = batch.column("payload").drop_null()
+            cursor = _read_feed(column, template)
+            columns, rows = cursor.columns(), cursor.rows
+            if columns is None:
+                feed = pa.array([None if x is None else decode_feed_frame(x, template) for x in batch.column("payload").to_pylist()], kinds)
+            else:
+                found = _batch(columns, fields)
+                place = np.full(batch.num_rows, -1)
+                place[valid[rows]] = np.arange(len(rows))
+                feed = pa.StructArray.from_arrays(found.columns, fields=list(kinds)).take(pa.array(place, mask=place < 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, feed], [*batch.schema.names, "feed"])
 
-    return frames.select("payload").mapInPandas(run, _schema(fields))
+    return frames.mapInArrow(run, T.StructType([*frames.schema.fields, T.StructField("feed", T.StructType.fromDDL(_schema(fields)))]))

@@ -2,6 +2,7 @@
 
 import json
 import random
+from decimal import Decimal
 
 import pytest
 from hypothesis import given, settings
@@ -76,21 +77,73 @@ def test_recorded_frames(spark, tmp_path):
         q.stop()
 
 
+def levels(rng):
+    return [{"price": rng.randrange(-(2**63), 2**63), "qty": rng.randrange(9)} for _ in range(rng.choice([0, 0, 1, 3]))]
+
+
+def plain(row):
+    return {n: int(x) if isinstance(x, Decimal) else x for n, x in row.items()}
+
+
+def test_feed_batches_are_read_as_single_frames_are(spark):
+    rng = random.Random(3)
+    for template in binary.TEMPLATES:
+        fields = binary._feed_fields(template)
+        value = {"s": lambda: rng.choice(["", "BTCUSDT", "\u00fc \U0001f600"]), "?": lambda: rng.random() < 0.5, "B": lambda: rng.randrange(256), "q": lambda: rng.randrange(-(2**63), 2**63), "l": lambda: levels(rng)}
+        rows = [{n: value[c]() for n, c in fields} for _ in range(40)]
+        df = spark.createDataFrame([tuple(r.values()) for r in rows], binary._schema(fields))
+        payloads = [bytes(r["payload"]) for r in binary.to_feed(df, template).collect()]
+        assert sorted(payloads) == sorted(binary.encode_feed(r, template) for r in rows)
+        x, size = payloads[0], sum({"q": 8, "B": 1, "?": 1}[c] for _, c in binary.TEMPLATES[template])
+        longer = (size + 3).to_bytes(2, "little") + x[2 : 8 + size] + b"new" + x[8 + size :]  # a block with fields that are not known
+        shorter = (size - 1).to_bytes(2, "little") + x[2:]
+        wide = b"" if template < 2 else x[: 8 + size] + b"\x14\0\x02" + bytes(range(40)) + b"\x10\0\0" + b"\x01\0A"  # entries of 20 bytes
+        narrow = b"" if template < 2 else x[: 8 + size] + b"\x04\0\x02" + bytes(range(8)) + b"\x10\0\0" + b"\x01\0A" + bytes(20)
+        broken = [None, b"", b"abc", x[:8], x[:-1], x[: 8 + size + 1], longer, shorter, wide, narrow, x[:6] + b"\x03\0" + x[8:], x[:2] + b"\x07\0" + x[4:]]
+        want = [binary.decode_feed_frame(b, template) for b in [*payloads, *broken] if b is not None]
+        frames = spark.createDataFrame([(i, b) for i, b in enumerate([*payloads, *broken])], "i long, payload binary")
+        got = [r.asDict(recursive=True) for r in binary.from_feed(frames, template).collect()]
+        assert sorted(map(repr, got)) == sorted(repr(w) for w in want if w is not None)
+        every = binary.decode_feed(frames, template).collect()
+        assert {r["i"]: r["feed"] and r["feed"].asDict(recursive=True) for r in every} == {i: b and binary.decode_feed_frame(b, template) or None for i, b in enumerate([*payloads, *broken])}
+        spoilt = spark.createDataFrame([(x,), (x[:-1] + b"\xff",)] if rows else [], "payload binary")
+        assert len(binary.from_feed(spoilt, template).collect()) == sum(binary.decode_feed_frame(b, template) is not None for b in (x, x[:-1] + b"\xff"))
+
+
+def test_journal_batches_are_single_records(spark, tmp_path):
+    rng = random.Random(4)
+    value = {"b": lambda: rng.choice(["", "cc-1", "\u00fc"]), "s": lambda: "why " * rng.randrange(90), "B": lambda: rng.randrange(256), "q": lambda: rng.randrange(-(2**63), 2**63), "Q": lambda: rng.randrange(2**63), "?": lambda: rng.random() < 0.5, "?q": lambda: rng.choice([None, 0, -5, 2**62])}
+    rows = [{"tag": (tag := rng.choice(sorted(journal.RECORDS))), "timestamp_ns": rng.randrange(2**62)} | {n: value[c]() for n, c in journal.RECORDS[tag][1]} for _ in range(300)]
+    df = spark.createDataFrame([tuple(r.get(n) for n in journal._NAMES) for r in rows], journal.COLUMNS).coalesce(1)
+    want = [journal.encode(r) for r in rows]
+    assert [bytes(r["record"]) for r in journal.encode_rows(df).collect()] == want
+    segments = journal.write(df, str(tmp_path / "out"), segment=64).collect()
+    assert [r["records"] for r in segments] == [64, 64, 64, 64, 44]
+    assert b"".join((tmp_path / "out" / r["segment"]).read_bytes() for r in segments) == b"".join(want)
+    got = [r for r in journal.read(spark, str(tmp_path / "out")).collect()]
+    assert sorted(repr({n: r[n] for n in journal._NAMES}) for r in got) == sorted(repr({n: x.get(n) for n in journal._NAMES}) for x in rows)
+    (tmp_path / "cut.log").write_bytes(b"".join(want)[:-1])
+    assert journal.read(spark, str(tmp_path / "cut.log")).count() == 299
+    (tmp_path / "bad.log").write_bytes(b"\x09" + want[0][1:])
+    with pytest.raises(Exception, match="unknown record tags"):
+        journal.read(spark, str(tmp_path / "bad.log")).collect()
+
+
 def test_batches_are_read_as_single_messages_are(spark):
     rng = random.Random(2)
-    for kind in (1, 5, 6, 13, 14):
+    for kind in (1, 3, 4, 5, 6, 13, 14, 18):
         fields = binary.LAYOUTS[kind]
-        value = {"s": lambda: rng.choice(["", "BTCUSDT", "\u00fc\u00f1\u00ef \U0001f600"]), "?": lambda: rng.random() < 0.5, "B": lambda: rng.randrange(256), "I": lambda: rng.randrange(2**32), "Q": lambda: rng.randrange(2**63), "q": lambda: rng.randrange(-(2**63), 2**63)}
+        value = {"s": lambda: rng.choice(["", "BTCUSDT", "\u00fc\u00f1\u00ef \U0001f600"]), "?": lambda: rng.random() < 0.5, "B": lambda: rng.randrange(256), "I": lambda: rng.randrange(2**32), "Q": lambda: rng.randrange(2**63), "q": lambda: rng.randrange(-(2**63), 2**63), "l": lambda: levels(rng)}
         rows = [HEADER | {"message_type": kind} | {n: value[c]() for n, c in fields} for _ in range(40)]
-        schema = ", ".join(f"{n} {binary._TYPES.get(c, 'long')}" for n, c in (*binary.HEADER, *fields))
+        schema = binary._schema([*binary.HEADER, *fields])
         names = [n for n, _ in (*binary.HEADER, *fields)]
-        df = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
+        df = spark.createDataFrame([tuple(Decimal(r[n]) if n == "checksum" else r[n] for n in names) for r in rows], schema)
         payloads = [bytes(r["payload"]) for r in binary.encode(df, kind).collect()]
         assert sorted(payloads) == sorted(map(binary.encode_message, rows))
         broken = [None, b"", b"x", payloads[0][:30], payloads[1][:-1], payloads[2] + b"later", payloads[3][:57], bytes([1, kind + 1]) + payloads[4][2:]]
         want = [binary.decode_message(x, kind) for x in payloads + broken if x is not None]
         frames = spark.createDataFrame([(x,) for x in payloads + broken], "payload binary")
-        got = [r.asDict() for r in binary.decode(frames, kind).collect()]
+        got = [plain(r.asDict(recursive=True)) for r in binary.decode(frames, kind).collect()]
         assert sorted(map(repr, got)) == sorted(repr(x) for x in want if x is not None)
     bad = binary.encode_message(HEADER | {"message_type": 17, "symbol": "ab", "snapshot_update_id": 4})
     at = bad.index(b"ab")

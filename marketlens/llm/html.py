@@ -39,9 +39,13 @@ _OTHERS = re.compile(r"ads?|advert\w*|adbox|sponsor\w*|promo\w*|cookies?|consent
 _PAGE = re.compile(r"banner|notice|alert|overlay|nav|navbar|navigation|menu|header|masthead|footer|sidebar|side|aside|widget|related|recommend\w*|toolbar|search|contentinfo|complementary")
 _CONTENT = {"article", "entry", "post", "story", "content", "body", "main", "text", "title", "work", "works", "with", "has", "no"}
 
+_BEGINS = re.compile(r"<(?:/?[a-zA-Z]|[!?])")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 _REST = re.compile(r"[^>\"']*+")
-_NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
+_NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
+# Ids name what a heading or section is about. They tell a role outside articles only, but for whole ids of readers' comments.
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_COMMENTS = {"comments", "respond", "disqus_thread"}
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s/=]|$)|aria-hidden\s*+=\s*+[\"']?true)|display\s*+:\s*+none", re.I)
 _WHITE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?\u2026\u3002\uff0c\u3001\u00bf\u00a1]")
@@ -55,16 +59,15 @@ def _pieces(page: str):
     there on. A ``<`` that no ``>`` follows, or that begins no tag, is text. Comments, declarations and the content of scripts and the like
     give nothing; one that is not closed runs to the end of the page.
     """
-    at, length, quotes, missing = 0, len(page), True, set()
+    at, length, quotes, missing, known = 0, len(page), True, set(), {}
 
     def find(what: str, start: int) -> int:
-        """Where ``what`` is found, or the end; what was missing once is not looked for again."""
-        if what in missing:
-            return length
-        found = page.find(what, start)
-        if found < 0:
-            missing.add(what)
-            return length
+        """Where ``what`` is found, or the end. What was found last holds for all starts up to it, so it is not looked for again."""
+        since, found = known.get(what, (0, -1))
+        if not since <= start <= found:
+            found = page.find(what, start)
+            found = length if found < 0 else found
+            known[what] = start, found
         return found
 
     def end_of_tag(start: int) -> int:
@@ -82,7 +85,8 @@ def _pieces(page: str):
         return find(">", start)  # there is one after every tag's name
 
     while at < length:
-        open_ = find("<", at)
+        begins = _BEGINS.search(page, at)
+        open_ = begins.start() if begins else length
         if open_ > at:
             yield page[at:open_], False, "", ""
         at = open_
@@ -99,7 +103,7 @@ def _pieces(page: str):
         else:
             tag = _TAG.match(page, at) if find(">", at) < length else None
             if not tag:
-                end = at + 1 if find(">", at) < length else find("<!", at + 1)
+                end = find("<!", at + 1)
                 yield page[at:end], False, "", ""
                 at = end
                 continue
@@ -182,9 +186,11 @@ class _Page:
         _, number, place, hidden = self._stack[-1]
         hidden = hidden or name in _HIDES or bool(_HIDDEN.search(attributes))
         if name not in _INLINE:
-            names = " ".join(filter(None, (x for m in _NAMED.findall(attributes) for x in m))).lower()
+            named = [(m[0].lower(), "".join(m[1:]).lower()) for m in _NAMED.findall(attributes)]
+            names = " ".join(x for _, x in named if x)
             inside = self.inside[number] or name in _WHOLE
-            role, by_name = _role(name, names, inside)
+            told = (x for kind, x in named if kind != "id" or x in _COMMENTS or not (inside or name in _HEADINGS))
+            role, by_name = _role(name, " ".join(told), inside)
             path = self._paths.setdefault((self.path[number], f"{name}.{names}" if names else name), len(self._paths) + 1)
             for own, x in zip((self.parent, self.name, self.path, self.role, self.by_name, self.inside), (number, name, path, role, by_name, inside), strict=True):
                 own.append(x)

@@ -7,23 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
-#: Dimension tables are broadcast up to this many rows; a larger one is left to a shuffle join.
-BROADCAST_ROWS = 1_000_000
-
-
-def dimension(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The table with a broadcast hint if counting shows it small."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
 
 def with_instruments(events: DataFrame, instruments: DataFrame) -> DataFrame:
-    """Events with their instrument; those without one are dropped."""
-    return events.join(dimension(instruments), "symbol")
+    """Events with their instrument; those without one are dropped. Spark broadcasts the instruments if their bytes, as read, are few."""
+    return events.join(instruments, "symbol")
 
 
 def with_scales(events: DataFrame, scales: DataFrame, price_scale: int = 8, qty_scale: int = 8) -> DataFrame:
     """Events with their symbol's scales, or the defaults."""
-    found = dimension(scales.select("symbol", F.col("price_scale").alias("_p"), F.col("qty_scale").alias("_q")))
+    found = scales.select("symbol", F.col("price_scale").alias("_p"), F.col("qty_scale").alias("_q"))
     joined = events.join(found, "symbol", "left")
     return joined.withColumn("price_scale", F.coalesce("_p", F.lit(price_scale))).withColumn("qty_scale", F.coalesce("_q", F.lit(qty_scale))).drop("_p", "_q")
 

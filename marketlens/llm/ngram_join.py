@@ -122,7 +122,8 @@ def _candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
     groups = rows.where(F.col("group").isNotNull()).select("group", "n").distinct()
     postings = rows.where(F.col("prefix").isNotNull()).select("group", F.posexplode("prefix").alias("pos", "shingle"))
     met = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("group").alias("lo"), F.max("group").alias("hi")).where(F.col("lo") < F.col("hi"))
-    shared = postings.join(met.select("shingle", "c"), "shingle").distinct().join(groups, "group")  # a group's prefix is one
+    met = materialize(met.select("shingle", "c", F.col("c").alias("rows")), "prefix-met")
+    shared = join_by_count(postings, met, "shingle", "rows", BROADCAST_ROWS).distinct().join(groups, "group")  # a group's prefix is one
     shared = materialize(shared, "prefix-shared")
     hot = shared.where(F.col("c") > HOT)
     hot_of = materialize(hot.groupBy("group").agg(F.count(F.lit(1)).alias("hot")), "prefix-hot")
@@ -277,15 +278,18 @@ def join(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> D
     the smallest, unless its component has no other. Only doc_id and text are read; an empty table gives an empty result.
     """
     rows, of_set = _join(docs, k, num, den)
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(of_set, "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    of_set = of_set.drop("root")
+    own = rows.select("doc_id", F.col("n").alias("n_shingles"), "set_key")
+    linked = join_by_count(own.where(F.col("set_key").isNotNull()), of_set, "set_key", "copies", BROADCAST_ROWS).drop("set_key")
+    alone = own.where(F.col("set_key").isNull()).select("doc_id", "n_shingles", F.lit(None).cast(linked.schema["component"].dataType).alias("component"))
+    return linked.unionByName(alone).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """The rows, all columns, that stay when one document of each component does: that with the smallest id, and of several such texts
     the one with the smallest hash. Of rows that agree in doc_id and text one stays. Texts without words all stay."""
     rows, of_set = _join(docs, k, num, den)
-    placed = rows.where(F.col("n") > 0).select("doc_id", "text_key", "set_key").join(of_set.select("set_key", "root"), "set_key")
+    placed = join_by_count(rows.where(F.col("n") > 0).select("doc_id", "text_key", "set_key"), of_set.drop("component"), "set_key", "copies", BROADCAST_ROWS)
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("text_key").alias("text"))
     placed = materialize(placed, "join-roots")
     first = placed.groupBy("root").agg(F.min(rank).alias("first")).select(F.col("first.id").alias("_id"), F.col("first.text").alias("_text"))
@@ -306,7 +310,7 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN)
 
 
 def _join(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """The rows with their sets' keys, and each set's component: its root and smallest doc_id."""
+    """The rows with their sets' keys, and each set's component, its root and smallest doc_id, with the number of rows that have the set."""
     spark = docs.sparkSession
     short_batches(spark)
     counts = spark.sparkContext.broadcast(sketch(docs, k))  # 2 ** SKETCH_BITS bytes
@@ -314,7 +318,7 @@ def _join(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
     described = map_texts(docs.withColumn("text_key", F.xxhash64("text")), _describe(counts, k, num, den), schema, "doc_id", "text_key", "text")
     rows = materialize(described, "join-rows")
 
-    sets = rows.where(F.col("n") > 0).groupBy("set_key", "group").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"))
+    sets = rows.where(F.col("n") > 0).groupBy("set_key", "group").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("copies"))
     sets = materialize(sets, "join-sets")
     clusters = components(_candidates(rows, num, den))
     placed = sets.join(clusters, sets["group"] == clusters["node"], "left").select(F.coalesce("root", "group").alias("cluster"), "set_key", "text_key")
@@ -336,10 +340,11 @@ def _join(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
     members = texts.select("cluster", F.col("set_key").alias("key"), "text").mapInPandas(data, "cluster long, key long, data binary").dropDuplicates(["key"])
     linked = components(_verify(members, num, den))
 
-    found = sets.join(linked, sets["set_key"] == linked["node"], "left").select("set_key", "first_id", F.coalesce("root", "set_key").alias("root"))
+    found = sets.join(linked, sets["set_key"] == linked["node"], "left").select("set_key", "first_id", "copies", F.coalesce("root", "set_key").alias("root"))
     found = materialize(found, "join-found")
     smallest = materialize(found.groupBy("root").agg(F.min("first_id").alias("component"), F.count(F.lit(1)).alias("sets")), "join-smallest")
-    return rows, join_by_count(found, smallest, "root", "sets", BROADCAST_ROWS).select("set_key", "root", "component")
+    placed = join_by_count(found, smallest, "root", "sets", BROADCAST_ROWS).select("set_key", "root", "component", "copies")
+    return rows, materialize(placed, "join-components")
 
 
 ORACLE_SQL = r"""

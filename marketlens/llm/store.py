@@ -7,6 +7,7 @@ temporary folder used.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -21,7 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = context.getConf().get("spark.checkpoint.dir")
-        if configured is None and not context.master.startswith("local"):
+        if configured is None and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return context.getCheckpointDir()

@@ -36,16 +36,22 @@ def to_shards(definitions: DataFrame, shards: int) -> DataFrame:
 def valid_at(events: DataFrame, versions: DataFrame, time: str, since: str, values: list[str], width: int) -> DataFrame:
     """Events with the ``values`` of their symbol's version that is valid at their time; null before the first one.
 
-    A version is valid from its ``since`` until the next one's; of several with one ``since`` the one with the largest values is. It is
-    cut into slices of ``width`` as far as the events' times reach, and an event meets the slice of its own time only, so a symbol with
-    very many events is spread over its times. A version that is the same as the one before should not be given (see ``changes``).
+    A version is valid from its ``since`` until the next one's; of several with one ``since`` the one with the largest values is. Time is
+    cut into slices of ``width``, so a symbol with very many events is spread over its times: each slice that has events is given the
+    version valid at its start, and an event takes the last version before it in its slice. Work follows the events and versions, however
+    long those are valid, and no side is broadcast. A version that is the same as the one before should not be given (see ``changes``).
     """
-    ends = events.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).first()
-    once = versions.groupBy("symbol", F.col(since).alias("_from")).agg(F.max(F.struct(*values)).alias("_v"))
-    until = F.lead("_from").over(Window.partitionBy("symbol").orderBy("_from"))
-    lo, hi = F.greatest("_from", F.lit(ends["lo"])), F.least(F.coalesce("_to", F.lit(ends["hi"]) + 1) - 1, F.lit(ends["hi"]))
-    spans = once.withColumn("_to", until).withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <= _hi")
-    sliced = spans.select(F.col("symbol").alias("_symbol"), "_from", "_to", "_v", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))).alias("_slice"))
-    t = F.col(time)
-    on = (F.col("symbol") == F.col("_symbol")) & (F.floor(t / width) == F.col("_slice")) & (t >= F.col("_from")) & (F.col("_to").isNull() | (t < F.col("_to")))
-    return events.join(sliced, on, "left").select(*events.columns, *[F.col(f"_v.{c}").alias(c) for c in values])
+    def start(at):
+        return F.col(at) - F.pmod(F.col(at), F.lit(width))
+
+    given = versions.where(F.col("symbol").isNotNull() & F.col(since).isNotNull())
+    once = given.groupBy("symbol", F.col(since).alias("_at")).agg(F.max(F.struct(*values)).alias("_v"))
+    slices = events.select("symbol", start(time).alias("_at")).where(F.col("symbol").isNotNull() & F.col("_at").isNotNull()).distinct()
+    valid = F.last("_v", ignorenulls=True)
+    met = slices.unionByName(once, allowMissingColumns=True)
+    known = met.withColumn("_known", valid.over(Window.partitionBy("symbol").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)))
+    known = known.where(F.col("_v").isNull() & F.col("_known").isNotNull()).select("symbol", "_at", F.col("_known").alias("_v"))
+    rows = known.withColumn("_kind", F.lit(0)).unionByName(once.withColumn("_kind", F.lit(1)))
+    rows = events.withColumn("_at", F.col(time)).withColumn("_kind", F.lit(2)).unionByName(rows, allowMissingColumns=True).withColumn("_slice", start("_at"))
+    by = Window.partitionBy("symbol", "_slice").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_v", valid.over(by)).where("_kind = 2").select(*events.columns, *[F.col(f"_v.{c}").alias(c) for c in values])

@@ -20,9 +20,9 @@ def latest_levels(updates: DataFrame) -> DataFrame:
     return last.where(F.col("qty") > 0)
 
 
-def tops(updates: DataFrame) -> DataFrame:
+def tops(updates: DataFrame, tasks: int | None = None) -> DataFrame:
     """Best bid and ask after each update, as of the levels standing then: one pass over each symbol's rows in order."""
-    return folds.run(updates, folds.BOOK_TOP, "symbol", ["n"]).select("symbol", "n", "best_bid", "best_ask")
+    return folds.run(updates, folds.BOOK_TOP, "symbol", ["n"], tasks=tasks).select("symbol", "n", "best_bid", "best_ask")
 
 
 def depths(levels: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,12 +29,20 @@ class Fold:
     state: str
 
 
-def run(df: DataFrame, fold: Fold, key: str | list[str], order: list, keep: list[str] | None = None) -> DataFrame:
+def run(df: DataFrame, fold: Fold, key: str | list[str], order: list, keep: list[str] | None = None, tasks: int | None = None, beside: dict[str, Callable[[WindowSpec], Column]] | None = None) -> DataFrame:
     """The rows with the fold's columns. ``order`` must be total within a key; keys may be null, and are one key then. Only keys, order,
-    what the fold reads and the columns ``keep`` go through Python; None keeps all."""
+    what the fold reads and the columns ``keep`` go through Python; None keeps all.
+
+    Rows are dealt to so many ``tasks`` (None: Spark's number of shuffle partitions, however many rows there are). ``beside`` names columns
+    that windows over a key's rows in order give; they take the same shuffle and sort as the fold.
+    """
     keys = [key] if isinstance(key, str) else key
     if keep is not None:
         df = df.select(*dict.fromkeys([*keys, *order, *fold.reads, *keep]))
+    df = df.repartition(tasks, *keys) if tasks else df.repartition(*keys)
+    by = Window.partitionBy(*keys).orderBy(*order)
+    for name, column in (beside or {}).items():
+        df = df.withColumn(name, column(by))
     added = T.StructType.fromDDL(fold.adds)
     schema = T.StructType([*df.schema.fields, *added.fields])
     start, step, reads = fold.start, fold.step, fold.reads
@@ -56,7 +64,7 @@ def run(df: DataFrame, fold: Fold, key: str | list[str], order: list, keep: list
             columns = zip(added.fields, zip(*out, strict=True), strict=True)
             yield pdf.assign(**{f.name: pd.array(list(v), "Int64") if isinstance(f.dataType, T.LongType) else list(v) for f, v in columns})
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(carry, schema)
+    return df.sortWithinPartitions(*keys, *order).mapInPandas(carry, schema)
 
 
 # -- sequences ---------------------------------------------------------------------------------------------------------------

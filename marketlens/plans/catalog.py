@@ -17,7 +17,7 @@ def query(name: str, sql: str | None = None) -> Callable:
     """Register ``build(v)``, where ``v(view)`` gives a market view, under a name, with the SQL for the same rows."""
 
     def register(build: Callable) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: build(lambda view: lens.view(spark, sf_dir, view))
+        QUERIES[name] = lambda spark, sf_dir: build(lens.Views(spark, sf_dir))
         if sql:
             ORACLE_SQL[name] = lens.duckdb(sql)
         return build

@@ -34,12 +34,12 @@ def _sequence_sql(found: str, wanted_last: str, gap_bridge: tuple[str, str]) ->
 
 @query("g01_spot_sequence", _sequence_sql("r.first_id", "1", ("f.last + 1", "r.first_id")))
 def spot_sequence(v):
-    return folds.run(v("deltas"), folds.SPOT_SEQUENCE, "symbol", ["n"], []).select("symbol", "n", "first_id", "final_id", "result", "expected", "actual")
+    return folds.run(v("deltas"), folds.SPOT_SEQUENCE, "symbol", ["n"], [], v.tasks("events")).select("symbol", "n", "first_id", "final_id", "result", "expected", "actual")
 
 
 @query("g02_futures_sequence", _sequence_sql("r.prev_id", "0", ("f.last", "r.prev_id")))
 def futures_sequence(v):
-    return folds.run(v("deltas"), folds.FUTURES_SEQUENCE, "symbol", ["n"], []).select("symbol", "n", "first_id", "final_id", "result", "expected", "actual")
+    return folds.run(v("deltas"), folds.FUTURES_SEQUENCE, "symbol", ["n"], [], v.tasks("events")).select("symbol", "n", "first_id", "final_id", "result", "expected", "actual")
 
 
 _TIMED = "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns, event_id) AS rn FROM"
@@ -70,7 +70,7 @@ _COOL = "21600000000000"
        NOT r.ok AND NOT (f.until >= 0 AND r.ts_ns < f.until) AND CASE WHEN f.until >= 0 THEN 0 ELSE f.failures END + 1 >= 5""",
     "r.symbol, r.event_id, f.state_before, f.opened, f.failures"))
 def circuit_breaker(v):
-    return folds.run(v("attempts"), folds.circuit_breaker(5, int(_COOL)), "symbol", ["ts_ns", "event_id"], []).select("symbol", "event_id", "state_before", "opened", "failures")
+    return folds.run(v("attempts"), folds.circuit_breaker(5, int(_COOL)), "symbol", ["ts_ns", "event_id"], [], v.tasks("events")).select("symbol", "event_id", "state_before", "opened", "failures")
 
 
 @query("g06_recovery_buffer", _walk(
@@ -82,7 +82,7 @@ def circuit_breaker(v):
     "r.symbol, r.event_id, f.outcome, f.events AS buffered"))
 def recovery_buffer(v):
     rows = v("ticks").withColumn("drain", F.col("k") == 0).withColumn("size", F.col("price"))
-    return folds.run(rows, folds.recovery_buffer(360_000 * folds.SECOND, 12, 300_000), "symbol", ["ts_ns", "event_id"], []).select("symbol", "event_id", "outcome", "buffered")
+    return folds.run(rows, folds.recovery_buffer(360_000 * folds.SECOND, 12, 300_000), "symbol", ["ts_ns", "event_id"], [], v.tasks("events")).select("symbol", "event_id", "outcome", "buffered")
 
 
 @query("g22_backpressure", _walk(
@@ -114,7 +114,7 @@ def _side(name: str, own: str) -> str:
         "r.symbol, r.ord, r.update_id, f.stale, f.actives[list_position(f.ids, r.update_id)] AS a, f.passives[list_position(f.ids, r.update_id)] AS p")})
     SELECT symbol, ord, update_id, CASE WHEN stale THEN 'Stale' WHEN a IS NULL OR p IS NULL THEN 'Pending' WHEN a = p THEN 'Matched' ELSE 'Diverged' END AS verdict FROM states""")
 def checksum_arbiter(v):
-    return folds.run(v("feed_checksums"), folds.checksum_arbiter(), "symbol", ["ord"], []).select("symbol", "ord", "update_id", "verdict")
+    return folds.run(v("feed_checksums"), folds.checksum_arbiter(), "symbol", ["ord"], [], v.tasks("events")).select("symbol", "ord", "update_id", "verdict")
 
 
 _SCHEDULE = "CASE WHEN k < 5 THEN 'startup' WHEN k < 10 THEN 'reconnect' WHEN k < 20 THEN 'startup_done' WHEN k < 30 THEN 'reconnect_done' WHEN k < 60 THEN 'periodic_done' ELSE 'tick' END"
@@ -128,7 +128,7 @@ _SCHEDULE = "CASE WHEN k < 5 THEN 'startup' WHEN k < 10 THEN 'reconnect' WHEN k
     "r.symbol, r.event_id, concat_ws(',', CASE WHEN f.startup THEN 'Startup' END, CASE WHEN f.reconnect THEN 'Reconnect' END, CASE WHEN f.next_due >= 0 AND f.next_due <= r.ts_ns THEN 'Periodic' END) AS due"))
 def reconcile_schedule(v):
     rows = v("ticks").withColumn("event", F.expr(_SCHEDULE))
-    return folds.run(rows, folds.reconcile_schedule(21_600 * folds.SECOND), "symbol", ["ts_ns", "event_id"], []).select("symbol", "event_id", "due")
+    return folds.run(rows, folds.reconcile_schedule(21_600 * folds.SECOND), "symbol", ["ts_ns", "event_id"], [], v.tasks("events")).select("symbol", "event_id", "due")
 
 
 _EVENTS = """
@@ -139,6 +139,14 @@ _EVENTS = """
 _NUMBERED = f"SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY phase, ord) AS rn FROM ({_EVENTS}) AS e"
 
 
+def _order_tasks(v):
+    return v.tasks("orders", "lineitem", times=2)  # an order has up to five events beside its fills
+
+
+def _row_number(by):
+    return F.row_number().over(by).cast("long")
+
+
 def _order_events(v):
     r, f = v("requests"), v("fills")
     zero = F.lit(0).cast("long")
@@ -228,9 +236,9 @@ def unknown_status(v):
     acked, late, checked = (r.where(F.col("order_id") % 3 == i) for i in range(3))
     e = rows(r, 0, F.lit("submit")).unionByName(rows(acked, 1, F.lit("ack"))).unionByName(rows(r, 4, F.lit("tick"))).unionByName(rows(r, 6, F.lit("tick")))
     e = e.unionByName(rows(f, 7, F.lit("fill"), F.col("ord"), F.col("trade_id"), F.col("qty"))).unionByName(rows(late, 8, F.lit("ack"))).unionByName(rows(checked, 9, check))
-    e = e.withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy("moment", "ord")).cast("long")).withColumn("ts_ns", F.col("moment") * folds.SECOND).withColumn("total_qty", F.lit(10_000).cast("long"))
-    out = folds.run(e, folds.order_machine(), "symbol", ["rn"], ["event"])
-    return out.select(F.col("symbol").alias("order_id"), "rn", "event", "status", "filled_qty", "lost_or_waiting_qty", "action")
+    e = e.withColumn("ts_ns", F.col("moment") * folds.SECOND).withColumn("total_qty", F.lit(10_000).cast("long"))
+    done = folds.run(e, folds.order_machine(), "symbol", ["moment", "ord"], [], _order_tasks(v), {"rn": _row_number})
+    return done.select(F.col("symbol").alias("order_id"), "rn", "event", "status", "filled_qty", "lost_or_waiting_qty", "action")
 
 
 @query("f13_current_orders", _walk(

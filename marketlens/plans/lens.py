@@ -91,6 +91,20 @@ def _in(dialect: dict[str, str], text: str) -> str:
     return text
 
 
+#: Rows of a task, where there are more of them than Spark's number of shuffle partitions would take
+TASK_ROWS = 500_000
+
+#: Views with a window over all rows of a table: the table, and the key by which its rows are dealt to tasks
+_DEALT = {"fills": ("lineitem", "l_orderkey"), "numbered": ("events", "user_id")}
+
+
+def tasks(spark: SparkSession, sf_dir: str, *tables: str, times: int = 1) -> int:
+    """Tasks for so many ``times`` the rows of these tables: Spark's number of shuffle partitions, or more, so that none takes more than
+    about TASK_ROWS. Counting Parquet rows reads no column."""
+    rows = sum(spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in tables)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows * times // TASK_ROWS))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A market view as a DataFrame over the tables below ``sf_dir``."""
     names = _expand(name, [])
@@ -98,7 +112,25 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = _in(_SPARK, text).replace("//", "div")
     used = [t for t in _TABLES if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", text) and t not in names]
     text = re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(used)})\b", r"\1 {\2}", text) if used else text
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
+    for table, key in (_DEALT[n] for n in names if n in _DEALT):
+        n = tasks(spark, sf_dir, table)
+        if n > int(spark.conf.get("spark.sql.shuffle.partitions")):
+            read[table] = read[table].repartition(n, key)
+    return spark.sql(text, **read)
+
+
+class Views:
+    """The views over the tables below a folder, by name, and how many tasks their rows are for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._at = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        return view(*self._at, name)
+
+    def tasks(self, *tables: str, times: int = 1) -> int:
+        return tasks(*self._at, *tables, times=times)
 
 
 def duckdb(body: str) -> str:

@@ -109,7 +109,7 @@ def book_final(v):
     o AS (SELECT a.symbol, a.n, b.side, b.price, arg_max(b.qty, b.n) AS qty FROM e a JOIN e b ON a.symbol = b.symbol AND a.episode = b.episode AND b.n <= a.n GROUP BY 1, 2, 3, 4)
     SELECT symbol, n, max(price) FILTER (side = 'B' AND qty > 0) AS best_bid, min(price) FILTER (side = 'A' AND qty > 0) AS best_ask FROM o GROUP BY 1, 2""")
 def book_tops(v):
-    return book.tops(v("book"))
+    return book.tops(v("book"), v.tasks("events"))
 
 
 @query("h01_best_bid_ask", f"""WITH {_FINAL} SELECT symbol, max(price) FILTER (side = 'B') AS bid_price, arg_max(qty, price) FILTER (side = 'B') AS bid_qty, min(price) FILTER (side = 'A') AS ask_price, arg_min(qty, price) FILTER (side = 'A') AS ask_qty FROM levels GROUP BY 1""")

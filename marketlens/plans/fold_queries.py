@@ -192,8 +192,8 @@ def order_machine(v):
        r.event <> 'submit' AND f.status IN ('Filled', 'Cancelled', 'Rejected', 'Expired', 'None') AND NOT (r.event = 'cancel' AND f.status = 'Cancelled')""",
     "r.symbol AS order_id, r.rn, f.status, f.filled AS filled_qty, f.invalid"))
 def gateway(v):
-    e = _order_events(v).withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy("phase", "ord")).cast("long"))
-    return folds.run(e, folds.gateway(), "symbol", ["rn"], []).select(F.col("symbol").alias("order_id"), "rn", "status", "filled_qty", "invalid")
+    done = folds.run(_order_events(v), folds.gateway(), "symbol", ["phase", "ord"], [], _order_tasks(v), {"rn": _row_number})
+    return done.select(F.col("symbol").alias("order_id"), "rn", "status", "filled_qty", "invalid")
 
 
 _UNKNOWN = """

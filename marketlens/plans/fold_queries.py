@@ -251,6 +251,6 @@ def unknown_status(v):
     "r.symbol AS order_id, f.status, f.filled AS filled_qty, f.exchange AS exchange_order, f.updated AS updated_ns", last=True))
 def current_orders(v):
     e = _order_events(v).withColumn("exchange_id", F.col("symbol") * 10).withColumn("is_final", F.col("trade_id") % 5 == 0)
-    done = folds.run(e, folds.JOURNAL_ORDER, "symbol", ["phase", "ord"], [])
-    columns = ("status", "filled_qty", "exchange_order", "updated_ns")
-    return done.groupBy(F.col("symbol").alias("order_id")).agg(F.max_by(F.struct(*columns), F.struct("phase", "ord")).alias("o")).select("order_id", *[F.col(f"o.{c}").alias(c) for c in columns])
+    last = {"last": lambda by: F.lead(F.lit(True)).over(by).isNull()}
+    done = folds.run(e, folds.JOURNAL_ORDER, "symbol", ["phase", "ord"], [], _order_tasks(v), last)
+    return done.where("last").select(F.col("symbol").alias("order_id"), "status", "filled_qty", "exchange_order", "updated_ns")

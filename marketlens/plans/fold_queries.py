@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import folds, islands
@@ -180,8 +179,8 @@ def _order_events(v):
          WHEN r.event = 'ack' AND f.status = 'Pending' THEN 'ApplyAck' WHEN r.event = 'cancel' THEN 'ApplyCancel' WHEN r.event = 'reject' THEN 'ApplyReject' WHEN r.event = 'expire' AND f.status <> 'Pending' THEN 'ApplyExpire' ELSE 'Ignored' END""",
     "r.symbol AS order_id, r.rn, r.event, f.status, f.filled AS filled_qty, f.waiting AS lost_or_waiting_qty, f.action"))
 def order_machine(v):
-    e = _order_events(v).withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy("phase", "ord")).cast("long"))
-    return folds.run(e, folds.order_machine(), "symbol", ["rn"], []).select(F.col("symbol").alias("order_id"), "rn", "event", "status", "filled_qty", "lost_or_waiting_qty", "action")
+    done = folds.run(_order_events(v), folds.order_machine(), "symbol", ["phase", "ord"], [], _order_tasks(v), {"rn": _row_number})
+    return done.select(F.col("symbol").alias("order_id"), "rn", "event", "status", "filled_qty", "lost_or_waiting_qty", "action")
 
 
 @query("g19_gateway", _walk(

@@ -8,7 +8,7 @@ from marketlens.plans import lens
 from marketlens.plans.queries import QUERIES
 
 
-@pytest.mark.parametrize("name", ["g18_unknown_status", "g19_gateway", "f13_current_orders"])
+@pytest.mark.parametrize("name", ["g18_unknown_status", "g19_gateway", "f13_current_orders", "g17_order_machine"])
 def test_tasks_follow_the_rows(spark, sf, name, monkeypatch):
     want = sorted(map(repr, QUERIES[name](spark, sf).collect()))
     monkeypatch.setattr(lens, "TASK_ROWS", 500)

@@ -7,11 +7,12 @@ and for the first two factors both together, each among the rows of the digits c
 beside the same very frequent words share a class. Words that are not frequent share one class, inside which a word has its smoothed
 relative frequency, so every text has a probability above 0.
 
-Word counts are exact and cover every training document; they set the biases. Weights come from one distributed gradient update over every
-training document: partitions sum what was observed of each table row and output, which less what the biases expect there is the
+Word counts are exact and cover every training document; they set the biases. Weights come from distributed gradient updates over every
+training document. In the first, at the biases, partitions sum what was observed of each table row and output, which less what the biases expect there is the
 gradient of the log likelihood, and each weight moves along it as far as the logarithm of observed over expected, damped. Every row
-belongs to one node, a word's digits so far, so what is expected of it is known without a second pass. Sums are exact: the model is the
-same on any number of partitions. Texts are encoded once, into a written table of token arrays, which all passes after it read in batches.
+belongs to one node, a word's digits so far, so what biases expect of it is known without a second pass. Each further update evaluates the
+softmax of the model so far for every training token and sums up what it expects of each row and output. Sums of observed counts are exact,
+those of expected ones but for rounding: the model is the same on any number of partitions. Texts are encoded once, into a written table of token arrays, which all passes after it read in batches.
 """
 
 from __future__ import annotations
@@ -179,13 +180,19 @@ def _features(model: Model, hashes: list[np.ndarray], node: np.ndarray, level: i
     return [first + (h * n >> 31) for h in hashes[: 3 if level < 2 else 2]]
 
 
-def _log_softmax(model: Model, level: int, node: np.ndarray, features: list[np.ndarray], digit: np.ndarray) -> np.ndarray:
-    """A factor's log probability of each token's digit. Biases are logarithms of shares and weights small, so nothing overflows."""
+def _logits(model: Model, level: int, node: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
+    """A factor's bias and weighted rows. Biases are logarithms of shares and weights small, so no exponential overflows."""
     logits = model.bias[level].take(node, 0)
     for share, rows in zip(SHARES, features, strict=False):
         weights = model.tables[level].take(rows, 0)
         weights *= np.float32(share)
         logits += weights
+    return logits
+
+
+def _log_softmax(model: Model, level: int, node: np.ndarray, features: list[np.ndarray], digit: np.ndarray) -> np.ndarray:
+    """A factor's log probability of each token's digit."""
+    logits = _logits(model, level, node, features)
     own = logits[np.arange(len(digit)), digit].astype(np.float64)
     return own - np.log(np.exp(logits, out=logits).sum(1))
 
@@ -220,6 +227,17 @@ def observe(model: Model, ids: np.ndarray, first: np.ndarray, observed: list[np.
             np.add.at(observed[level].reshape(-1), rows * model.outs[level] + digit, np.float32(1))
 
 
+def expect(model: Model, ids: np.ndarray, first: np.ndarray, expected: list[np.ndarray]) -> None:
+    """Add, for each factor's table, how often the model's softmax lets each output follow each row's feature."""
+    for _, level, node, features, _ in _parts(model, ids, first):
+        p = _logits(model, level, node, features)
+        np.exp(p, out=p)
+        p /= p.sum(1, keepdims=True)
+        p, at = p.reshape(-1).astype(expected[level].dtype), np.arange(model.outs[level])
+        for rows in features:
+            np.add.at(expected[level].reshape(-1), (rows[:, None] * len(at) + at).reshape(-1), p)
+
+
 def _arrays(encoded) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers of encoded texts, one after the other, and where each text begins."""
     ids = np.frombuffer(b"".join(encoded), np.int32).astype(np.int64)
@@ -236,12 +254,21 @@ def update(model: Model, observed: list[np.ndarray]) -> None:
         table += np.log(np.where(p > 0, o + DAMP * p, 1) / np.where(p > 0, (n + DAMP) * p, 1))
 
 
-def _over(train: DataFrame, model: Model, add, size: int) -> np.ndarray:
-    """The sum of what ``add(model, ids, first, total)`` adds to a flat table over all encoded texts (ids)."""
+def follow(model: Model, observed: list[np.ndarray], expected: list[np.ndarray]) -> None:
+    """Move each weight along the gradient at the model, observed less expected by its softmax, as far as the logarithm of observed over
+    expected, both with DAMP examples as biases expect them, over the sum of a history's shares. Undamped, that step of iterative scaling
+    never lowers the likelihood."""
+    for level, (table, bias, rows, o, e) in enumerate(zip(model.tables, model.bias, model.n_rows, observed, expected, strict=True)):
+        p = DAMP * np.repeat(np.exp(bias), rows, axis=0)
+        table += np.log(np.where(p > 0, o + p, 1) / np.where(p > 0, e + p, 1)) / np.float32(sum(SHARES[: 3 if level < 2 else 2]))
+
+
+def _over(train: DataFrame, model: Model, add, size: int, kind=np.float32) -> np.ndarray:
+    """The sum of what ``add(model, ids, first, total)`` adds to a flat table, of numbers of that kind, over all encoded texts (ids)."""
     shared = train.sparkSession.sparkContext.broadcast(model)
 
     def sums(batches):
-        total = np.zeros(size, np.float32)
+        total = np.zeros(size, kind)
         for pdf in batches:
             for part in _some(pdf["ids"]):
                 add(shared.value, *_arrays(pdf["ids"].iloc[part]), total)
@@ -252,15 +279,22 @@ def _over(train: DataFrame, model: Model, add, size: int) -> np.ndarray:
     return out
 
 
-def fit(train: DataFrame, model: Model) -> None:
-    """The update from the sums over every training document, which are encoded (ids)."""
+def fit(train: DataFrame, model: Model, passes: int = 0) -> None:
+    """The first update, at the biases, and ``passes`` more at the model's own softmax, each from sums over every training document, which
+    are encoded (ids)."""
     sizes = [t.size for t in model.tables]
 
-    def add(model, ids, first, total):
-        observe(model, ids, first, np.split(total, np.cumsum(sizes)[:-1]))  # parts of the table itself
+    def over(add, kind):
+        def split(model, ids, first, total):
+            add(model, ids, first, np.split(total, np.cumsum(sizes)[:-1]))  # parts of the table itself
+
+        parts = np.split(_over(train, model, split, sum(sizes), kind), np.cumsum(sizes)[:-1])
+        return [x.reshape(t.shape) for x, t in zip(parts, model.tables, strict=True)]
 
-    observed = np.split(_over(train, model, add, sum(sizes)), np.cumsum(sizes)[:-1])
-    update(model, [x.reshape(t.shape) for x, t in zip(observed, model.tables, strict=True)])
+    observed = over(observe, np.float32)
+    update(model, observed)
+    for _ in range(passes):
+        follow(model, observed, over(expect, np.float64))  # sums of shares
 
 
 def beside(model: Model, ids: np.ndarray, first: np.ndarray, total: np.ndarray) -> None:
@@ -340,18 +374,19 @@ def head_model(counts: DataFrame, total: int, distinct: int) -> Model:
     return Model([bytes(w) for w in top["word"]], top["c"].to_numpy(np.int64), total, distinct)
 
 
-def learn(train: DataFrame, model: Model) -> None:
+def learn(train: DataFrame, model: Model, passes: int = 0) -> None:
     """Classes and weights from the encoded training documents (ids). The words themselves are not needed any more."""
     model.ids = {}
     if model.n:
         model.arrange(word_classes(neighbours(train, model), model.counts))
-    fit(train, model)
+    fit(train, model, passes)
 
 
-def score(docs: DataFrame, held_out: int = 10) -> DataFrame:
+def score(docs: DataFrame, held_out: int = 10, passes: int = 0) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of every document's whole text.
 
-    The model learns from documents whose remainder modulo ``held_out`` is not 0; one with a null id is scored and not learnt from. A
+    The model learns from documents whose remainder modulo ``held_out`` is not 0, by one gradient update at its biases and ``passes`` more
+    at its own softmax; one with a null id is scored and not learnt from. A
     null text is empty, so the end is its one token. Rows are scored each for itself, so repeated ids do not mix; without training
     documents every base score is 0. Only doc_id and text are read; an empty table gives an empty result.
     """
@@ -366,7 +401,7 @@ def score(docs: DataFrame, held_out: int = 10) -> DataFrame:
     rows = materialize(map_texts(docs, _encode(shared), schema, "doc_id", "text"), "lm-tokens")
     shared.destroy()
     whole = rows.where(F.col("word").isNull())
-    learn(whole.where(learnt).select("ids"), model)
+    learn(whole.where(learnt).select("ids"), model, passes)
 
     weights = spark.sparkContext.broadcast(model)  # the tables at most
 

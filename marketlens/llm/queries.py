@@ -26,7 +26,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm.score(_read(spark, sf_dir, "documents"))
+    scored = lm.score(_read(spark, sf_dir, "documents"), passes=1)
     return scored.select("doc_id", _held_out(10), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

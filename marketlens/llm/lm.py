@@ -11,7 +11,8 @@ Word counts are exact and cover every training document; they set the biases. We
 training document. In the first, at the biases, partitions sum what was observed of each table row and output, which less what the biases expect there is the
 gradient of the log likelihood, and each weight moves along it as far as the logarithm of observed over expected, damped. Every row
 belongs to one node, a word's digits so far, so what biases expect of it is known without a second pass. Each further update evaluates the
-softmax of the model so far for every training token and sums up what it expects of each row and output. Sums of observed counts are exact,
+softmax of the model so far for every training token, once for all those of a batch that share history and node, and sums up what it
+expects of each row and output. Sums of observed counts are exact,
 those of expected ones but for rounding: the model is the same on any number of partitions. Texts are encoded once, into a written table of token arrays, which all passes after it read in batches.
 """
 
@@ -46,6 +47,10 @@ MARKS = 32
 SHARES, DAMP = (0.9, 0.6, 0.3), 30.0
 SMOOTH = 0.1
 _CHUNK = 4_096
+#: Tokens that are sorted by their contexts together, and those of which contexts are evaluated together.
+_SORTED, _TOGETHER = 1 << 21, 1 << 17
+#: Tokens of a task that sums, about: its vector is as long whatever it saw, so what is shuffled stays a small part of the input.
+TASK_TOKENS = 16_000_000
 _FLUSH = 400_000
 _CHARACTERS = 1_000_000
 
@@ -180,23 +185,6 @@ def _features(model: Model, hashes: list[np.ndarray], node: np.ndarray, level: i
     return [first + (h * n >> 31) for h in hashes[: 3 if level < 2 else 2]]
 
 
-def _logits(model: Model, level: int, node: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
-    """A factor's bias and weighted rows. Biases are logarithms of shares and weights small, so no exponential overflows."""
-    logits = model.bias[level].take(node, 0)
-    for share, rows in zip(SHARES, features, strict=False):
-        weights = model.tables[level].take(rows, 0)
-        weights *= np.float32(share)
-        logits += weights
-    return logits
-
-
-def _log_softmax(model: Model, level: int, node: np.ndarray, features: list[np.ndarray], digit: np.ndarray) -> np.ndarray:
-    """A factor's log probability of each token's digit."""
-    logits = _logits(model, level, node, features)
-    own = logits[np.arange(len(digit)), digit].astype(np.float64)
-    return own - np.log(np.exp(logits, out=logits).sum(1))
-
-
 def _parts(model: Model, ids: np.ndarray, first: np.ndarray):
     """(positions, level, nodes, features, digits) of the tokens, some thousand at a time; words that are not in the head have one level."""
     one, two = _history(ids, first)
@@ -212,11 +200,82 @@ def _parts(model: Model, ids: np.ndarray, first: np.ndarray):
             yield at, level, node, _features(model, hashes, node, level), model.digit[level][x]
 
 
+def _in_order(model: Model, ids: np.ndarray, first: np.ndarray):
+    """(positions, histories' words before, the ones before that, words) of the tokens, some million at a time, in the order of history and
+    then of the word's path, so that tokens of one history and node stand together at every factor."""
+    one, two = _history(ids, first)
+    n = model.n
+    word_at = np.lexsort(model.digit[::-1])
+    place = np.empty_like(word_at)
+    place[word_at] = np.arange(n + 1)
+    for start in range(0, len(ids), _SORTED):
+        at = slice(start, start + _SORTED)
+        key = (one[at] * (n + 3) + two[at]) * (n + 1) + place[ids[at]]
+        order = np.argsort(key)
+        yield start + order, one[at][order], two[at][order], ids[at][order]
+
+
+def _contexts(model: Model, one: np.ndarray, two: np.ndarray, word: np.ndarray):
+    """(positions, counts, level, nodes, features, digits) of tokens in order: distinct histories and nodes, some thousand at a time, and their
+    tokens. Each has so many of the positions and digits as its count says, one after the other; words that are not in the head have one
+    level."""
+    for start in range(0, len(word), _TOGETHER):
+        at = np.arange(start, min(start + _TOGETHER, len(word)))
+        o, t, x = one[at], two[at], word[at]
+        new = np.append(True, (o[1:] != o[:-1]) | (t[1:] != t[:-1]))
+        history, begin = np.cumsum(new) - 1, np.flatnonzero(new)
+        hashes = _hashes(o[begin], t[begin])
+        for level in range(1 + DIGITS):
+            if level == 1:  # what is not in the head stands last in its history
+                known = np.flatnonzero(x < model.n)
+                at, x, new, history = at[known], x[known], new[known], history[known]
+                if not len(x):
+                    break
+            begin = np.flatnonzero(new)
+            node, digit = model.node[level][x[begin]], model.digit[level][x]
+            features = _features(model, [h[history[begin]] for h in hashes[: 3 if level < 2 else 2]], node, level)
+            yield at, np.diff(np.append(begin, len(x))), level, node, features, digit
+            new[1:] |= digit[1:] != digit[:-1]
+
+
+def _logits(model: Model, level: int, node: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
+    """A factor's bias and weighted rows. Biases are logarithms of shares and weights small, so no exponential overflows."""
+    logits = model.bias[level].take(node, 0)
+    for share, rows in zip(SHARES, features, strict=False):
+        weights = model.tables[level].take(rows, 0)
+        weights *= np.float32(share)
+        logits += weights
+    return logits
+
+
+def _softmax_parts(model: Model, level: int, node: np.ndarray, features: list[np.ndarray]):
+    """(slice of the contexts, logits) of some thousand contexts at a time, which stay in the processor's cache."""
+    for start in range(0, len(node), _CHUNK):
+        some = slice(start, start + _CHUNK)
+        yield some, _logits(model, level, node[some], [rows[some] for rows in features])
+
+
+def _sums(rows: np.ndarray) -> np.ndarray:
+    """Sums of rows, by a product, which is quicker than a sum along short rows."""
+    return rows @ np.ones(rows.shape[1], rows.dtype)
+
+
 def log10_model(model: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """log10 P(token | history); for words that are not in the head, of their class alone."""
     out = np.zeros(len(ids))
-    for at, level, node, features, digit in _parts(model, ids, first):
-        out[at] += _log_softmax(model, level, node, features, digit)
+    for order, *sorted_ in _in_order(model, ids, first):
+        told = np.zeros(len(order))
+        for at, count, level, node, features, digit in _contexts(model, *sorted_):
+            ends = np.append(0, np.cumsum(count))
+            own, bulk = np.empty(len(at), np.float32), np.empty(len(node), np.float32)
+            for some, logits in _softmax_parts(model, level, node, features):
+                part = slice(ends[some.start], ends[some.start + len(logits)])
+                place = np.repeat(np.arange(0, logits.size, logits.shape[1]), count[some])
+                place += digit[part]
+                logits.reshape(-1).take(place, out=own[part], mode="clip")
+                bulk[some] = _sums(np.exp(logits, out=logits))
+            told[at] += own - np.repeat(np.log(bulk.astype(np.float64)), count)
+        out[order] = told
     return out / math.log(10)
 
 
@@ -228,14 +287,21 @@ def observe(model: Model, ids: np.ndarray, first: np.ndarray, observed: list[np.
 
 
 def expect(model: Model, ids: np.ndarray, first: np.ndarray, expected: list[np.ndarray]) -> None:
-    """Add, for each factor's table, how often the model's softmax lets each output follow each row's feature."""
-    for _, level, node, features, _ in _parts(model, ids, first):
-        p = _logits(model, level, node, features)
-        np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
-        p, at = p.reshape(-1).astype(expected[level].dtype), np.arange(model.outs[level])
-        for rows in features:
-            np.add.at(expected[level].reshape(-1), (rows[:, None] * len(at) + at).reshape(-1), p)
+    """Add, for each factor's table, how often the model's softmax lets each output follow each row's feature. Each distinct history and
+    node is evaluated once for all its tokens; sums are made by output, and quicker where outputs of ``expected`` are columns in memory."""
+    for _, *sorted_ in _in_order(model, ids, first):
+        for _, count, level, node, features, _ in _contexts(model, *sorted_):
+            p = np.empty((model.outs[level], len(node)), np.float32)
+            for some, e in _softmax_parts(model, level, node, features):
+                np.exp(e, out=e)
+                e *= (count[some] / _sums(e)).astype(np.float32)[:, None]
+                p[:, some] = e.T
+            own = np.empty(len(expected[level]), np.float32)
+            for of_output, total in zip(p, expected[level].T, strict=True):
+                own.fill(0)  # one output's sums fit the cache
+                for rows in features:
+                    np.add.at(own, rows, of_output)
+                total += own
 
 
 def _arrays(encoded) -> tuple[np.ndarray, np.ndarray]:
@@ -245,6 +311,22 @@ def _arrays(encoded) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.append(0, ends[:-1]).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
 
 
+def _gathered(batches):
+    """Rows with encoded texts, so many together that their contexts are sorted together, or those of one text."""
+    held, size = [], 0
+    for pdf in batches:
+        for part in _some(pdf["ids"]):
+            some = pdf.iloc[part]
+            more = int(some["ids"].map(len).sum()) // 4
+            if held and size + more > _SORTED:
+                yield pd.concat(held)
+                held, size = [], 0
+            held.append(some)
+            size += more
+    if held:
+        yield pd.concat(held)
+
+
 def update(model: Model, observed: list[np.ndarray]) -> None:
     """Move each weight along the gradient at the biases, observed less expected, as far as the logarithm of observed over expected, both
     with DAMP more examples as expected. A row belongs to one node, whose biases say what is expected of it."""
@@ -264,17 +346,19 @@ def follow(model: Model, observed: list[np.ndarray], expected: list[np.ndarray])
 
 
 def _over(train: DataFrame, model: Model, add, size: int, kind=np.float32) -> np.ndarray:
-    """The sum of what ``add(model, ids, first, total)`` adds to a flat table, of numbers of that kind, over all encoded texts (ids)."""
-    shared = train.sparkSession.sparkContext.broadcast(model)
+    """The sum of what ``add(model, ids, first, total)`` adds to a flat table, of numbers of that kind, over all encoded texts (ids). Files
+    are read by no more tasks than their tokens ask for, in whole rounds of those that run at once: each task shuffles a whole table."""
+    context = train.sparkSession.sparkContext
+    shared = context.broadcast(model)
+    tasks = context.defaultParallelism * max(1, math.ceil(model.total / TASK_TOKENS / context.defaultParallelism))
 
     def sums(batches):
         total = np.zeros(size, kind)
-        for pdf in batches:
-            for part in _some(pdf["ids"]):
-                add(shared.value, *_arrays(pdf["ids"].iloc[part]), total)
+        for some in _gathered(batches):
+            add(shared.value, *_arrays(some["ids"]), total)
         return total
 
-    out = sum_vectors(train.select("ids"), sums, size)
+    out = sum_vectors(train.select("ids").coalesce(tasks), sums, size)
     shared.destroy()
     return out
 
@@ -284,17 +368,20 @@ def fit(train: DataFrame, model: Model, passes: int = 0) -> None:
     are encoded (ids)."""
     sizes = [t.size for t in model.tables]
 
-    def over(add, kind):
+    def over(add, kind, order):
+        def tables(model, total):  # parts of the vector itself
+            parts = np.split(total, np.cumsum(sizes)[:-1])
+            return [x.reshape(t.shape, order=order) for x, t in zip(parts, model.tables, strict=True)]
+
         def split(model, ids, first, total):
-            add(model, ids, first, np.split(total, np.cumsum(sizes)[:-1]))  # parts of the table itself
+            add(model, ids, first, tables(model, total))
 
-        parts = np.split(_over(train, model, split, sum(sizes), kind), np.cumsum(sizes)[:-1])
-        return [x.reshape(t.shape) for x, t in zip(parts, model.tables, strict=True)]
+        return tables(model, _over(train, model, split, sum(sizes), kind))
 
-    observed = over(observe, np.float32)
+    observed = over(observe, np.float32, "C")
     update(model, observed)
     for _ in range(passes):
-        follow(model, observed, over(expect, np.float64))  # sums of shares
+        follow(model, observed, over(expect, np.float64, "F"))  # sums of shares
 
 
 def beside(model: Model, ids: np.ndarray, first: np.ndarray, total: np.ndarray) -> None:
@@ -406,12 +493,10 @@ def score(docs: DataFrame, held_out: int = 10, passes: int = 0) -> DataFrame:
     weights = spark.sparkContext.broadcast(model)  # the tables at most
 
     def scored(batches):
-        for pdf in batches:
-            for part in _some(pdf["ids"]):
-                some = pdf.iloc[part]
-                ids, first = _arrays(some["ids"])
-                own = np.repeat(np.arange(len(some)), np.diff(np.append(first, len(ids))))
-                yield pd.DataFrame({"uid": some["uid"], "score": np.bincount(own, log10_model(weights.value, ids, first), len(some))})
+        for some in _gathered(batches):
+            ids, first = _arrays(some["ids"])
+            own = np.repeat(np.arange(len(some)), np.diff(np.append(first, len(ids))))
+            yield pd.DataFrame({"uid": some["uid"], "score": np.bincount(own, log10_model(weights.value, ids, first), len(some))})
 
     asked = rows.where(F.col("word").isNotNull()).select("uid", "word", "n").join(counts, "word", "left")
     log_count = F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)
